@@ -1,11 +1,12 @@
 """MinHash near-duplicate detection with odd sketches.
 
-Each document is the set of its distinct word shingles. 128 MinHash samples of the set make
-32 band keys of four samples, which find candidates, and one odd sketch of 512 bits: every
-sample flips the bit that a hash of (number, sample) names. Two sketches differ in few bits
-only if most samples agree, so the population count of their XOR estimates a high similarity
-closely, and pairs beyond a limit are left before any text moves. What remains is decided on
-the full sets.
+Each document is the set of its distinct word shingles. 128 MinHash samples of the set, by
+permutations of their own, make 32 band keys of four samples, which find candidates. 2048 more
+samples, the least hash in each of 2048 bins of one permutation, are folded into an odd sketch
+of 2048 bits: every sample flips the bit that its hash names. The population count of the XOR
+of two sketches tells how many samples differ, and so estimates a high similarity closely.
+Pairs that differ in more bits than a pair at the threshold does, by 4.5 standard deviations,
+are left before any text moves. What remains is decided on the full sets.
 
 No group of alike documents is expanded into pairs. Documents with equal sets form a class,
 seen through its smallest id. In each bucket of equal band keys all members are compared with
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +33,10 @@ from labelmill.session import materialize
 SHINGLE_WORDS = 5
 SAMPLES = 128
 BAND_ROWS = 4
-SKETCH_BITS = 512
-#: Two sets at similarity 0.75 differ in 32 of 128 samples on average; 61 are six standard
-#: deviations more. 61 differing samples flip 97 of 512 bits on average; 130 are over six more.
-SKETCH_LIMIT = 130
-STAR_ROUNDS = 2
+BINS = 2048
+SKETCH_BITS = 2048
+DEVIATIONS = 4.5
+STAR_ROUNDS = 4
 BLOCK = 256
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -76,11 +76,16 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return ts.mix(key + np.arange(SAMPLES // BAND_ROWS, dtype=np.uint64)[None, :])
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of rows of samples: each sample flips one bit."""
-    n = len(samples)
-    places = ts.mix(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))[None, :], salt=99) % np.uint64(SKETCH_BITS)
-    flips = np.bincount((places.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS)
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of sorted sets: the least item of each bin flips one bit."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    items = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    bins = (items // np.uint64(2**64 // BINS)).astype(np.int64) + owner * BINS
+    least = np.ones(len(items), bool)
+    least[1:] = bins[1:] != bins[:-1]
+    places = (ts.mix(items[least], salt=99) % np.uint64(SKETCH_BITS)).astype(np.int64) + owner[least] * SKETCH_BITS
+    flips = np.bincount(places, minlength=n * SKETCH_BITS)
     return np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.uint64)
 
 
@@ -106,7 +111,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                         pa.array(ts.as_signed(np.ascontiguousarray(h[:, 0]))),
                         pa.array(ts.as_signed(np.ascontiguousarray(h[:, 1]))),
                         ts.list_array(ts.as_signed(band_keys(samples).ravel()), (n > 0) * (SAMPLES // BAND_ROWS), pa.int64()),
-                        ts.list_array(ts.as_signed(odd_sketches(samples).ravel()), (n > 0) * (SKETCH_BITS // 64), pa.int64()),
+                        ts.list_array(ts.as_signed(odd_sketches([sets[i] for i in full]).ravel()), (n > 0) * (SKETCH_BITS // 64), pa.int64()),
                     ],
                     names=SIGNED.names,
                 )
@@ -114,19 +119,41 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, SIGNED)
 
 
-def sketch_distance(a: str, b: str):
+def sketch_distance(a: str, b: str) -> Column:
     """Bits in which two odd sketches differ."""
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
+def sketch_limit(n_a: Column, n_b: Column, threshold: int) -> Column:
+    """Most bits in which the sketches of two sets at the threshold differ, by DEVIATIONS.
+
+    Of the bins that the union fills, the share 1 - J has its least item in one set only. Such
+    a bin flips one bit, and one more if the other set has a later item in it.
+    """
+    j = threshold / 100
+    union = (n_a + n_b) / (1 + j)
+    bins = BINS * (1 - F.exp(-union / BINS))
+    second = 1 - F.exp(-F.greatest(n_a, n_b) / BINS)
+    flips = (1 - j) * bins * (1 + second)
+    spread = bins * j * (1 - j) * (1 - bins / (union + 1)) * (1 + second) ** 2 + (1 - j) * bins * second * (1 - second)
+    slope = F.exp(-2 * flips / SKETCH_BITS)
+    return SKETCH_BITS / 2 * (1 - slope) + DEVIATIONS * F.sqrt(slope**2 * spread + F.least(2 * flips**2 / SKETCH_BITS, F.lit(SKETCH_BITS / 4))) + 3
+
+
+def alike(a: str, b: str, n_a: str, n_b: str, threshold: int) -> Column:
+    """Two sketches, of sets of these sizes, may be of a pair that reaches the threshold."""
+    sizes = (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b))
+    return sizes & (sketch_distance(a, b) <= sketch_limit(F.col(n_a).cast("double"), F.col(n_b).cast("double"), threshold))
+
+
+def sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold by their sketches."""
+    sides = [sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(alike("sketch_a", "sketch_b", "n_a", "n_b", threshold)).select("a", "b")
+
+
+def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold, a percentage."""
-    near = (
-        pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .where(sketch_distance("sketch_a", "sketch_b") <= SKETCH_LIMIT)
-        .select("a", "b")
-    )
     near = materialize(near, "near")
     ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
     few = texts.join(ends, "rep", "left_semi")
@@ -159,28 +186,31 @@ def apart(rows: DataFrame) -> DataFrame:
 
 def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(classes h1, h2, rep), and verified links between class representatives."""
-    alike = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(alike.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("first")).select("h1", "h2", F.col("first.doc_id").alias("rep"), "first.bands", "first.sketch"), "classes")
-    sketches = classes.select("rep", "sketch").dropDuplicates(["rep"])
+    full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("first"))
+    classes = materialize(first.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("n"), "first.bands", "first.sketch"), "classes")
+    named = classes.select("h1", "h2", "rep")
+    sketches = classes.select("rep", "sketch", "n").dropDuplicates(["rep"])
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     member = classes.select(F.explode("bands").alias("key"), "rep")
-    shared = member.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("hi")).where("hub < hi").select("key", "hub")
-    rows = materialize(member.join(shared, "key"), "buckets")
+    shared = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    rows = materialize(member.join(shared, "key").select("key", "rep", F.col("rep").alias("component")), "buckets")
     links = None
-    for _ in range(STAR_ROUNDS):
-        pairs = rows.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        found = verified(pairs, sketches, texts, threshold, size)
+    for turn in range(STAR_ROUNDS):
+        hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("hub"))
+        rows = rows.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "key")
+        pairs = rows.where("component != hub_component").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        found = verified(sketched(pairs, sketches, threshold), texts, threshold, size)
         links = found if links is None else links.unionByName(found)
-        left = apart(labelled(rows.where("rep != hub").select("key", "rep"), links))
-        rows = materialize(left.join(left.groupBy("key").agg(F.min("rep").alias("hub")), "key").select("key", "rep", "component", "hub", "size"), "apart")
+        rows = materialize(apart(labelled(rows.where("rep != hub").select("key", "rep"), links)), "apart")
         if rows.isEmpty():
-            return classes.select("h1", "h2", "rep"), links
+            return named, links
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(sketches, "rep").select("key", "rep", "component", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-    other = rows.select("key", F.col("rep").alias("rep_b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = rows.join(other, ["key", "block"]).where((F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & (sketch_distance("sketch", "sketch_b") <= SKETCH_LIMIT))
-    found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), sketches, texts, threshold, size)
-    return classes.select("h1", "h2", "rep"), links.unionByName(found)
+    rows = rows.join(sketches, "rep").select("key", "rep", "component", "sketch", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+    other = rows.select("key", F.col("rep").alias("rep_b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = rows.join(other, ["key", "block"]).where((F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & alike("sketch", "sketch_b", "n", "n_b", threshold))
+    found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), texts, threshold, size)
+    return named, links.unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -199,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WO
     by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     rows = sigs.select("doc_id", "n_shingles", "h1", "h2")
     joined = rows.join(by_class, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
