@@ -9,11 +9,12 @@ Pairs that differ in more bits than a pair at the threshold does, by 4.5 standar
 are left before any text moves. What remains is decided on the full sets.
 
 No group of alike documents is expanded into pairs. Documents with equal sets form a class,
-seen through its smallest id. In each bucket of equal band keys all members are compared with
-one member, the hub; links join components; a bucket whose members are in one component needs
-nothing more. Where some remain apart, further hubs are taken, and at last all pairs of
-members of different components, with each large bucket dealt out in blocks. So each pair of
-different components that share a bucket is compared on sketches and, if alike, on sets.
+seen through its smallest id. In each bucket of equal band keys one member is the hub; every
+document is compared with the hub that it shares most buckets with, and links join components.
+A bucket whose members are in one component needs nothing more. Where some remain apart, other
+hubs are taken, and at last all pairs of members of different components, with each large
+bucket dealt out in blocks. So each pair of different components that share a bucket is
+compared on sketches and, if alike, on sets.
 
 A link of exactly the threshold 0.75 shares no band with a probability of 5e-6.
 """
@@ -155,9 +156,7 @@ def sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame
 def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold, a percentage."""
     near = materialize(near, "near")
-    ends = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    few = texts.join(ends, "rep", "left_semi")
-    both = near.join(few.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(few.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    both = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
     def work(batches):
         powers = ts.Powers()
@@ -181,7 +180,7 @@ def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 def apart(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component."""
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    return rows.drop("size").join(mixed, "key")
+    return rows.join(mixed, "key")
 
 
 def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> tuple[DataFrame, DataFrame]:
@@ -191,18 +190,20 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     classes = materialize(first.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("n"), "first.bands", "first.sketch"), "classes")
     named = classes.select("h1", "h2", "rep")
     sketches = classes.select("rep", "sketch", "n").dropDuplicates(["rep"])
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     member = classes.select(F.explode("bands").alias("key"), "rep")
     shared = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     rows = materialize(member.join(shared, "key").select("key", "rep", F.col("rep").alias("component")), "buckets")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = materialize(texts.join(rows.select("rep").distinct(), "rep", "left_semi"), "texts")
     links = None
     for turn in range(STAR_ROUNDS):
         hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("hub"))
-        rows = rows.join(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "key")
-        pairs = rows.where("component != hub_component").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        apart_from_hub = rows.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+        closest = apart_from_hub.groupBy("rep", F.col("hub.rep").alias("hub")).count().groupBy("rep").agg(F.max(F.struct("count", "hub")).alias("best"))
+        pairs = closest.select(F.least("best.hub", "rep").alias("a"), F.greatest("best.hub", "rep").alias("b")).distinct()
         found = verified(sketched(pairs, sketches, threshold), texts, threshold, size)
         links = found if links is None else links.unionByName(found)
-        rows = materialize(apart(labelled(rows.where("rep != hub").select("key", "rep"), links)), "apart")
+        rows = materialize(apart(labelled(rows.select("key", "rep"), links)), "apart")
         if rows.isEmpty():
             return named, links
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
