@@ -2,17 +2,63 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelmill.llm import neardedup
-from labelmill.session import table
+from labelmill.llm import chat, decontam, linededup, media, neardedup, packing, substrings, warc
+from labelmill.llm.oracles import SQL  # noqa: F401
+from labelmill.session import materialize, table
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialize(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.media_column(table(spark, sf_dir, "documents"))).drop("error")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = linededup.dedup_lines(docs, drop_emptied=False)
+    return kept.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "n_chars")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.conversation_digests(chat.format_conversations(turns, BYTE_TOKENIZER))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_warc": op3_warc,
+    "op4_media_columns": op4_media_columns,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_substring_dedup": op9_substring_dedup,
 }
-SQL: dict[str, str] = {}
