@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import chat, decontam, linededup, media, neardedup, packing, substrings, warc
+from labelmill.llm import chat, decontam, langid, linededup, media, neardedup, packing, substrings, toxicity, warc
 from labelmill.llm.oracles import SQL  # noqa: F401
 from labelmill.session import materialize, table
 
@@ -35,6 +35,18 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _fold(of: str, folds: int):
+    """CRC-32 of an id as text, modulo the number of folds."""
+    return F.crc32(F.col(of).cast("string").cast("binary")) % folds
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit_on(docs.where(~held_out))
+    return langid.identify(docs, model, held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = linededup.dedup_lines(docs, drop_emptied=False)
@@ -52,13 +64,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    learnt = table(spark, sf_dir, "labels").where(F.coalesce(_fold("doc_id", 5) != 0, F.lit(False)))
+    return toxicity.toxicity(docs, toxicity.fit_on(docs, learnt), held_out)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_warc": op3_warc,
     "op4_media_columns": op4_media_columns,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
