@@ -10,7 +10,7 @@ are left before any text moves. What remains is decided on the full sets.
 
 No group of alike documents is expanded into pairs. Documents with equal sets form a class,
 seen through its smallest id. In each bucket of equal band keys one member is the hub; every
-document is compared with the hub that it shares most buckets with, and links join components.
+document is compared with the hubs that it shares most buckets with, and links join components.
 A bucket whose members are in one component needs nothing more. Where some remain apart, other
 hubs are taken, and at last all pairs of members of different components, with each large
 bucket dealt out in blocks. So each pair of different components that share a bucket is
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from labelmill.llm import textscan as ts
 from labelmill.llm.components import connected_components
+from labelmill.operators.dedup import first_per_group
 from labelmill.session import materialize
 
 SHINGLE_WORDS = 5
@@ -37,7 +38,8 @@ BAND_ROWS = 4
 BINS = 2048
 SKETCH_BITS = 2048
 DEVIATIONS = 4.5
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+HUBS = 6
 BLOCK = 256
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -183,6 +185,27 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "key")
 
 
+def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of documents with hubs of other components: for each document the hubs that it
+    shares most buckets with, HUBS at most.
+
+    A bucket's hub is of its largest component; in the first turn the member that meets most
+    others in all its buckets, later another one each time.
+    """
+    if turn:
+        rank = F.xxhash64("rep", F.lit(turn))
+    else:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("members"))
+        meets = rows.join(sizes, "key").groupBy("rep").agg(F.sum("members").alias("meets"))
+        rows, rank = rows.join(meets, "rep"), -F.col("meets")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("members"), F.min(F.struct(rank.alias("rank"), "rep")).alias("first"))
+    largest = F.struct("members", -F.col("first.rank"), "component", F.col("first.rep").alias("hub"))
+    hubs = parts.groupBy("key").agg(F.max(largest).alias("top")).select("key", F.col("top.hub").alias("hub"), F.col("top.component").alias("hub_component"))
+    shared = rows.join(hubs, "key").where(F.col("component") != F.col("hub_component")).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
+    best = first_per_group(shared, ["rep"], [F.col("shared").desc(), F.col("hub")], HUBS)
+    return best.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
 def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(classes h1, h2, rep), and verified links between class representatives."""
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -197,20 +220,20 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     texts = materialize(texts.join(rows.select("rep").distinct(), "rep", "left_semi"), "texts")
     links = None
     for turn in range(STAR_ROUNDS):
-        hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("hub"))
-        apart_from_hub = rows.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
-        closest = apart_from_hub.groupBy("rep", F.col("hub.rep").alias("hub")).count().groupBy("rep").agg(F.max(F.struct("count", "hub")).alias("best"))
-        pairs = closest.select(F.least("best.hub", "rep").alias("a"), F.greatest("best.hub", "rep").alias("b")).distinct()
-        found = verified(sketched(pairs, sketches, threshold), texts, threshold, size)
+        found = verified(sketched(_hub_pairs(rows, turn), sketches, threshold), texts, threshold, size)
         links = found if links is None else links.unionByName(found)
         rows = materialize(apart(labelled(rows.select("key", "rep"), links)), "apart")
         if rows.isEmpty():
             return named, links
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(sketches, "rep").select("key", "rep", "component", "sketch", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-    other = rows.select("key", F.col("rep").alias("rep_b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = rows.join(other, ["key", "block"]).where((F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & alike("sketch", "sketch_b", "n", "n_b", threshold))
-    found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct(), texts, threshold, size)
+    bands = classes.select("rep", "bands").dropDuplicates(["rep"])
+    rows = rows.join(sketches, "rep").join(bands, "rep").select("key", "rep", "component", "sketch", "n", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+    other = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch", "n", "bands")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # A pair that shares several buckets counts in the first of them only.
+    first_shared = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.array_position("bands", F.col("key"))
+    differ = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
+    pairs = rows.join(other, ["key", "block"]).where(differ & alike("sketch", "sketch_b", "n", "n_b", threshold) & first_shared)
+    found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), texts, threshold, size)
     return named, links.unionByName(found)
 
 
