@@ -1,7 +1,7 @@
 """Language identification by nearest centroids of TF-IDF character n-gram vectors.
 
 A text is the bytes of its letters, lower-cased, words apart; its vector counts the two- and
-three-byte sequences inside words and at their edges, hashed to 8192 places, as 1 + log(count)
+three-byte sequences inside words and at their edges, hashed to 4096 places, as 1 + log(count)
 times the inverse document frequency, at length 1. Each language has up to four centroids from
 spherical k-means, so that kinds of text may differ; small clusters go, and rows that another
 language's centroid claims are left out of a second fit, so that wrong labels do little harm.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from labelmill.llm import textscan as ts
 
 #: Most labelled rows that a model is fitted on.
-TRAINING_ROWS = 6000
-PLACES = 8192
+TRAINING_ROWS = 3000
+PLACES = 4096
 CENTROIDS = 4
 SMALL_CLUSTER = 0.05
 UNDETERMINED = "und"
@@ -52,7 +52,7 @@ def ngram_counts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     inside = data != 0x20
     for code, size, ok in ((two, 2, (inside[:-1] | inside[1:])), (three, 3, inside[1:-1])):
         ok = ok & (owner[: len(code)] == owner[size - 1 :])
-        place = (code[ok] * np.uint32(2654435761) + np.uint32(size * 97)) >> np.uint32(32 - 13)
+        place = (code[ok] * np.uint32(2654435761) + np.uint32(size * 97)) >> np.uint32(32 - 12)
         counts += np.bincount(owner[: len(code)][ok] * PLACES + place.astype(np.int64), minlength=n * PLACES)
     return counts.reshape(n, PLACES)
 
@@ -77,7 +77,10 @@ class LanguageModel:
     least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * self.idf)
+        x = np.log(np.maximum(counts, 1), dtype=np.float32)
+        x += counts > 0
+        x *= self.idf
+        return _unit(x)
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest centroid, and the cosine."""
@@ -146,9 +149,9 @@ def fit_on(labelled: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), ts.list_array(place.astype(np.int32), each, pa.int32()), ts.list_array(counts[row, place].astype(np.int32), each, pa.int32())], names=["lang", "places", "counts"])
 
     got = some.select("lang", "text").mapInArrow(work, "lang string, places array<int>, counts array<int>").toArrow()
-    counts = np.zeros((len(got), PLACES), np.int32)
+    counts = np.zeros((len(got), PLACES), np.uint16)
     for i, (places, values) in enumerate(zip(got["places"], got["counts"])):
-        counts[i, places.values.to_numpy()] = values.values.to_numpy()
+        counts[i, places.values.to_numpy()] = np.minimum(values.values.to_numpy(), 65535)
     return fit(got["lang"].to_pylist(), counts)
 
 
@@ -160,12 +163,10 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
     rejected by its distance. Repeated rows are given each; an empty table gives no rows; a
     model without languages says ``und``.
     """
-    fitted = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else held_out).alias("held_out"), text, F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("lettered"))
 
     def work(batches):
-        model = fitted.value
         for batch in batches:
             best, cosine = [], []
             for _, _, counts in _runs(batch.column(2)):
@@ -183,11 +184,10 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs, all columns as they are, without the rows that are rejected."""
-    fitted, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    at = docs.columns.index("text")
     lettered = docs.where(F.col("text").cast("string").rlike("\\p{L}"))
 
     def work(batches):
-        model = fitted.value
         for batch in batches:
             keep = []
             for _, _, counts in _runs(batch.column(at).cast(pa.string())):
