@@ -73,6 +73,9 @@ class ToxicityModel:
     evidence: dict[tuple[int, int], float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -2.0]))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
     def start(self) -> None:
         """Prepare the compressors; called in each task."""
         settings = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -182,11 +185,9 @@ def toxicity(docs: DataFrame, model: ToxicityModel, held_out: Column | None = No
     Null and empty texts have no windows and get the score of no evidence; whole texts count;
     repeated rows are scored each; an empty table gives no rows. held_out is passed through.
     """
-    fitted = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col("text").cast("string"))
 
     def work(batches):
-        model = fitted.value
         model.start()
         for batch in batches:
             body, offs = ts.binary_parts(batch.column(2))
