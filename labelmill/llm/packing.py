@@ -30,42 +30,58 @@ CAPACITY = 4096
 SHARD_PIECES = 16384
 FAN_IN = 64
 OPEN_SEQUENCES = 8
+SOURCES = 16
 CACHE_WORDS = 500_000
 END_ID = 1
 
 
-class WordEncoder:
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
+
+
+class WordEncoder(dict):
     """Ids of texts by a tokenizer that never joins characters across white space.
 
-    A text is split at ASCII white space, and before punctuation that ends a run of ASCII
-    letters, where this tokenizer always splits; each distinct part is encoded once. ASCII
-    capitals are lower-cased first, as the tokenizer does. Texts that could hold the string of a
+    A text is split at ASCII white space, and each distinct part is encoded once, when it is
+    first looked up. ASCII capitals are lower-cased before, as the tokenizer does. A part of
+    lower-case Latin letters is one word for the tokenizer, so its model takes it at once;
+    punctuation behind such a word is a part of its own. Texts that could hold the string of a
     special token are encoded as a whole.
     """
 
-    tail = re.compile(rb"(?<=[a-z])([,.!?;:#%*&$]+)(?=\s|\Z)")
+    #: a-z and U+00DF to U+00FF without the division sign, then punctuation.
+    word = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([,.!?;:#%*&$]*)")
+    letters = _byte_letters()
 
     def __init__(self, path: str, words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.known = Tokenizer.from_file(path), words, {}
+        super().__init__()
+        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.tokenize = self.tokenizer.model.tokenize
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, part: bytes) -> bytes:
+        found = self.word.fullmatch(part)
+        if found is None:
+            ids = self.whole(part)
+        elif found[2]:
+            ids = self[found[1]] + self[found[2]]
+        else:
+            ids = array("I", [t.id for t in self.tokenize(part.decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) >= self.words:
+            self.clear()
+        self[part] = ids
+        return ids
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [None if b"<|" in x else self.tail.sub(rb" \1", x.lower()).split() for x in texts]
-        new = set().union(*(p for p in parts if p)).difference(self.known)
-        if len(self.known) + len(new) > self.words:
-            self.known.clear()
-            new = set().union(*(p for p in parts if p))
-        new = list(new)
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.known.update(zip(some, self._ids([x.decode("utf-8", "replace") for x in some])))
-        get = self.known.__getitem__
-        return [self._ids([x.decode("utf-8", "replace")])[0] if p is None else b"".join(map(get, p)) for x, p in zip(texts, parts)]
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        return self.whole(text) if b"<|" in text else b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -79,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             first = 0
             while first < batch.num_rows:
                 last = min(max(int(np.searchsorted(offs, offs[first] + ts.SLICE_BYTES, "right")) - 1, first + 1), batch.num_rows)
-                ids = encoder.encode([body[offs[i] : offs[i + 1]].tobytes() for i in range(first, last)])
+                ids = [encoder.encode(body[offs[i] : offs[i + 1]].tobytes()) for i in range(first, last)]
                 rows = [(i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)) for i, x in enumerate(ids, first) for k in range(0, len(x) + 4, 4 * capacity) for part in [(x + end)[k : k + 4 * capacity]]]
                 at, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows))
                 slot = ts.mix(np.arange(salt + n, salt + n + len(rows), dtype=np.uint64)) >> np.uint64(1)
@@ -173,11 +189,17 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
         room = sum(capacity - int(lengths[b].sum()) for b in work[:-1])
         if room < lengths[work[-1]].sum():
             break
-        source, others = work[-1], work[:-1]
-        steps = 4 * len(source) + 64
-        while source and steps and _step(source, others, lengths, capacity):
+        steps = 4 * len(work[-1]) + 64
+        while work[-1] and steps:
+            # The emptiest sequence first; where it has no step, one of the next emptiest makes room.
+            for k in range(len(work) - 1, max(0, len(work) - SOURCES), -1):
+                if _step(work[k], work[:k], lengths, capacity):
+                    break
+            else:
+                break
+            work.sort(key=lambda b: -lengths[b].sum())
             steps -= 1
-        if source:
+        if work[-1]:
             break
         work.pop()
     return full + work
