@@ -1,7 +1,7 @@
 """Benchmark decontamination: word windows of test items, looked up in training texts.
 
-The windows of all items are a hash set that every task gets by broadcast, if the benchmark's
-texts are within ``BROADCAST_BYTES``; the size is read first. A larger benchmark is joined with
+The windows of all items are a hash set that every task gets with its function, which Spark
+broadcasts, if the benchmark's texts are within ``BROADCAST_BYTES``; the size is read first. A larger benchmark is joined with
 the documents' windows by a shuffle on their hashes. On the broadcast path every hit is
 verified on its words; on the other one two independent hashes must agree.
 """
@@ -112,13 +112,13 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, size: int, limit: int, fin
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     if _bytes(benchmark) <= limit:
         items = [(r[0], r[1]) for r in benchmark.collect()]
-        windows = docs.sparkSession.sparkContext.broadcast(ItemWindows(items, size))
+        windows = ItemWindows(items, size)
 
         def work(batches):
             powers = ts.Powers()
             for batch in batches:
                 for first, scan in ts.scans(batch.column(at), ts.ALNUM, ts.ASCII_LOWER, powers):
-                    yield finish(batch, first, scan, *windows.value.hits(scan))
+                    yield finish(batch, first, scan, *windows.hits(scan))
 
         return docs.mapInArrow(work, schema)
 
