@@ -7,8 +7,8 @@ spherical k-means, so that kinds of text may differ; small clusters go, and rows
 language's centroid claims are left out of a second fit, so that wrong labels do little harm.
 The prediction is the language of the centroid of highest cosine.
 
-A text is rejected if its distance from that centroid is beyond what the centroid's own
-training rows show, or if it has no letter. The model is fitted on a bounded sample of labelled
+A text is rejected if its distance from that centroid is far beyond what training rows of the
+language show, or if it has no letter. The model is fitted on a bounded sample of labelled
 rows; only vectors of fixed size reach the driver.
 """
 
@@ -127,8 +127,10 @@ def fit(languages: list[str], counts: np.ndarray, k: int = CENTROIDS) -> Languag
             return model
         best, cosine = model.nearest(counts)
         keep = np.array(model.languages, object)[best] == labels
-    # Half of the least cosine that all but one in a thousand of a centroid's rows reach.
-    model.least = np.array([np.quantile(cosine[keep & (best == c)], 0.001) / 2 if (keep & (best == c)).any() else 0.0 for c in range(len(model.languages))])
+    # Half of the cosine that all but one in a thousand of a language's rows reach.
+    names = np.array(model.languages, object)
+    reach = {name: np.quantile(cosine[keep & (labels == name)], 0.001) / 2 if (keep & (labels == name)).any() else 0.0 for name in set(model.languages)}
+    model.least = np.array([reach[name] for name in names])
     return model
 
 
