@@ -127,9 +127,9 @@ def fit(languages: list[str], counts: np.ndarray, k: int = CENTROIDS) -> Languag
             return model
         best, cosine = model.nearest(counts)
         keep = np.array(model.languages, object)[best] == labels
-    # Half of the cosine that all but one in a thousand of a language's rows reach.
+    # A quarter of the cosine that all but one in a thousand of a language's rows reach.
     names = np.array(model.languages, object)
-    reach = {name: np.quantile(cosine[keep & (labels == name)], 0.001) / 2 if (keep & (labels == name)).any() else 0.0 for name in set(model.languages)}
+    reach = {name: np.quantile(cosine[keep & (labels == name)], 0.001) / 4 if (keep & (labels == name)).any() else 0.0 for name in set(model.languages)}
     model.least = np.array([reach[name] for name in names])
     return model
 
