@@ -170,14 +170,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     of the text, and nothing else changes. Nulls, repeats and empty tables as in
     ``contamination``; null texts stay null.
     """
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def drop(batch, first, scan, mask, items):
-        part = batch.slice(first, len(scan)).select(range(len(docs.columns)))
+        part = batch.slice(first, len(scan)).select(range(len(names)))
         return part.filter(pa.array(_hit_counts(scan, mask) == 0))
 
     def cut(batch, first, scan, mask, items):
-        part = batch.slice(first, len(scan)).select(range(len(docs.columns)))
+        part = batch.slice(first, len(scan)).select(range(len(names)))
         texts = part.column(at).to_pylist()
         for i in np.flatnonzero(_hit_counts(scan, mask)):
             a, b = scan.bounds[i], scan.bounds[i + 1]
@@ -189,6 +190,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
             kept.append(scan.raw[last : scan.offsets[i + 1]].tobytes())
             texts[i] = b"".join(kept).decode("utf-8", "replace")
         columns = [part.column(k) if k != at else pa.array(texts, part.column(k).type) for k in range(part.num_columns)]
-        return pa.RecordBatch.from_arrays(columns, names=docs.columns)
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return _with_hits(docs, benchmark, size, limit, {"documents": drop, "spans": cut}[remove], docs.schema)
