@@ -36,17 +36,31 @@ def follows_within(events: DataFrame, keys: list[str], at: str, order: str, seco
 def accepted_first(events: DataFrame, keys: list[str], at: str, order: str, seconds: int = DAY) -> DataFrame:
     """events with accepted: none of the same key that was itself accepted is less than ``seconds`` old.
 
-    The rule refers to its own result, so each key's events are folded in order. A key's events
-    are sorted arrays of (time, order); the fold keeps the last accepted time.
+    The rule refers to its own result, so each key's events are folded in order. They are sorted
+    by Spark and stream through a task, which keeps the last accepted time of one key only; no
+    key's events are gathered. Unknown times are never accepted.
     """
-    row = F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("o"))
-    lists = events.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(events.dtypes)[order]}>").alias("kept"))
-    step = lambda s, x: F.when(
-        s["last"].isNull() | (x["t"] - s["last"] >= seconds * 1_000_000), F.struct(x["t"].alias("last"), F.concat(s["kept"], F.array(x["o"])).alias("kept"))
-    ).otherwise(s)
-    kept = lists.select(F.explode(F.aggregate("all", start, step, lambda s: s["kept"])).alias(order)).withColumn("accepted", F.lit(True))
-    return events.join(kept, order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    gap = seconds * 1_000_000
+    named = events.select(F.xxhash64(*keys).alias("fold_key"), *(F.col(k).cast("string").alias(f"fold_{i}") for i, k in enumerate(keys)), F.unix_micros(F.col(at).cast("timestamp")).alias("fold_at"), F.col(order).alias("fold_order"))
+    parts = [f"fold_{i}" for i in range(len(keys))]
+    rows = named.where("fold_at IS NOT NULL").repartition("fold_key").sortWithinPartitions("fold_key", *parts, "fold_at", "fold_order")
+
+    def work(batches):
+        import pyarrow as pa
+
+        key, last = None, 0
+        for batch in batches:
+            keep = []
+            for *here, t in zip(*(batch.column(i).to_pylist() for i in range(len(parts) + 1)), batch.column(len(parts) + 1).to_pylist()):
+                if here != key or t - last >= gap:
+                    key, last = here, t
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.select([len(parts) + 2]).filter(pa.array(keep, pa.bool_()))
+
+    kept = rows.select("fold_key", *parts, "fold_at", "fold_order").mapInArrow(work, f"fold_order {dict(events.dtypes)[order]}").withColumn("accepted", F.lit(True))
+    return events.join(kept, events[order] == kept["fold_order"], "left").select(*[events[c] for c in events.columns], F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def reports_in(events: DataFrame, key: str, at: str, seconds: int = MONTH, least: int = REPORTS) -> DataFrame:
