@@ -91,18 +91,22 @@ def _window_rows(rows: DataFrame, size: int | None, lengths: list[int]) -> DataF
 
 
 def _joined_hits(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """docs with the columns found_places and found_items, by a shuffle on window hashes."""
-    keyed = docs.withColumn("found_row", F.xxhash64(F.col("text").cast("string")))
+    """docs with two columns more, found places and found items, by a shuffle on window hashes."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     lengths = list(range(1, size + 1))
     tests = _window_rows(items, size, lengths).select("length", "h1", "h2", F.col("id").alias("item")).distinct()
     tests = materialize(tests, "windows")
     used = [r[0] for r in tests.select("length").distinct().collect()]
-    rows = _window_rows(keyed.select(F.col("doc_id").cast("long"), "found_row", F.col("text").cast("string")), None, used)
+    text = F.col("text").cast("string")
+    rows = _window_rows(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text), None, used)
     hits = rows.join(tests, ["length", "h1", "h2"]).groupBy(F.col("id").alias("found_id"), F.col("row").alias("found_row")).agg(
         F.collect_set(F.struct("place", "length")).alias("found_places"), F.collect_set("item").alias("found_items")
     )
-    return keyed.join(hits, keyed["doc_id"].cast("long").eqNullSafe(hits["found_id"]) & (keyed["found_row"] == hits["found_row"]), "left").select(*[keyed[c] for c in docs.columns], "found_places", "found_items")
+    match = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.found_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("h.found_row"))
+    joined = docs.alias("d").join(hits.alias("h"), match, "left")
+    # By place: a column of docs may have any name.
+    columns = [*(F.col(f"d.`{c}`") for c in docs.columns), F.col("h.found_places"), F.col("h.found_items")]
+    return joined.select(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, size: int, limit: int, finish, schema):
@@ -175,7 +179,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     def drop(batch, first, scan, mask, items):
         part = batch.slice(first, len(scan)).select(range(len(names)))
-        return part.filter(pa.array(_hit_counts(scan, mask) == 0))
+        part = part.filter(pa.array(_hit_counts(scan, mask) == 0))
+        return pa.RecordBatch.from_arrays(part.columns, names=names)
 
     def cut(batch, first, scan, mask, items):
         part = batch.slice(first, len(scan)).select(range(len(names)))

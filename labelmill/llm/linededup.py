@@ -130,21 +130,15 @@ def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: boo
     Null and empty texts stay as they are and match nothing; a null doc_id is never earlier and
     loses nothing; rows of one doc_id lose nothing to each other; an empty table stays empty.
     """
-    names = docs.columns
-    gone = common_lines(docs, seed_words).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), F.col("gone").alias("gone_lines"))
-    joined = docs.alias("d").join(gone, (F.col("d.doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("gone_row")), "left")
-    text = F.col("d.text").cast("string")
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
-    new = joined.withColumn("text_after_line_dedup", F.when(F.col("gone_lines").isNull(), text).otherwise(kept))
+    gone = common_lines(docs, seed_words)
+    text, lines = F.col("d.text").cast("string"), F.col("g.gone")
+    match = (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64(text) == F.col("g.row"))
+    joined = docs.alias("d").join(gone.alias("g"), match, "left")
+    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(lines, i)), "\n")
     if drop_emptied:
-        new = new.where(F.col("gone_lines").isNull() | F.col("text_after_line_dedup").rlike("[^\\s]"))
-    columns = []
-    for c in names:
-        if c == "text":
-            columns.append(F.col("text_after_line_dedup").alias("text"))
-        elif c == "n_chars":
-            kind = docs.schema[c].dataType
-            columns.append(F.when(F.col("gone_lines").isNull(), F.col("d.n_chars")).otherwise(F.length("text_after_line_dedup").cast(kind)).alias(c))
-        else:
-            columns.append(F.col(f"d.`{c}`"))
-    return new.select(*columns)
+        joined = joined.where(lines.isNull() | kept.rlike("[^\\s]"))
+    columns = {c: F.col(f"d.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(lines.isNull(), text).otherwise(kept)
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(lines.isNull(), columns["n_chars"]).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(c.alias(name) for name, c in columns.items()))

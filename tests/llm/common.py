@@ -6,7 +6,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row int, first string, size double"
+#: Columns beyond those of documents have names that operators use inside.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row int, gone string, found_places double"
 
 
 def documents(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
