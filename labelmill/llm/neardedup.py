@@ -174,9 +174,19 @@ def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> Da
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long"), "links")
 
 
-def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, component) after linking components; a rep without a label is its own component."""
+    ends = [labels.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    edges = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = connected_components(edges)
+    old = labels.join(roots, labels["component"] == roots["node"], "left").select("rep", F.coalesce(roots["component"], labels["component"]).alias("component"))
+    new = roots.select(F.col("node").alias("rep"), "component").join(labels.select("rep"), "rep", "left_anti")
+    return materialize(old.unionByName(new), "labels")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Bucket rows (key, rep) with the component of each rep."""
-    return rows.join(connected_components(links), rows["rep"] == F.col("node"), "left").select(rows["key"], rows["rep"], F.coalesce("component", "rep").alias("component"))
+    return rows.join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -207,34 +217,36 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(classes h1, h2, rep), and verified links between class representatives."""
+    """(classes h1, h2, rep), and the components (rep, component) of the representatives that have links."""
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("first"))
     classes = materialize(first.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("n"), "first.bands", "first.sketch"), "classes")
     named = classes.select("h1", "h2", "rep")
-    sketches = classes.select("rep", "sketch", "n").dropDuplicates(["rep"])
+    sketches = classes.select("rep", "sketch", "n")
     member = classes.select(F.explode("bands").alias("key"), "rep")
     shared = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     rows = materialize(member.join(shared, "key").select("key", "rep", F.col("rep").alias("component")), "buckets")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts = materialize(texts.join(rows.select("rep").distinct(), "rep", "left_semi"), "texts")
-    links = None
+    labels = rows.select("rep", "component").limit(0)
     for turn in range(STAR_ROUNDS):
         found = verified(sketched(_hub_pairs(rows, turn), sketches, threshold), texts, threshold, size)
-        links = found if links is None else links.unionByName(found)
-        rows = materialize(apart(labelled(rows.select("key", "rep"), links)), "apart")
+        if not found.isEmpty():
+            labels = merged(labels, found)
+            rows = materialize(apart(labelled(rows.select("key", "rep"), labels)), "apart")
+        elif not turn:
+            rows = materialize(apart(rows), "apart")
         if rows.isEmpty():
-            return named, links
+            return named, labels
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    bands = classes.select("rep", "bands").dropDuplicates(["rep"])
-    rows = rows.join(sketches, "rep").join(bands, "rep").select("key", "rep", "component", "sketch", "n", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+    rows = rows.join(classes.select("rep", "sketch", "n", "bands"), "rep").select("key", "rep", "component", "sketch", "n", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
     other = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch", "n", "bands")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # A pair that shares several buckets counts in the first of them only.
     first_shared = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.array_position("bands", F.col("key"))
     differ = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
     pairs = rows.join(other, ["key", "block"]).where(differ & alike("sketch", "sketch_b", "n", "n_b", threshold) & first_shared)
     found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), texts, threshold, size)
-    return named, links.unionByName(found)
+    return named, labels if found.isEmpty() else merged(labels, found)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -248,9 +260,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WO
     table gives no rows.
     """
     sigs = materialize(signatures(docs, size), "signatures")
-    classes, links = near_links(sigs, docs, threshold, size)
-    labels = connected_components(links)
-    by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+    classes, labels = near_links(sigs, docs, threshold, size)
+    by_class = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     rows = sigs.select("doc_id", "n_shingles", "h1", "h2")
     joined = rows.join(by_class, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
