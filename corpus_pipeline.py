@@ -9,31 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelmill.llm import decontam, langid, linededup, neardedup, packing
 from labelmill.llm.queries import WORD_TOKENIZER
-from labelmill.session import materialize, table
+from labelmill.session import materialize, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, or too far from every language's centroids."""
+    small_batches(spark)
     return langid.keep_identified(docs, langid.fit_on(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts blocks of lines that an earlier document has; drops documents that are left blank."""
+    small_batches(spark)
     return linededup.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
+    small_batches(spark)
     return neardedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
+    small_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, WORD_TOKENIZER)
 
 

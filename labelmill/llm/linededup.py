@@ -101,7 +101,8 @@ def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
     lines = lines.select("doc_id", "row", "place", F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit("second")).alias("h2"), seed.alias("seed"))
     lines = materialize(lines, "lines")
     held = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("h1", "h2", "owner")
-    shared = lines.join(held, ["h1", "h2"])
+    # A table of its own, so that AQE can split the rows of a hot line in the join.
+    shared = lines.join(materialize(held, "held"), ["h1", "h2"])
     entry = F.struct("place", "h1", "h2", F.when(F.col("seed"), F.col("owner")).alias("owner"))
     documents = materialize(shared.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(entry)).alias("shared")), "sequences")
     late = documents.select("doc_id", "row", "shared", F.explode(F.array_distinct(F.transform("shared", lambda x: x["owner"]))).alias("owner")).where("owner < doc_id")

@@ -192,7 +192,7 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def apart(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component."""
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    return rows.join(mixed, "key")
+    return rows.join(materialize(mixed, "mixed"), "key")
 
 
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
@@ -211,7 +211,8 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("members"), F.min(F.struct(rank.alias("rank"), "rep")).alias("first"))
     largest = F.struct("members", -F.col("first.rank"), "component", F.col("first.rep").alias("hub"))
     hubs = parts.groupBy("key").agg(F.max(largest).alias("top")).select("key", F.col("top.hub").alias("hub"), F.col("top.component").alias("hub_component"))
-    shared = rows.join(hubs, "key").where(F.col("component") != F.col("hub_component")).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
+    # A table of its own, so that AQE can split the rows of a hot bucket in the join.
+    shared = rows.join(materialize(hubs, "hubs"), "key").where(F.col("component") != F.col("hub_component")).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
     best = first_per_group(shared, ["rep"], [F.col("shared").desc(), F.col("hub")], HUBS)
     return best.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
@@ -225,7 +226,7 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     sketches = classes.select("rep", "sketch", "n")
     member = classes.select(F.explode("bands").alias("key"), "rep")
     shared = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    rows = materialize(member.join(shared, "key").select("key", "rep", F.col("rep").alias("component")), "buckets")
+    rows = materialize(member.join(materialize(shared, "shared"), "key").select("key", "rep", F.col("rep").alias("component")), "buckets")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts = materialize(texts.join(rows.select("rep").distinct(), "rep", "left_semi"), "texts")
     labels = rows.select("rep", "component").limit(0)

@@ -6,14 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill import session
 from labelmill.llm import chat, decontam, langid, linededup, media, neardedup, packing, substrings, toxicity, warc
 from labelmill.llm.oracles import SQL  # noqa: F401
-from labelmill.session import materialize, table
+from labelmill.session import materialize
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table; texts then go to Python in small batches."""
+    session.small_batches(spark)
+    return session.table(spark, sf_dir, name)
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 

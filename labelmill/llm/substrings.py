@@ -124,14 +124,15 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     keyed = _keyed(docs)
     found = materialize(_occurrences(keyed, size), "anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("extent") != F.max("extent")).alias("several")).where("lo < hi").select("anchor", "several")
-    found = materialize(found.join(shared, "anchor"), "shared")
+    # Each aggregate is a table of its own before it is joined, so that AQE can split hot anchors.
+    found = materialize(found.join(materialize(shared, "repeated"), "anchor"), "shared")
     owner = found.groupBy("anchor", "extent").agg(F.min("doc_id").alias("owner"))
-    owned = found.join(owner, ["anchor", "extent"])
+    owned = found.join(materialize(owner, "owners"), ["anchor", "extent"])
     whole = owned.where("doc_id > owner").select("doc_id", "row", "first", (F.col("last") + size).alias("last"))
     edges = owned.where("doc_id = owner AND several").select("doc_id", "row", "anchor", "first", "last")
     single = materialize(_windows(keyed, edges, size), "windows")
     earlier = single.groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("anchor", "window", "owner")
-    parts = single.join(earlier, ["anchor", "window"]).where("doc_id > owner").select("doc_id", "row", F.col("place").alias("first"), (F.col("place") + size).alias("last"))
+    parts = single.join(materialize(earlier, "earlier"), ["anchor", "window"]).where("doc_id > owner").select("doc_id", "row", F.col("place").alias("first"), (F.col("place") + size).alias("last"))
     return whole.unionByName(parts).groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
