@@ -13,10 +13,6 @@ from labelmill.session import materialize
 BROADCAST_BYTES = 8 << 20
 
 
-def _grams(df: DataFrame, key: str, text: str, gram) -> DataFrame:
-    return df.select(F.col(key).alias("k"), gram(F.col(text)).alias("grams")).where(F.size("grams") > 0)
-
-
 def trigram_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float, gram=S.trigrams, block: str | None = None) -> DataFrame:
     """(left_key, right_key, sim) of all pairs whose trigram sets reach the threshold, exactly.
 
