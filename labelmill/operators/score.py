@@ -135,6 +135,17 @@ def evaluate(df: DataFrame, category: Column | None = None, default_serving: flo
 
 def sanity_warnings(serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> Column:
     """Array of (nutrient, value, bound, kind) of what can't be right in one row's facts."""
+    return F.array_compact(F.array(*_checks(serving, nutrients, carbs, total_content)))
+
+
+def warning_rows(df: DataFrame, keep: list[str], serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> DataFrame:
+    """A row (keep, w) for each warning: the same as exploding ``sanity_warnings``, without building arrays to keep."""
+    rows = df.select(*keep, F.explode(F.array(*_checks(serving, nutrients, carbs, total_content))).alias("w"))
+    return rows.where("w IS NOT NULL")
+
+
+def _checks(serving: Column, nutrients: dict[str, Column], carbs: Column | None, total_content: Column | None) -> list[Column]:
+    """A struct for each check that fails, else null."""
     nothing = F.lit(None).cast("double")
 
     def warn(cond: Column, nutrient: str, value: Column, bound: Column, kind: str) -> Column:
@@ -159,7 +170,7 @@ def sanity_warnings(serving: Column, nutrients: dict[str, Column], carbs: Column
         found.append(warn((serving > 0) & (macros > serving * R.MASS_BALANCE), "mass_balance", macros, serving * R.MASS_BALANCE, "mass_balance_exceeded"))
         guess = carbs * 4 + get("protein") * 4 + get("total_fat") * 9
         found.append(warn((guess > 0) & (F.abs(get("calories") - guess) / F.nullif(guess, F.lit(0.0)) > R.CALORIE_DEVIATION), "calories_cross_check", get("calories"), guess, "calorie_deviation"))
-    return F.array_compact(F.array(*found))
+    return found
 
 
 def mass_balance_note(serving: Column, carbs: Column, protein: Column, fat: Column) -> Column:

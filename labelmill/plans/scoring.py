@@ -121,7 +121,7 @@ def config_as_of(spark, d):
 def sanity_warnings(spark, d):
     q = F.col("l_quantity")
     facts_of = {"calories": F.col("l_extendedprice") / 10 - 200, "total_fat": F.col("l_discount") * 1000 + 0.0, "sat_fat": F.col("l_tax") * 1000 + 0.0, "protein": q / 2}
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.explode(score.sanity_warnings(q, facts_of, carbs=q / 3)).alias("w"))
+    rows = score.warning_rows(table(spark, d, "lineitem"), ["l_orderkey"], q, facts_of, carbs=q / 3)
     return rows.groupBy("w.nutrient", "w.kind").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"))
 
 
