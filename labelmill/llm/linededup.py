@@ -7,9 +7,12 @@ that has it first, pairs grow with the number of lines, and no line is too commo
 
 A pair is aligned by patience diff: common head and tail, then the lines that occur once on
 either side, in their longest common ascending order, as fixed points, and the gaps between
-them alike. Runs of aligned lines that stand together in both documents are blocks. Blocks
-with a seed line are deleted from the later document, short lines in them included. The
-earliest holder of a line never loses it.
+them alike; a gap without such a line gets an ordinary diff, by longest common subsequence.
+Runs of aligned lines that stand together in both documents are blocks. Blocks with a seed line
+are deleted from the later document, short lines in them included. One ascending alignment
+leaves seed lines that occur more often in the later document or stand in another order there:
+each of them goes too, with the longest runs of lines around it that stand together in both.
+So no seed line stays anywhere but in its earliest holder, which never loses it.
 
 Only hashes of shared lines travel to the alignment, not texts.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from labelmill.session import materialize
 
 SEED_WORDS = 5
+#: A diff keeps so many bits at most, 32 MB.
+LCS_BITS = 1 << 28
 
 
 def _rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -43,6 +49,52 @@ def _rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _lcs_rows(a: list, b: list):
+    """For each item of b the bits of a's places at which the longest common subsequence of a up
+    to there and b up to the item does not grow (Hyyrö's bit-parallel form)."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    v = full = (1 << len(a)) - 1
+    for x in b:
+        u = v & places.get(x, 0)
+        v = (v + u | v - u) & full
+        yield v
+
+
+def _lcs(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, ascending; b is split in halves while the bits of all rows would not fit."""
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) > LCS_BITS and b1 - b0 > 1:
+            m, n = (b0 + b1) // 2, a1 - a0
+            head, tail = _last_row(a[a0:a1], b[b0:m]), _last_row(a[a0:a1][::-1], b[m:b1][::-1])
+            best = max(range(n + 1), key=lambda i: head[i] + tail[n - i])
+            todo += [(a0, a0 + best, b0, m), (a0 + best, a1, m, b1)]
+            continue
+        rows = list(_lcs_rows(a[a0:a1], b[b0:b1]))
+        i, j = a1 - a0, b1 - b0
+        while i and j:
+            if rows[j - 1] >> (i - 1) & 1:
+                i -= 1
+                continue
+            j -= 1
+            if not j or rows[j - 1] >> (i - 1) & 1:
+                i -= 1
+                found.append((a0 + i, b0 + j))
+    return sorted(found)
+
+
+def _last_row(a: list, b: list) -> list[int]:
+    """Length of the longest common subsequence of b and each head of a."""
+    for v in _lcs_rows(a, b):
+        pass
+    return [0, *accumulate(int(c == "0") for c in f"{v:0{len(a)}b}"[::-1])]
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned places of equal items of two lists, ascending in both."""
     found, todo = [], [(0, len(a), 0, len(b))]
@@ -60,6 +112,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         places = {b[j]: j for j in range(b0, b1)}
         fixed = _rising([(i, places[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and in_b.get(a[i]) == 1])
         if not fixed:
+            found += [(a0 + i, b0 + j) for i, j in _lcs(a[a0:a1], b[b0:b1])]
             continue
         ends = [(a0 - 1, b0 - 1), *fixed, (a1, b1)]
         found += fixed
@@ -68,7 +121,8 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def deleted_lines(early: list[tuple[int, object]], late: list[tuple[int, object]], seeds: set) -> list[int]:
-    """Line numbers of the later document in aligned blocks that hold a seed line.
+    """Line numbers of the later document in aligned blocks that hold a seed line, and in the
+    longest runs of the earlier document around seed lines that the alignment leaves.
 
     Both lists are (line number, line) of the lines that the documents may share, ascending.
     """
@@ -81,7 +135,63 @@ def deleted_lines(early: list[tuple[int, object]], late: list[tuple[int, object]
             block = []
         block.append(j)
         last = here
-    return gone
+    left = seeds.intersection(x for _, x in early)
+    done = set(gone)
+    rest = [n for n, x in late if x in left and n not in done]
+    if rest:
+        for first, end in _runs_in(early, late):
+            k = bisect_left(rest, first)
+            if k < len(rest) and rest[k] < end:
+                done.update(range(first, end))
+    return sorted(done)
+
+
+def _runs_in(early: list[tuple[int, object]], late: list[tuple[int, object]]) -> list[tuple[int, int]]:
+    """(first line number, one past the last) of each run of lines of late that stands together in
+    early and is part of no longer one; by a suffix automaton of early, so in linear time."""
+    follow, link, length = [{}], [-1], [0]
+
+    def state(after, linked, size):
+        follow.append(after)
+        link.append(linked)
+        length.append(size)
+        return len(follow) - 1
+
+    last, number = 0, None
+    for n, x in early:
+        # What isn't shared stands between two lines as something that no document has.
+        for y in (x,) if number is None or n == number + 1 else ((None, n), x):
+            here, p = state({}, 0, length[last] + 1), last
+            while p >= 0 and y not in follow[p]:
+                follow[p][y] = here
+                p = link[p]
+            if p >= 0:
+                q = follow[p][y]
+                if length[q] > length[p] + 1:
+                    copy = state(dict(follow[q]), link[q], length[p] + 1)
+                    link[q] = copy
+                    while p >= 0 and follow[p].get(y) == q:
+                        follow[p][y] = copy
+                        p = link[p]
+                    q = copy
+                link[here] = q
+            last = here
+        number = n
+    runs, at, size, number = [], 0, 0, None
+    for n, x in late:
+        if number is not None and n != number + 1:
+            at = size = 0
+        while at and x not in follow[at]:
+            at = link[at]
+            size = length[at]
+        if x in follow[at]:
+            at, size = follow[at][x], size + 1
+        if size:
+            if runs and runs[-1][0] == n + 1 - size:
+                runs.pop()
+            runs.append((n + 1 - size, n + 1))
+        number = n
+    return runs
 
 
 def _lines(text: Column) -> Column:

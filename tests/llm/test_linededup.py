@@ -64,3 +64,80 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
+
+
+def seed(line):
+    return len(re.findall(r"[^ \t\x0b\f\r]+", line)) >= 5
+
+
+def holds_the_rule(rows, kept):
+    """Without the module's functions: no seed line stays in a document later than its earliest holder,
+    and each line that goes is in an earlier document, in a run with a seed line that has the whole run."""
+    texts, owner = {}, {}
+    for d, t in rows:
+        if d is not None and t is not None:
+            texts.setdefault(d, []).append(t.split("\n"))
+            for x in t.split("\n"):
+                owner[x] = min(d, owner.get(x, d))
+    after = {}
+    for k, t in kept:
+        after.setdefault(k, t)
+    assert len(after) == len({k for k, _ in kept}) and all(after[k] == t for k, t in kept)
+    for k, (d, t) in enumerate(rows):
+        left = after[k]
+        if d is None or t is None:
+            assert left == t
+            continue
+        lines, rest = t.split("\n"), left.split("\n")
+        late = [bool(x) and seed(x) and owner[x] < d for x in lines]
+        assert not any(seed(x) and owner[x] < d for x in rest)
+        # A line with no holder before it is never cut, nor is one that no seed line stands beside.
+        can = [False] * len(lines)
+        for first in range(len(lines)):
+            for end in range(first + 1, len(lines) + 1):
+                run = lines[first:end]
+                if "" in run or not any(any(run == other[i : i + len(run)] for i in range(len(other))) for e in {owner[x] for x in run if owner[x] < d} for other in texts[e]):
+                    break
+                if any(late[first:end]):
+                    can[first:end] = [True] * (end - first)
+        sure = [x for x, c in zip(lines, can) if not c]
+        assert all(x in rest for x in sure) and len(sure) <= len(rest)
+        whole = iter(lines)
+        assert left == "" or all(any(x == y for y in whole) for x in rest)
+
+
+def cut(spark, rows):
+    """(place in rows, text afterwards)."""
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, k int")
+    return [(r.k, r.text) for r in linededup.dedup_lines(docs, drop_emptied=False).collect()]
+
+
+S = [f"seed line number {w} of this text" for w in ("one", "two", "three", "four")]
+
+
+def test_no_seed_line_stays_later(spark):
+    rng = random.Random(9)
+    # Repeated in the later document, in its owner, in both, and in another order.
+    rows = [(1, "\n".join([S[0], "x", S[1], S[0], S[2]])), (2, "\n".join(["own", S[2], S[1], S[0], "x", "mine", S[0], S[0], "end"])), (3, "\n".join([S[3], *S[:3][::-1], S[3]])), (4, "\n".join(["p", S[3], "q", S[3], S[0], "x", S[1], "r"]))]
+    got = dict(cut(spark, rows))
+    assert got == {0: rows[0][1], 1: "own\nmine\nend", 2: f"{S[3]}\n{S[3]}", 3: "p\nq\nr"}
+    pool = [*S, "x", "y", "short z", ""]
+    rows += [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for d in range(5, 80)]
+    holds_the_rule(rows, cut(spark, rows))
+
+
+def test_ordinary_diff_where_no_line_is_unique():
+    rng = random.Random(2)
+    assert len(patience(list("aabbcc"), list("abc"))) == 3
+    for bits in (linededup.LCS_BITS, 8):
+        linededup.LCS_BITS, usual = bits, linededup.LCS_BITS
+        for _ in range(500):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 10))] for _ in range(2))
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            pairs = linededup._lcs(a, b)
+            assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        linededup.LCS_BITS = usual
