@@ -214,7 +214,8 @@ def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
     # A table of its own, so that AQE can split the rows of a hot line in the join.
     shared = lines.join(materialize(held, "held"), ["h1", "h2"])
     entry = F.struct("place", "h1", "h2", F.when(F.col("seed"), F.col("owner")).alias("owner"))
-    documents = materialize(shared.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(entry)).alias("shared")), "sequences")
+    # As a set: a repeated row (same doc_id and text) has each of its lines once.
+    documents = materialize(shared.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(entry)).alias("shared")), "sequences")
     late = documents.select("doc_id", "row", "shared", F.explode(F.array_distinct(F.transform("shared", lambda x: x["owner"]))).alias("owner")).where("owner < doc_id")
     early = documents.select(F.col("doc_id").alias("owner"), F.transform("shared", lambda x: F.struct(x["place"], x["h1"], x["h2"])).alias("early"))
 
@@ -239,7 +240,8 @@ def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: boo
     with what is left); an input text that was so before stays. The rest of a text, with its
     line ends, doesn't change; n_chars, if there, is set to the new length where text changed.
     Null and empty texts stay as they are and match nothing; a null doc_id is never earlier and
-    loses nothing; rows of one doc_id lose nothing to each other; an empty table stays empty.
+    loses nothing; rows of one doc_id lose nothing to each other, and a repeated row is aligned as
+    one and cut alike; an empty table stays empty.
     """
     gone = common_lines(docs, seed_words)
     text, lines = F.col("d.text").cast("string"), F.col("g.gone")

@@ -141,3 +141,19 @@ def test_ordinary_diff_where_no_line_is_unique():
             assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
         linededup.LCS_BITS = usual
+
+
+def test_repeated_rows_are_aligned_as_one(spark):
+    text = "\n".join([S[0], "x", S[1], "y", S[2]])
+    # The repeated row as the earliest holder, and as a later document.
+    rows = [(1, text), (1, text), (2, f"own\n{text}\nend"), (3, text), (3, text), (4, f"{S[3]}\n{text}"), (4, f"{S[3]}\n{text}")]
+    got = dict(cut(spark, rows))
+    assert got == {0: text, 1: text, 2: "own\nend", 3: "", 4: "", 5: S[3], 6: S[3]}
+    holds_the_rule(rows, list(got.items()))
+
+
+def test_a_repeated_row_goes_to_alignment_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(linededup, "materialize", lambda df, name: seen.append((name, df)) or df)
+    linededup.dedup_lines(spark.createDataFrame([(1, f"{S[0]}\nx"), (1, f"{S[0]}\nx"), (2, f"{S[0]}\nx")], "doc_id long, text string"))
+    assert sorted(len(r.shared) for r in dict(seen)["sequences"].collect()) == [2, 2]
