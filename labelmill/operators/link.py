@@ -86,22 +86,21 @@ def top_then_filter(candidates: DataFrame, entity: str, order: list[Column], kee
     return first_per_group(some.where(keep), [entity], [F.col("candidate_rank")], 1, "rank").drop("rank", "candidate_rank")
 
 
-def exclusive_match(edges: DataFrame, left: str, right: str, score: str, most_rounds: int = 1000) -> DataFrame:
+def exclusive_match(edges: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """Sequential greedy matching: each left row in order takes its best free right row (ties: smallest).
 
     Deferred acceptance gives the same pairs in parallel: every left without a partner proposes
     to its best right that hasn't refused it, each right keeps its smallest left, and refused
-    edges go. A round is one join and two aggregations; edges only get fewer.
+    edges go. A round is one join and two aggregations; edges only get fewer, so it ends.
     """
     alive = materialize(edges.select(left, right, score).where(F.col(score).isNotNull()), "edges")
-    for _ in range(most_rounds):
+    while True:
         best = alive.groupBy(left).agg(F.max_by(right, F.struct(score, -F.col(right))).alias(right), F.max(score).alias(score))
         taken = best.groupBy(right).agg(F.min(left).alias("winner"))
         refused = best.join(taken, right).where(F.col(left) != F.col("winner")).select(left, right)
         if refused.isEmpty():
             return best.select(left, right, score)
         alive = materialize(alive.join(refused, [left, right], "left_anti"), "edges")
-    raise RuntimeError("matching did not settle")
 
 
 def outer_parts(left: DataFrame, right: DataFrame, matches: DataFrame, left_key: str, right_key: str) -> DataFrame:

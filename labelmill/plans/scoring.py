@@ -202,7 +202,7 @@ def match_cascade(spark, d):
   SELECT l AS left_id, r AS right_id FROM g WHERE r IS NOT NULL""")
 def match_exclusive_greedy(spark, d):
     # Each supplier meets the at most five nations around its own number: an equi-join after exploding them.
-    s = table(spark, d, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("left_id"), F.explode(F.sequence((F.col("s_suppkey") % 25 - 2).cast("int"), (F.col("s_suppkey") % 25 + 2).cast("int"))).alias("right_id"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("left_id"), F.explode(F.sequence((F.col("s_suppkey") % 25 - 2).cast("int"), (F.col("s_suppkey") % 25 + 2).cast("int"))).alias("right_id"))
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("right_id"))
     edges = s.join(n, "right_id").select("left_id", "right_id", (1.0 - F.abs(F.col("left_id") % 25 - F.col("right_id")) / 25.0).alias("score"))
     return link.exclusive_match(edges, "left_id", "right_id", "score").select("left_id", "right_id")

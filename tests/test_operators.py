@@ -136,3 +136,14 @@ def test_entry_point_without_the_training_operators(spark, monkeypatch):
     monkeypatch.setattr(entry, "_has", lambda name: False)
     assert not any(n.startswith("op") for n in entry.queries()) and set(entry.oracle_sql()) == set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_exclusive_query_takes_every_supplier(spark, tmp_path):
+    from labelmill.plans import QUERIES
+
+    suppliers, nations = [*range(60, 75), 1000, 1001], range(25)
+    spark.createDataFrame([(k,) for k in suppliers], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k,) for k in nations], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    edges = [(s, n, 1.0 - abs(s % 25 - n) / 25.0) for s in suppliers for n in nations if abs(s % 25 - n) <= 2]
+    got = QUERIES["match_exclusive_greedy"](spark, str(tmp_path)).collect()
+    assert sorted((r.left_id, r.right_id) for r in got) == greedy(edges) != []
