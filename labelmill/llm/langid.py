@@ -7,8 +7,9 @@ spherical k-means, so that kinds of text may differ; small clusters go, and rows
 language's centroid claims are left out of a second fit, so that wrong labels do little harm.
 The prediction is the language of the centroid of highest cosine.
 
-A text is rejected if its distance from that centroid is far beyond what training rows of the
-language show, or if it has no letter. The model is fitted on a bounded sample of labelled
+A text is rejected if its distance from that centroid is beyond what training rows of the
+language of such a length show, or if it has no letter. Long texts come near a centroid and short
+ones do not, so the limit grows with the length. The model is fitted on a bounded sample of labelled
 rows; only vectors of fixed size reach the driver.
 """
 
@@ -29,6 +30,10 @@ PLACES = 4096
 CENTROIDS = 4
 SMALL_CLUSTER = 0.05
 UNDETERMINED = "und"
+#: Lengths are told apart by powers of two of their n-grams, up to this one.
+OCTAVES = 14
+#: The limit is this share of the least cosine of at least so many training rows.
+MARGIN, LEAST_ROWS = 0.55, 50
 
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -69,7 +74,7 @@ def _runs(column: pa.Array, limit: int = 1 << 17):
 
 @dataclass
 class LanguageModel:
-    """Inverse document frequencies, centroids, and each centroid's language and least cosine."""
+    """Inverse document frequencies, centroids, and each centroid's language and least cosine by length."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -90,6 +95,37 @@ class LanguageModel:
         best = cosine.argmax(axis=1)
         return best, cosine[np.arange(len(best)), best].astype(np.float64)
 
+    def near(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the nearest centroid, the cosine, and whether it reaches the limit for the length."""
+        best, cosine = self.nearest(counts)
+        return best, cosine, cosine >= self.least[best, _octave(counts)] if len(self.languages) else np.zeros(len(best), bool)
+
+
+def _octave(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1, dtype=np.int64), 1)).astype(np.int64), OCTAVES - 1)
+
+
+def _limits(own: tuple[np.ndarray, np.ndarray], every: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Least cosine of a language for each octave, from (octaves, cosines) of its rows and of all languages' rows.
+
+    An octave's limit lies under all rows of the octave before it, its own and longer ones. Where
+    too few of the language's rows are as short or as long, those of all languages count; where even
+    those are too few as long, the limit of the octave before; and where too few are as short, a
+    quarter of the cosine that all but one in a thousand of the language's rows reach, which is
+    also the least limit.
+    """
+    floor = np.quantile(own[1], 0.001) / 4 if len(own[1]) else 0.0
+    out = []
+    for k in range(OCTAVES):
+        last = out[-1] if out else floor
+        for octave, cosine in (own, every):
+            some = cosine[octave >= k - 1]
+            if min(len(some), (octave <= k).sum()) >= LEAST_ROWS:
+                last = max(floor, MARGIN * some.min())
+                break
+        out.append(last)
+    return np.array(out)
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -116,7 +152,7 @@ def fit(languages: list[str], counts: np.ndarray, k: int = CENTROIDS) -> Languag
     """A model from labelled rows of n-gram counts."""
     full = counts.any(axis=1)
     labels, counts = np.array(languages, object)[full], counts[full]
-    model = LanguageModel(np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1, np.zeros((0, PLACES), np.float32), [], np.zeros(0))
+    model = LanguageModel(np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1, np.zeros((0, PLACES), np.float32), [], np.zeros((0, OCTAVES)))
     x = model.vectors(counts)
     keep = np.ones(len(x), bool)
     for _ in range(2):
@@ -127,10 +163,10 @@ def fit(languages: list[str], counts: np.ndarray, k: int = CENTROIDS) -> Languag
             return model
         best, cosine = model.nearest(counts)
         keep = np.array(model.languages, object)[best] == labels
-    # A quarter of the cosine that all but one in a thousand of a language's rows reach.
-    names = np.array(model.languages, object)
-    reach = {name: np.quantile(cosine[keep & (labels == name)], 0.001) / 4 if (keep & (labels == name)).any() else 0.0 for name in set(model.languages)}
-    model.least = np.array([reach[name] for name in names])
+    names, octave = np.array(model.languages, object), _octave(counts)
+    every = octave[keep], cosine[keep]
+    limits = {name: _limits((octave[keep & (labels == name)], cosine[keep & (labels == name)]), every) for name in set(model.languages)}
+    model.least = np.stack([limits[name] for name in names])
     return model
 
 
@@ -170,15 +206,14 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
 
     def work(batches):
         for batch in batches:
-            best, cosine = [], []
+            best, cosine, near = [], [], []
             for _, _, counts in _runs(batch.column(2)):
-                b, c = model.nearest(counts)
-                best.append(b)
-                cosine.append(c)
-            best, cosine = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (best, cosine))
+                for all_rows, some in zip((best, cosine, near), model.near(counts)):
+                    all_rows.append(some)
+            best, cosine, near = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (best, cosine, near))
             known = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
             names = [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known)]
-            rejected = ~known | (cosine < (model.least[best] if len(model.least) else 0))
+            rejected = ~known | ~near.astype(bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.where(known, np.clip(cosine, 0, 1), 0.0), pa.float64()), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
@@ -193,8 +228,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             keep = []
             for _, _, counts in _runs(batch.column(at).cast(pa.string())):
-                best, cosine = model.nearest(counts)
-                keep.append(cosine >= model.least[best] if len(model.least) else np.zeros(len(best), bool))
+                keep.append(model.near(counts)[2])
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return lettered.mapInArrow(work, docs.schema)

@@ -195,3 +195,13 @@ def test_segments_give_the_same_tokens(spark):
     encoder = chat.load_tokenizer(PATH)
     whole = encoder.encode(chat.render(turns)[0], add_special_tokens=False).ids
     assert whole == [i for t in turns for i in encoder.encode(chat.render([t])[0], add_special_tokens=False).ids]
+
+
+def test_foreign_and_junk_texts_go_and_clean_ones_stay(spark):
+    rng = random.Random(1)
+    junk = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 4, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 4, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150)), rng.randbytes(700).hex()]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit_on(docs)
+    assert langid.keep_identified(spark.createDataFrame([(k, t) for k, t in enumerate(junk)], "doc_id long, text string"), model).count() == 0
+    lettered = docs.where(F.col("text").rlike("\\p{L}"))
+    assert langid.keep_identified(docs, model).count() == lettered.count() > 9000
