@@ -54,8 +54,7 @@ def shingle_sets(scan: ts.Scan, size: int) -> list[np.ndarray]:
     sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     counts = scan.counts()
     for i in np.flatnonzero((counts > 0) & (counts < size)):
-        first, last = scan.bounds[i : i + 1], scan.bounds[i + 1 : i + 2]
-        sets[i] = ts.run_hashes(scan.words, first, last, scan.powers, salt=size)
+        sets[i] = ts.gram_hashes(scan.words[scan.bounds[i] : scan.bounds[i + 1]], int(counts[i]), salt=int(counts[i]))
     return sets
 
 
@@ -99,9 +98,8 @@ def signatures(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """Set size, a 128-bit hash of the set, band keys and odd sketch of every document."""
 
     def work(batches):
-        powers = ts.Powers()
         for batch in batches:
-            for first, scan in ts.scans(batch.column(1), ts.NOT_SPACE, ts.ASCII_LOWER, powers):
+            for first, scan in ts.scans(batch.column(1), ts.NOT_SPACE, ts.ASCII_LOWER):
                 sets = shingle_sets(scan, size)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
@@ -156,22 +154,35 @@ def sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame
 
 
 def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold, a percentage."""
+    """The pairs (a, b) whose shingle sets reach the threshold, a percentage.
+
+    Partners b of one a are dealt out in blocks; in each block the text of a comes first and
+    then those of its partners, so a text that many are compared with moves once for a block.
+    """
     near = materialize(near, "near")
-    both = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    many = materialize(near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "partners")
+    pairs = materialize(near.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "pairs")
+    text = texts.select("rep", "text")
+    hubs = pairs.select("a", "block").distinct().join(text, F.col("a") == F.col("rep")).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    others = pairs.join(text, F.col("b") == F.col("rep")).select("a", "block", "b", "text")
+    rows = hubs.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", "b")
 
     def work(batches):
-        powers = ts.Powers()
+        # The sets of a; repeated rows of one doc_id may have several texts.
+        mine, fresh = [], True
         for batch in batches:
-            keep = []
-            left = (s for _, scan in ts.scans(batch.column(2), ts.NOT_SPACE, ts.ASCII_LOWER, powers) for s in shingle_sets(scan, size))
-            right = (s for _, scan in ts.scans(batch.column(3), ts.NOT_SPACE, ts.ASCII_LOWER, powers) for s in shingle_sets(scan, size))
-            for a, b in zip(left, right):
-                together = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(together > 0 and 100 * together >= threshold * (len(a) + len(b) - together))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep, partner = np.zeros(batch.num_rows, bool), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            for first, scan in ts.scans(batch.column(3), ts.NOT_SPACE, ts.ASCII_LOWER):
+                for k, items in enumerate(shingle_sets(scan, size), first):
+                    if not partner[k]:
+                        mine = [items] if fresh else [*mine, items]
+                    for other in mine if partner[k] else ():
+                        together = len(np.intersect1d(other, items, assume_unique=True))
+                        keep[k] |= together > 0 and 100 * together >= threshold * (len(other) + len(items) - together)
+                    fresh = partner[k]
+            yield batch.select([0, 2]).filter(pa.array(keep))
 
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long"), "links")
+    return materialize(rows.mapInArrow(work, "a long, b long"), "links")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -205,13 +216,13 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     if turn:
         rank = F.xxhash64("rep", F.lit(turn))
     else:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("members"))
+        # Aggregates become tables of their own, so that AQE can split the rows of a hot bucket in a join.
+        sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("members")), "sizes")
         meets = rows.join(sizes, "key").groupBy("rep").agg(F.sum("members").alias("meets"))
         rows, rank = rows.join(meets, "rep"), -F.col("meets")
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("members"), F.min(F.struct(rank.alias("rank"), "rep")).alias("first"))
     largest = F.struct("members", -F.col("first.rank"), "component", F.col("first.rep").alias("hub"))
     hubs = parts.groupBy("key").agg(F.max(largest).alias("top")).select("key", F.col("top.hub").alias("hub"), F.col("top.component").alias("hub_component"))
-    # A table of its own, so that AQE can split the rows of a hot bucket in the join.
     shared = rows.join(materialize(hubs, "hubs"), "key").where(F.col("component") != F.col("hub_component")).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
     best = first_per_group(shared, ["rep"], [F.col("shared").desc(), F.col("hub")], HUBS)
     return best.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
@@ -270,6 +281,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WO
 
 
 def one_of_each(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents, all columns as they are, without near-duplicates of a kept one."""
+    """The documents, all columns as they are, without near-duplicates of a kept one.
+
+    Rows that repeat the doc_id of a kept document stay, as do null ids, null and empty texts;
+    an empty table stays empty.
+    """
     gone = near_duplicates(docs, threshold, size).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -12,8 +12,8 @@ windows of the earliest document of each extent are compared one by one. So no p
 documents are made: rows grow with the number of anchors, not with the square of a group.
 The union of the windows found are the maximal repeats of at least 50 words.
 
-An anchor's hash and an extent's or window's hash are of different word sequences; together
-they identify a passage by 128 bits.
+An anchor's hash and an extent's or window's hash start from different hashes of the words, so
+together they identify a passage by 128 bits.
 """
 
 from __future__ import annotations
@@ -50,12 +50,14 @@ def anchors(scan: ts.Scan, size: int) -> tuple[np.ndarray, ...]:
     gram = size // 2
     if not len(starts):
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
-    all_starts = np.arange(len(scan.words) - gram + 1)
-    hashes = ts.run_hashes(scan.words, all_starts, all_starts + gram, scan.powers, salt=11)
-    ranked = (hashes & ~LOW) | (LOW - (all_starts.astype(np.uint64) & LOW))
-    least = sliding_min(ranked, size - gram + 1)[starts]
-    back = (LOW - (least & LOW)).astype(np.int64)
-    place = starts + ((back - starts) & int(LOW))
+    hashes = scan.grams(gram, salt=11)
+    place = np.empty(len(scan.words) - size + 1, np.int64)
+    for a in range(0, len(place), ts.CHUNK):
+        part = hashes[a : a + ts.CHUNK + size - gram]
+        ranked = (part & ~LOW) | (LOW - np.arange(len(part), dtype=np.uint64))
+        least = sliding_min(ranked, size - gram + 1)
+        place[a : a + len(least)] = a + (LOW - (least & LOW)).astype(np.int64)
+    place = place[starts]
     new = np.ones(len(starts), bool)
     new[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(new)
@@ -72,11 +74,12 @@ def _occurrences(keyed: DataFrame, size: int) -> DataFrame:
     """(anchor, extent, doc_id, row, first, last) of every anchor occurrence."""
 
     def work(batches):
-        powers = ts.Powers()
         for batch in batches:
-            for top, scan in ts.scans(batch.column(2), ts.NOT_SPACE, ts.IDENTITY, powers):
+            for top, scan in ts.scans(batch.column(2), ts.NOT_SPACE, ts.IDENTITY):
                 anchor, place, first, last = anchors(scan, size)
-                extent = ts.mix(ts.run_hashes(scan.words, first, last + size, powers, salt=12) + (place - first).astype(np.uint64), 13)
+                # All windows of an anchor hold it, so the first and the last one cover the extent.
+                whole = scan.grams(size, salt=12, second=True)
+                extent = ts.mix(ts.combine(whole[first], whole[last]) + ((place - first) << 32 | last - first).astype(np.uint64), 13)
                 doc = np.searchsorted(scan.bounds, first, "right") - 1
                 pick = pa.array(top + doc)
                 yield pa.RecordBatch.from_arrays(
@@ -93,20 +96,19 @@ def _windows(keyed: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     rows = keyed.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "spans")
 
     def work(batches):
-        powers = ts.Powers()
         for batch in batches:
             spans = batch.column(3)
             bounds, flat = spans.offsets.to_numpy().astype(np.int64), spans.flatten()
             anchor, first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
             bounds = bounds - bounds[0]
-            for top, scan in ts.scans(batch.column(2), ts.NOT_SPACE, ts.IDENTITY, powers):
+            for top, scan in ts.scans(batch.column(2), ts.NOT_SPACE, ts.IDENTITY):
                 a, b = bounds[top], bounds[top + len(scan)]
                 doc = np.repeat(np.arange(len(scan)), np.diff(bounds[top : top + len(scan) + 1]))
                 count = last[a:b] - first[a:b] + 1
                 each = np.repeat(np.arange(b - a), count)
                 place = first[a:b][each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
                 start = scan.bounds[doc[each]] + place
-                hashes = ts.run_hashes(scan.words, start, start + size, powers, salt=14)
+                hashes = scan.grams(size, salt=14, second=True)[start]
                 pick = pa.array(top + doc[each])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[a:b][each]), pa.array(ts.as_signed(hashes)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(place.astype(np.int32))],
@@ -136,6 +138,25 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     return whole.unionByName(parts).groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
+def kept_words(scan: ts.Scan, stay: np.ndarray) -> list[bytes]:
+    """The words of each document that stay, joined by one space."""
+    words = np.flatnonzero(stay)
+    tops = np.searchsorted(words, scan.bounds)
+    starts, ends = scan.starts[words], scan.ends[words].copy()
+    # Each word takes the place behind it along, but the last of a document.
+    body = np.append(scan.data, np.uint8(0x20))
+    takes = np.ones(len(words), bool)
+    takes[tops[1:][tops[1:] > tops[:-1]] - 1] = False
+    body[ends[takes]] = 0x20
+    ends += takes
+    steps = np.zeros(2 * len(words) + 1, np.int64)
+    steps[:-1:2], steps[1::2], steps[-1] = starts, ends, len(body)
+    body = body[np.repeat(np.arange(len(steps)) % 2 == 1, np.diff(steps, prepend=0))].tobytes()
+    sizes = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(ends - starts, out=sizes[1:])
+    return [body[sizes[a] : sizes[b]] for a, b in zip(tops[:-1], tops[1:])]
+
+
 def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text for each row of docs (doc_id, text).
 
@@ -154,23 +175,15 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, with_text: bool =
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
 
     def work(batches):
-        powers = ts.Powers()
         for batch in batches:
             bounds, flat = batch.column(2).offsets.to_numpy().astype(np.int64), batch.column(2).flatten()
             bounds = bounds - bounds[0]
             first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-            for top, scan in ts.scans(batch.column(1), ts.NOT_SPACE, ts.IDENTITY, powers):
+            for top, scan in ts.scans(batch.column(1), ts.NOT_SPACE, ts.IDENTITY):
                 a, b = bounds[top], bounds[top + len(scan)]
                 base = np.repeat(scan.bounds[:-1], np.diff(bounds[top : top + len(scan) + 1]))
                 gone = ts.cover(len(scan.words), base + first[a:b], base + last[a:b])
-                kept = []
-                for i in range(len(scan)):
-                    u, v = scan.bounds[i], scan.bounds[i + 1]
-                    body = scan.data[scan.offsets[i] : scan.offsets[i + 1]].tobytes()
-                    if not gone[u:v].any():
-                        kept.append(b" ".join(body.split()))
-                    else:
-                        kept.append(b" ".join(w for w, x in zip(body.split(), gone[u:v].tolist()) if not x))
+                kept = kept_words(scan, ~gone)
                 sums = np.zeros(len(gone) + 1, np.int64)
                 np.cumsum(gone, out=sums[1:])
                 columns = [batch.column(0).slice(top, len(scan)), pa.array(scan.counts().astype(np.int64)), pa.array(sums[scan.bounds[1:]] - sums[scan.bounds[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]

@@ -43,7 +43,7 @@ def contaminated(docs, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [decontam.INDEX_BYTES, 0])
 def test_contamination(spark, limit):
     extra = [(8000, "Before. two  WORDS, after; two-words", None), (8001, "ONE TWO three.four five", None)]
     docs, items = documents(spark, extra), benchmark(spark)
@@ -51,7 +51,7 @@ def test_contamination(spark, limit):
     same_rows(got, contaminated([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in items.collect()]))
 
 
-@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [decontam.INDEX_BYTES, 0])
 def test_removal_keeps_the_rest(spark, limit):
     docs, items = documents(spark, [(8000, "Before. two  WORDS, after; two-words", None)]), benchmark(spark)
     hit = {(r[0], r[1]) for r in [(d.doc_id, d.text) for d in docs.collect()] if contaminated([r], [tuple(x) for x in items.collect()])[0][5]}
