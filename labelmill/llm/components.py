@@ -17,13 +17,14 @@ def _around(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour to the smallest node around."""
     both = _around(edges)
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
+    # A table of its own, so that AQE can split the edges of a hot node in the join.
+    least = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least")), "least")
     return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src != dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour, and the node itself, to the smallest one. Edges point down."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("least"))
+    least = materialize(edges.groupBy("src").agg(F.min("dst").alias("least")), "least")
     moved = edges.join(least, "src").where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     return moved.unionByName(least.select("src", F.col("least").alias("dst"))).distinct()
 
@@ -39,14 +40,14 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """(node long, component long) for each node with a link; component is its smallest node.
 
-    Null ends and loops are left out; repeated and reversed edges don't matter. No edges give
-    no rows. Both steps keep the components; the edges become stars in a number of rounds that
+    Null ends and loops are left out; repeated and reversed edges don't matter, nor do other
+    columns, whatever their names. No edges give no rows. Both steps keep the components; the edges become stars in a number of rounds that
     grows with the logarithm of the longest path. Each round is a table in the shared folder.
     """
     a, b = F.col(first).cast("long"), F.col(second).cast("long")
     edges = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct()
     for _ in range(MOST_ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)), "star")
+        edges = materialize(_small_star(materialize(_large_star(edges), "star")), "star")
         if _settled(edges):
             break
     else:
