@@ -141,13 +141,17 @@ def format_conversations(turns: DataFrame, tokenizer: str, loss_role: str = LOSS
     return rows.mapInArrow(work, FORMATTED)
 
 
-def conversation_digests(formatted: DataFrame) -> DataFrame:
+def conversation_digests(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """What formatted conversations hold, read back from their strings, offsets and masks.
 
     conv_id, n_turns, turns_sha256 (of role, \\n, text, \\n for each turn), loss_chars and
     loss_sha256 (all text under the mask, unescaped), formatted_chars, n_tokens, loss_tokens.
+    With in_order the segments must stand in order in one task, as ``format_conversations``
+    gives them; else they are shuffled and sorted first. No segments give no rows.
     """
-    rows = formatted.select(*NAMES).repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    rows = formatted.select(*NAMES)
+    if not in_order:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
 
     def work(batches):
