@@ -1,14 +1,18 @@
 """WARC archives compressed with Zstandard, one frame per record, with a dictionary in front.
 
 An archive is one binary value: a skippable frame that holds the dictionary, then a frame for
-each record. Each task trains the dictionary of an archive on that archive's own records.
-The reader loads the dictionary, finds each frame's end from its block headers, decodes one
-frame per record, and checks headers, lengths and digests. Archives are rows of a table, so
-Spark writes and commits them; files are read by Spark's binaryFile source.
+each record. Each task trains the dictionary of an archive on slices of that archive's own
+records; what is too little to train on is itself the dictionary's content. The reader loads
+the dictionary, finds each frame's end from its block headers, decodes one frame per record,
+and checks headers, lengths, and those digests whose algorithm it knows. It reads records of
+any type and writer. Archives are rows of a table, so Spark writes and commits them; files are
+read by Spark's binaryFile source.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import struct
@@ -18,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill.session import materialize
+
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -28,6 +34,9 @@ PAGE_URN = "urn:page:"
 ARCHIVE_BYTES = 4 << 20
 DICTIONARY_BYTES = 32 << 10
 TRAIN_BYTES = 1 << 20
+SAMPLE_BYTES = 4096
+#: A record is not larger than Arrow can hold.
+MOST_BYTES = (1 << 31) - 1
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 
@@ -56,18 +65,21 @@ def record_bytes(page_id, url, payload: bytes, size: int, digest: str, refers_to
     return "\r\n".join(heads).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained on slices of the records, evenly spread; the slices themselves where they are too few or too even."""
+    slices = [r[k : k + SAMPLE_BYTES] for r in records for k in range(0, len(r), SAMPLE_BYTES)]
+    slices = slices[:: max(1, len(slices) * SAMPLE_BYTES // TRAIN_BYTES)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, slices, level=3)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"".join(slices)[-DICTIONARY_BYTES:].rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def archive_bytes(records: list[bytes]) -> bytes:
-    """An archive of records. Where they are too few for a dictionary there is none."""
-    step = max(1, sum(map(len, records)) // TRAIN_BYTES)
-    samples = records[::step]
-    dictionary = None
-    if len(samples) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3)
-        except zstandard.ZstdError:
-            pass
+    """An archive of records: their dictionary, then a frame for each."""
+    dictionary = _dictionary(records)
     writer = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True, write_content_size=True)
-    head = struct.pack("<II", DICTIONARY_FRAME, len(dictionary.as_bytes())) + dictionary.as_bytes() if dictionary else b""
+    head = struct.pack("<II", DICTIONARY_FRAME, len(dictionary.as_bytes())) + dictionary.as_bytes()
     return head + b"".join(map(writer.compress, records))
 
 
@@ -75,13 +87,18 @@ def frame_end(data: bytes, start: int) -> int:
     """Where the Zstandard frame at start ends, from its block headers."""
     try:
         at = start + zstandard.frame_header_size(data[start : start + 18])
-        checksum = zstandard.get_frame_parameters(data[start : start + 18]).has_checksum
+        frame = zstandard.get_frame_parameters(data[start : start + 18])
+        checksum = frame.has_checksum
+        if MOST_BYTES < frame.content_size < zstandard.CONTENTSIZE_ERROR - 1:
+            raise WarcError("record too large")
     except zstandard.ZstdError as e:
         raise WarcError(f"frame header: {e}") from e
     while True:
         if at + 3 > len(data):
             raise WarcError("cut frame")
         head = int.from_bytes(data[at : at + 3], "little")
+        if head >> 1 & 3 == 3:
+            raise WarcError("reserved block")
         at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
         if head & 1:
             break
@@ -104,10 +121,13 @@ def frames(data: bytes):
                 raise WarcError("cut skippable frame")
             if magic == DICTIONARY_FRAME and at == 0:
                 body = data[8 : 8 + size]
-                if body[:4] == struct.pack("<I", ZSTD_FRAME):
-                    body = zstandard.ZstdDecompressor().decompress(body)
-                dictionary = zstandard.ZstdCompressionDict(body)
-                reader = zstandard.ZstdDecompressor(dict_data=dictionary)
+                try:
+                    if body[:4] == struct.pack("<I", ZSTD_FRAME):
+                        body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                    dictionary = zstandard.ZstdCompressionDict(body)
+                    reader = zstandard.ZstdDecompressor(dict_data=dictionary)
+                except zstandard.ZstdError as e:
+                    raise WarcError(f"dictionary: {e}") from e
             at += 8 + size
             continue
         if magic != ZSTD_FRAME:
@@ -120,42 +140,107 @@ def frames(data: bytes):
         at = end
 
 
-def _number(value: str):
-    return None if value == "None" else int(value)
+def _page(record_id: str | None) -> int | None:
+    """The page of an id that this module wrote."""
+    own = re.fullmatch(rf"<{PAGE_URN}(-?\d+)>", record_id or "")
+    return int(own[1]) if own else None
+
+
+def _agrees(stated: str, data: bytes) -> bool:
+    """Whether a digest, as algorithm:value in hex, base32 or base64, is that of data; unknown algorithms pass."""
+    name, _, value = stated.partition(":")
+    try:
+        digest = hashlib.new(name.strip().lower().replace("-", ""), data, usedforsecurity=False).digest()
+    except (ValueError, TypeError):
+        return True
+    value = value.strip()
+    if value.lower() == digest.hex():
+        return True
+    coded = base64.b32encode(digest).decode().rstrip("="), base64.b64encode(digest).decode().rstrip("=")
+    return value.rstrip("=").upper() == coded[0] or value.rstrip("=").replace("-", "+").replace("_", "/") == coded[1]
+
+
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Header values by lower-case name; a line that begins with white space goes on with the one before."""
+    found: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name is not None:
+            found[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise WarcError(f"header line {line[:40]!r}")
+        name = name.strip().lower()
+        found.setdefault(name, value.strip())
+    return found
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """A body in chunked transfer coding without it; None if it isn't one."""
+    parts, at = [], 0
+    while (line := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n").match(body, at)) is not None:
+        size = int(line[1], 16)
+        if not size:
+            return b"".join(parts)
+        parts.append(body[line.end() : line.end() + size])
+        at = line.end() + size + 2
+    return None
 
 
 def parse_record(data: bytes) -> dict:
     """The parts of a record; raises WarcError where headers, lengths or digests are wrong."""
     head, found, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not found or not re.fullmatch(r"WARC/1\.[01]", lines[0]):
+    if not found or not re.fullmatch(r"WARC/\d\.\d+", lines[0]):
         raise WarcError("no WARC header")
-    heads = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise WarcError(f"header line {line[:40]!r}")
-        heads[name.strip().lower()] = value.strip()
+    heads = _headers(lines[1:])
     missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - heads.keys()
     if missing:
         raise WarcError(f"no {', '.join(sorted(missing))}")
-    if not heads["content-length"].isdigit() or len(rest) != int(heads["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not re.fullmatch(r"\d{1,18}", heads["content-length"]) or len(rest) != int(heads["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError("Content-Length differs from the block")
-    block = rest[:-4]
-    if (said := heads.get("warc-block-digest")) and said != "sha256:" + hashlib.sha256(block).hexdigest():
+    record_id, kind, block = heads["warc-record-id"], heads["warc-type"].lower(), rest[:-4]
+    if not re.fullmatch(r"<[^<>\s]+>", record_id):
+        raise WarcError("record id")
+    if "warc-block-digest" in heads and not _agrees(heads["warc-block-digest"], block):
         raise WarcError("block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = re.search(rb"(?im)^content-length: *(\d+)", http)
-    kind = heads["warc-type"]
-    digest = heads.get("warc-payload-digest", "").removeprefix("sha256:")
-    if size is None or kind == "response" and int(size[1]) != len(payload):
-        raise WarcError("HTTP Content-Length differs from the payload")
-    if kind == "response" and digest != hashlib.sha256(payload).hexdigest():
+    payload, size = block, len(block)
+    if heads.get("content-type", "").lower().startswith("application/http") and kind in ("response", "revisit", "request"):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        http = _headers(top.decode("latin-1").split("\r\n")[1:])
+        size = len(payload)
+        stated = http.get("content-length", "")
+        chunked = _unchunked(payload) if "chunked" in http.get("transfer-encoding", "").lower() else None
+        if kind == "revisit":
+            size = int(stated) if re.fullmatch(r"\d{1,18}", stated) else None
+        elif stated and "transfer-encoding" not in http and not (stated.isdigit() and int(stated) == size):
+            raise WarcError("HTTP Content-Length differs from the payload")
+    else:
+        chunked = None
+    stated = heads.get("warc-payload-digest")
+    # Writers take the digest with or without the transfer coding.
+    if stated and kind != "revisit" and not any(_agrees(stated, x) for x in (payload, chunked) if x is not None):
         raise WarcError("payload digest")
-    ids = [re.fullmatch(rf"<{PAGE_URN}(-?\d+|None)>", heads.get(k, "")) for k in ("warc-record-id", "warc-refers-to")]
-    if ids[0] is None or kind == "revisit" and ids[1] is None:
-        raise WarcError("record id")
-    return {"page_id": _number(ids[0][1]), "url": heads.get("warc-target-uri"), "payload_bytes": int(size[1]), "payload_digest": digest, "record_type": kind, "refers_to": _number(ids[1][1]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
+    refers_to = heads.get("warc-refers-to")
+    if kind == "revisit":
+        known = re.fullmatch(r"sha-?256:([0-9A-Fa-f]{64})", stated or "")
+        digest, payload = known[1].lower() if known else None, None
+    else:
+        digest = hashlib.sha256(payload).hexdigest()
+    return {
+        "page_id": _page(record_id),
+        "url": heads.get("warc-target-uri"),
+        "payload_bytes": size,
+        "payload_digest": digest,
+        "record_type": kind,
+        "refers_to": _page(refers_to),
+        "payload": payload,
+        "record_id": record_id[1:-1],
+        "refers_to_id": refers_to.strip("<>") if refers_to else None,
+        "date": heads["warc-date"],
+        "stated_digest": stated,
+    }
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -166,17 +251,20 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("digest"))
-    firsts = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("hi")).where("first < hi").select(F.col("digest").alias("first_digest"), "first")
-    joined = rows.join(firsts, (F.col("digest") == F.col("first_digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "digest", refers.alias("refers_to"))
+    keys = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "digest")
+    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("hi")).where("first < hi").select("digest", "first")
+    # Only digests meet by digest, in a join that AQE can split; payloads meet their page's own.
+    again = keys.join(materialize(firsts, "firsts"), "digest").where("page_id != first").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again"), "first").distinct()
+    joined = rows.join(again, (F.col("page_id") == F.col("again_id")) & (F.col("digest") == F.col("again")), "left")
+    return joined.select("page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "digest", F.col("first").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, archive_size: int = ARCHIVE_BYTES) -> DataFrame:
     """(content binary, records long): archives of about ``archive_size`` bytes before compression.
 
     Reads page_id, url and html; a null html is an empty payload, a null page_id is written and
-    read as null and never referred to; repeated rows are records of their own.
+    read as null and never referred to; repeated rows are records of their own; other columns
+    don't matter; an empty table gives no archives.
     """
 
     def work(batches):
@@ -196,20 +284,22 @@ def write_archives(pages: DataFrame, archive_size: int = ARCHIVE_BYTES) -> DataF
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """Archives from files (.warc.zst) for ``read_archives``."""
+    """Archives from files (.warc.zst) for ``read_archives``, a row for each; a folder without files gives none."""
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-RECORD = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string()))
+RECORD = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("date", pa.string()), ("stated_digest", pa.string()), ("error", pa.string()))
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of a column ``content`` of archives.
 
-    page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for
-    revisits, or if with_payload is false) and error. A malformed record, or the rest of an
-    archive after a malformed frame, is one row with an error and nulls. A null or empty
-    content has no records.
+    page_id and refers_to (null unless ``write_archives`` made them), url, payload_bytes,
+    payload_digest (SHA-256 in hex; of a revisit as stated, if it is one), record_type, payload
+    (null for revisits, or if with_payload is false; of records that aren't HTTP the whole
+    block), record_id, refers_to_id, date, stated_digest and error. Records of all types are
+    given. A malformed record, or the rest of an archive after a malformed frame, is one row
+    with an error and nulls. A null or empty content has no records.
     """
 
     def work(batches):
@@ -235,4 +325,4 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema(RECORD))
 
-    return archives.select(F.col("content").cast("binary")).mapInArrow(work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string")
+    return archives.select(F.col("content").cast("binary")).mapInArrow(work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_id string, date string, stated_digest string, error string")

@@ -1,8 +1,11 @@
+import base64
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from labelmill.llm import warc
 from tests.llm.common import same_rows
@@ -43,6 +46,64 @@ def test_files_have_a_dictionary_and_a_frame_per_record(spark, tmp_path):
     assert warc.read_archives(warc.archive_files(spark, str(tmp_path))).count() == 213
 
 
+def record(kind, block, *more, version="WARC/1.0", content="application/http; msgtype=response"):
+    heads = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", "WARC-Date: 2020-02-02T00:00:00Z", f"Content-Type: {content}", f"Content-Length: {len(block)}", *more]
+    return "\r\n".join(heads).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def b32(data):
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def foreign():
+    http, body = b"HTTP/1.1 200 OK\r\nServer: x\r\n folded\r\n\r\n", b"<p>hello</p>"
+    coded = b"5\r\n<p>he\r\n7;x=y\r\nllo</p>\r\n0\r\n\r\n"
+    chunked = http[:-2] + b"Transfer-Encoding: chunked\r\n\r\n"
+    info = b"software: something\r\n"
+    return [
+        record("warcinfo", info, content="application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\nHost: example.com\r\n\r\n", content="application/http; msgtype=request"),
+        record("response", http + body, f"WARC-Payload-Digest: sha1:{b32(body)}", f"WARC-Block-Digest: SHA-1:{b32(http + body)}", "WARC-Target-URI: http://example.com/"),
+        record("response", chunked + coded, f"WARC-Payload-Digest: sha1:{b32(body)}"),
+        record("response", chunked + coded, f"WARC-Payload-Digest: sha1:{b32(coded)}", version="WARC/1.1"),
+        record("response", http + body, "WARC-Payload-Digest: blake9:abc"),
+        record("response", http + body, f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest().upper()}"),
+        record("revisit", http, "WARC-Refers-To: <urn:uuid:1>", f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}"),
+        record("metadata", b"k: v", content="application/warc-fields"),
+        record("conversion", b"plain", content="text/plain"),
+    ]
+
+
+def test_records_of_other_writers(spark):
+    got = warc.read_archives(spark.createDataFrame([(warc.archive_bytes(foreign()),)], "content binary")).collect()
+    assert [r.error for r in got] == [None] * 10
+    assert [r.record_type for r in got] == "warcinfo request response response response response response revisit metadata conversion".split()
+    assert {r.record_id for r in got} == {"urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0"} and got[7].refers_to_id == "urn:uuid:1"
+    assert bytes(got[2].payload) == b"<p>hello</p>" and got[2].payload_bytes == 12 and got[2].page_id is None
+    assert got[7].payload is None and got[7].payload_digest == got[2].payload_digest and bytes(got[9].payload) == b"plain"
+    http, body = b"HTTP/1.1 200 OK\r\n\r\n", b"<p>hello</p>"
+    wrong = [record("response", http + body, f"WARC-Payload-Digest: sha1:{b32(b'x')}"), record("response", http + body, f"WARC-Block-Digest: sha1:{b32(b'x')}"), record("response", http + body).replace(b"<urn:uuid", b"urn:uuid")]
+    bad = warc.read_archives(spark.createDataFrame([(warc.archive_bytes([w]),) for w in wrong], "content binary")).collect()
+    assert sorted(r.error for r in bad) == ["block digest", "payload digest", "record id"]
+
+
+@pytest.mark.parametrize("count, size", [(1, 10), (2, 100), (5, 100_000), (40, 100_000), (3, 2_000_000)])
+def test_a_dictionary_whatever_the_size(count, size):
+    rng = random.Random(count)
+    words = [f"word{k}" for k in range(500)]
+    pages = [" ".join(rng.choice(words) for _ in range(size // 8 + 1)).encode() for _ in range(count)]
+    records = [warc.record_bytes(k, "u", p, len(p), hashlib.sha256(p).hexdigest(), None) for k, p in enumerate(pages)]
+    content = warc.archive_bytes(records)
+    assert content[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(content[4:8], "little") >= 8
+    assert list(warc.frames(content)) == records
+
+
+def test_many_copies_of_a_page(spark):
+    df = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.rpad(F.lit("x"), 2000, "y").alias("html"))
+    got = warc.read_archives(warc.write_archives(df), with_payload=False)
+    assert got.groupBy("record_type", "refers_to").count().orderBy("count").collect() == [("response", None, 1), ("revisit", 0, 19_999)]
+
+
 def test_a_compressed_dictionary_is_read(spark):
     records = [warc.record_bytes(k, "u", b"abc" * k, 3 * k, hashlib.sha256(b"abc" * k).hexdigest(), None) for k in range(60)]
     content = warc.archive_bytes(records)
