@@ -1,20 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a seed line: one of at least ``seed_words`` words, which is
-rare enough not to meet by chance. Each document is paired with the earliest holder of each of
-its seed lines. So every line of a later document that an earlier one has meets the document
-that has it first, pairs grow with the number of lines, and no line is too common to count.
-
-A pair is aligned by patience diff: common head and tail, then the lines that occur once on
-either side, in their longest common ascending order, as fixed points, and the gaps between
-them alike; a gap without such a line gets an ordinary diff, by longest common subsequence.
-Runs of aligned lines that stand together in both documents are blocks. Blocks with a seed line
-are deleted from the later document, short lines in them included. One ascending alignment
-leaves seed lines that occur more often in the later document or stand in another order there:
-each of them goes too, with the longest runs of lines around it that stand together in both.
-So no seed line stays anywhere but in its earliest holder, which never loses it.
-
-Only hashes of shared lines travel to the alignment, not texts.
+Documents overlap if they share a seed: a line long enough not to meet by chance (five words,
+or ten characters of a script without spaces), or three lines in a row of which some are
+shorter. Lines are counted without the empty ones. The earliest document that has a seed owns
+it, and is the one that keeps it.
+
+Rare seeds, of at most ``RARE`` occurrences, pair each later document with their owners. Only
+what a pair shares travels: the seeds of that owner in both documents, with the hashes of the
+lines beside them. A pair is aligned by patience diff: common head and tail, then the seeds
+that occur once on either side, in their longest common ascending order, as fixed points, and
+the gaps between them alike; a gap without such a seed gets an ordinary diff, by longest common
+subsequence. Aligned seeds, and the lines beside them that are alike too, are the common blocks
+that the later document loses. Seeds that one ascending alignment leaves, as they repeat or
+stand in another order, go without what stands beside them. So do frequent seeds, which need no
+partner to be known as copies: whatever their number, no group of documents is paired with all.
+
+So no seed stays anywhere but in its owner, and a common block of three lines or more goes whole.
 """
 
 from __future__ import annotations
@@ -23,15 +24,26 @@ from bisect import bisect_left
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.llm import textscan as ts
 from labelmill.session import materialize
 
 SEED_WORDS = 5
+#: So many bytes of non-ASCII characters make a line long too.
+SEED_BYTES = 30
+SEED_LINES = 3
+#: Seeds with more occurrences are frequent: cut without alignment.
+RARE = 100
 #: A diff keeps so many bits at most, 32 MB.
 LCS_BITS = 1 << 28
+_IN_LINE = np.ones(256, bool)
+_IN_LINE[0x0A] = False
+_WORD = ts.NOT_SPACE
 
 
 def _rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,82 +132,20 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def deleted_lines(early: list[tuple[int, object]], late: list[tuple[int, object]], seeds: set) -> list[int]:
-    """Line numbers of the later document in aligned blocks that hold a seed line, and in the
-    longest runs of the earlier document around seed lines that the alignment leaves.
+def common_block(early: list[tuple], late: list[tuple]) -> set[int]:
+    """Lines of the later document in aligned seeds, and beside them if they are alike too.
 
-    Both lists are (line number, line) of the lines that the documents may share, ascending.
+    Both lists are (place, size, hash, before, after) of the seeds that an owner shares with the
+    document, in order of place; before and after are hashes of the lines beside, 0 for none.
     """
-    gone, block, last = [], [], None
-    for i, j in [*patience([x for _, x in early], [x for _, x in late]), (None, None)]:
-        here = None if i is None else (early[i][0], late[j][0])
-        if last is None or here is None or here != (last[0] + 1, last[1] + 1):
-            if any(late[k][1] in seeds for k in block):
-                gone += [late[k][0] for k in block]
-            block = []
-        block.append(j)
-        last = here
-    left = seeds.intersection(x for _, x in early)
-    done = set(gone)
-    rest = [n for n, x in late if x in left and n not in done]
-    if rest:
-        for first, end in _runs_in(early, late):
-            k = bisect_left(rest, first)
-            if k < len(rest) and rest[k] < end:
-                done.update(range(first, end))
-    return sorted(done)
-
-
-def _runs_in(early: list[tuple[int, object]], late: list[tuple[int, object]]) -> list[tuple[int, int]]:
-    """(first line number, one past the last) of each run of lines of late that stands together in
-    early and is part of no longer one; by a suffix automaton of early, so in linear time."""
-    follow, link, length = [{}], [-1], [0]
-
-    def state(after, linked, size):
-        follow.append(after)
-        link.append(linked)
-        length.append(size)
-        return len(follow) - 1
-
-    last, number = 0, None
-    for n, x in early:
-        # What isn't shared stands between two lines as something that no document has.
-        for y in (x,) if number is None or n == number + 1 else ((None, n), x):
-            here, p = state({}, 0, length[last] + 1), last
-            while p >= 0 and y not in follow[p]:
-                follow[p][y] = here
-                p = link[p]
-            if p >= 0:
-                q = follow[p][y]
-                if length[q] > length[p] + 1:
-                    copy = state(dict(follow[q]), link[q], length[p] + 1)
-                    link[q] = copy
-                    while p >= 0 and follow[p].get(y) == q:
-                        follow[p][y] = copy
-                        p = link[p]
-                    q = copy
-                link[here] = q
-            last = here
-        number = n
-    runs, at, size, number = [], 0, 0, None
-    for n, x in late:
-        if number is not None and n != number + 1:
-            at = size = 0
-        while at and x not in follow[at]:
-            at = link[at]
-            size = length[at]
-        if x in follow[at]:
-            at, size = follow[at][x], size + 1
-        if size:
-            if runs and runs[-1][0] == n + 1 - size:
-                runs.pop()
-            runs.append((n + 1 - size, n + 1))
-        number = n
-    return runs
-
-
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+    gone = {k for place, size, *_ in late for k in range(place, place + size)}
+    for i, j in patience([x[2] for x in early], [x[2] for x in late]):
+        place, size, _, before, after = late[j]
+        if before and before == early[i][3]:
+            gone.add(place - 1)
+        if after and after == early[i][4]:
+            gone.add(place + size)
+    return gone
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -203,37 +153,102 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, row, gone): numbers of the lines to delete from each document that loses any."""
-    line = F.col("line")
-    seed = F.size(F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")) >= seed_words
-    lines = _keyed(docs).select("doc_id", "row", F.posexplode(_lines(F.col("text"))).alias("place", "line")).where("line != ''")
-    lines = lines.select("doc_id", "row", "place", F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit("second")).alias("h2"), seed.alias("seed"))
-    lines = materialize(lines, "lines")
-    held = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("h1", "h2", "owner")
-    # A table of its own, so that AQE can split the rows of a hot line in the join.
-    shared = lines.join(materialize(held, "held"), ["h1", "h2"])
-    entry = F.struct("place", "h1", "h2", F.when(F.col("seed"), F.col("owner")).alias("owner"))
-    # As a set: a repeated row (same doc_id and text) has each of its lines once.
-    documents = materialize(shared.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(entry)).alias("shared")), "sequences")
-    late = documents.select("doc_id", "row", "shared", F.explode(F.array_distinct(F.transform("shared", lambda x: x["owner"]))).alias("owner")).where("owner < doc_id")
-    early = documents.select(F.col("doc_id").alias("owner"), F.transform("shared", lambda x: F.struct(x["place"], x["h1"], x["h2"])).alias("early"))
+def _long_lines(scan: ts.Scan, words: int) -> np.ndarray:
+    """Which lines are seeds alone."""
+    inside = _WORD[scan.data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[scan.starts] = inside[scan.starts]
+    high = scan.data >= 0x80
+
+    def count(flags):
+        sums = np.zeros(len(flags) + 1, np.int64)
+        np.cumsum(flags, out=sums[1:])
+        return sums[scan.ends] - sums[scan.starts]
+
+    return (count(first) >= words) | (count(high) >= SEED_BYTES)
+
+
+SEED = "doc_id long, row long, place int, size byte, h1 long, h2 long, before long, after long"
+
+
+def seeds(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
+    """Every seed of every document: its first line's place among the lines that aren't empty, how many
+    lines it has, a 128-bit hash, and hashes of the lines before and behind it (0: none)."""
+
+    def work(batches):
+        for batch in batches:
+            for top, scan in ts.scans(batch.column(2), _IN_LINE, ts.IDENTITY):
+                n = len(scan.words)
+                doc = np.searchsorted(scan.bounds, np.arange(n), "right") - 1
+                # Bounds repeat where a document has no line.
+                alone = _long_lines(scan, seed_words)
+                runs = scan.window_starts(SEED_LINES)
+                some = np.zeros(n + 1, np.int64)
+                np.cumsum(~alone, out=some[1:])
+                runs = runs[some[runs + SEED_LINES] > some[runs]]
+                at = np.concatenate([np.flatnonzero(alone), runs])
+                size = np.repeat([1, SEED_LINES], [int(alone.sum()), len(runs)])
+                h1, h2 = (np.concatenate([ts.mix(own[alone], 21), ts.gram_hashes(own, SEED_LINES, 22)[runs]]) for own in (scan.words, scan.second))
+                own = np.concatenate([scan.words, np.zeros(1, np.uint64)])
+                before = np.where(at > scan.bounds[doc[at]], own[at - 1], np.uint64(0))
+                after = np.where(at + size < scan.bounds[doc[at] + 1], own[np.minimum(at + size, n)], np.uint64(0))
+                pick = pa.array(top + doc[at])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((at - scan.bounds[doc[at]]).astype(np.int32)), pa.array(size.astype(np.int8)), *(pa.array(ts.as_signed(x)) for x in (h1, h2, before, after))],
+                    names=["doc_id", "row", "place", "size", "h1", "h2", "before", "after"],
+                )
+
+    return _keyed(docs).mapInArrow(work, SEED)
+
+
+def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE) -> DataFrame:
+    """(doc_id, row, gone): places of the lines to delete from each document that loses any."""
+    found = materialize(seeds(docs, seed_words), "seeds")
+    held = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("owner < hi").select("h1", "h2", "owner", "n")
+    # A table of its own, so that AQE can split the rows of a hot seed in the join.
+    shared = materialize(found.join(materialize(held, "held"), ["h1", "h2"]), "shared")
+    entry = F.struct("place", "size", "h1", "h2", "before", "after").alias("entry")
+    lost = shared.where("doc_id > owner")
+    frequent = lost.where(F.col("n") > rare).select("doc_id", "row", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("size") - 1)).alias("line"))
+    late = lost.where(F.col("n") <= rare).select("doc_id", "row", "owner", F.lit(False).alias("early"), entry)
+    asked = lost.where(F.col("n") <= rare).select("doc_id", "row", "owner", "h1", "h2").distinct()
+    early = shared.where((F.col("doc_id") == F.col("owner")) & (F.col("n") <= rare)).select(F.col("owner").alias("early_id"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), entry)
+    early = asked.join(early, (F.col("owner") == F.col("early_id")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).select("doc_id", "row", "owner", F.lit(True).alias("early"), "entry")
+    sides = [F.array_sort(F.collect_set(F.when(of, F.col("entry")))).alias(name) for of, name in ((F.col("early"), "theirs"), (~F.col("early"), "mine"))]
+    # As sets: a repeated row (same doc_id and text) has each of its seeds once.
+    pairs = late.unionByName(early).groupBy("doc_id", "row", "owner").agg(*sides).select("doc_id", "row", "theirs", "mine")
 
     def work(batches):
         for batch in batches:
-            ids, rows, shared, _, early = (batch.column(k) for k in range(5))
             gone = []
-            for mine, theirs in zip(shared.to_pylist(), early.to_pylist()):
-                seeds = {(x["h1"], x["h2"]) for x in mine if x["owner"] is not None}
-                gone.append(deleted_lines([tuple((x["place"], (x["h1"], x["h2"]))) for x in theirs], [(x["place"], (x["h1"], x["h2"])) for x in mine], seeds))
-            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "row", "gone"])
+            for entries in zip(*(_entries(batch.column(k)) for k in (2, 3))):
+                gone.append(sorted(common_block(*entries)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "row", "gone"])
+
+    aligned = pairs.mapInArrow(work, "doc_id long, row long, gone array<int>").select("doc_id", "row", F.explode("gone").alias("line"))
+    return aligned.unionByName(frequent).groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+
+
+def _entries(column: pa.ListArray) -> list[list[tuple]]:
+    flat = column.flatten()
+    place, size, h1, h2, before, after = (flat.field(k).to_pylist() for k in range(6))
+    rows = list(zip(place, size, zip(h1, h2), before, after))
+    bounds = (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return [rows[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
-    pairs = late.join(early.withColumnRenamed("owner", "early_id"), F.col("owner") == F.col("early_id")).select("doc_id", "row", "shared", "owner", "early")
-    aligned = pairs.mapInArrow(work, "doc_id long, row long, gone array<int>").where("size(gone) > 0")
-    return aligned.select("doc_id", "row", F.explode("gone").alias("place")).groupBy("doc_id", "row").agg(F.collect_set("place").alias("gone"))
 
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without these of its lines, counted without empty ones, and their line ends."""
+    kept, k = [], -1
+    for line in text.split("\n"):
+        k += line != ""
+        if not line or k not in gone:
+            kept.append(line)
+    return "\n".join(kept)
 
-def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: bool = True) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: bool = True, rare: int = RARE) -> DataFrame:
     """docs, all columns as they are, with the blocks deleted from text that an earlier document has.
 
     A document of which nothing but white space stays goes (with drop_emptied false it stays,
@@ -243,15 +258,29 @@ def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: boo
     loses nothing; rows of one doc_id lose nothing to each other, and a repeated row is aligned as
     one and cut alike; an empty table stays empty.
     """
-    gone = common_lines(docs, seed_words)
-    text, lines = F.col("d.text").cast("string"), F.col("g.gone")
-    match = (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64(text) == F.col("g.row"))
+    gone = common_lines(docs, seed_words, rare)
+    match = (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.row"))
     joined = docs.alias("d").join(gone.alias("g"), match, "left")
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    at, n = docs.columns.index("text"), len(docs.columns)
+    # By place: a column of docs may have any name.
+    columns = [F.col("d.text").cast("string") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    rows = joined.select(*(c.alias(f"c{k}") for k, c in enumerate(columns)), F.col("g.gone").alias(f"c{n}"))
+
+    def work(batches):
+        for batch in batches:
+            texts, touched = batch.column(at), batch.column(n).is_valid()
+            cut = [without_lines(t.as_py(), set(g.as_py())) if g.is_valid else None for t, g in zip(texts, batch.column(n))] if touched.true_count else None
+            columns = [batch.column(k) for k in range(n)]
+            if cut is not None:
+                columns[at] = pc.if_else(touched, pa.array(cut, pa.string()), texts.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, touched], names=[f"c{k}" for k in range(n + 1)])
+
+    schema = ", ".join(f"c{k} {f.dataType.simpleString() if k != at else 'string'}" for k, f in enumerate(docs.schema)) + f", c{n} boolean"
+    done = rows.mapInArrow(work, schema)
+    touched, text = F.col(f"c{n}"), F.col(f"c{at}")
     if drop_emptied:
-        joined = joined.where(lines.isNull() | kept.rlike("[^\\s]"))
-    columns = {c: F.col(f"d.`{c}`") for c in docs.columns}
-    columns["text"] = F.when(lines.isNull(), text).otherwise(kept)
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(lines.isNull(), columns["n_chars"]).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*(c.alias(name) for name, c in columns.items()))
+        done = done.where(~touched | text.rlike("[^\\s]"))
+    out = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(touched, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return done.select(*(c.alias(name) for name, c in out.items()))

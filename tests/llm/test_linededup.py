@@ -1,33 +1,97 @@
+"""Line dedup against a plain version that shares no code with the operator."""
+
 import random
 import re
 
+import pytest
+
 from labelmill.llm import linededup
-from labelmill.llm.linededup import deleted_lines, patience
+from labelmill.llm.linededup import patience
 from tests.llm.common import documents, empty, same_rows
 
 
-def brute(rows):
-    """The rule on plain lists: each document against the earliest holder of each of its seed lines."""
-    lines = [(d, t, [] if d is None or t is None else t.split("\n")) for d, t in rows]
-    holders = {}
-    for d, _, ls in lines:
-        for x in filter(None, ls):
-            holders.setdefault(x, set()).add(d)
-    owner = {x: min(h) for x, h in holders.items()}
-    shared = {x for x, h in holders.items() if len(h) > 1}
+def is_long(line):
+    return len(re.findall(r"[^ \t\x0b\f\r]+", line)) >= 5 or sum(len(c.encode()) for c in line if ord(c) >= 0x80) >= 30
+
+
+def seeds_of(lines):
+    """(first, end, words) of each seed of a list of lines that aren't empty."""
+    for i, x in enumerate(lines):
+        if is_long(x):
+            yield i, i + 1, (x,)
+    for i in range(len(lines) - 2):
+        run = tuple(lines[i : i + 3])
+        if not all(map(is_long, run)):
+            yield i, i + 3, run
+
+
+def full_lines(text):
+    return [x for x in text.split("\n") if x]
+
+
+def verdicts(rows):
+    """For each row the lines that must go, and those that may go beside them."""
+    held = {}
+    for d, t in rows:
+        if d is not None and t is not None:
+            for first, end, run in seeds_of(full_lines(t)):
+                held.setdefault(run, []).append((d, full_lines(t), first, end))
+    owner = {run: min(h[0] for h in some) for run, some in held.items()}
     out = []
-    for d, t, ls in lines:
-        gone = set()
-        seeds = {x for x in ls if len(re.findall(r"[^ \t\x0b\f\r]+", x)) >= 5}
-        for early in {owner[x] for x in seeds if owner[x] < d} if ls else ():
-            for e, _, es in lines:
-                if e == early:
-                    early_lines, late_lines = ([(i, x) for i, x in enumerate(some) if x in shared] for some in (es, ls))
-                    gone |= set(deleted_lines(early_lines, late_lines, seeds & shared))
-        out.append((d, t if not gone else "\n".join(x for i, x in enumerate(ls) if i not in gone), bool(gone)))
+    for d, t in rows:
+        must, may = set(), set()
+        lines = full_lines(t) if d is not None and t is not None else []
+        for first, end, run in seeds_of(lines):
+            if owner[run] < d:
+                must |= set(range(first, end))
+                for e, other, a, b in held[run]:
+                    if e == owner[run]:
+                        may |= {first - 1} if first and a and other[a - 1] == lines[first - 1] else set()
+                        may |= {end} if end < len(lines) and b < len(other) and other[b] == lines[end] else set()
+        out.append((must, must | may))
     return out
 
 
+def without(text, gone):
+    kept, k = [], 0
+    for line in text.split("\n"):
+        if line:
+            k += 1
+            if k - 1 in gone:
+                continue
+        kept.append(line)
+    return "\n".join(kept)
+
+
+def brute(rows):
+    """(doc_id, text, hit) without the lines that must go: what the operator does where every seed is frequent."""
+    return [(d, without(t, must) if must else t, bool(must)) for (d, t), (must, _) in zip(rows, verdicts(rows))]
+
+
+def holds_the_rule(rows, kept):
+    """What stays of each row, by its number: all that must go went, and nothing went that may not."""
+    kept = dict(kept)
+    assert len(kept) == len(rows)
+    for k, ((d, t), (must, may)) in enumerate(zip(rows, verdicts(rows))):
+        if not must:
+            assert kept[k] == t
+            continue
+        rest = iter(kept[k].split("\n"))
+        fine = [without(t, gone) for gone in (must, may)]
+        if kept[k] in fine:
+            continue
+        # Some of the lines that may go went: what stays is between the two, in order.
+        assert all(x in rest for x in fine[1].split("\n") if x)
+        whole = iter(fine[0].split("\n"))
+        assert all(any(x == y for y in whole) for x in kept[k].split("\n"))
+
+
+def cut(spark, rows, **how):
+    """(place in rows, text afterwards)."""
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, k int")
+    return [(r.k, r.text) for r in linededup.dedup_lines(docs, drop_emptied=False, **how).collect()]
+
+
 def test_patience_finds_a_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
@@ -40,90 +104,70 @@ def test_patience_finds_a_common_subsequence():
     assert patience(list("xaybz"), list("qaxbw")) == [(1, 1), (3, 3)]
 
 
-def test_blocks_need_a_seed_line():
-    early = list(enumerate(["a b c d e", "short", "tail", "other"]))
-    late = list(enumerate(["new", "a b c d e", "short", "gap", "tail"]))
-    assert deleted_lines(early, late, {"a b c d e"}) == [1, 2]
-
-
 def test_documents(spark):
     block = "one two three four five six\nmid\nseven eight nine ten eleven twelve"
-    extra = [(7001, f"head line that is only here at all\n{block}\nend", None), (7002, f"{block}\nand a tail that nobody else has", None), (7003, block, None), (7004, "mid\nmid\nmid", None), (7005, f"x\r\n{block}\r\n", None), (7006, f"{block}\n{block}", None), (7006, "again another text here under this id", None)]
+    extra = [(7001, f"head line that is only here at all\n{block}\nend", None), (7002, f"{block}\nand a tail that nobody else has", None), (7003, block, None), (7004, "mid\nmid\nmid", None), (7005, f"x\r\n{block}\r\n", None), (7006, f"{block}\n{block}", None), (7006, "again another text here under this id", None), (7007, "\n\n".join("abc"), None), (7008, "z\na\n\nb\nc\n", None)]
     docs = documents(spark, extra)
-    want = brute([(r.doc_id, r.text) for r in docs.collect()])
-    got = linededup.dedup_lines(docs, drop_emptied=False)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows)
+    got = linededup.dedup_lines(docs, drop_emptied=False, rare=0)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
     same_rows([(r.doc_id, r.text) for r in got.collect()], [(d, t) for d, t, _ in want])
     kept = linededup.dedup_lines(docs)
-    same_rows([(r.doc_id, r.text) for r in kept.collect()], [(d, t) for d, t, hit in want if not hit or t.strip()])
     assert kept.where("doc_id = 7001").first().text.endswith("end") and kept.where("doc_id = 7003").count() == 0
     assert kept.where("doc_id = 7002").first().text == "and a tail that nobody else has"
+    assert kept.where("doc_id = 7008").first().text == "z\n\n"
     unchanged = {(d, t) for d, t, hit in want if not hit}
     assert all(r.n_chars is None or (r.doc_id, r.text) in unchanged or r.n_chars == len(r.text) for r in kept.collect())
 
 
-def test_empty_table(spark):
-    assert linededup.dedup_lines(empty(spark)).count() == 0
-
-
-def seed(line):
-    return len(re.findall(r"[^ \t\x0b\f\r]+", line)) >= 5
-
-
-def holds_the_rule(rows, kept):
-    """Without the module's functions: no seed line stays in a document later than its earliest holder,
-    and each line that goes is in an earlier document, in a run with a seed line that has the whole run."""
-    texts, owner = {}, {}
-    for d, t in rows:
-        if d is not None and t is not None:
-            texts.setdefault(d, []).append(t.split("\n"))
-            for x in t.split("\n"):
-                owner[x] = min(d, owner.get(x, d))
-    after = {}
-    for k, t in kept:
-        after.setdefault(k, t)
-    assert len(after) == len({k for k, _ in kept}) and all(after[k] == t for k, t in kept)
-    for k, (d, t) in enumerate(rows):
-        left = after[k]
-        if d is None or t is None:
-            assert left == t
-            continue
-        lines, rest = t.split("\n"), left.split("\n")
-        late = [bool(x) and seed(x) and owner[x] < d for x in lines]
-        assert not any(seed(x) and owner[x] < d for x in rest)
-        # A line with no holder before it is never cut, nor is one that no seed line stands beside.
-        can = [False] * len(lines)
-        for first in range(len(lines)):
-            for end in range(first + 1, len(lines) + 1):
-                run = lines[first:end]
-                if "" in run or not any(any(run == other[i : i + len(run)] for i in range(len(other))) for e in {owner[x] for x in run if owner[x] < d} for other in texts[e]):
-                    break
-                if any(late[first:end]):
-                    can[first:end] = [True] * (end - first)
-        sure = [x for x, c in zip(lines, can) if not c]
-        assert all(x in rest for x in sure) and len(sure) <= len(rest)
-        whole = iter(lines)
-        assert left == "" or all(any(x == y for y in whole) for x in rest)
-
-
-def cut(spark, rows):
-    """(place in rows, text afterwards)."""
-    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, k int")
-    return [(r.k, r.text) for r in linededup.dedup_lines(docs, drop_emptied=False).collect()]
+def test_aligned_lines_beside_a_seed_go(spark):
+    rows = [(1, "a b c d e\nshort\ntail\nother"), (2, "new\na b c d e\nshort\ngap\ntail"), (3, "before\nk l m n o\nv w x y z"), (4, "before\nk l m n o\nq"), (5, "before\nk l m n o\nq")]
+    assert dict(cut(spark, rows)) == {0: rows[0][1], 1: "new\ngap\ntail", 2: rows[2][1], 3: "q", 4: ""}
+    # Frequent seeds aren't aligned, so what stands beside them stays.
+    assert dict(cut(spark, rows, rare=1)) == {0: rows[0][1], 1: "new\nshort\ngap\ntail", 2: rows[2][1], 3: "before\nq", 4: ""}
 
 
-S = [f"seed line number {w} of this text" for w in ("one", "two", "three", "four")]
+def test_short_lines_in_a_row_are_found(spark):
+    verse = "\n".join(["so", "la", "ti"])
+    rows = [(1, f"mine\n{verse}"), (2, f"x\n{verse}\ny"), (3, "so\nla\nother"), (4, "漢字仮名交文章例示本文"), (5, "甲\n漢字仮名交文章例示本文\n乙")]
+    for rare in (0, 100):
+        assert dict(cut(spark, rows, rare=rare)) == {0: rows[0][1], 1: "x\ny", 2: rows[2][1], 3: rows[3][1], 4: "甲\n乙"}
 
 
-def test_no_seed_line_stays_later(spark):
+@pytest.mark.parametrize("rare", [0, 3, 100])
+def test_no_seed_stays_later(spark, rare):
     rng = random.Random(9)
+    S = [f"seed line number {w} of this text" for w in ("one", "two", "three", "four")]
     # Repeated in the later document, in its owner, in both, and in another order.
     rows = [(1, "\n".join([S[0], "x", S[1], S[0], S[2]])), (2, "\n".join(["own", S[2], S[1], S[0], "x", "mine", S[0], S[0], "end"])), (3, "\n".join([S[3], *S[:3][::-1], S[3]])), (4, "\n".join(["p", S[3], "q", S[3], S[0], "x", S[1], "r"]))]
-    got = dict(cut(spark, rows))
-    assert got == {0: rows[0][1], 1: "own\nmine\nend", 2: f"{S[3]}\n{S[3]}", 3: "p\nq\nr"}
-    pool = [*S, "x", "y", "short z", ""]
+    pool = [*S, "x", "y", "short z", "t", "u", ""]
     rows += [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for d in range(5, 80)]
-    holds_the_rule(rows, cut(spark, rows))
+    # Repeated rows, as the earliest holder and as later ones; several texts under one id; no id.
+    rows += [rows[0], rows[0], rows[1], (3, "\n".join(S)), (None, "\n".join(S)), (200, None), (201, "")]
+    got = cut(spark, rows, rare=rare)
+    holds_the_rule(rows, got)
+    if not rare:
+        assert dict(got) == {k: t for k, (_, t, _) in enumerate(brute(rows))}
+
+
+def test_one_document_with_lines_of_very_many_owners(spark):
+    """Each pair carries its own lines only, so rows grow with lines and not with lines times owners."""
+    n = 20_000
+    line = lambda k: f"line that only document number {k} had before"
+    rows = [(k, f"{line(k)}\nown {k}") for k in range(n)] + [(n, "\n".join(map(line, range(n))) + "\nend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert linededup.dedup_lines(docs).where(f"doc_id = {n}").first().text == "end"
+
+
+def test_many_copies_of_one_document(spark):
+    text = "\n".join(f"this is line number {k} of many" if k % 3 else f"short {k}" for k in range(30))
+    docs = spark.range(3000).selectExpr("id AS doc_id", f"'{text}' AS text".replace("\n", "\\n"))
+    assert [r.doc_id for r in linededup.dedup_lines(docs).collect()] == [0]
+
+
+def test_empty_table(spark):
+    assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
 def test_ordinary_diff_where_no_line_is_unique():
@@ -141,19 +185,3 @@ def test_ordinary_diff_where_no_line_is_unique():
             assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
         linededup.LCS_BITS = usual
-
-
-def test_repeated_rows_are_aligned_as_one(spark):
-    text = "\n".join([S[0], "x", S[1], "y", S[2]])
-    # The repeated row as the earliest holder, and as a later document.
-    rows = [(1, text), (1, text), (2, f"own\n{text}\nend"), (3, text), (3, text), (4, f"{S[3]}\n{text}"), (4, f"{S[3]}\n{text}")]
-    got = dict(cut(spark, rows))
-    assert got == {0: text, 1: text, 2: "own\nend", 3: "", 4: "", 5: S[3], 6: S[3]}
-    holds_the_rule(rows, list(got.items()))
-
-
-def test_a_repeated_row_goes_to_alignment_once(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(linededup, "materialize", lambda df, name: seen.append((name, df)) or df)
-    linededup.dedup_lines(spark.createDataFrame([(1, f"{S[0]}\nx"), (1, f"{S[0]}\nx"), (2, f"{S[0]}\nx")], "doc_id long, text string"))
-    assert sorted(len(r.shared) for r in dict(seen)["sequences"].collect()) == [2, 2]
