@@ -12,6 +12,11 @@ lengths counts as the logarithm of its rate in toxic over ordinary documents, pa
 favour toxic documents clearly count nothing, and a logistic curve turns a document's sum, its
 sum by length and its length into a score. All of this is fitted on a bounded sample of
 labelled rows.
+
+The plain form of the method, dictionaries trained on whole toxic and ordinary texts and windows
+of several words, does not tell the two apart where a toxic text differs in a few words only:
+what a dictionary happens to hold of a window's other words changes its length more than those
+do. Hence the shared base, and windows of one word.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from labelmill.llm import textscan as ts
 #: Most labelled rows of each class that a model is fitted on.
 TOXIC_ROWS = 3000
 ORDINARY_ROWS = 6000
+#: Most bytes of the texts of those rows, half for each class.
+TRAINING_BYTES = 256 << 20
 BASE_BYTES = 110_000
 TOXIC_BYTES = 2048
 LEAST_SHARE = 0.01
@@ -50,8 +57,7 @@ def windows(text: bytes) -> set[bytes]:
     found = set()
     for word in set(text.lower().translate(_SPACES).split()):
         for k in range(0, len(word), WORD_BYTES):
-            if k or len(word) > 2:
-                found.add(b" " + word[k : k + WORD_BYTES])
+            found.add(b" " + word[k : k + WORD_BYTES])
     return found
 
 
@@ -152,11 +158,22 @@ def fit(rows: list[tuple[set[bytes], int, float]]) -> ToxicityModel:
     return model
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> ToxicityModel:
+def _within(rows: list[tuple], most: int) -> list[int]:
+    """Ids of (id, toxic, bytes) rows, in order, while each class stays within half of the bytes."""
+    used, out = Counter(), []
+    for key, label, size in rows:
+        used[label] += size
+        if used[label] <= most // 2:
+            out.append(key)
+    return out
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, training_bytes: int = TRAINING_BYTES) -> ToxicityModel:
     """A model from docs (doc_id, text) that labels (doc_id, toxic) marks 1 or 0.
 
-    At most so many labels of each class are used, those of least hash of doc_id, and the full
-    counts of both classes are weighed in. Null labels and ids don't count.
+    At most so many labels of each class are used, those of least hash of doc_id, and of them
+    those whose texts together have at most so many bytes; the full counts of both classes are
+    weighed in. Null labels and ids don't count; no labels give a model that scores all alike.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
@@ -166,6 +183,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ord
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    sizes = rows.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("doc_id", F.lit("toxicity"))).collect()
+    small = _within([tuple(r)[:3] for r in sorted(sizes, key=lambda r: (r[3], r[0], r[1], r[2]))], training_bytes)
+    if len(small) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in set(small)], "small_id long")), F.col("doc_id") == F.col("small_id"), "left_semi")
 
     def work(batches):
         for batch in batches:

@@ -205,3 +205,39 @@ def test_foreign_and_junk_texts_go_and_clean_ones_stay(spark):
     assert langid.keep_identified(spark.createDataFrame([(k, t) for k, t in enumerate(junk)], "doc_id long, text string"), model).count() == 0
     lettered = docs.where(F.col("text").rlike("\\p{L}"))
     assert langid.keep_identified(docs, model).count() == lettered.count() > 9000
+
+
+def test_toxicity_fits_on_bounded_bytes(spark):
+    rows = [(1, 1, 60), (2, 1, 50), (3, 0, 90), (4, 0, 10), (5, 1, 10)]
+    assert toxicity._within(rows, 200) == [1, 3, 4] and toxicity._within(rows, 240) == [1, 2, 3, 4, 5]
+    docs = spark.createDataFrame([(k, "disgusting worthless pathetic text " * 5 if k % 2 else "some plain text here " * 5) for k in range(60)], "doc_id long, text string")
+    known = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    for most in (1 << 20, 4000):
+        model = toxicity.fit_on(docs, known, training_bytes=most)
+        got = {r.doc_id % 2: r.score for r in toxicity.toxicity(docs, model).collect()}
+        assert got[1] > got[0]
+    assert toxicity.windows("A bc, d".encode()) == {b" a", b" bc", b" d"}
+
+
+def test_window_lengths_and_evidence_are_those_of_the_dictionaries():
+    """The lengths that a window is known by are zstd's own, and evidence is the rate in toxic over ordinary rows."""
+    import zstandard
+
+    rng = random.Random(3)
+    plain = [{f" {rng.choice('abcdefgh')}{rng.choice('ijklmnop')}{rng.choice('qrstuv')}word{k % 40}".encode() for k in range(60)} for _ in range(300)]
+    rows = [(found | ({b" idiot", b" moron"} if k % 4 == 0 else set()), int(k % 4 == 0), 1.0) for k, found in enumerate(plain)]
+    model = toxicity.fit(rows)
+    for window in (b" idiot", b" aiqword3", b" never seen"):
+        sizes = []
+        for content in (model.ordinary, model.ordinary + model.toxic):
+            settings = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            held = zstandard.ZstdCompressionDict(content + toxicity.AFTER + toxicity.BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            coder = zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
+            sizes.append([len(coder.compress(toxicity.BEFORE + w + toxicity.AFTER)) for w in (window, b"")])
+        assert model.lengths(window) == (min(sizes[0][0] - sizes[1][0], 8), min(max(sizes[1][0] - sizes[1][1], 0), 12))
+    late = [(found, label) for k, (found, label, _) in enumerate(rows) if k % 3 == 2]
+    cells = [[sum(model.lengths(w) == cell for found, label in late if label == side for w in found) for side in (0, 1)] for cell in model.evidence]
+    total = [sum(len(found) for found, label in late if label == side) + 1 for side in (0, 1)]
+    for (cell, value), (ordinary, toxic) in zip(model.evidence.items(), cells):
+        assert abs(value - min(6.0, np.log((toxic + 0.5) / total[1] * total[0] / (ordinary + 0.5)))) < 1e-9
+    assert model.score(b"you idiot and moron") > 0.5 > model.score(b"aiqword3 biqword4")
