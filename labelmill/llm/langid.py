@@ -41,25 +41,37 @@ _LETTERS[0x61:0x7B] = np.arange(0x61, 0x7B)
 _LETTERS[0x80:] = np.arange(0x80, 0x100)
 
 
-def ngram_counts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of hashed n-gram counts for each text of a run of texts."""
+def _counted(data: np.ndarray, owner: np.ndarray | None, texts: int, begin: int, end: int) -> np.ndarray:
+    """Counts of the n-grams that begin at places [begin, end) of the padded bytes, by text."""
+    wide = data.astype(np.uint32)
+    two = wide[:-1] << np.uint32(8) | wide[1:]
+    three = two[:-1] << np.uint32(8) | wide[2:]
+    inside = data != 0x20
+    counts = np.zeros(texts * PLACES, np.int64)
+    for code, size, ok in ((two, 2, (inside[:-1] | inside[1:])), (three, 3, inside[1:-1])):
+        ok = ok.copy()
+        ok[:begin], ok[end:] = False, False
+        if owner is not None:
+            ok &= owner[: len(code)] == owner[size - 1 :]
+        place = ((code[ok] * np.uint32(2654435761) + np.uint32(size * 97)) >> np.uint32(32 - 12)).astype(np.int64)
+        counts += np.bincount(place if owner is None else owner[: len(code)][ok] * PLACES + place, minlength=texts * PLACES)
+    return counts.reshape(texts, PLACES)
+
+
+def ngram_counts(body: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """A row of hashed n-gram counts for each text of a run of texts. A long text is counted in pieces."""
     n = len(offsets) - 1
     # Each text gets a space before and after it, so no n-gram reaches into the next one.
+    if n == 1 and len(body) > piece:
+        data = np.full(len(body) + 2, 0x20, np.uint8)
+        np.take(_LETTERS, body, out=data[1:-1])
+        parts = (_counted(data[k : k + piece + 2], None, 1, 0, piece) for k in range(0, len(data) - 1, piece))
+        return sum(parts, np.zeros((1, PLACES), np.int64))
     lengths = np.diff(offsets)
     data = np.full(len(body) + 2 * n, 0x20, np.uint8)
     at = np.arange(len(body)) + 2 * np.repeat(np.arange(n), lengths) + 1
     data[at] = _LETTERS[body]
-    owner = np.repeat(np.arange(n), lengths + 2)
-    counts = np.zeros(n * PLACES, np.int64)
-    wide = data.astype(np.uint32)
-    two = wide[:-1] << np.uint32(8) | wide[1:]
-    three = two[:-1] << np.uint32(8) | wide[2:]
-    inside = data != 0x20
-    for code, size, ok in ((two, 2, (inside[:-1] | inside[1:])), (three, 3, inside[1:-1])):
-        ok = ok & (owner[: len(code)] == owner[size - 1 :])
-        place = (code[ok] * np.uint32(2654435761) + np.uint32(size * 97)) >> np.uint32(32 - 12)
-        counts += np.bincount(owner[: len(code)][ok] * PLACES + place.astype(np.int64), minlength=n * PLACES)
-    return counts.reshape(n, PLACES)
+    return _counted(data, np.repeat(np.arange(n), lengths + 2), n, 0, len(data))
 
 
 def _runs(column: pa.Array, limit: int = 1 << 17):
@@ -220,7 +232,9 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs, all columns as they are, without the rows that are rejected."""
+    """docs, all columns as they are, without the rows that are rejected: null texts, texts without a
+    letter, and those too far from every centroid for their length. Repeated rows are judged each;
+    an empty table stays empty; a model without languages rejects all."""
     at = docs.columns.index("text")
     lettered = docs.where(F.col("text").cast("string").rlike("\\p{L}"))
 

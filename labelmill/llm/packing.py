@@ -33,6 +33,7 @@ OPEN_SEQUENCES = 8
 SOURCES = 16
 CACHE_WORDS = 500_000
 END_ID = 1
+SLICE_BYTES = 1 << 20
 
 
 def _byte_letters() -> dict[int, int]:
@@ -48,13 +49,14 @@ class WordEncoder(dict):
     A text is split at ASCII white space, and each distinct part is encoded once, when it is
     first looked up. ASCII capitals are lower-cased before, as the tokenizer does. A part of
     lower-case Latin letters is one word for the tokenizer, so its model takes it at once;
-    punctuation behind such a word is a part of its own. Texts that could hold the string of a
-    special token are encoded as a whole.
+    punctuation behind such a word is a part of its own. Parts that could hold the string of a
+    special token keep their capitals; such a string has no white space inside.
     """
 
     #: a-z and U+00DF to U+00FF without the division sign, then punctuation.
     word = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([,.!?;:#%*&$]*)")
     letters = _byte_letters()
+    space = re.compile(rb"[ \t-\r]")
 
     def __init__(self, path: str, words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -80,8 +82,18 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        return self.whole(text) if b"<|" in text else b"".join(map(self.__getitem__, text.lower().split()))
+        """Little-endian 32-bit ids of a text, which is read in slices that end at white space."""
+        out, at = [], 0
+        while at < len(text):
+            cut = self.space.search(text, at + SLICE_BYTES)
+            end = cut.end() if cut else len(text)
+            part = text[at:end]
+            if b"<|" in part:
+                out.append(b"".join(self.whole(p) if b"<|" in p else self[p.lower()] for p in part.split()))
+            else:
+                out.append(b"".join(map(self.__getitem__, part.lower().split())))
+            at = end
+        return b"".join(out)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -234,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard_pieces
     its little-endian 32-bit ids, sequence_id, offset in the sequence, gapless from 0. Only
     documents longer than ``capacity`` are cut. Each document ends with id 1, so a null or empty
     text is one piece of length 1. Rows that repeat, also a null doc_id, are documents of their
-    own. An empty table gives no rows.
+    own; other columns don't matter. An empty table gives no rows.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "slot"]
     cut = materialize(pieces(docs, tokenizer, capacity), "pieces")

@@ -62,3 +62,13 @@ def test_local_search_empties_a_sequence():
 
 def test_empty_table(spark):
     assert packing.pack(empty(spark), PATH).count() == 0
+
+
+def test_slices_of_a_long_text_give_the_same_ids(monkeypatch):
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = ("Some words,\tand  more words.\nÉté 漢字 <|endoftext|> x<|EndOfText|>y <|endoftext|><| " * 50).encode()
+    whole = array("I", encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+    assert encoder.encode(text) == whole
+    for size in (1, 2, 5, 64, 1000):
+        monkeypatch.setattr(packing, "SLICE_BYTES", size)
+        assert encoder.encode(text) == whole

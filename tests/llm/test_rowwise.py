@@ -241,3 +241,12 @@ def test_window_lengths_and_evidence_are_those_of_the_dictionaries():
     for (cell, value), (ordinary, toxic) in zip(model.evidence.items(), cells):
         assert abs(value - min(6.0, np.log((toxic + 0.5) / total[1] * total[0] / (ordinary + 0.5)))) < 1e-9
     assert model.score(b"you idiot and moron") > 0.5 > model.score(b"aiqword3 biqword4")
+
+
+def test_long_texts_are_counted_in_pieces():
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abcé, \n1"), 5000))
+    body, offs = parts(text)
+    whole = langid.ngram_counts(body, offs)
+    for piece in (1, 2, 3, 7, 1000, 4999, len(body) - 1):
+        assert (langid.ngram_counts(body, offs, piece) == whole).all()
