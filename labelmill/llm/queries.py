@@ -64,7 +64,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.conversation_digests(chat.format_conversations(turns, BYTE_TOKENIZER)).drop("n_tokens", "loss_tokens")
+    return chat.conversation_digests(chat.format_conversations(turns, BYTE_TOKENIZER), in_order=True).drop("n_tokens", "loss_tokens")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
