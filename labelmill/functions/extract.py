@@ -18,6 +18,7 @@ NUTRIENT_PATTERNS = {
     "sodium": "나트륨[:\\s]*(\\d+[.,]?\\d*)\\s*m?g",
     "dietary_fiber": "식이섬유[:\\s]*(\\d+[.,]?\\d*)\\s*g",
 }
+# What a serving, the ingredient section, its end, bullets and allergens look like on a label.
 SERVING_PATTERN = "(?:1회\\s*제공량|총\\s*내용량)[:\\s]*(\\d+[.,]?\\d*)\\s*(g|ml|mL|kg|L)"
 SECTION_END = "(?=영양(?:정보|성분)|유통기한|보관방법|내용량|포장재질|품목보고|※|주의사항|직사광선|부정\\s*[·.]|반품|고객상담|업소명|제조원|판매원|\\d{10,})"
 SECTION_STARTS = ["원재료명\\s*(?:및\\s*)?(?:함량)?\\s*[:\\s]\\s*", "원재료명\\s*", "원재료\\s*[:\\s]\\s*", "\\*?면\\s*[:]\\s*"]
@@ -114,6 +115,6 @@ def allergens(c: Column) -> Column:
     return groups_named(c, ALLERGENS)
 
 
-def capped(c: Column, most: int = 10_000) -> Column:
-    """Label text up to the length that is analysed."""
-    return F.substring(c, 1, most)
+def capped(c: Column, most: int | None = None) -> Column:
+    """Label text up to a length that a service may set for what it takes; by default all of it."""
+    return c if most is None else F.substring(c, 1, most)

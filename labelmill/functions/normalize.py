@@ -8,13 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The legal forms, plant and branch words, packaging words and quantities that
-# the normal forms leave out. Longer alternatives stand first, as Java takes the first that fits.
+# the normal forms leave out. Where one word begins another the longer one stands first, as
+# Java takes the first that fits.
 COMPANY_FORMS = ["유한책임회사", "주식회사", "유한회사", "합자회사", "합명회사", "(주)", "㈜"]
 CORPORATE_INDICATORS = ["유한책임회사", "주식회사", "유한회사", "(주)", "㈜"]
 COOPERATIVE_FORMS = ["사회적협동조합", "농업회사법인", "영농조합법인", "협동조합"]
 SITE_PATTERNS = ["제?\\d+공장", "[가-힣]+공장", "[가-힣]+지점", "[가-힣]+센터"]
-PACKAGING_WORDS = ["세트", "박스", "묶음", "봉지", "번들", "기획", "캔", "병", "팩", "봉", "컵", "입", "개", "PET", "CAN"]
-QUANTITY = "\\d+([.,]\\d+)?\\s*(kg|KG|Kg|ml|mL|ML|mg|MG|cc|CC|g|G|l|L)"
+PACKAGING_WORDS = ["페트", "캔", "파우치", "컵", "병", "봉지", "봉", "팩", "번들", "기획", "증정", "리필", "대용량", "미니", "멀티팩", "세트", "묶음", "박스"]
+PACKAGING_WORDS_APART = ["페트", "캔", "파우치", "컵", "병", "봉", "봉지", "팩", "번들", "기획", "증정", "리필", "대용량", "미니", "소용량", "멀티팩", "세트", "묶음", "박스", "입", "개입", "PET", "CAN"]
+QUANTITY = "(?i)\\d+[.,]?\\d*\\s*(ml|l|g|kg|oz|리터|밀리리터|그램|킬로그램)"
+SEPARATORS = "[\\s()（）\\[\\]【】,，·•_\\-]+"
+PUNCTUATION = "[\\s()（）\\[\\]【】,，·•\\-_×x*+&/]+"
 
 
 def _text(c: Column) -> Column:
@@ -30,8 +34,8 @@ def _literal(words: list[str]) -> str:
 
 
 def product_name(c: Column) -> Column:
-    """Without white space, brackets and separators, lower-cased."""
-    return F.lower(_drop(_text(c), "[\\s()\\[\\]{},，·•_\\-]+"))
+    """Without white space, round, square and corner brackets and separators, lower-cased."""
+    return F.lower(_drop(_text(c), SEPARATORS))
 
 
 def strip_corporate(c: Column) -> Column:
@@ -40,20 +44,20 @@ def strip_corporate(c: Column) -> Column:
 
 
 def deep(c: Column) -> Column:
-    """The core of a product name: no bracketed parts, quantities, packaging words, trailing digits, punctuation."""
-    bare = _drop(_text(c), "\\([^)]*\\)", QUANTITY, _literal(PACKAGING_WORDS), "\\d+\\s*$", "[\\s()\\[\\]{},.，·•_\\-x×*+&/]+")
-    return F.lower(bare)
+    """The core of a product name: no round brackets, quantities, packaging words anywhere, trailing digits, punctuation."""
+    return F.lower(_drop(_text(c), "\\([^)]*\\)", QUANTITY, _literal(PACKAGING_WORDS), "\\d+\\s*$", PUNCTUATION))
 
 
 def deep_words(c: Column) -> Column:
-    """As ``deep``, but packaging words only between ASCII letters or digits, and trailing digits
-    only after white space; full-width brackets count too."""
-    words = _literal([w for w in PACKAGING_WORDS if not w.isascii()])
-    bare = _drop(
-        _text(c), "[(（][^)）]*[)）]|\\[[^\\]]*\\]|［[^］]*］|【[^】]*】", QUANTITY,
-        f"(?<=[A-Za-z0-9_])({words})(?=[A-Za-z0-9_])", "(?<![A-Za-z0-9_])(PET|CAN)(?![A-Za-z0-9_])", "\\s+\\d+\\s*$", "[\\s()\\[\\]{},.，·•_\\-x×*+&/]+",
-    )
-    return F.lower(bare)
+    """As ``deep``, but what stands in any kind of bracket goes, a packaging word only where a word of
+    ASCII letters and digits begins before it and ends behind it, and a trailing number, decimals
+    included, only after white space."""
+    letter = "[A-Za-z0-9_]"
+    korean, latin = ([w for w in PACKAGING_WORDS_APART if w.isascii() == ascii_] for ascii_ in (False, True))
+    # An edge of an ASCII word: before and behind a Korean word there must be such a letter, at a Latin one none.
+    apart = f"(?i)(?<={letter})({_literal(korean)})(?={letter})|(?<!{letter})({_literal(latin)})(?!{letter})"
+    brackets = ["\\([^)]*\\)", "（[^）]*）", "\\[[^\\]]*\\]", "【[^】]*】"]
+    return F.lower(_drop(_text(c), *brackets, QUANTITY, "\\s+\\d+[.,]?\\d*\\s*$", apart, PUNCTUATION))
 
 
 def name(c: Column) -> Column:

@@ -17,119 +17,123 @@ TREE_ITEM = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.S
 ADDITIVE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "category", "raw", "match_type")]))
 
 
-def split_top(text: str, opening: str, closing: str, separators: str = ",") -> list[str]:
-    """Trimmed parts between separators that stand in no bracket; a stray closing bracket counts nothing."""
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(text):
-        if ch in opening:
-            depth += 1
-        elif ch in closing:
-            depth = max(0, depth - 1)
-        elif ch in separators and not depth:
-            parts.append(text[start:i])
-            start = i + 1
-    return [p.strip() for p in [*parts, text[start:]] if p.strip()]
+# Bracket pairs of printed labels, and what shares and notes look like.
+OPENING, CLOSING = "(（[", ")）]"
+PERCENT = re.compile(r"(\d+[.,]?\d*)\s*%")
+ALLERGEN_NOTE = re.compile(r"\[?알레르기\s*유발물질\s*[:]\s*[^\]]*\]?")
+STARRED_NOTE = re.compile(r"\*[^*]*\*")
 
 
-def first_bracket(text: str, opening: str, closing: str) -> str:
-    """What stands inside the first bracket and its partner; '' if there is none."""
-    depth, start = 0, -1
-    for i, ch in enumerate(text):
-        if ch in opening:
+def items_with_brackets(text: str, opening: str, closing: str) -> list[tuple[str, list[tuple[int, int]], bool]]:
+    """(item, bracket spans in it, whether its last bracket stays open) between commas outside brackets, in one pass.
+
+    A stray closing bracket counts nothing; blank items are left out.
+    """
+    found, spans, depth, start, opened = [], [], 0, 0, 0
+    for mark in re.finditer("[,%s%s]" % (re.escape(opening), re.escape(closing)), text + ","):
+        at, last = mark.start(), mark.end() > len(text)
+        if mark[0] in opening:
+            opened = opened if depth else at
             depth += 1
-            start = i if start < 0 else start
-        elif ch in closing and start >= 0:
-            depth -= 1
-            if not depth:
-                return text[start + 1 : i]
-    return ""
+        elif mark[0] in closing:
+            if depth == 1:
+                spans.append((opened - start, at - start))
+            depth = max(0, depth - 1)
+        elif last or not depth:
+            if depth:
+                spans.append((opened - start, at - start))
+            if text[start:at].strip():
+                found.append((text[start:at], spans, depth > 0))
+            spans, start = [], at + 1
+    return found
 
 
 def _percent(text: str) -> float | None:
-    found = re.search(r"(\d+[.,]?\d*)\s*%", text)
+    found = PERCENT.search(text)
     return float(found[1].replace(",", ".")) if found else None
 
 
+def _head(text: str, stop: str) -> str:
+    """What stands before the first of these characters, a digit or a percent sign."""
+    return re.split(f"[{re.escape(stop)}0-9%]", text, maxsplit=1)[0].strip()
+
+
 def label_items(text: str | None) -> list[dict]:
-    """Items of a label's ingredient list with name, detail, origin, percentage and sub-ingredients."""
-    if not text:
-        return []
-    text = re.sub(r"\s+", " ", text).strip()
-    text = re.sub(r"[,，\s]*(함유|포함|사용)\s*$", "", text)
-    text = re.sub(r"\[?알레르기\s*유발물질\s*[:]\s*[^\]]*\]?", "", text)
-    text = text.translate(str.maketrans("{}", "()"))
-    items = []
-    for raw in split_top(text, "(（[", ")）]"):
-        head = re.match(r"[^(（\[\d%]+", raw)
-        origin = re.search(r"[(（]([^)）]*산)[)）]", raw)
-        detail = first_bracket(raw, "(（[", ")）]")
-        subs = []
-        for part in detail.split(",") if "," in detail else ():
-            sub = re.match(r"[^(（\[\d%:]+", part.strip())
-            if sub and len(sub[0].strip()) >= 2 and not sub[0].strip().endswith("산"):
-                subs.append(sub[0].strip())
-        items.append({"name": head[0].strip() if head else raw, "detail": detail, "origin": origin[1] if origin else None, "percentage": _percent(raw), "raw": raw, "sub_ingredients": subs})
-    return items
+    """Items of a label's ingredient list with name, detail, origin, percentage and sub-ingredients.
+
+    The detail is what stands in an item's first bracket that closes. Its parts are sub-ingredients
+    if there are several: two characters or more, and no origin (ending in 산).
+    """
+    text = re.sub(r"[,，\s]*(함유|포함|사용)\s*$", "", " ".join((text or "").split()))
+    text = ALLERGEN_NOTE.sub("", text).translate(str.maketrans("{}", "()"))
+    out = []
+    for item, spans, is_open in items_with_brackets(text, OPENING, CLOSING):
+        closed = spans[: len(spans) - is_open]
+        detail = item[closed[0][0] + 1 : closed[0][1]] if closed else ""
+        parts = [_head(x.strip(), "(（[:") for x in detail.split(",")] if "," in detail else []
+        raw, origin = item.strip(), re.search(r"[(（]([^)）]*산)[)）]", item)
+        out.append({
+            "name": _head(raw, "(（[") or raw,
+            "detail": detail,
+            "origin": origin[1] if origin else None,
+            "percentage": _percent(raw),
+            "raw": raw,
+            "sub_ingredients": [x for x in parts if len(x) >= 2 and not x.endswith("산")],
+        })
+    return out
 
 
 def ingredient_tree(text: str | None) -> list[dict]:
-    """Items of a registered ingredient list; every bracket kind counts as round.
+    """Items of a registered ingredient list: name, raw (what stands in its bracket) and sub-ingredients.
 
-    What stands in an item's top brackets becomes its sub-ingredients, split at all commas; a
-    bracket in front of any name belongs to the next name; text after a bracket joins the name.
+    Curly, corner and full-width round brackets count as round, square ones as letters; allergen
+    and starred notes go first. A bracket holds the sub-ingredients of the name before it, split
+    at all commas; one without a name before it is text. What follows a bracket is an item of its
+    own. A bracket that stays open reaches to the end; its parts keep their percentages in the name.
     """
-    if not text:
-        return []
-    text = text.translate(str.maketrans("【】（）{}[]", "()()()()")).replace("，", ",")
-    items, pending = [], []
-    for raw in split_top(text, "(", ")"):
-        names, inner, depth, start = [], [], 0, 0
-        for i, ch in enumerate(raw):
-            if ch == "(":
-                if not depth:
-                    names.append(raw[start:i])
-                    start = i + 1
-                depth += 1
-            elif ch == ")" and depth:
-                depth -= 1
-                if not depth:
-                    inner.append(raw[start:i])
-                    start = i + 1
-        (inner if depth else names).append(raw[start:])
-        name = re.sub(r"\s+", " ", " ".join(n.strip() for n in names if n.strip()))
-        subs = [{"name": re.sub(r"\s*\d+[.,]?\d*\s*%", "", s).strip("() "), "percentage": _percent(s)} for part in inner for s in part.split(",")]
-        subs = [s for s in subs if s["name"]]
-        if not re.sub(r"\d+[.,]?\d*\s*%", "", name).strip():
-            pending += subs
-            continue
-        items.append({"name": re.sub(r"\s*\d+[.,]?\d*\s*%", "", name).strip(), "raw": raw, "sub_ingredients": pending + subs})
-        pending = []
-    if pending:
-        items.append({"name": pending[0]["name"], "raw": text.strip(), "sub_ingredients": pending[1:]})
-    return items
+    text = " ".join((text or "").split()).translate(str.maketrans("{}【】（）", "()()()"))
+    text = STARRED_NOTE.sub("", ALLERGEN_NOTE.sub("", text))
+    out = []
+    for item, spans, is_open in items_with_brackets(text, "(", ")"):
+        name, at = "", 0
+        for k, (first, end) in enumerate(spans):
+            name, inner, at = name + item[at:first], item[first + 1 : end], end + 1
+            still_open = is_open and k == len(spans) - 1
+            if not name.strip():
+                name += inner + ")" * (not still_open)
+                continue
+            parts = [p.strip() for p in inner.split(",") if p.strip()]
+            subs = [{"name": p, "percentage": None} if still_open else {"name": PERCENT.sub("", p, count=1).strip(), "percentage": _percent(p)} for p in parts]
+            if parts or not still_open:
+                out.append({"name": name.strip(), "raw": inner.strip(), "sub_ingredients": subs})
+            name = ""
+        name = (name + item[at:]).strip()
+        if name:
+            out.append({"name": name, "raw": "", "sub_ingredients": []})
+    return out
 
 
 def additives_of(items: list[dict], dictionary: list[tuple[str, str]]) -> list[dict]:
-    """Additives that items name: the whole name, else the first dictionary word in it; then all words in the detail."""
-    known, found, seen = dict(dictionary), [], set()
-
-    def add(name: str, raw: str, how: str) -> None:
-        seen.add(name)
-        found.append({"name": name, "category": known[name], "raw": raw, "match_type": how})
+    """Additives that items name, each once, where it comes first.
 
-    for item in items:
-        for name, source in [(item["name"], "main"), *((s, "sub") for s in item["sub_ingredients"])]:
-            name = name.strip()
-            if len(name) < 2 or name in seen:
-                continue
-            if name in known:
-                add(name, item["raw"], f"exact({source})")
-            elif word := next((w for w, _ in dictionary if w in name and w not in seen), None):
-                add(word, item["raw"], f"partial({source})")
-        for word, _ in dictionary:
-            if word in (item["detail"] or "") and word not in seen:
-                add(word, item["raw"], "detail_scan")
-    return found
+    Every name of an item claims one entry: itself, or else the first entry inside it that is not
+    found yet; then the item's detail claims all entries inside it. Names of one character claim none.
+    """
+    category, found = dict(dictionary), {}
+    claims = [
+        (item["raw"], how, options, many)
+        for item in items
+        for how, options, many in [
+            *((f"{kind}({place})", [name] if kind == "exact" else [w for w in category if w in name], False)
+              for place, name in [("main", item["name"].strip()), *(("sub", x.strip()) for x in item["sub_ingredients"])] if len(name) > 1
+              for kind in ["exact" if name in category else "partial"]),
+            ("detail_scan", [w for w in category if w in (item["detail"] or "")], True),
+        ]
+    ]
+    for raw, how, options, many in claims:
+        fresh = [w for w in options if w not in found]
+        found |= {w: (raw, how) for w in (fresh if many else fresh[:1])}
+    return [{"name": w, "category": category[w], "raw": raw, "match_type": how} for w, (raw, how) in found.items()]
 
 
 @F.pandas_udf(LABEL_ITEM)

@@ -19,13 +19,13 @@ def flatten_blocks(pages: DataFrame, key: str, blocks: str) -> DataFrame:
     return pages.select(key, F.array_join(F.transform(b, lambda x: x["text"]), "\n").alias("text"), mean.alias("confidence"))
 
 
-def analyze_labels(labels: DataFrame, dictionary: list[tuple[str, str]], corrections: list[tuple[str, str]] = ()) -> DataFrame:
+def analyze_labels(labels: DataFrame, dictionary: list[tuple[str, str]], corrections: list[tuple[str, str]] = (), most_characters: int | None = None) -> DataFrame:
     """labels (text, confidence, product_name, food_type, content_unit, total_content and others) with what the text says.
 
-    Adds label_text (capped and corrected), section, items, found_additives, allergens, the ten
+    Adds label_text (corrected; whole unless ``most_characters`` is given), section, items, found_additives, allergens, the ten
     nutrients, the scorer's columns, warnings and reject_reason. Null texts give empty results.
     """
-    text, _ = normalize.corrected(extract.capped(F.coalesce("text", F.lit(""))), list(corrections))
+    text, _ = normalize.corrected(extract.capped(F.coalesce("text", F.lit("")), most_characters), list(corrections))
     read = labels.withColumn("label_text", text).withColumn("section", extract.ingredient_section(F.col("label_text")))
     size, unit = extract.serving(F.col("label_text"))
     facts = extract.nutrients(F.col("label_text"))

@@ -48,16 +48,59 @@ def labels(spark: SparkSession) -> DataFrame:
 
 
 _NAMES = _values(NAMES, "id", "name", "maker")
-_DEEP = N._literal(N.PACKAGING_WORDS).replace("'", "''")
+# The SQL states its lists and characters itself, so a slip in the library's own shows.
+_BASIC = "lower(regexp_replace(coalesce({0}, ''), '[\\s()（）\\[\\]【】,，·•\\-_]+', '', 'g'))"
+_STRIPPED = "regexp_replace(regexp_replace(coalesce({0}, ''), '\\(주\\)|주식회사|㈜|유한회사|유한책임회사', '', 'g'), '\\s+', '', 'g')"
+_SIZE = "[0-9]+[.,]?[0-9]*\\s*(ml|l|g|kg|oz|리터|밀리리터|그램|킬로그램)"
+_PUNCTUATION = "[\\s()（）\\[\\]【】,，·•\\-_×x*+&/]+"
+_DEEP = f"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({{0}}, ''), '\\([^)]*\\)', '', 'g'), '{_SIZE}', '', 'gi'), '(페트|캔|파우치|컵|병|봉지|봉|팩|번들|기획|증정|리필|대용량|미니|멀티팩|세트|묶음|박스)', '', 'g'), '[0-9]+\\s*$', '', 'g'), '{_PUNCTUATION}', '', 'g'))"
+_APART = "\\b(페트|캔|파우치|컵|병|봉|봉지|팩|번들|기획|증정|리필|대용량|미니|소용량|멀티팩|세트|묶음|박스|입|개입|PET|CAN)\\b"
+_DEEP_WORDS = f"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({{0}}, ''), '\\([^)]*\\)|（[^）]*）|\\[[^\\]]*\\]|【[^】]*】', '', 'g'), '{_SIZE}', '', 'gi'), '\\s+[0-9]+[.,]?[0-9]*\\s*$', '', 'g'), '{_APART}', '', 'gi'), '{_PUNCTUATION}', '', 'g'))"
+_KEY = "lower(regexp_replace(coalesce({0}, ''), '\\s+', '', 'g'))"
 
+# Names for whole tables: each part's name between what names come with.
+BEFORE = ["", "[특가] ", "달콤 ", "（신제품）", "미니 파우치 ", "【한정】", "{a} ", "(행사) ", "대용량 ", "Pet ", "㈜"]
+BEHIND = ["", " 120g", " 1.5KG 2", " 3개입", " 355 ml x 24캔", " 봉지", " 1,5리터 병", " oz 3", " 2oz", "_PET_ can", " 12.5", "A팩B 세트C", " 500 밀리리터 페트", " (매운맛) 7 "]
+MAKERS = ["(주)", "주식회사 ", "유한책임회사", "", "농업회사법인 ", "㈜ "]
+BRANCHES = ["", " 제2공장", " 부산지점", " 주식회사", " 협동조합"]
 
-@query("norm_names", f"""SELECT CAST(id AS BIGINT) AS id,
-  lower(regexp_replace(coalesce(name, ''), '[\\s()\\[\\]{{}},，·•_\\-]+', '', 'g')) AS basic,
-  regexp_replace(regexp_replace(coalesce(maker, ''), '유한책임회사|주식회사|유한회사|\\(주\\)|㈜', '', 'g'), '\\s+', '', 'g') AS stripped,
-  lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(name, ''), '\\([^)]*\\)', '', 'g'), '[0-9]+([.,][0-9]+)?\\s*(kg|KG|Kg|ml|mL|ML|mg|MG|cc|CC|g|G|l|L)', '', 'g'), '{_DEEP}', '', 'g'), '[0-9]+\\s*$', '', 'g'), '[\\s()\\[\\]{{}},.，·•_\\-x×*+&/]+', '', 'g')) AS deep_form,
-  lower(regexp_replace(coalesce(name, ''), '\\s+', '', 'g')) AS key_form FROM {_NAMES}""")
+
+def _pick(words: list[str], n: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][CAST({n} AS INTEGER) % {len(words)} + 1]"
+
+
+_PART_NAMES = f"(SELECT p_partkey AS id, {_pick(BEFORE, 'p_partkey')} || p_name || {_pick(BEHIND, 'p_partkey')} AS name, {_pick(MAKERS, 'p_partkey')} || p_brand || {_pick(BRANCHES, 'p_partkey')} AS maker FROM part)"
+
+
+def part_names(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name, maker) of all parts, as products are named."""
+    pick = lambda words: F.array(*map(F.lit, words))[(F.col("p_partkey") % len(words)).cast("int")]
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(pick(BEFORE), "p_name", pick(BEHIND)).alias("name"), F.concat(pick(MAKERS), "p_brand", pick(BRANCHES)).alias("maker"))
+
+
+def _forms_sql(rows: str) -> str:
+    forms = {"basic": _BASIC.format("name"), "stripped": _STRIPPED.format("maker"), "deep_form": _DEEP.format("name"), "deep_apart": _DEEP_WORDS.format("name"), "key_form": _KEY.format("name")}
+    return f"SELECT CAST(id AS BIGINT) AS id, {', '.join(f'{sql} AS {name}' for name, sql in forms.items())} FROM {rows}"
+
+
+def _forms(rows: DataFrame) -> DataFrame:
+    return rows.select("id", N.product_name(F.col("name")).alias("basic"), N.strip_corporate(F.col("maker")).alias("stripped"), N.deep(F.col("name")).alias("deep_form"), N.deep_words(F.col("name")).alias("deep_apart"), N.key(F.col("name")).alias("key_form"))
+
+
+@query("norm_names", _forms_sql(_NAMES))
 def norm_names(spark, d):
-    return names(spark).select("id", N.product_name(F.col("name")).alias("basic"), N.strip_corporate(F.col("maker")).alias("stripped"), N.deep(F.col("name")).alias("deep_form"), N.key(F.col("name")).alias("key_form"))
+    return _forms(names(spark))
+
+
+@query("norm_names_all", _forms_sql(_PART_NAMES))
+def norm_names_all(spark, d):
+    return _forms(part_names(spark, d))
+
+
+@query("maker_norm_all", f"""SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(maker, '\\s*(유한책임회사|주식회사|유한회사|합자회사|합명회사|\\(주\\)|㈜)\\s*', '', 'g'), '사회적협동조합|농업회사법인|영농조합법인|협동조합', '', 'g'), '제?[0-9]+공장', '', 'g'), '[가-힣]+공장', '', 'g'), '[가-힣]+지점', '', 'g'), '[가-힣]+센터', '', 'g'), '\\s+', '', 'g')) AS maker_form,
+  lower(regexp_replace(regexp_replace(maker, '\\(주\\)|주식회사|㈜', '', 'g'), '\\s+', '', 'g')) AS simple_form FROM {_PART_NAMES}""")
+def maker_norm_all(spark, d):
+    return part_names(spark, d).select("id", N.maker(F.col("maker")).alias("maker_form"), N.manufacturer(F.col("maker")).alias("simple_form"))
 
 
 @query("maker_norm", "SELECT * FROM (VALUES (1, '푸른들식품', '푸른들식품'), (2, '푸른들식품', '푸른들식품'), (3, 'handrink', '유한회사handrink'), (4, '두레', '농업회사법인두레제2공장'), (5, '', ''), (6, '한끼', '한끼부산공장')) t(id, maker_form, simple_form)")
@@ -139,11 +182,12 @@ def composite_pairs(spark, d):
     return rows.select("n1", "m1", "n2", "m2", F.round(score, 6).alias("score"))
 
 
-@query("same_maker", "SELECT a.p_brand AS brand_a, b.p_brand AS brand_b, a.p_brand = b.p_brand OR contains(a.p_brand, b.p_brand) OR contains(b.p_brand, a.p_brand) AS same FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE 'Brand#1%') a JOIN (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE 'Brand#1%') b ON left(a.p_brand, 7) = left(b.p_brand, 7)")
+@query("same_maker", f"""WITH m AS (SELECT DISTINCT p_brand, regexp_replace(maker, '\\s+', '', 'g') AS maker FROM {_PART_NAMES.replace('AS id,', 'AS id, p_brand,')})
+  SELECT a.maker AS maker_a, b.maker AS maker_b, a.maker = b.maker OR contains(a.maker, b.maker) OR contains(b.maker, a.maker) AS same FROM m a JOIN m b USING (p_brand)""")
 def same_maker(spark, d):
-    b = table(spark, d, "part").where("p_brand LIKE 'Brand#1%'").select("p_brand").distinct().withColumn("k", F.substring("p_brand", 1, 7))
-    pairs = b.select("k", F.col("p_brand").alias("brand_a")).join(b.select("k", F.col("p_brand").alias("brand_b")), "k")
-    return pairs.select("brand_a", "brand_b", S.same_maker(F.col("brand_a"), F.col("brand_b")).alias("same"))
+    m = part_names(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand"), "id").select("p_brand", F.regexp_replace("maker", "\\s+", "").alias("maker")).distinct()
+    pairs = m.withColumnRenamed("maker", "maker_a").join(m.withColumnRenamed("maker", "maker_b"), "p_brand")
+    return pairs.select("maker_a", "maker_b", S.same_maker(F.col("maker_a"), F.col("maker_b")).alias("same"))
 
 
 @query("length_threshold", "SELECT DISTINCT p_name, CASE WHEN length(p_name) <= 8 THEN 0.8 ELSE 0.7 END AS threshold FROM part")
@@ -184,13 +228,47 @@ def label_items(spark, d):
     return items.select("id", "place", "item.name", "item.percentage", "item.origin", F.array_join("item.sub_ingredients", "|").alias("subs"))
 
 
-@query("ingredient_tree", "SELECT * FROM (VALUES (1, 0, '밀가루', '밀:미국산|호주산'), (1, 1, '설탕', ''), (1, 2, '팜유', '말레이시아산'), (1, 3, '혼합제제', '구연산|비타민C|탄산칼슘'), (1, 4, '정제소금 함유', ''), (2, 0, '대두', '국산'), (2, 1, '천일염', ''), (2, 2, '응고제', '염화마그네슘'), (3, 0, '소맥분', '밀:미국산'), (3, 1, '변성전분', ''), (3, 2, '면류첨가알칼리제', '산도조절제')) t(id, place, name, subs)")
+@query("ingredient_tree", "SELECT * FROM (VALUES (1, 0, '밀가루', '밀:미국산|호주산'), (1, 1, '설탕 12.5%', ''), (1, 2, '팜유', '말레이시아산'), (1, 3, '혼합제제', '구연산|비타민C|탄산칼슘'), (1, 4, '정제소금 함유', ''), (2, 0, '대두', '국산'), (2, 1, '98%', ''), (2, 2, '천일염', ''), (2, 3, '응고제', '염화마그네슘'), (3, 0, '소맥분', '밀:미국산'), (3, 1, '변성전분', ''), (3, 2, '면류첨가알칼리제', '산도조절제')) t(id, place, name, subs)")
 def ingredient_tree(spark, d):
     tree = labels(spark).select(F.col("id").cast("int").alias("id"), F.posexplode(P.parse_ingredient_tree(E.ingredient_section(F.col("label")))).alias("place", "item"))
     return tree.select("id", "place", "item.name", F.array_join(F.transform("item.sub_ingredients", lambda s: s["name"]), "|").alias("subs"))
 
 
-@query("ingredient_explode", "SELECT * FROM (VALUES (2, '대두'), (2, '국산'), (2, '천일염'), (2, '응고제'), (2, '염화마그네슘'), (3, '소맥분'), (3, '밀:미국산'), (3, '변성전분'), (3, '면류첨가알칼리제'), (3, '산도조절제')) t(id, name)")
+_LABEL = "p_name || ' (' || p_brand || ' ' || p_size || '%, ' || p_type || '{0}), 설탕 ' || p_size || '.5%, 분유[알레르기 유발물질: 우유], *표시* 소금' || CASE WHEN p_size % 3 = 0 THEN '(바다) 정제' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ', (산도조절제)' ELSE '' END"
+
+
+def part_labels(spark: SparkSession, d: str, inside: str = "") -> DataFrame:
+    """(id, label) of all parts: ingredient lists with brackets, shares and notes."""
+    size = F.col("p_size")
+    text = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(" "), size, F.lit("%, "), "p_type", F.lit(f"{inside}), 설탕 "), size, F.lit(".5%, 분유[알레르기 유발물질: 우유], *표시* 소금"), F.when(size % 3 == 0, "(바다) 정제").otherwise(""), F.when(size % 5 == 0, ", (산도조절제)").otherwise(""))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("label"))
+
+
+@query("ingredient_tree_all", """WITH r AS (SELECT p_partkey AS id, [{'name': p_name, 'subs': p_brand || '|' || p_type, 'share': CAST(p_size AS DOUBLE)}, {'name': '설탕 ' || p_size || '.5%', 'subs': '', 'share': NULL}, {'name': '분유', 'subs': '', 'share': NULL}] ||
+    CASE WHEN p_size % 3 = 0 THEN [{'name': '소금', 'subs': '바다', 'share': NULL}, {'name': '정제', 'subs': '', 'share': NULL}] ELSE [{'name': '소금', 'subs': '', 'share': NULL}] END || CASE WHEN p_size % 5 = 0 THEN [{'name': '산도조절제)', 'subs': '', 'share': NULL}] ELSE [] END AS items FROM part)
+  SELECT id, i - 1 AS place, items[i].name AS name, items[i].subs AS subs, items[i].share AS share FROM r, unnest(generate_series(1, len(items))) t(i)""")
+def ingredient_tree_all(spark, d):
+    # A note in square brackets goes with all that follows up to its end, so what stands behind it stays.
+    tree = part_labels(spark, d).select("id", F.posexplode(P.parse_ingredient_tree(F.col("label"))).alias("place", "item"))
+    return tree.select("id", F.col("place").cast("long").alias("place"), "item.name", F.array_join(F.transform("item.sub_ingredients", lambda s: s["name"]), "|").alias("subs"), F.get("item.sub_ingredients", F.lit(0))["percentage"].alias("share"))
+
+
+@query("label_items_all", """WITH r AS (SELECT p_partkey AS id, [{'name': p_name, 'detail': p_brand || ' ' || p_size || '%, ' || p_type, 'share': CAST(p_size AS DOUBLE), 'subs': regexp_extract(p_brand, '^[^0-9]+') || '|' || p_type}, {'name': '설탕', 'detail': '', 'share': p_size + 0.5, 'subs': ''}, {'name': '분유', 'detail': '', 'share': NULL, 'subs': ''}] ||
+    [{'name': '*표시* 소금', 'detail': CASE WHEN p_size % 3 = 0 THEN '바다' ELSE '' END, 'share': NULL, 'subs': ''}] || CASE WHEN p_size % 5 = 0 THEN [{'name': '(산도조절제)', 'detail': '산도조절제', 'share': NULL, 'subs': ''}] ELSE [] END AS items FROM part)
+  SELECT id, i - 1 AS place, items[i].name AS name, items[i].detail AS detail, items[i].share AS share, items[i].subs AS subs FROM r, unnest(generate_series(1, len(items))) t(i)""")
+def label_items_all(spark, d):
+    items = part_labels(spark, d).select("id", F.posexplode(P.parse_label_items(F.col("label"))).alias("place", "item"))
+    return items.select("id", F.col("place").cast("long").alias("place"), "item.name", "item.detail", F.col("item.percentage").alias("share"), F.array_join("item.sub_ingredients", "|").alias("subs"))
+
+
+@query("additives_all", """SELECT p_partkey AS id, name, category, match_type FROM part, LATERAL (SELECT '산도조절제' AS name, 'acid' AS category, 'exact(main)' AS match_type WHERE false UNION ALL
+  SELECT '비타민', 'vitamin', 'partial(sub)' UNION ALL SELECT '구연산', 'acid', 'detail_scan' UNION ALL SELECT '산도조절제', 'acid', 'partial(main)' WHERE p_size % 5 = 0)""")
+def additives_all(spark, d):
+    rows = part_labels(spark, d, ", 비타민C, 구연산").select("id", F.explode(P.identify_additives(DICTIONARY)(F.col("label"))).alias("a"))
+    return rows.select("id", "a.name", "a.category", "a.match_type")
+
+
+@query("ingredient_explode", "SELECT * FROM (VALUES (2, '대두'), (2, '국산'), (2, '98%'), (2, '천일염'), (2, '응고제'), (2, '염화마그네슘'), (3, '소맥분'), (3, '밀:미국산'), (3, '변성전분'), (3, '면류첨가알칼리제'), (3, '산도조절제')) t(id, name)")
 def ingredient_explode(spark, d):
     rows = labels(spark).where("id IN (2, 3)").select(F.col("id").cast("int").alias("id"), P.parse_ingredient_tree(E.ingredient_section(F.col("label"))).alias("tree"))
     return rows.select("id", F.explode(P.ingredient_names(F.col("tree"))).alias("name"))
@@ -218,6 +296,16 @@ def dict_containment(spark, d):
     return link.dictionary_hits(table(spark, d, "documents").select("doc_id", "text"), words, "doc_id", "text", "word")
 
 
+@query("dict_containment_all", """WITH w AS (SELECT DISTINCT substring(x, 1, 1 + length(x) % 7) AS w FROM (SELECT unnest(string_split(text, ' ')) AS x FROM benchmark UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part) WHERE x <> '')
+  SELECT p_partkey, w AS word FROM part, w WHERE contains(p_name || ' ' || p_type, w)""")
+def dict_containment_all(spark, d):
+    """A dictionary of thousands of words of one to seven characters, looked up in every part."""
+    p = table(spark, d, "part")
+    stems = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("x")).unionByName(p.select(F.explode(F.split("p_name", " ")).alias("x")))
+    words = stems.where("x != ''").select(F.substring("x", F.lit(1), 1 + F.length("x") % 7).alias("word")).distinct()
+    return link.dictionary_hits(p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), words, "p_partkey", "text", "word")
+
+
 @query("dict_exact_exploded", """SELECT n.w AS word, count(*) AS n, max(k.nation) AS nation FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) n
   JOIN (SELECT w, max_by(n_name, n_nationkey) AS nation FROM (SELECT ['red', 'blue', 'cold'][n_nationkey % 3 + 1] AS w, n_name, n_nationkey FROM nation) GROUP BY w) k ON n.w = k.w GROUP BY n.w""")
 def dict_exact_exploded(spark, d):
@@ -227,10 +315,11 @@ def dict_exact_exploded(spark, d):
     return link.exact_hits(found, entries, "word", "entry", F.col("n_nationkey")).groupBy("word").agg(F.count("*").alias("n"), F.max("nation").alias("nation"))
 
 
-@query("substring_join", "SELECT DISTINCT b.w AS needle, p.p_name AS hay FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) b JOIN (SELECT DISTINCT p_name FROM part) p ON contains(p.p_name, b.w) WHERE length(b.w) >= 3")
+@query("substring_join", "SELECT DISTINCT b.w AS needle, p.p_name AS hay FROM (SELECT DISTINCT unnest(string_split(p_name, ' ') || [substring(p_name, 2, 2), substring(p_name, 3, 1)]) AS w FROM part) b JOIN (SELECT DISTINCT p_name FROM part) p ON contains(p.p_name, b.w)")
 def substring_join(spark, d):
     p = table(spark, d, "part")
-    return link.substring_join(p.select(F.explode(F.split("p_name", " ")).alias("needle")), p.select(F.col("p_name").alias("hay")), "needle", "hay")
+    needles = F.concat(F.split("p_name", " "), F.array(F.substring("p_name", 2, 2), F.substring("p_name", 3, 1)))
+    return link.substring_join(p.select(F.explode(needles).alias("needle")), p.select(F.col("p_name").alias("hay")), "needle", "hay")
 
 
 @query("keyword_lookup_priority", """WITH k AS (SELECT unnest(['RING', 'bolt', 'unknown']) AS keyword)
