@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions import extract, normalize
@@ -96,7 +96,7 @@ def match_ingredients(products: DataFrame, staged: DataFrame, loose: bool = Fals
     p = products.select("product_id", F.trim("product_name").alias("pn"), normalize.maker(F.col("maker")).alias("pm"))
     s = staged.select("report_no", F.trim("name").alias("sn"), normalize.maker(F.col("maker")).alias("sm"))
     same = S.same_maker(F.col("pm"), F.col("sm"))
-    inside = link.substring_join(p.where(F.length("pn") >= 3), s, "pn", "sn")
+    inside = link.substring_join(p, s, "pn", "sn", shortest=3)
     one = p.join(inside, "pn").join(s, "sn").withColumn("sim", F.lit(1.0))
     passes = [link.top_then_filter(one, "product_id", [F.length("sn"), F.col("sn"), F.col("report_no")], same, 10)]
     distinct = [df.select(F.col(c).alias("txt")).distinct().withColumn(c, F.col("txt")) for df, c in ((p.where(F.length("pn") >= 3), "pn"), (s, "sn"))]
@@ -118,8 +118,10 @@ def substring_facts(products: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def match_rates(decisions: DataFrame) -> DataFrame:
-    """(status, n, rate) of a decision log."""
-    return decisions.groupBy("status").agg(F.count("*").alias("n")).withColumn("rate", F.round(F.col("n") * 100.0 / decisions.count(), 1))
+    """(status, n, rate) of a decision log, rate in percent of all decisions."""
+    counts = decisions.groupBy("status").agg(F.count("*").alias("n"))
+    # One row for each status, so one task takes the total.
+    return counts.withColumn("rate", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1))
 
 
 def additive_groups(links: DataFrame, additives: DataFrame, product: str, additive: str, name: str, color: str, rank: Column) -> DataFrame:

@@ -9,8 +9,10 @@ from labelmill.functions import similarity as S
 from labelmill.operators.dedup import first_per_group
 from labelmill.session import materialize
 
-#: Dictionaries up to so many bytes of keys are broadcast; larger ones are looked up by shuffles.
-BROADCAST_BYTES = 8 << 20
+#: A dictionary's automaton of up to so many bytes goes to every task; a larger one is looked up by shuffles.
+AUTOMATON_BYTES = 64 << 20
+#: What a character of a word takes in the automaton at most.
+NODE_BYTES = 100
 
 
 def trigram_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float, gram=S.trigrams, block: str | None = None) -> DataFrame:
@@ -25,44 +27,79 @@ def trigram_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     for df, key in ((left, left_key), (right, right_key)):
         cols = [F.col(key).alias("k"), gram(F.col(text)).alias("grams")] + ([F.col(block).alias("b")] if block else [F.lit(0).alias("b")])
         sides.append(df.select(*cols).where((F.size("grams") > 0) & F.col("b").isNotNull()))
-    count = sides[0].unionByName(sides[1]).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    # A table of its own, so that AQE can split the rows of a hot trigram in the join.
+    count = materialize(sides[0].unionByName(sides[1]).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")), "grams")
     prefixes = []
     for side in sides:
         each = side.select("k", "b", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(count, "g")
         ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("n", "g")))
-        prefixes.append(ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("k", "b", "size", "g"))
-    a, b = (p.select(F.col("k").alias(f"k{x}"), F.col("size").alias(f"size{x}"), "b", "g") for x, p in zip("lr", prefixes))
+        prefixes.append(ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("k", "b", "size", "g", "r"))
+    a, b = (p.select(F.col("k").alias(f"k{x}"), F.col("size").alias(f"size{x}"), "b", "g", F.col("r").alias(f"r{x}")) for x, p in zip("lr", prefixes))
     fits = (F.least("sizel", "sizer") >= F.greatest("sizel", "sizer") * threshold - 1e-9)
-    pairs = a.join(b, ["b", "g"]).where(fits).select("kl", "kr", "b").distinct()
+    # From the first shared trigram on, so many can be shared at most; the threshold asks for this many.
+    left_over = 1 + F.least(F.col("sizel") - F.col("rl"), F.col("sizer") - F.col("rr"))
+    reaches = left_over * (1 + threshold) >= (F.col("sizel") + F.col("sizer")) * threshold - 1e-6
+    pairs = a.join(b, ["b", "g"]).where(fits & reaches).select("kl", "kr", "b").distinct()
     whole = pairs.join(sides[0].select(F.col("k").alias("kl"), "b", F.col("grams").alias("gl")), ["kl", "b"]).join(sides[1].select(F.col("k").alias("kr"), "b", F.col("grams").alias("gr")), ["kr", "b"])
     scored = whole.select(F.col("kl").alias(left_key), F.col("kr").alias(right_key), S.jaccard(F.col("gl"), F.col("gr")).alias("sim"))
     return scored.where(F.col("sim") >= threshold)
 
 
-def substring_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str) -> DataFrame:
-    """(needle, haystack) of distinct texts where one is inside the other, at least 3 characters long.
+def _grams(c: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size))))
 
-    Each needle looks only at haystacks that hold its rarest trigram.
+
+def substring_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str, shortest: int = 1) -> DataFrame:
+    """(needle, haystack) of distinct texts where one is inside the other.
+
+    Each needle looks only at haystacks that hold its rarest trigram; a needle of one or two
+    characters at those that hold it among their single characters or pairs. Needles have
+    ``shortest`` characters at least; with 3 the short ones are not looked for. Empty ones and nulls match nothing.
     """
-    cut = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    n = needles.select(F.col(needle).alias("n")).where(F.length("n") >= 3).distinct()
-    h = haystacks.select(F.col(haystack).alias("h")).where(F.length("h") >= 3).distinct()
-    held = h.select("h", F.explode(cut(F.col("h"))).alias("g"))
-    count = held.groupBy("g").agg(F.count("*").alias("c"))
-    asked = n.select("n", F.explode(cut(F.col("n"))).alias("g")).join(count, "g", "left").groupBy("n").agg(F.min_by("g", F.struct(F.coalesce("c", F.lit(0)), "g")).alias("g"))
-    return asked.join(held, "g").where(F.contains("h", F.col("n"))).select(F.col("n").alias(needle), F.col("h").alias(haystack))
+    n = needles.select(F.col(needle).alias("n")).where(F.length("n") >= shortest).distinct()
+    h = haystacks.select(F.col(haystack).alias("h")).where(F.length("h") >= shortest).distinct()
+    held = h.where(F.length("h") >= 3).select("h", F.explode(_grams(F.col("h"), 3)).alias("g"))
+    # A table of its own, so that AQE can split the rows of a hot trigram in the join.
+    count = materialize(held.groupBy("g").agg(F.count("*").alias("c")), "grams")
+    asked = n.where(F.length("n") >= 3).select("n", F.explode(_grams(F.col("n"), 3)).alias("g")).join(count, "g", "left").groupBy("n").agg(F.min_by("g", F.struct(F.coalesce("c", F.lit(0)), "g")).alias("g"))
+    found = materialize(asked, "asked").join(held, "g").where(F.contains("h", F.col("n"))).select("n", "h")
+    for size in range(max(1, shortest), 3):
+        short = n.where(F.length("n") == size)
+        found = found.unionByName(short.join(h.where(F.length("h") >= size).select("h", F.explode(_grams(F.col("h"), size)).alias("n")), "n").select("n", "h"))
+    return found.select(F.col("n").alias(needle), F.col("h").alias(haystack))
 
 
 def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str, text: str, word: str) -> DataFrame:
-    """(key, word) of every dictionary word inside a text. A dictionary within BROADCAST_BYTES is
-    read once and checked beside each text; a larger one is joined on the words' rarest trigrams."""
-    size = dictionary.agg(F.coalesce(F.sum(F.octet_length(word) + 16), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        words = [r[0] for r in dictionary.select(word).where(f"{word} != ''").distinct().collect()]
-        found = F.filter(F.array(*(F.lit(w) for w in words)).cast("array<string>"), lambda w: F.contains(F.col(text), w))
-        return texts.select(key, F.explode(found).alias(word))
-    pairs = substring_join(dictionary, texts, word, text)
-    return texts.select(key, text).join(pairs, text).select(key, word)
+    """(key, word) of every dictionary word inside a text; each word once for a row of texts.
+
+    A dictionary whose automaton is within AUTOMATON_BYTES goes to every task, which reads each
+    text once; a larger one is joined on the words' trigrams, short words on themselves. Both
+    give the same. Null and empty words and texts match nothing.
+    """
+    words = dictionary.select(F.col(word).cast("string").alias("w")).where("w != ''").distinct()
+    size = words.agg(F.coalesce(F.sum(F.length("w").cast("long") * NODE_BYTES), F.lit(0))).first()[0]
+    if size > AUTOMATON_BYTES:
+        pairs = substring_join(words, texts.select(F.col(text).alias("t")), "w", "t")
+        return texts.select(key, F.col(text).alias("t")).join(pairs, "t").select(key, F.col("w").alias(word))
+    stated = [r[0] for r in words.collect()]
+
+    def work(batches):
+        import ahocorasick
+        import numpy as np
+        import pyarrow as pa
+
+        found = ahocorasick.Automaton()
+        for w in stated:
+            found.add_word(w, w)
+        if stated:
+            found.make_automaton()
+        for batch in batches:
+            hits = [sorted({w for _, w in found.iter(t)}) if t and stated else [] for t in batch.column(1).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(hits)), [len(x) for x in hits]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([w for x in hits for w in x], pa.string())], names=["k", "w"])
+
+    rows = texts.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, w string").select(F.col("k").alias(key), F.col("w").alias(word))
 
 
 def exact_hits(names: DataFrame, dictionary: DataFrame, name_key: str, entry_key: str, order: Column) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.functions import normalize as N
-from labelmill.operators import dedup, link, quality, rules, score, search
+from labelmill.functions import similarity as S
+from labelmill.operators import dedup, enrich, link, quality, rules, score, search
 from labelmill.plans.registry import query
+from labelmill.plans.texts import part_names
 from labelmill.session import table
 
 TYPE_RULES = [("alcohol", ["PROMO"]), ("beverage", ["SMALL"]), ("dried", ["ECONOMY"])]
@@ -19,10 +21,9 @@ _FACTS = """SELECT p_partkey, p_name, p_type, p_size, calories, sodium, sugars,
   FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey) ON l_partkey = p_partkey"""
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Nutrients of parts: aggregates of their lines."""
-    lines = table(spark, d, "lineitem").where("l_partkey % 7 <> 0")
-    return lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+def fact_columns() -> list[Column]:
+    """Nutrients of a part as aggregates of its lines."""
+    return [
         (F.sum("l_extendedprice") / 1000).alias("calories"),
         (F.min("l_extendedprice") / 40).alias("sodium"),
         F.avg("l_quantity").alias("sugars"),
@@ -32,7 +33,12 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
         F.min("l_quantity").alias("protein"),
         (F.count("*") * 0.5).alias("fiber"),
         F.when(F.max("l_discount") > 0.09, 0.6).when(F.max("l_discount") > 0.08, 0.0).alias("trans_fat"),
-    )
+    ]
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """Nutrients of parts: aggregates of their lines."""
+    return table(spark, d, "lineitem").where("l_partkey % 7 <> 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(*fact_columns())
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
@@ -161,9 +167,11 @@ def nutrient_sources(spark, d):
 @query("product_card", f"""WITH t AS ({_traffic_sql()}), s AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS total FROM lineitem GROUP BY l_partkey)
   SELECT t.p_partkey, food_category, sodium_rank, coalesce(total, 0) AS n_additives FROM t LEFT JOIN s ON l_partkey = p_partkey""")
 def product_card(spark, d):
-    links = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.countDistinct("l_suppkey").alias("total"))
-    joined = products(spark, d).join(facts(spark, d), "p_partkey", "left").join(links, "p_partkey", "left")
-    out = score.evaluate(joined, _category())
+    """Facts and additives of a part come from its lines in one aggregation."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(*fact_columns(), F.countDistinct("l_suppkey").alias("total"))
+    known = F.col("p_partkey") % 7 != 0
+    lines = lines.select("p_partkey", "total", *(F.when(known, F.col(c)).alias(c) for c in lines.columns if c not in ("p_partkey", "total")))
+    out = score.evaluate(products(spark, d).join(lines, "p_partkey", "left"), _category())
     return out.select("p_partkey", "food_category", score.color_rank(F.col("sodium_color")).alias("sodium_rank"), F.coalesce("total", F.lit(0)).alias("n_additives"))
 
 
@@ -181,13 +189,19 @@ def match_topk_then_filter(spark, d):
     return link.top_then_filter(pairs, "src", [F.col("sim").desc(), F.col("dst")], F.col("dst") % 2 == 0)
 
 
-@query("match_cascade", """WITH p AS (SELECT p_partkey AS src, p_name AS t, p_brand AS b FROM part WHERE p_partkey % 5 = 0), s AS (SELECT p_partkey AS dst, p_name AS u, p_brand AS b FROM part WHERE p_partkey % 5 = 1),
+_OTHER = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN p_name || ' 120g' ELSE p_name END"
+
+
+@query("match_cascade", f"""WITH p AS (SELECT p_partkey AS src, p_name AS t, p_brand AS b FROM part), s AS (SELECT p_partkey AS dst, {_OTHER} AS u, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS b FROM part),
   c AS (SELECT src, min(dst) AS dst, 1 AS pass_no FROM p JOIN s ON t = u AND p.b = s.b GROUP BY src UNION ALL SELECT src, min(dst), 2 FROM p JOIN s ON t = u GROUP BY src UNION ALL SELECT src, min(dst), 3 FROM p JOIN s ON string_split(t, ' ')[1] = string_split(u, ' ')[1] GROUP BY src)
   SELECT src, dst, pass_no FROM c QUALIFY row_number() OVER (PARTITION BY src ORDER BY pass_no) = 1""")
 def match_cascade(spark, d):
+    """Every part against a copy of all parts whose names and brands are changed here and there."""
     part = table(spark, d, "part")
-    p = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("src"), "p_name", "p_brand", F.split("p_name", " ")[0].alias("head"))
-    s = part.where("p_partkey % 5 = 1").select(F.col("p_partkey").alias("dst"), "p_name", "p_brand", F.split("p_name", " ")[0].alias("head"))
+    key, name = F.col("p_partkey"), F.col("p_name")
+    p = part.select(key.alias("src"), "p_name", "p_brand", F.split("p_name", " ")[0].alias("head"))
+    other = F.when(key % 4 == 1, F.upper(name)).when(key % 4 == 2, F.concat(name, F.lit(" 120g"))).otherwise(name)
+    s = part.select(key.alias("dst"), other.alias("p_name"), F.when(key % 3 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("p_brand")).withColumn("head", F.split("p_name", " ")[0])
 
     def found(keys):
         # Only the smallest partner of each key can win, so the right side is reduced first.
@@ -242,12 +256,44 @@ def blind_test_grade(spark, d):
     return out.withColumn("grade", quality.grade(F.col("clean_ratio")))
 
 
-@query("synonym_candidates", f"""WITH n AS (SELECT p_name, count(*) AS c FROM part GROUP BY p_name ORDER BY c DESC, p_name LIMIT 10), a AS (SELECT p_name AS t, {_G.format('p_name')} AS s FROM n), x AS (SELECT DISTINCT p_name AS u, {_G.format('p_name')} AS s FROM part),
-  c AS (SELECT t AS name, u AS candidate, {_J.format('a.s', 'x.s')} AS sim FROM a, x WHERE {_J.format('a.s', 'x.s')} >= 0.3 AND NOT contains(t, u) AND NOT contains(u, t)) SELECT name, candidate FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY sim DESC, candidate) <= 10""")
+_WORD_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9가-힣]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query("synonym_candidates", f"""WITH n AS (SELECT p_name || ' ' || p_type AS m, count(*) AS c FROM part GROUP BY 1 ORDER BY c DESC, m LIMIT 50), a AS (SELECT m AS t, {_WORD_GRAMS.format('m')} AS s FROM n), x AS (SELECT u, {_WORD_GRAMS.format('u')} AS s FROM (SELECT DISTINCT p_name || ' ' || p_brand AS u FROM part UNION SELECT DISTINCT p_name FROM part)),
+  c AS (SELECT t AS name, u AS candidate, {_J.format('a.s', 'x.s')} AS sim FROM a, x WHERE {_J.format('a.s', 'x.s')} >= 0.3) SELECT name, candidate FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sim DESC, candidate) AS r FROM c) WHERE r <= 10 AND NOT contains(name, candidate) AND NOT contains(candidate, name)""")
 def synonym_candidates(spark, d):
+    """For the 50 commonest names the ten most alike ones by words' trigrams, without those that hold each other."""
     part = table(spark, d, "part")
-    top = quality.frequency(part, "p_name").orderBy(F.col("n").desc(), "p_name").limit(10).select("p_name", F.col("p_name").alias("name"))
-    every = part.select("p_name").distinct().select("p_name", F.col("p_name").alias("candidate"))
-    pairs = link.trigram_join(top, every, "name", "candidate", "p_name", 0.3)
-    rest = pairs.where(~F.contains("name", F.col("candidate")) & ~F.contains("candidate", F.col("name")))
-    return dedup.first_per_group(rest, ["name"], [F.col("sim").desc(), F.col("candidate")], 10).select("name", "candidate")
+    top = quality.frequency(part.select(F.concat_ws(" ", "p_name", "p_type").alias("m")), "m").orderBy(F.col("n").desc(), "m").limit(50).select("m", F.col("m").alias("name"))
+    every = part.select(F.concat_ws(" ", "p_name", "p_brand").alias("m")).union(part.select("p_name")).distinct().select("m", F.col("m").alias("candidate"))
+    pairs = link.trigram_join(top, every, "name", "candidate", "m", 0.3, gram=S.word_trigrams)
+    best = dedup.first_per_group(pairs, ["name"], [F.col("sim").desc(), F.col("candidate")], 10)
+    return best.where(~F.contains("name", F.col("candidate")) & ~F.contains("candidate", F.col("name"))).select("name", "candidate")
+
+
+def _both_sides(spark, d):
+    """All parts as products and, named otherwise, as facts."""
+    rows = part_names(spark, d)
+    other = F.concat(F.regexp_replace("name", "^(\\[특가\\]|달콤|미니 파우치) *", ""), F.when(F.col("id") % 3 == 0, " 특").otherwise(""))
+    return rows, rows.select((F.col("id") + 1_000_000).alias("id"), other.alias("name"), "maker")
+
+
+@query("merge_parts_all")
+def merge_parts_all(spark, d):
+    """Every part as a product against every part as a fact, on distinct names and makers; greedy in order, so without SQL."""
+    left, right = (df.groupBy("name", "maker").agg(F.min("id").alias(k)).select(k, F.col("name").alias("product_name"), F.col("maker").alias("manufacturer")) for df, k in zip(_both_sides(spark, d), ("left_id", "right_id")))
+    return link.outer_parts(left, right, link.merge_datasets(left, right, 0.8), "left_id", "right_id")
+
+
+@query("fuzzy_decisions_all")
+def fuzzy_decisions_all(spark, d):
+    """The same by names inside a maker, with thresholds for lengths and unit families."""
+    sides = (df.select("id", F.col("name").alias("product_name"), N.product_name(F.col("name")).alias("normalized_name"), N.strip_corporate(F.col("maker")).alias("normalized_maker")) for df in _both_sides(spark, d))
+    products, facts = (df.groupBy("product_name", "normalized_name", "normalized_maker").agg(F.min("id").alias(k)) for df, k in zip(sides, ("product_id", "fact_id")))
+    return link.fuzzy_facts(products, facts)[1]
+
+
+@query("match_rates", "WITH s AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'matched' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'pooled' END AS status FROM orders) SELECT status, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM s), 1) AS rate FROM s GROUP BY status")
+def match_rates(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "matched").when(F.col("o_orderstatus") == "P", "rejected").otherwise("pooled")
+    return enrich.match_rates(table(spark, d, "orders").select(status.alias("status")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators import admin, enrich, labels, search
 from labelmill.plans.registry import query
+from labelmill.plans.scoring import _both_sides
 from labelmill.plans.texts import DICTIONARY, LABELS
 from labelmill.session import table
 
@@ -64,6 +65,24 @@ def match_ingredients_passes(spark, d):
     return enrich.match_ingredients(products, staged, loose=True).select("product_id", "report_no", "pass_no")
 
 
+@query("match_facts_all")
+def match_facts_all(spark, d):
+    """All parts as products against all parts, named otherwise, as facts, in three passes."""
+    products, facts = _both_sides(spark, d)
+    official = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("report_no"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    products = products.select(F.col("id").alias("product_id"), F.col("id").cast("string").alias("report_no"), F.col("name").alias("product_name"), "maker")
+    facts = facts.groupBy("name", "maker").agg(F.min("id").alias("fact_id")).select("fact_id", F.col("name").alias("product_name"), "maker")
+    return enrich.match_facts(products, facts, official)[0].select("product_id", "fact_id", "pass_no")
+
+
+@query("match_ingredients_all")
+def match_ingredients_all(spark, d):
+    """All parts as products against the distinct names and makers of all parts as staged lists."""
+    products, staged = _both_sides(spark, d)
+    staged = staged.groupBy("name", "maker").agg(F.min("id").cast("string").alias("report_no"))
+    return enrich.match_ingredients(products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "maker"), staged, loose=True).select("product_id", "report_no", "pass_no")
+
+
 @query("substring_facts", "SELECT * FROM (VALUES (11, 1), (12, 2)) t(fact_id, product_id)")
 def substring_facts(spark, d):
     products = spark.createDataFrame([(1, "red apple chips"), (2, "green apple chips"), (3, "cola")], "product_id int, product_name string")
