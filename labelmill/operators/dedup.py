@@ -15,8 +15,10 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column], null_keys: str
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    keep = (F.col("rank_in_key") == 1) if null_keys == "collapse" else (F.col("rank_in_key") == 1) | ~whole
-    return df.withColumn("rank_in_key", rank).where(keep).drop("rank_in_key")
+    ranked = df if null_keys == "collapse" else df.where(whole)
+    # A plain limit on the rank lets each task drop rows of a hot key before they are shuffled.
+    first = ranked.withColumn("rank_in_key", rank).where("rank_in_key = 1").drop("rank_in_key")
+    return first if null_keys == "collapse" else first.unionByName(df.where(~whole))
 
 
 def keep_latest(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:

@@ -40,7 +40,8 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is set.
+    Only on one machine, as in tests, a temporary folder is made where it is not set. A cluster
+    must name one: its machines don't share such a folder, and rows would be lost.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
@@ -48,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="labelmill-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)

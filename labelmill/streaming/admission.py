@@ -41,9 +41,10 @@ def accepted_first(events: DataFrame, keys: list[str], at: str, order: str, seco
     key's events are gathered. Unknown times are never accepted.
     """
     gap = seconds * 1_000_000
-    named = events.select(F.xxhash64(*keys).alias("fold_key"), *(F.col(k).cast("string").alias(f"fold_{i}") for i, k in enumerate(keys)), F.unix_micros(F.col(at).cast("timestamp")).alias("fold_at"), F.col(order).alias("fold_order"))
-    parts = [f"fold_{i}" for i in range(len(keys))]
-    rows = named.where("fold_at IS NOT NULL").repartition("fold_key").sortWithinPartitions("fold_key", *parts, "fold_at", "fold_order")
+    n, parts = len(events.columns), [f"p{i}" for i in range(len(keys))]
+    # By place: a column of events may have any name.
+    named = events.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(events.columns)), F.xxhash64(*keys).alias("h"), *(F.col(k).cast("string").alias(x) for k, x in zip(keys, parts)), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(order).alias("o"))
+    rows = named.where("t IS NOT NULL").repartition("h").sortWithinPartitions("h", *parts, "t", "o")
 
     def work(batches):
         import pyarrow as pa
@@ -51,16 +52,16 @@ def accepted_first(events: DataFrame, keys: list[str], at: str, order: str, seco
         key, last = None, 0
         for batch in batches:
             keep = []
-            for *here, t in zip(*(batch.column(i).to_pylist() for i in range(len(parts) + 1)), batch.column(len(parts) + 1).to_pylist()):
-                if here != key or t - last >= gap:
+            for *here, t in zip(*(batch.column(n + 1 + i).to_pylist() for i in range(len(parts) + 1))):
+                new = here != key or t - last >= gap
+                keep.append(new)
+                if new:
                     key, last = here, t
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield batch.select([len(parts) + 2]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(keep, pa.bool_())], names=[*(f"c{i}" for i in range(n)), "accepted"])
 
-    kept = rows.select("fold_key", *parts, "fold_at", "fold_order").mapInArrow(work, f"fold_order {dict(events.dtypes)[order]}").withColumn("accepted", F.lit(True))
-    return events.join(kept, events[order] == kept["fold_order"], "left").select(*[events[c] for c in events.columns], F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(events.schema)) + ", accepted boolean"
+    folded = rows.mapInArrow(work, schema).unionByName(named.where("t IS NULL").select(*(f"c{i}" for i in range(n)), F.lit(False).alias("accepted")))
+    return folded.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(events.columns)), "accepted")
 
 
 def reports_in(events: DataFrame, key: str, at: str, seconds: int = MONTH, least: int = REPORTS) -> DataFrame:
