@@ -162,10 +162,10 @@ def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> Da
     near = materialize(near, "near")
     many = materialize(near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "partners")
     pairs = materialize(near.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "pairs")
-    text = texts.select("rep", "text")
-    hubs = pairs.select("a", "block").distinct().join(text, F.col("a") == F.col("rep")).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
-    others = pairs.join(text, F.col("b") == F.col("rep")).select("a", "block", "b", "text")
-    rows = hubs.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", "b")
+    # The hub's row has no b and so comes first; one join brings the texts of both kinds of row.
+    hubs = pairs.select(F.col("a").alias("rep"), "a", "block", F.lit(None).cast("long").alias("b")).distinct()
+    wanted = hubs.unionByName(pairs.select(F.col("b").alias("rep"), "a", "block", "b"))
+    rows = wanted.join(texts.select("rep", "text"), "rep").select("a", "block", "b", "text").repartition("a", "block").sortWithinPartitions("a", "block", "b")
 
     def work(batches):
         # The sets of a; repeated rows of one doc_id may have several texts.
