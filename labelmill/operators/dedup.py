@@ -55,6 +55,14 @@ def patch(target: DataFrame, changes: DataFrame, key: str, columns: list[str], o
     return joined.select(*(pick(c).alias(c) if c in columns else F.col(c) for c in target.columns))
 
 
+def cleared(df: DataFrame, **values) -> DataFrame:
+    """df without the rows that have all of these values, so that a step can be run again; null is unequal."""
+    same = F.lit(True)
+    for name, value in values.items():
+        same = same & F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+    return df.where(~same)
+
+
 def missing_keys(wanted: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of ``wanted`` that ``staged`` lacks."""
     return wanted.select(*keys).distinct().join(staged.select(*keys), keys, "left_anti")

@@ -51,13 +51,78 @@ def variants(df: DataFrame, raw: str, normal: Column, most: int = 50) -> DataFra
 
 
 def keyword_lookup(keywords: DataFrame, items: DataFrame, name: str, order: list[Column]) -> DataFrame:
-    """For each keyword of (keyword) the first item by ``order`` whose name holds it; none gives nulls.
+    """For each keyword of (keyword) the first item by ``order`` whose name holds it, whatever the case; none gives nulls.
 
-    Keywords are a stated list; each is looked up beside the items, and only its best item is kept.
+    Keywords are found by ``link.dictionary_hits`` in the distinct names, so any number will do.
     """
-    words = F.array(*(F.lit(r[0]) for r in keywords.select("keyword").distinct().collect()))
-    found = items.withColumn("keyword", F.explode(F.filter(words, lambda w: F.contains(F.lower(F.col(name)), F.lower(w)))))
-    return keywords.join(first_per_group(found, ["keyword"], order, 1, "rank").drop("rank"), "keyword", "left")
+    from labelmill.operators import link
+
+    low = F.lower(F.col(name))
+    names = items.select(low.alias("low_name"), low.alias("low_text")).where("low_name IS NOT NULL").distinct()
+    hits = link.dictionary_hits(names, keywords.select(F.lower("keyword").alias("low_word")), "low_name", "low_text", "low_word")
+    found = items.withColumn("low_name", low).join(hits, "low_name")
+    best = first_per_group(found, ["low_word"], order, 1, "rank").drop("rank", "low_name")
+    return keywords.withColumn("low_word", F.lower("keyword")).join(best, "low_word", "left").drop("low_word")
+
+
+def keyword_sources(keywords: DataFrame, first: DataFrame, second: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """(keyword, first_name, second_name, found_in): the best item of each source that holds a keyword, and
+    whether 'both', only the 'first', only the 'second' or 'neither' has one."""
+    sides = [keyword_lookup(keywords.distinct(), df, name, order).select("keyword", F.col(name).alias(new)) for df, new in ((first, "first_name"), (second, "second_name"))]
+    a, b = F.col("first_name").isNotNull(), F.col("second_name").isNotNull()
+    found = F.when(a & b, "both").when(a, "first").when(b, "second").otherwise("neither")
+    return sides[0].join(sides[1], "keyword").withColumn("found_in", found)
+
+
+def keyword_coverage(keywords: DataFrame, items: DataFrame, name: str, active: Column, filled: Column, key: str) -> DataFrame:
+    """keyword_lookup over active items, and over all where none is active: those with facts first, then short names."""
+    return keyword_lookup(keywords, items, name, [active.cast("int").desc(), filled.cast("int").desc(), F.length(name), F.col(key)])
+
+
+def anomaly_tops(df: DataFrame, key: str, kinds: dict[str, tuple[Column, Column]], most: int = 10) -> DataFrame:
+    """(kind, key, value) of the ``most`` highest values of each kind, a pair of (condition, value), among rows that meet it."""
+    rows = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(kind).alias("kind"), value.cast("double").alias("value"))) for kind, (cond, value) in kinds.items())))
+    found = df.select(key, F.explode(rows).alias("r")).select("r.kind", key, "r.value")
+    return first_per_group(found, ["kind"], [F.col("value").desc(), F.col(key)], most, "rank").drop("rank")
+
+
+def product_checks(df: DataFrame, compared: int | None = 50) -> DataFrame:
+    """df with a mark for each of five checks, the issues found, and is_clean (no issue).
+
+    df has raw_text, registered_text, additives (array of names), has_facts, sodium, calories,
+    serving, fat, carbs, protein, is_excluded, judged (colours that could be given), category
+    (stored) and detected. Marks: O fine, △ doubtful, X missing or wrong, - not applicable, ?
+    unknown. Ingredient texts are compared on their first ``compared`` characters (None: all).
+    """
+    from labelmill.functions import normalize
+
+    head = lambda c: F.trim(F.coalesce(F.col(c) if compared is None else F.substring(c, 1, compared), F.lit("")))
+    text = normalize.folded_key(F.col("raw_text"))
+    unread = F.filter(F.coalesce("additives", F.array().cast("array<string>")), lambda a: (text != "") & (normalize.folded_key(a) != "") & ~F.contains(text, normalize.folded_key(a)))
+    df = df.withColumn("unread", unread)
+    has_text, zero = F.col("raw_text").isNotNull(), F.lit(0.0)
+    mass = F.coalesce("fat", zero) + F.coalesce("carbs", zero) + F.coalesce("protein", zero)
+    odd = {"sodium": F.col("sodium") > 10000, "calories_low": F.col("calories") <= 0, "calories_high": F.col("calories") > 2000, "mass": (F.col("serving") > 0) & (mass > F.col("serving") * 1.1) & (mass > 10)}
+    facts = F.coalesce("has_facts", F.lit(False))
+    anomalies = F.when(facts, F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in odd.items())))).otherwise(F.array().cast("array<string>"))
+    stored = F.coalesce("category", F.lit("general"))
+    fits, vague = F.col("detected") == stored, stored == "general"
+    mark = lambda c: F.when(c, F.lit("O"))
+    checks = {
+        "ingredients": mark(has_text).otherwise("X"),
+        "additives_check": F.when(F.size("unread") > 0, "△").when(F.size("additives") > 0, "O").otherwise("-"),
+        "nutrition": F.when(~facts, "X").when(F.size(anomalies) > 0, "△").otherwise("O"),
+        "traffic_light": F.when(~facts | F.coalesce("is_excluded", F.lit(False)), "-").when(F.col("judged") > 0, "O").otherwise("?"),
+        "category_check": mark(fits).when(vague, "△").otherwise("X"),
+    }
+    issues = [
+        F.when(~has_text, F.lit("no_ingredients")).when((head("raw_text") != "") & (head("registered_text") != "") & (head("raw_text") != head("registered_text")), F.lit("registered_text_differs")),
+        F.when(F.size("unread") > 0, F.concat(F.lit("additives_not_in_text:"), F.size("unread").cast("string"))),
+        F.when(~facts, F.lit("no_nutrition")).when(F.size(anomalies) > 0, F.concat(F.lit("anomaly:"), F.array_join(anomalies, ";"))),
+        F.when(~fits, F.concat(F.lit("category:"), stored, F.lit(">"), F.col("detected"))),
+    ]
+    out = df.withColumns(checks | {"issues": F.array_compact(F.array(*issues))})
+    return out.withColumn("is_clean", F.size("issues") == 0).drop("unread")
 
 
 def longest_prefix(df: DataFrame, text: str, words: list[str]) -> Column:

@@ -73,6 +73,29 @@ CONTEXT_LABELS = {
 }
 CONTEXT_EXCLUDED = ("alcohol", "health_functional", "raw_ingredient")
 
+# What is said of a context category (id, icon, title, body), of a scored product, and of a printed zero.
+CONTEXT_MESSAGES = {
+    "beverage": ("beverage_per_100ml", "🥤", "음료 안내", "100mL 기준으로 평가됩니다."),
+    "fermented": ("fermented_sodium_context", "🥬", "발효식품 맥락", "발효식품은 나트륨이 높으나 유산균과 식이섬유가 풍부합니다."),
+    "dried": ("dried_per_serving_only", "🍂", "건조식품 안내", "건조식품으로 100g당 수치가 높게 표시됩니다. 1회 제공량 기준만 적용했습니다."),
+    "nuts": ("nuts_healthy_fat", "🥜", "견과류 맥락", "지방이 높지만 불포화지방산이 풍부한 건강한 지방입니다."),
+    "dairy": ("dairy_calcium", "🥛", "유제품 맥락", "포화지방이 있으나 칼슘과 단백질의 주요 공급원입니다."),
+    "juice": ("juice_natural_sugar", "🍹", "과일주스 맥락", "천연 과당이 포함되어 당류가 높게 표시됩니다. 첨가당과 구분하세요."),
+    "whole_grain": ("whole_grain_fiber", "🌾", "통곡물 맥락", "탄수화물이 높지만 식이섬유와 미네랄이 풍부합니다."),
+    "sauce": ("sauce_small_serving", "🥫", "양념류 안내", "양념류는 1회 사용량이 적으므로 실제 섭취 나트륨은 표시보다 낮을 수 있습니다."),
+    "soup": ("soup_broth_amount", "🍜", "국물류 안내", "표시 나트륨은 국물 전량 기준입니다. 국물을 적게 드시면 줄일 수 있습니다."),
+    "alcohol": ("alcohol_excluded", "🍺", "평가 대상 외", "주류는 영양 신호등 평가 대상이 아닙니다."),
+    "health_functional": ("health_functional_excluded", "💊", "평가 대상 외", "건강기능식품은 별도 기준이 적용됩니다."),
+    "raw_ingredient": ("raw_excluded", "🥩", "평가 대상 외", "미가공 원료식품은 영양 신호등을 적용하지 않습니다."),
+}
+SCORE_MESSAGES = {
+    "dried": "건조식품으로 100g당 수치가 높게 표시됩니다. 1회 제공량 기준으로 판정하였습니다.",
+    "fermented": "발효식품은 나트륨이 높으나, 유산균·식이섬유 등 건강 유익 성분이 함께 포함되어 있습니다.",
+    "nuts": "지방 함량이 높지만, 불포화지방산이 풍부한 건강한 지방입니다.",
+}
+ZERO_TRANS_FAT = "식약처 규정에 따라 0.2g 미만은 0g으로 표시될 수 있습니다."
+SERVINGS_MESSAGE = "이 제품은 {0}회분입니다. 전량 섭취 시 수치가 {0}배가 됩니다."
+
 COLOR_RANK = {"green": 1, "yellow": 2, "orange": 3, "red": 4}
 
 

@@ -40,7 +40,8 @@ def food_category(food_type: Column, unit: Column, name: Column, seaweed: bool =
 
 
 def context(food_type: Column, rules=R.CONTEXT_RULES) -> dict[str, Column]:
-    """Context columns of a food type: category, label, excluded, reason, dried, beverage, how it was found."""
+    """Context columns of a food type: category, label, excluded, reason, dried, beverage, how it was found,
+    and messages, an array of (id, icon, title, body, severity)."""
     kind = F.trim(F.coalesce(food_type, F.lit("")))
     found = F.when(kind == "", F.lit("general"))
     for category, words in rules:
@@ -48,6 +49,7 @@ def context(food_type: Column, rules=R.CONTEXT_RULES) -> dict[str, Column]:
     category = found.otherwise(F.lit("general"))
     labels = F.create_map(*(F.lit(x) for kv in R.CONTEXT_LABELS.items() for x in kv))
     out = category.isin(*R.CONTEXT_EXCLUDED)
+    said = F.create_map(*(x for k, (i, icon, title, body) in R.CONTEXT_MESSAGES.items() for x in (F.lit(k), F.struct(*(F.lit(v).alias(n) for n, v in (("id", i), ("icon", icon), ("title", title), ("body", body), ("severity", "info")))))))
     return {
         "category": category,
         "category_label": labels[category],
@@ -56,6 +58,7 @@ def context(food_type: Column, rules=R.CONTEXT_RULES) -> dict[str, Column]:
         "is_dried_exception": category == "dried",
         "is_beverage": category.isin("beverage", "juice"),
         "detection_method": F.when(kind == "", F.lit("silent_fallback")).otherwise(F.lit("c005_food_type")),
+        "messages": F.array_compact(F.array(said[category])),
     }
 
 
@@ -97,7 +100,8 @@ def evaluate(df: DataFrame, category: Column | None = None, default_serving: flo
     column for each nutrient (calories, sodium, sugars, sat_fat, total_fat, cholesterol,
     protein, fiber, trans_fat), all nullable. Adds food_category, is_excluded, is_dried,
     <nutrient>_color, _pct_dv, _per_100 and _basis, trans_fat_color, calories_pct_dv,
-    servings_per_container. Excluded categories get nulls; a missing nutrient too. A serving size
+    servings_per_container, exclude_reason, context_messages (what is said of the category),
+    trans_fat_note (of a printed zero) and servings_message. Excluded categories get nulls; a missing nutrient too. A serving size
     of 0 or null counts as ``default_serving``; with None the absolute basis is left out then.
     """
     kind = food_category(F.col("food_type"), F.col("content_unit"), F.col("product_name")) if category is None else category
@@ -130,6 +134,14 @@ def evaluate(df: DataFrame, category: Column | None = None, default_serving: flo
     new["calories_pct_dv"] = rounded(pct_dv(F.when(counts, F.col("calories")), "calories"), 1)
     servings = rounded(F.col("total_content") / F.nullif(F.col("serving_size").cast("double"), F.lit(0.0)), 1)
     new["servings_per_container"] = F.when(counts & (F.col("total_content") > F.col("serving_size")) & (servings > 1), servings)
+    count = F.when(servings == F.floor(servings), F.floor(servings).cast("string")).otherwise(servings.cast("string"))
+    said = F.create_map(*(F.lit(x) for kv in R.SCORE_MESSAGES.items() for x in kv))
+    new |= {
+        "exclude_reason": F.when(~counts, F.col("food_category")),
+        "context_messages": F.when(counts, F.array_compact(F.array(said[F.col("food_category")]))),
+        "trans_fat_note": F.when(counts & (F.col("trans_fat") == 0), F.lit(R.ZERO_TRANS_FAT)),
+        "servings_message": F.when(new["servings_per_container"].isNotNull(), F.replace(F.lit(R.SERVINGS_MESSAGE), F.lit("{0}"), count)),
+    }
     return base.withColumns(new)
 
 

@@ -297,3 +297,84 @@ def fuzzy_decisions_all(spark, d):
 def match_rates(spark, d):
     status = F.when(F.col("o_orderstatus") == "F", "matched").when(F.col("o_orderstatus") == "P", "rejected").otherwise("pooled")
     return enrich.match_rates(table(spark, d, "orders").select(status.alias("status")))
+
+
+_TYPES = ["김치류", "과·채주스", "건강기능식품", "  ", "스낵과자", "수프류", "육포", "견과류", "연유", "통밀가루", "카레", "맥주", "농산물", "음료류"]
+_SAID = {"김치류": "fermented_sodium_context", "과·채주스": "beverage_per_100ml", "건강기능식품": "health_functional_excluded", "수프류": "soup_broth_amount", "육포": "dried_per_serving_only", "견과류": "nuts_healthy_fat", "연유": "dairy_calcium", "통밀가루": "dried_per_serving_only", "카레": "sauce_small_serving", "맥주": "alcohol_excluded", "농산물": "raw_excluded", "음료류": "beverage_per_100ml"}
+_TYPE_SQL = "[" + ", ".join(f"'{t}'" for t in _TYPES) + f"][CAST(p_partkey AS INTEGER) % {len(_TYPES)} + 1]"
+
+
+@query("context_messages", f"""SELECT p_partkey, t AS food_type, CASE t {' '.join(f"WHEN '{t}' THEN '{m}'" for t, m in _SAID.items())} END AS message, CASE t WHEN '건강기능식품' THEN 'health_functional' WHEN '맥주' THEN 'alcohol' WHEN '농산물' THEN 'raw_ingredient' END AS exclude_reason FROM (SELECT p_partkey, {_TYPE_SQL} AS t FROM part)""")
+def context_messages(spark, d):
+    kinds = F.array(*map(F.lit, _TYPES))[(F.col("p_partkey") % len(_TYPES)).cast("int")]
+    rows = table(spark, d, "part").select("p_partkey", kinds.alias("food_type"))
+    c = score.context(F.col("food_type"))
+    return rows.select("p_partkey", "food_type", F.get(c["messages"], F.lit(0))["id"].alias("message"), c["exclude_reason"].alias("exclude_reason"))
+
+
+@query("score_messages", f"""SELECT p_partkey, CASE WHEN cat = 'alcohol' THEN 'alcohol' END AS exclude_reason, CASE WHEN cat <> 'alcohol' THEN CAST(cat IN ('dried', 'fermented') AS INTEGER) END AS n_messages,
+  CASE WHEN cat <> 'alcohol' AND trans_fat = 0 THEN '식약처 규정에 따라 0.2g 미만은 0g으로 표시될 수 있습니다.' END AS trans_fat_note, CASE WHEN cat <> 'alcohol' THEN '이 제품은 2.5회분입니다. 전량 섭취 시 수치가 2.5배가 됩니다.' END AS servings_message FROM (SELECT *, {_CATEGORY} AS cat FROM ({_FACTS}))""")
+def score_messages(spark, d):
+    out = score.evaluate(products(spark, d).join(facts(spark, d), "p_partkey", "left"), _category())
+    return out.select("p_partkey", "exclude_reason", F.when(F.col("context_messages").isNotNull(), F.size("context_messages")).alias("n_messages"), "trans_fat_note", "servings_message")
+
+
+@query("serving_unknown", f"""SELECT p_partkey, floor(sodium / p_size * 100 * 100 + 0.5) / 100 AS sodium_per_100 FROM (SELECT * REPLACE (CASE WHEN p_size % 4 <> 0 THEN p_size END AS p_size), {_CATEGORY} AS cat FROM ({_FACTS})) WHERE cat NOT IN ('alcohol', 'dried')""")
+def serving_unknown(spark, d):
+    """Without a default serving an unknown size leaves the absolute basis out."""
+    rows = products(spark, d).join(facts(spark, d), "p_partkey", "left")
+    out = score.evaluate(rows.withColumn("serving_size", F.when(F.col("serving_size") % 4 != 0, F.col("serving_size"))), _category(), default_serving=None)
+    return out.where("NOT is_excluded AND NOT is_dried").select("p_partkey", "sodium_per_100")
+
+
+_WORDS = "(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS keyword FROM part UNION SELECT unnest(['Promo', 'ECONOMY', 'Brand#7', 'zzz', '밀']))"
+
+
+def _keywords(spark, d):
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("keyword"))
+    return words.union(spark.createDataFrame([(w,) for w in ("Promo", "ECONOMY", "Brand#7", "zzz", "밀")], "keyword string")).distinct()
+
+
+@query("keyword_sources", f"""WITH k AS {_WORDS}, a AS (SELECT DISTINCT p_name AS n FROM part), b AS (SELECT DISTINCT p_type || ' ' || p_brand AS n FROM part),
+  x AS (SELECT keyword, (SELECT n FROM a WHERE contains(lower(n), lower(keyword)) ORDER BY length(n), n LIMIT 1) AS first_name, (SELECT n FROM b WHERE contains(lower(n), lower(keyword)) ORDER BY length(n), n LIMIT 1) AS second_name FROM k)
+  SELECT *, CASE WHEN first_name IS NOT NULL AND second_name IS NOT NULL THEN 'both' WHEN first_name IS NOT NULL THEN 'first' WHEN second_name IS NOT NULL THEN 'second' ELSE 'neither' END AS found_in FROM x""")
+def keyword_sources(spark, d):
+    part = table(spark, d, "part")
+    first, second = part.select(F.col("p_name").alias("n")).distinct(), part.select(F.concat_ws(" ", "p_type", "p_brand").alias("n")).distinct()
+    return quality.keyword_sources(_keywords(spark, d), first, second, "n", [F.length("n"), F.col("n")])
+
+
+@query("keyword_coverage", f"""WITH k AS {_WORDS}, i AS (SELECT p_partkey, p_name || ' ' || p_brand AS n, p_size <= 30 AND p_type <> 'SMALL' AS active, p_retailprice > 901 AS filled FROM part)
+  SELECT keyword, p_partkey, active FROM k LEFT JOIN (SELECT keyword AS w, p_partkey, active FROM k JOIN i ON contains(lower(n), lower(keyword)) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY active DESC, filled DESC, length(n), p_partkey) = 1) ON w = keyword""")
+def keyword_coverage(spark, d):
+    items = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("n"), ((F.col("p_size") <= 30) & (F.col("p_type") != "SMALL")).alias("active"), (F.col("p_retailprice") > 901).alias("filled"))
+    return quality.keyword_coverage(_keywords(spark, d), items, "n", F.col("active"), F.col("filled"), "p_partkey").select("keyword", "p_partkey", "active")
+
+
+@query("anomaly_tops", """WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_extendedprice AS price, l_quantity AS q, l_discount * 100 + l_tax * 100 AS shares FROM lineitem), a AS (SELECT 'price' AS kind, line, price AS value FROM e WHERE price > 50000 UNION ALL SELECT 'mass', line, q + shares FROM e WHERE q > 0 AND q + shares > q * 1.1 UNION ALL SELECT 'none', line, price FROM e WHERE price <= 0)
+  SELECT kind, line, value FROM a QUALIFY row_number() OVER (PARTITION BY kind ORDER BY value DESC, line) <= 10""")
+def anomaly_tops(spark, d):
+    q, price = F.col("l_quantity"), F.col("l_extendedprice")
+    total = q + (F.col("l_discount") * 100 + F.col("l_tax") * 100)
+    lines = table(spark, d, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return quality.anomaly_tops(lines, "line", {"price": (price > 50000, price), "mass": ((q > 0) & (total > q * 1.1), total), "none": (price <= 0, price)})
+
+
+@query("product_checks", f"""WITH f AS (SELECT *, {_CATEGORY} AS detected, CASE WHEN p_size % 6 <> 0 THEN p_name || ' (' || p_type || ')' END AS raw_text, CASE WHEN p_size % 4 = 0 THEN p_name || ' (' || p_type || ')' WHEN p_size % 4 = 1 THEN p_type END AS registered, CASE WHEN p_size % 5 = 0 THEN [] WHEN p_size % 5 = 1 THEN ['ＲＩＮＧ', p_type] ELSE [p_type] END AS adds,
+  CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'beverage' ELSE 'general' END AS stored FROM ({_FACTS})), g AS (SELECT *, calories IS NOT NULL AS has_facts, coalesce(stored, 'general') AS cat, list_filter(adds, lambda a: raw_text IS NOT NULL AND NOT contains(replace(lower(raw_text), ' ', ''), CASE WHEN a = 'ＲＩＮＧ' THEN 'ring' ELSE lower(a) END)) AS unread,
+  list_filter([CASE WHEN sodium * 400 > 10000 THEN 'sodium' END, CASE WHEN calories - 60 <= 0 THEN 'calories_low' END, CASE WHEN calories - 60 > 2000 THEN 'calories_high' END, CASE WHEN p_size > 0 AND total_fat + protein > p_size * 1.1 AND total_fat + protein > 10 THEN 'mass' END], lambda x: x IS NOT NULL) AS odd FROM f)
+  SELECT p_partkey, CASE WHEN raw_text IS NOT NULL THEN 'O' ELSE 'X' END || CASE WHEN len(unread) > 0 THEN '△' WHEN len(adds) > 0 THEN 'O' ELSE '-' END || CASE WHEN NOT has_facts THEN 'X' WHEN len(odd) > 0 THEN '△' ELSE 'O' END || CASE WHEN NOT has_facts OR detected = 'alcohol' THEN '-' ELSE 'O' END || CASE WHEN detected = cat THEN 'O' WHEN cat = 'general' THEN '△' ELSE 'X' END AS marks,
+  array_to_string(list_filter([CASE WHEN raw_text IS NULL THEN 'no_ingredients' WHEN registered IS NOT NULL AND registered <> raw_text THEN 'registered_text_differs' END, CASE WHEN len(unread) > 0 THEN 'additives_not_in_text:' || len(unread) END, CASE WHEN NOT has_facts THEN 'no_nutrition' WHEN len(odd) > 0 THEN 'anomaly:' || array_to_string(odd, ';') END, CASE WHEN detected <> cat THEN 'category:' || cat || '>' || detected END], lambda x: x IS NOT NULL), ' | ') AS issues FROM g""")
+def product_checks(spark, d):
+    size = F.col("serving_size").cast("int")
+    rows = score.evaluate(products(spark, d).join(facts(spark, d), "p_partkey", "left"), _category())
+    text = F.concat("product_name", F.lit(" ("), "food_type", F.lit(")"))
+    judged = sum((F.col(f"{n}_color").isNotNull().cast("int") for n in rules.NEGATIVE_PCT), F.lit(0))
+    rows = rows.select("p_partkey", F.when(size % 6 != 0, text).alias("raw_text"), F.when(size % 4 == 0, text).when(size % 4 == 1, F.col("food_type")).alias("registered_text"), F.when(size % 5 == 0, F.array().cast("array<string>")).when(size % 5 == 1, F.array(F.lit("ＲＩＮＧ"), "food_type")).otherwise(F.array("food_type")).alias("additives"), F.col("calories").isNotNull().alias("has_facts"), (F.col("sodium") * 400).alias("sodium"), (F.col("calories") - 60).alias("calories"), size.alias("serving"), F.col("total_fat").alias("fat"), F.lit(None).cast("double").alias("carbs"), "protein", "is_excluded", judged.alias("judged"), F.when(size % 3 == 1, "beverage").when(size % 3 == 2, "general").alias("category"), F.col("food_category").alias("detected"))
+    out = quality.product_checks(rows)
+    return out.select("p_partkey", F.concat("ingredients", "additives_check", "nutrition", "traffic_light", "category_check").alias("marks"), F.array_join("issues", " | ").alias("issues"))
+
+
+@query("rerun_cleanup", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_linestatus = 'F') GROUP BY l_returnflag")
+def rerun_cleanup(spark, d):
+    return quality.frequency(dedup.cleared(table(spark, d, "lineitem"), l_returnflag="R", l_linestatus="F"), "l_returnflag")
