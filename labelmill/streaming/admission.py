@@ -28,9 +28,23 @@ def gate(confidence: Column, warnings: Column, protected: Column, duplicate: Col
 
 
 def follows_within(events: DataFrame, keys: list[str], at: str, order: str, seconds: int = DAY) -> DataFrame:
-    """events with is_repeat: an earlier event of the same key is at most ``seconds`` old."""
-    before = F.lag(F.unix_micros(F.col(at).cast("timestamp"))).over(Window.partitionBy(*keys).orderBy(at, order))
-    return events.withColumn("is_repeat", F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) - before <= seconds * 1_000_000, F.lit(False)))
+    """events with is_repeat: an earlier event of the same key is at most ``seconds`` old; ties go by ``order``.
+
+    An event that old is in the same stretch of so many seconds or the one before, so a key's
+    events are told apart by stretches and of the one before only its last time is carried over.
+    A hot key is many groups.
+    """
+    time, span = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
+    rows = events.withColumns({"repeat_t": time, "repeat_span": F.floor(time / span)})
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    last = rows.where("repeat_t IS NOT NULL").groupBy(*keys, (F.col("repeat_span") + 1).alias("repeat_span")).agg(F.max("repeat_t").alias("repeat_last"))
+    before = F.lag("repeat_t").over(Window.partitionBy(*keys, "repeat_span").orderBy("repeat_t", order))
+    match = F.col("e.repeat_span") == F.col("l.repeat_span")
+    for x in same:
+        match = match & x
+    joined = rows.withColumn("repeat_before", before).alias("e").join(last.alias("l"), match, "left")
+    near = F.col("e.repeat_t") - F.coalesce("e.repeat_before", "l.repeat_last") <= span
+    return joined.select(*(F.col(f"e.`{c}`") for c in events.columns), F.coalesce(near, F.lit(False)).alias("is_repeat"))
 
 
 def accepted_first(events: DataFrame, keys: list[str], at: str, order: str, seconds: int = DAY) -> DataFrame:
@@ -65,9 +79,17 @@ def accepted_first(events: DataFrame, keys: list[str], at: str, order: str, seco
 
 
 def reports_in(events: DataFrame, key: str, at: str, seconds: int = MONTH, least: int = REPORTS) -> DataFrame:
-    """events with n_reports (of the key in the time before, itself included) and disputed (at least ``least``)."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return events.withColumn("n_reports", F.count("*").over(w)).withColumn("disputed", F.col("n_reports") >= least)
+    """events with n_reports (of the key in the time before, itself included) and disputed (at least ``least``).
+
+    Each event also counts in the stretch of so many seconds after its own, so that a hot key is
+    many groups, each with all that its events look back on.
+    """
+    time = F.unix_seconds(F.col(at).cast("timestamp"))
+    span = F.floor(time / seconds)
+    rows = events.withColumns({"report_t": time, "report_span": F.explode(F.when(time.isNull(), F.array(span)).otherwise(F.array(span, span + 1)))})
+    w = Window.partitionBy(key, "report_span").orderBy("report_t").rangeBetween(-seconds, 0)
+    counted = rows.withColumn("n_reports", F.count("*").over(w)).where(F.col("report_span").eqNullSafe(F.floor(F.col("report_t") / seconds)))
+    return counted.drop("report_t", "report_span").withColumn("disputed", F.col("n_reports") >= least)
 
 
 def verification(events: DataFrame, key: str, at: str, order: str, confidence: Column) -> DataFrame:
@@ -75,15 +97,14 @@ def verification(events: DataFrame, key: str, at: str, order: str, confidence: C
 
     The first one makes it partial if sure enough, else it stays unverified; a partial one with
     a count of at least 1 becomes verified and stays so. The status only depends on whether a
-    sure submission came and whether another followed, so no fold is needed: it is counted
-    after the first sure one.
+    sure submission came and whether another followed, so no fold or window is needed, but
+    aggregates that combine before they are shuffled. Of submissions with one place in the order
+    a sure one counts as the first.
     """
-    c = F.coalesce(confidence, F.lit(0.0)).alias("sureness")
-    rows = events.select(key, F.col(at).alias("at"), F.col(order).alias("o"), c)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("at", "o"))
-    numbered = rows.withColumn("n", place)
-    total = numbered.groupBy(key).agg(F.count("*").alias("verify_count"), F.min(F.when(F.col("sureness") >= SURE, F.col("n"))).alias("first_sure"))
-    status = F.when(F.col("first_sure").isNull(), F.lit("unverified")).when(F.col("verify_count") > F.col("first_sure"), F.lit("verified")).otherwise(F.lit("partial"))
+    places = events.select(key, F.col(at).alias("at"), F.col(order).alias("o"), confidence.alias("sureness")).groupBy(key, "at", "o").agg(F.count("*").alias("n"), F.max(F.coalesce("sureness", F.lit(0.0)) >= SURE).alias("sure"))
+    place = F.struct("at", "o")
+    total = places.groupBy(key).agg(F.sum("n").alias("verify_count"), F.max(place).alias("last"), F.min(F.when(F.col("sure"), F.struct(place.alias("place"), "n"))).alias("first"))
+    status = F.when(F.col("first").isNull(), F.lit("unverified")).when((F.col("last") > F.col("first.place")) | (F.col("first.n") > 1), F.lit("verified")).otherwise(F.lit("partial"))
     return total.select(key, status.alias("status"), "verify_count")
 
 

@@ -205,3 +205,28 @@ def test_exclusive_query_takes_every_supplier(spark, tmp_path):
     edges = [(s, n, 1.0 - abs(s % 25 - n) / 25.0) for s in suppliers for n in nations if abs(s % 25 - n) <= 2]
     got = QUERIES["match_exclusive_greedy"](spark, str(tmp_path)).collect()
     assert sorted((r.left_id, r.right_id) for r in got) == greedy(edges) != []
+
+
+def test_windows_by_stretches_equal_windows_by_key(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), f"2024-01-0{rng.randint(1, 6)} {rng.randint(0, 23):02}:00:00" if rng.random() < 0.9 else None, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, at string, o int")
+    day = 24 * 3600
+    t = F.unix_seconds(F.col("at").cast("timestamp"))
+    before = F.lag(t).over(Window.partitionBy("k").orderBy("at", "o"))
+    want = df.withColumn("is_repeat", F.coalesce(t - before <= day, F.lit(False)))
+    got = admission.follows_within(df, ["k"], "at", "o")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    w = Window.partitionBy("k").orderBy(t).rangeBetween(-day, 0)
+    counts = df.withColumn("n_reports", F.count("*").over(w)).withColumn("disputed", F.col("n_reports") >= 3)
+    got = admission.reports_in(df, "k", "at", day)
+    assert got.columns == counts.columns and sorted(map(str, got.collect())) == sorted(map(str, counts.collect()))
+
+
+def test_verification_follows_the_order(spark):
+    cases = {"none": [(1, 0.5), (2, None)], "last": [(1, 0.5), (2, 0.95)], "first": [(1, 0.95), (2, None)], "one": [(1, 0.9)], "twice": [(1, 0.95), (1, 0.95)]}
+    df = spark.createDataFrame([(k, f"2024-01-0{d} 00:00:00", d, c) for k, some in cases.items() for d, c in some], "k string, at string, o int, c double")
+    got = {r.k: (r.status, r.verify_count) for r in admission.verification(df, "k", "at", "o", F.col("c")).collect()}
+    assert got == {"none": ("unverified", 2), "last": ("partial", 2), "first": ("verified", 2), "one": ("partial", 1), "twice": ("verified", 2)}
