@@ -96,6 +96,17 @@ SCORE_MESSAGES = {
 ZERO_TRANS_FAT = "식약처 규정에 따라 0.2g 미만은 0g으로 표시될 수 있습니다."
 SERVINGS_MESSAGE = "이 제품은 {0}회분입니다. 전량 섭취 시 수치가 {0}배가 됩니다."
 
+# What a product's text card says, in its order.
+EXCLUDED_SAID = {
+    "alcohol": "주류는 영양 신호등 평가 대상이 아닙니다.",
+    "supplement": "건강기능식품은 별도 기준이 적용됩니다.",
+    "raw_ingredient": "원료 식품은 영양성분표가 부착되지 않는 미가공 제품입니다.",
+}
+EXCLUDED_OTHERWISE = "평가 대상 외"
+CARD_NUTRIENTS = {"sodium": "나트륨", "sugars": "당류", "sat_fat": "포화지방", "total_fat": "지방", "cholesterol": "콜레스테롤", "protein": "단백질", "fiber": "식이섬유", "trans_fat": "트랜스지방"}
+CARD_COLORS = {"green": "🟢", "yellow": "🟡", "red": "🔴", "gray": "⚪"}
+CARD_WIDTH, CARD_PADDING = 6, "\u3000"
+
 COLOR_RANK = {"green": 1, "yellow": 2, "orange": 3, "red": 4}
 
 

@@ -145,6 +145,50 @@ def evaluate(df: DataFrame, category: Column | None = None, default_serving: flo
     return base.withColumns(new)
 
 
+def _shown(c: Column) -> Column:
+    """A number as text, without zeros behind its last decimal."""
+    return F.coalesce(F.regexp_replace(c.try_cast("decimal(38,2)").cast("string"), r"\.?0+$", ""), c.cast("string"))
+
+
+def text_card(warnings: Column | None = None) -> Column:
+    """A product scored by ``evaluate`` as text, one line for each thing that is said of it.
+
+    An excluded product is one line with its reason. warnings, an array of ``sanity_warnings``,
+    come last; a null array, like an empty one, adds nothing. A null name shows as nothing.
+    """
+    name, bar = F.coalesce("product_name", F.lit("")), F.lit("│")
+    icons, reasons = (F.create_map(*(F.lit(x) for kv in said.items() for x in kv)) for said in (R.CARD_COLORS, R.EXCLUDED_SAID))
+    known = lambda before, c, after="": F.when(c.isNotNull(), F.concat(F.lit(before), c, F.lit(after)))
+    lines = [
+        F.concat(F.lit("┌─── "), name, F.lit(" ───")),
+        F.concat(F.lit("│  카테고리: "), "food_category", F.when(F.col("is_dried"), F.lit(" (건조식품 예외 적용)")).otherwise("")),
+        bar,
+        F.when(F.col("calories").isNotNull(), F.concat(F.lit("│  열량      "), _shown(F.col("calories")), F.lit("kcal   "), _shown(F.col("calories_pct_dv")), F.lit("%"))),
+    ]
+    for n, title in R.CARD_NUTRIENTS.items():
+        share = F.lit("") if n == "trans_fat" else F.coalesce(known("", _shown(F.col(f"{n}_pct_dv")), "%"), F.lit(""))
+        weight = F.coalesce(known(" (100g: ", _shown(F.col(f"{n}_per_100")), ")"), F.lit("")) if n in NEGATIVE else F.lit("")
+        basis = F.col(f"{n}_basis") if n in NEGATIVE else F.lit("absolute" if n == "trans_fat" else "pct_dv")
+        judged = F.concat(F.coalesce(icons[F.col(f"{n}_color")], F.lit("❓")), F.lit(" "), share, weight, F.lit("  ["), basis, F.lit("]"))
+        lines.append(F.concat(F.lit("│  " + title.ljust(R.CARD_WIDTH, R.CARD_PADDING) + "  "), F.when(F.col(n).isNull(), F.lit("데이터 없음")).otherwise(judged)))
+    lines.append(known("│    ⓘ ", F.col("trans_fat_note")))
+    body = F.array(*lines)
+
+    def part(said: Column) -> Column:
+        """Lines after a bare bar, if there are any."""
+        said = F.array_compact(F.coalesce(said, F.array().cast("array<string>")))
+        return F.when(F.size(said) > 0, F.concat(F.array(bar), said)).otherwise(said)
+
+    parts = [
+        F.array(known("│  ⚠️ ", F.col("servings_message"))),
+        F.transform("context_messages", lambda m: F.concat(F.lit("│  💬 "), m)),
+    ]
+    if warnings is not None:
+        parts.append(F.transform(warnings, lambda w: F.concat(F.lit("│  ⚠️ Sanity: "), w["nutrient"], F.lit(" "), w["kind"], F.lit(" (값: "), _shown(w["value"]), F.lit(", 상한: "), _shown(w["bound"]), F.lit(")"))))
+    card = F.array_join(F.concat(F.array_compact(body), *map(part, parts), F.array(F.lit("└" + "─" * 23))), "\n")
+    return F.when(F.col("is_excluded"), F.concat(F.lit("⛔ "), name, F.lit(": "), F.coalesce(reasons[F.col("exclude_reason")], F.lit(R.EXCLUDED_OTHERWISE)))).otherwise(card)
+
+
 def sanity_warnings(serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> Column:
     """Array of (nutrient, value, bound, kind) of what can't be right in one row's facts."""
     return F.array_compact(F.array(*_checks(serving, nutrients, carbs, total_content)))

@@ -294,6 +294,14 @@ def page_repair(spark, d):
     return landing.repaired(n.where("n_nationkey % 2 = 0"), n.unionByName(n), ["n_nationkey"], "n_name")
 
 
+@query("page_rescan", "SELECT o_orderkey, max(v) AS version FROM (SELECT o_orderkey, 1 AS v FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 2 FROM orders) GROUP BY o_orderkey")
+def page_rescan(spark, d):
+    """All pages are read again; of a row that was staged already the new one counts."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    staged = o.where("o_orderkey % 3 <> 0").withColumn("version", F.lit(1))
+    return landing.rescanned(staged, o.withColumn("version", F.lit(2)), ["o_orderkey"], [F.col("version").desc()])
+
+
 @query("header_aliases", "SELECT c_custkey AS id, coalesce(nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE ' ' END), ''), nullif(trim(c_mktsegment), '')) AS label FROM customer")
 def header_aliases(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(" ").alias("local name"), F.col("c_mktsegment").alias("CODE"))

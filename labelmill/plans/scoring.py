@@ -319,6 +319,30 @@ def score_messages(spark, d):
     return out.select("p_partkey", "exclude_reason", F.when(F.col("context_messages").isNotNull(), F.size("context_messages")).alias("n_messages"), "trans_fat_note", "servings_message")
 
 
+def _card_sql() -> str:
+    number = lambda x: f"regexp_replace(CAST(CAST({x} AS DECIMAL(38, 2)) AS VARCHAR), '\\.?0+$', '')"
+    icon = lambda x: f"CASE {x} WHEN 1 THEN '🟢' WHEN 2 THEN '🟡' WHEN 4 THEN '🔴' WHEN 0 THEN '⚪' END"
+    lines = ["'┌─── ' || p_name || ' ───'", "'│  카테고리: ' || food_category || CASE WHEN food_category = 'dried' THEN ' (건조식품 예외 적용)' ELSE '' END", "'│'", f"'│  열량      ' || {number('calories')} || 'kcal   ' || {number('floor(calories / 2000.0 * 100 * 10 + 0.5) / 10')} || '%'"]
+    for n, title, weighed in (("sodium", "나트륨　　　", True), ("sugars", "당류　　　　", True), ("sat_fat", "포화지방　　", True), ("total_fat", "지방　　　　", True), ("cholesterol", "콜레스테롤　", False)):
+        weight = f"coalesce(' (100g: ' || {number(f'floor({n} / p_size * 100 * 100 + 0.5) / 100')} || ')', '')" if weighed else "''"
+        weight = f"CASE WHEN food_category = 'dried' THEN '' ELSE {weight} END"
+        lines.append(f"'│  {title}  ' || coalesce({icon(f'{n}_rank')} || ' ' || {number(f'{n}_pct_dv')} || '%' || {weight} || '  [' || {n}_basis || ']', '데이터 없음')")
+    for n, title, daily in (("protein", "단백질　　　", 55.0), ("fiber", "식이섬유　　", 25.0)):
+        share = f"{n} / {daily} * 100"
+        lines.append(f"'│  {title}  ' || coalesce({icon(f'CASE WHEN {share} < 5 THEN 0 WHEN {share} >= 15 THEN 1 WHEN {n} IS NOT NULL THEN 2 END')} || ' ' || {number(f'floor({share} * 10 + 0.5) / 10')} || '%  [pct_dv]', '데이터 없음')")
+    lines += [f"'│  트랜스지방　  ' || coalesce({icon('CASE WHEN trans_fat <= 0 THEN 1 WHEN trans_fat <= 0.5 THEN 2 WHEN trans_fat IS NOT NULL THEN 4 END')} || '   [absolute]', '데이터 없음')", "CASE WHEN trans_fat = 0 THEN '│    ⓘ 식약처 규정에 따라 0.2g 미만은 0g으로 표시될 수 있습니다.' END", "'│'", "'│  ⚠️ 이 제품은 2.5회분입니다. 전량 섭취 시 수치가 2.5배가 됩니다.'"]
+    lines += ["CASE food_category WHEN 'dried' THEN '│' || chr(10) || '│  💬 건조식품으로 100g당 수치가 높게 표시됩니다. 1회 제공량 기준으로 판정하였습니다.' WHEN 'fermented' THEN '│' || chr(10) || '│  💬 발효식품은 나트륨이 높으나, 유산균·식이섬유 등 건강 유익 성분이 함께 포함되어 있습니다.' END", "'└───────────────────────'"]
+    return f"SELECT p_partkey, CASE WHEN food_category = 'alcohol' THEN '⛔ ' || p_name || ': 주류는 영양 신호등 평가 대상이 아닙니다.' ELSE concat_ws(chr(10), {', '.join(lines)}) END AS card FROM ({_traffic_sql()}) JOIN (SELECT * REPLACE (floor(calories) AS calories) FROM ({_FACTS})) USING (p_partkey)"
+
+
+@query("text_card", _card_sql())
+def text_card(spark, d):
+    """Whole calories, as a sum's last digits depend on its order."""
+    whole = facts(spark, d).withColumn("calories", F.floor("calories").cast("double"))
+    out = score.evaluate(products(spark, d).join(whole, "p_partkey", "left"), _category())
+    return out.select("p_partkey", score.text_card().alias("card"))
+
+
 @query("serving_unknown", f"""SELECT p_partkey, floor(sodium / p_size * 100 * 100 + 0.5) / 100 AS sodium_per_100 FROM (SELECT * REPLACE (CASE WHEN p_size % 4 <> 0 THEN p_size END AS p_size), {_CATEGORY} AS cat FROM ({_FACTS})) WHERE cat NOT IN ('alcohol', 'dried')""")
 def serving_unknown(spark, d):
     """Without a default serving an unknown size leaves the absolute basis out."""

@@ -52,9 +52,23 @@ def repaired(staged: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return staged.unionByName(new.select(*staged.columns))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Quoted CSV files with a header."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=True)
+def rescanned(staged: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """staged and everything that a scan of all pages brings again, each key once: the first in order.
+
+    Rows with a null key part can't be told apart from new ones and all stay.
+    """
+    return keep_one(staged.unionByName(incoming.select(*staged.columns)), keys, order)
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV files with a header, all fields quoted.
+
+    With mark, each file begins with a byte order mark, by which spreadsheet programs know UTF-8;
+    only fields that need it are quoted then, as a quoted first header would stand before the mark.
+    """
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=not mark)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -160,6 +160,32 @@ def test_landing_round_trip(spark, tmp_path):
     assert [r.page for r in landing.missing_pages(expected, spark.createDataFrame([("k1",)], "k string"), ["k"], "page").collect()] == [2]
 
 
+def test_csv_with_a_mark_and_a_full_scan_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, "한, \"x\""), (2, None)], "id long, name string")
+    landing.write_csv(df.coalesce(1), str(tmp_path / "csv"), mark=True)
+    (file,) = (tmp_path / "csv").glob("part-*")
+    assert file.read_bytes().startswith("\ufeffid,name\n".encode())
+    landing.write_csv(df, str(tmp_path / "plain"))
+    assert all(f.read_bytes().startswith(b'"id","name"\n') for f in (tmp_path / "plain").glob("part-*"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, schema="id long, name string", escape="\\")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    old = spark.createDataFrame([(1, "a"), (None, "b")], "id long, name string")
+    again = landing.rescanned(old, spark.createDataFrame([("c", 1, 0), ("c", 3, 0), ("c", 3, 0), ("b", None, 0)], "name string, id long, more int"), ["id"], [F.col("name").desc()])
+    assert sorted(map(str, again.collect())) == sorted(map(str, spark.createDataFrame([(1, "c"), (3, "c"), (None, "b"), (None, "b")], "id long, name string").collect()))
+
+
+def test_text_card(spark):
+    nothing = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("sugars", "sat_fat", "total_fat", "cholesterol", "protein", "fiber"))
+    df = spark.sql(f"SELECT '면' AS product_name, '라면' AS food_type, 'g' AS content_unit, 100D AS serving_size, 100D AS total_content, 450.5D AS calories, 900D AS sodium, 0D AS trans_fat, {nothing}")
+    out = score.evaluate(df)
+    facts = {n: F.col(n) for n in ("sodium", "trans_fat")}
+    card = out.select(score.text_card(score.sanity_warnings(F.col("serving_size"), facts)).alias("c")).first().c.split("\n")
+    assert card[0] == "┌─── 면 ───" and "│  열량      450.5kcal   22.5%" in card and card[-1] == "└" + "─" * 23
+    assert any(line.startswith("│  나트륨　　　  🔴 45%") for line in card) and "│  당류　　　　  데이터 없음" in card and "│  트랜스지방　  🟢   [absolute]" in card
+    beer = score.evaluate(df.withColumn("food_type", F.lit("맥주"))).select(score.text_card().alias("c")).first().c
+    assert beer == "⛔ 면: 주류는 영양 신호등 평가 대상이 아닙니다."
+
+
 def _stream(spark, tmp_path, rows, schema):
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
