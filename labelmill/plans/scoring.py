@@ -210,9 +210,9 @@ def match_cascade(spark, d):
     return link.cascade([found(["p_name", "p_brand"]), found(["p_name"]), found(["head"])], "src", [F.col("dst")])
 
 
-@query("match_exclusive_greedy", """WITH RECURSIVE e AS (SELECT s_suppkey AS l, n_nationkey AS r, 1.0 - abs(s_suppkey % 25 - n_nationkey) / 25.0 AS w FROM supplier JOIN nation ON abs(s_suppkey % 25 - n_nationkey) <= 2 WHERE s_suppkey < 60), o AS (SELECT l, row_number() OVER (ORDER BY l) AS i FROM (SELECT DISTINCT l FROM e)),
+@query("match_exclusive_greedy", """WITH RECURSIVE e AS (SELECT s_suppkey AS l, n_nationkey AS r, 1.0 - abs(s_suppkey % 25 - n_nationkey) / 25.0 AS w FROM supplier JOIN nation ON abs(s_suppkey % 25 - n_nationkey) <= 2), o AS (SELECT l, row_number() OVER (ORDER BY l) AS i FROM (SELECT DISTINCT l FROM e)),
   g AS (SELECT 0 AS i, CAST([] AS INTEGER[]) AS used, CAST(NULL AS BIGINT) AS l, CAST(NULL AS INTEGER) AS r
-        UNION ALL SELECT o.i, CASE WHEN b.r IS NULL THEN g.used ELSE list_append(g.used, b.r) END, o.l, b.r FROM g JOIN o ON o.i = g.i + 1 LEFT JOIN LATERAL (SELECT e.r FROM e WHERE e.l = o.l AND NOT list_contains(g.used, e.r) ORDER BY e.w DESC, e.r LIMIT 1) b ON true)
+        UNION ALL SELECT o.i, CASE WHEN b.r IS NULL THEN g.used ELSE list_append(g.used, b.r) END, o.l, b.r FROM g JOIN o ON o.i = g.i + 1 LEFT JOIN LATERAL (SELECT e.r FROM e WHERE e.l = o.l AND NOT list_contains(g.used, e.r) ORDER BY e.w DESC, e.r LIMIT 1) b ON true WHERE len(g.used) < (SELECT count(*) FROM nation))
   SELECT l AS left_id, r AS right_id FROM g WHERE r IS NOT NULL""")
 def match_exclusive_greedy(spark, d):
     # Each supplier meets the at most five nations around its own number: an equi-join after exploding them.
