@@ -233,8 +233,9 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs, all columns as they are, without the rows that are rejected: null texts, texts without a
-    letter, and those too far from every centroid for their length. Repeated rows are judged each;
-    an empty table stays empty; a model without languages rejects all."""
+    letter, and those too far from every centroid for their length. Repeated rows are judged each,
+    long texts as a whole; columns may have any names; an empty table stays empty; a model without
+    languages rejects all."""
     at = docs.columns.index("text")
     lettered = docs.where(F.col("text").cast("string").rlike("\\p{L}"))
 

@@ -278,7 +278,8 @@ def media_features(media: DataFrame) -> DataFrame:
     payload_* and tail_crc32 (of the last 64 bytes) are of the main track's stored samples. feature names
     codec, duration, number of samples and key samples, and the CRC of the key samples' byte
     ranges. Null or malformed media, whatever the bytes, give nulls and an error; repeated rows are
-    given each; an empty table gives no rows.
+    given each; an empty table gives no rows; a null doc_id stays null, other columns don't matter.
+    A task holds one row's payload besides its batch.
     """
 
     def work(batches):
@@ -307,7 +308,11 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def media_tracks(media: DataFrame) -> DataFrame:
-    """(doc_id, track, handler, codec, seconds, samples, keys) of each track of a media column, numbered from 0; bad media give none."""
+    """(doc_id, track, handler, codec, seconds, samples, keys) of each track of a media column, numbered from 0.
+
+    Null or bad media give none, nor does an empty table; repeated rows are given each, a null
+    doc_id stays null, other columns don't matter.
+    """
 
     def work(batches):
         for batch in batches:
@@ -322,13 +327,17 @@ def media_tracks(media: DataFrame) -> DataFrame:
             owner, *rest = (pa.array(c, k) for c, k in zip(columns, kinds))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *rest], names=["doc_id", "track", "handler", "codec", "seconds", "samples", "keys"])
 
-    return media.select("doc_id", "media").mapInArrow(work, "doc_id long, track int, handler string, codec string, seconds double, samples long, keys long")
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(work, "doc_id long, track int, handler string, codec string, seconds double, samples long, keys long")
 
 
 def key_samples(media: DataFrame) -> DataFrame:
-    """(doc_id, track, sample, time, first_byte, last_byte) of each key sample of a media column, by the
-    tables of its own track; last_byte is the first one behind it. Bad media give none, nor does an
-    empty table; repeated rows are given each."""
+    """(doc_id, track, sample, time, first_byte, last_byte) of each key sample of a media column.
+
+    Samples are found by the tables of their own track; last_byte is the first one behind a
+    sample. Null or bad media give none, nor does an empty table; repeated rows are given each, a
+    null doc_id stays null, other columns don't matter. No payload is decoded or copied, so rows
+    stay small however long the media.
+    """
 
     def work(batches):
         for batch in batches:
@@ -341,4 +350,4 @@ def key_samples(media: DataFrame) -> DataFrame:
                     ranges, times = track.key_ranges(), (np.cumsum(track.durations) - track.durations)[track.keys]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(ranges), i))), pa.array(np.full(len(ranges), k, np.int32)), pa.array(track.keys), pa.array(times), pa.array(ranges[:, 0]), pa.array(ranges[:, 1])], names=["doc_id", "track", "sample", "time", "first_byte", "last_byte"])
 
-    return media.select("doc_id", "media").mapInArrow(work, "doc_id long, track int, sample long, time long, first_byte long, last_byte long")
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(work, "doc_id long, track int, sample long, time long, first_byte long, last_byte long")

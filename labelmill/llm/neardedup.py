@@ -284,7 +284,7 @@ def one_of_each(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WORDS)
     """The documents, all columns as they are, without near-duplicates of a kept one.
 
     Rows that repeat the doc_id of a kept document stay, as do null ids, null and empty texts;
-    an empty table stays empty.
+    an empty table stays empty. Whole texts are compared, however long; columns may have any names.
     """
     gone = near_duplicates(docs, threshold, size).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

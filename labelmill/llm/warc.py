@@ -299,7 +299,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     (null for revisits, or if with_payload is false; of records that aren't HTTP the whole
     block), record_id, refers_to_id, date, stated_digest and error. Records of all types are
     given. A malformed record, or the rest of an archive after a malformed frame, is one row
-    with an error and nulls. A null or empty content has no records.
+    with an error and nulls. A null or empty content has no records, nor has an empty table;
+    equal archives are read each; other columns don't matter.
     """
 
     def work(batches):

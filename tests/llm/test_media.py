@@ -125,3 +125,17 @@ def test_out_of_order_runs():
         data = HEAD + box(b"moov", box(b"trak", box(b"mdia", full_box(b"mdhd", bytes(20)), box(b"minf", stbl))))
         with pytest.raises(media.MediaError):
             media.probe(data)
+
+
+def test_tables_of_tracks_and_key_samples_stand_any_rows(spark):
+    long_one = bytes(1 << 20)
+    rows = [(1, media.mux(b"a" * 64 * 40), "x"), (1, media.mux(b"a" * 64 * 40), "y"), (None, media.mux(b""), None), (2, None, "x"), (3, b"\0\0\0\3free", "x"), (4, b"", "x"), (5, media.mux(long_one), "x")]
+    df = spark.createDataFrame(rows, "doc_id int, media binary, track string")
+    found = media.media_tracks(df).collect()
+    assert sorted((r.doc_id or 0, r.track, r.samples) for r in found) == [(0, 0, 0), (1, 0, 40), (1, 0, 40), (5, 0, len(long_one) // 64)]
+    keys = media.key_samples(df).collect()
+    assert sorted((r.doc_id, r.sample) for r in keys if r.doc_id == 1) == sorted([(1, k) for k in (0, 16, 32)] * 2)
+    assert {r.doc_id for r in keys} == {1, 5} and sum(r.doc_id == 5 for r in keys) == len(long_one) // 64 // 16
+    assert all(r.last_byte - r.first_byte == 64 for r in keys)
+    none = df.where("false")
+    assert media.media_tracks(none).count() == media.key_samples(none).count() == 0
