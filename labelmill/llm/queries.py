@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill import session
-from labelmill.llm import chat, decontam, langid, linededup, media, neardedup, packing, substrings, toxicity, warc
+from labelmill.llm import chat, decontam, divergence, langid, linededup, media, neardedup, packing, substrings, toxicity, warc
 from labelmill.llm.oracles import SQL  # noqa: F401
 from labelmill.session import materialize
 
@@ -78,6 +78,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit_on(docs, learnt), held_out)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -89,4 +93,5 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
 }
