@@ -123,6 +123,53 @@ WITH d AS (
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
 """
 
+_INTERACTION = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), f AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), x AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS k
+), o AS (
+  SELECT [p.k, q.k, r.k, s.k, t.k] AS places FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5
+), st AS (
+  SELECT places, array_to_string(list_transform(places, lambda i: 'ABCDE'[i]), '') AS filter_order, k AS step, places[k] AS own, places[1 : k - 1] AS earlier FROM o, x
+), r AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (NOT fails[own] AND NOT coalesce(list_bool_or(list_transform(earlier, lambda i: fails[i])), false)) AS kept,
+         sum(n) FILTER (fails[own] AND NOT coalesce(list_bool_or(list_transform(earlier, lambda i: fails[i])), false)) AS removed,
+         sum(n) FILTER (fails[own] AND coalesce(list_bool_or(list_transform(earlier, lambda i: fails[i])), false)) AS redundant,
+         sum(n) FILTER (fails[own] AND len(list_filter(fails, lambda y: y)) = 1) AS unique_fails,
+         sum(good) FILTER (fails[own] AND NOT coalesce(list_bool_or(list_transform(earlier, lambda i: fails[i])), false)) AS good_lost,
+         sum(toxic) FILTER (fails[own] AND NOT coalesce(list_bool_or(list_transform(earlier, lambda i: fails[i])), false)) AS toxic_lost
+  FROM m, st GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+#: The pages of these tables have one article each, of headings and paragraphs; white space is ASCII, and
+#: the character references are those of HTML's own marks.
+_MAIN_TEXT = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(p|h[1-6])>'), lambda x: trim(regexp_replace(
+         replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)),
+         '[\x20\x09-\x0D]+', ' ', 'g'))) AS blocks FROM a
+), c AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: regexp_replace(x, '&amp;?', '&', 'g')), lambda x: x <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""
+
 SQL = {
     "op2_minhash_near_dedup": _NEAR,
     "op3_warc": _WARC,
@@ -130,4 +177,6 @@ SQL = {
     "op8_chat_formatting": _CHAT,
     "op9_substring_dedup": _SUBSTRINGS,
     "op11_source_divergence": _DIVERGENCE,
+    "op12_filter_interaction": _INTERACTION,
+    "op13_main_text": _MAIN_TEXT,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill import session
-from labelmill.llm import chat, decontam, divergence, langid, linededup, media, neardedup, packing, substrings, toxicity, warc
+from labelmill.llm import chat, decontam, divergence, interaction, langid, linededup, mainhtml, media, neardedup, packing, substrings, toxicity, warc
 from labelmill.llm.oracles import SQL  # noqa: F401
 from labelmill.session import materialize
 
@@ -82,6 +82,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -94,4 +102,6 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_filter_interaction": op12_filter_interaction,
+    "op13_main_text": op13_main_text,
 }
