@@ -5,15 +5,18 @@ or ten characters of a script without spaces), or three lines in a row of which
 shorter. Lines are counted without the empty ones. The earliest document that has a seed owns
 it, and is the one that keeps it.
 
-Rare seeds, of at most ``RARE`` occurrences, pair each later document with their owners. Only
-what a pair shares travels: the seeds of that owner in both documents, with the hashes of the
-lines beside them. A pair is aligned by patience diff: common head and tail, then the seeds
-that occur once on either side, in their longest common ascending order, as fixed points, and
-the gaps between them alike; a gap without such a seed gets an ordinary diff, by longest common
-subsequence. Aligned seeds, and the lines beside them that are alike too, are the common blocks
-that the later document loses. Seeds that one ascending alignment leaves, as they repeat or
-stand in another order, go without what stands beside them. So do frequent seeds, which need no
-partner to be known as copies: whatever their number, no group of documents is paired with all.
+Seeds pair each later document with their owners, however many documents have them: a document meets
+owners only, so a seed of a million copies makes a million pairs, not their square. Only what
+a pair shares travels: the seeds of that owner in both documents, with the hashes of the lines
+beside them. Of a seed that the owner repeats as many travel as the later document has, from the front.
+
+A pair is aligned by patience diff: common head and tail, then the seeds that occur once on
+either side, in their longest common ascending order, as fixed points, and the gaps between them
+alike; a gap without such a seed gets an ordinary diff, by longest common subsequence. One
+ascending alignment leaves blocks that moved or are repeated: what is left of the later document is
+cut into runs that ascend in the owner, and each of them is aligned in its turn. Aligned seeds, and the
+lines beside them that are alike too, are the common blocks that the later document loses;
+nothing goes that wasn't aligned.
 
 So no seed stays anywhere but in its owner, and a common block of three lines or more goes whole.
 """
@@ -29,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from labelmill.llm import textscan as ts
 from labelmill.session import materialize
@@ -37,8 +41,6 @@ SEED_WORDS = 5
 #: So many bytes of non-ASCII characters make a line long too.
 SEED_BYTES = 30
 SEED_LINES = 3
-#: Seeds with more occurrences are frequent: cut without alignment.
-RARE = 100
 #: A diff keeps so many bits at most, 32 MB.
 LCS_BITS = 1 << 28
 _IN_LINE = np.ones(256, bool)
@@ -132,15 +134,43 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def ascending_runs(early: list, late: list) -> list[tuple[list[int], list[int]]]:
+    """Places in both lists, of runs of ``late`` that ascend in ``early``, in order; all items of late are in early.
+
+    An item goes on with the run at its next place in early, and begins a new one if there is none.
+    """
+    places: dict = {}
+    for i, x in enumerate(early):
+        places.setdefault(x, []).append(i)
+    runs, last = [], len(early)
+    for j, x in enumerate(late):
+        own = places[x]
+        k = bisect_left(own, last + 1)
+        if k == len(own):
+            runs.append(([], []))
+            k = 0
+        last = own[k]
+        runs[-1][0].append(last)
+        runs[-1][1].append(j)
+    return runs
+
+
 def common_block(early: list[tuple], late: list[tuple]) -> set[int]:
     """Lines of the later document in aligned seeds, and beside them if they are alike too.
 
     Both lists are (place, size, hash, before, after) of the seeds that an owner shares with the
     document, in order of place; before and after are hashes of the lines beside, 0 for none.
     """
-    gone = {k for place, size, *_ in late for k in range(place, place + size)}
-    for i, j in patience([x[2] for x in early], [x[2] for x in late]):
+    theirs, mine = [x[2] for x in early], [x[2] for x in late]
+    pairs = patience(theirs, mine)
+    aligned = {j for _, j in pairs}
+    rest = [j for j in range(len(mine)) if j not in aligned]
+    for at, places in ascending_runs(theirs, [mine[j] for j in rest]):
+        pairs += [(at[i], rest[places[k]]) for i, k in patience([theirs[i] for i in at], [mine[rest[k]] for k in places])]
+    gone = set()
+    for i, j in pairs:
         place, size, _, before, after = late[j]
+        gone.update(range(place, place + size))
         if before and before == early[i][3]:
             gone.add(place - 1)
         if after and after == early[i][4]:
@@ -202,19 +232,23 @@ def seeds(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
     return _keyed(docs).mapInArrow(work, SEED)
 
 
-def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE) -> DataFrame:
+def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
     """(doc_id, row, gone): places of the lines to delete from each document that loses any."""
     found = materialize(seeds(docs, seed_words), "seeds")
-    held = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("owner < hi").select("h1", "h2", "owner", "n")
+    held = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("h1", "h2", "owner")
     # A table of its own, so that AQE can split the rows of a hot seed in the join.
     shared = materialize(found.join(materialize(held, "held"), ["h1", "h2"]), "shared")
     entry = F.struct("place", "size", "h1", "h2", "before", "after").alias("entry")
     lost = shared.where("doc_id > owner")
-    frequent = lost.where(F.col("n") > rare).select("doc_id", "row", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("size") - 1)).alias("line"))
-    late = lost.where(F.col("n") <= rare).select("doc_id", "row", "owner", F.lit(False).alias("early"), entry)
-    asked = lost.where(F.col("n") <= rare).select("doc_id", "row", "owner", "h1", "h2").distinct()
-    early = shared.where((F.col("doc_id") == F.col("owner")) & (F.col("n") <= rare)).select(F.col("owner").alias("early_id"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), entry)
-    early = asked.join(early, (F.col("owner") == F.col("early_id")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).select("doc_id", "row", "owner", F.lit(True).alias("early"), "entry")
+    late = lost.select("doc_id", "row", "owner", F.lit(False).alias("early"), entry)
+    asked = lost.groupBy("doc_id", "row", "owner", "h1", "h2").agg(F.count_distinct("place").alias("times"))
+    # Rows of one doc_id may differ in text; the owner is the one of them with the smallest hash that has the seed.
+    own = shared.where("doc_id = owner")
+    first = own.groupBy("owner", "h1", "h2").agg(F.min("row").alias("row"))
+    own = own.join(first, ["owner", "h1", "h2", "row"]).dropDuplicates(["owner", "h1", "h2", "place"])
+    own = own.withColumn("k", F.row_number().over(Window.partitionBy("owner", "h1", "h2").orderBy("place")))
+    early = materialize(own.select(F.col("owner").alias("early_id"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), "k", entry), "early")
+    early = asked.join(early, (F.col("owner") == F.col("early_id")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).where("k <= times").select("doc_id", "row", "owner", F.lit(True).alias("early"), "entry")
     sides = [F.array_sort(F.collect_set(F.when(of, F.col("entry")))).alias(name) for of, name in ((F.col("early"), "theirs"), (~F.col("early"), "mine"))]
     # As sets: a repeated row (same doc_id and text) has each of its seeds once.
     pairs = late.unionByName(early).groupBy("doc_id", "row", "owner").agg(*sides).select("doc_id", "row", "theirs", "mine")
@@ -227,7 +261,7 @@ def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "row", "gone"])
 
     aligned = pairs.mapInArrow(work, "doc_id long, row long, gone array<int>").select("doc_id", "row", F.explode("gone").alias("line"))
-    return aligned.unionByName(frequent).groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+    return aligned.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
 
 
 def _entries(column: pa.ListArray) -> list[list[tuple]]:
@@ -248,7 +282,7 @@ def without_lines(text: str, gone: set[int]) -> str:
     return "\n".join(kept)
 
 
-def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: bool = True, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: bool = True) -> DataFrame:
     """docs, all columns as they are, with the blocks deleted from text that an earlier document has.
 
     A document of which nothing but white space stays goes (with drop_emptied false it stays,
@@ -256,9 +290,10 @@ def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, drop_emptied: boo
     line ends, doesn't change; n_chars, if there, is set to the new length where text changed.
     Null and empty texts stay as they are and match nothing; a null doc_id is never earlier and
     loses nothing; rows of one doc_id lose nothing to each other, and a repeated row is aligned as
-    one and cut alike; an empty table stays empty.
+    one and cut alike; an empty table stays empty. A pair of documents is aligned by one task, which
+    holds the seeds that they share.
     """
-    gone = common_lines(docs, seed_words, rare)
+    gone = common_lines(docs, seed_words)
     match = (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.row"))
     joined = docs.alias("d").join(gone.alias("g"), match, "left")
     at, n = docs.columns.index("text"), len(docs.columns)
