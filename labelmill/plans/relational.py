@@ -321,7 +321,7 @@ def dictionary_merge(spark, d):
     return landing.merged_dictionary(default, stored, "word")
 
 
-@query("dup_24h", """SELECT event_id, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) <= 86400000000, false) AS is_repeat FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
+@query("dup_24h", """SELECT event_id, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) < 86400000000, false) AS is_repeat FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def dup_24h(spark, d):
     return admission.follows_within(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("event_id", "is_repeat")
 
@@ -335,12 +335,20 @@ def dup_24h_accepted(spark, d):
     return admission.accepted_first(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id").select("event_id", "accepted")
 
 
-@query("reports_30d", """SELECT event_id, n AS n_reports, n >= 3 AS disputed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS n
-       FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE event_type = 'error'))""")
+@query("reports_30d", """SELECT event_id, n AS n_reports, n >= 3 AS disputed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2591999999999 PRECEDING AND CURRENT ROW) AS n
+       FROM (SELECT event_id, user_id, epoch_us(ts) AS s FROM events WHERE event_type = 'error'))""")
 def reports_30d(spark, d):
     return admission.reports_in(table(spark, d, "events").where("event_type = 'error'"), "user_id", "ts").select("event_id", "n_reports", "disputed")
 
 
+@query("dispute_rows", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value > 90 AS shown FROM events WHERE event_type = 'error'),
+       n AS (SELECT *, lag(t, 2) OVER (PARTITION BY user_id ORDER BY t, event_id) AS f FROM e), r AS (SELECT *, coalesce(t - f < 2592000000000, false) AS enough FROM n),
+       g AS (SELECT *, count(*) FILTER (NOT enough) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM r)
+       SELECT user_id, make_timestamp(t) AS disputed_at, make_timestamp(f) AS first_report_at, CAST(3 AS BIGINT) AS n_reports FROM (SELECT * FROM g WHERE enough AND NOT shown QUALIFY row_number() OVER (PARTITION BY user_id, run ORDER BY t, event_id) = 1)""")
+def dispute_rows(spark, d):
+    return admission.disputes(table(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", "event_id", F.col("value") > 90)
+
+
 @query("verify_state", """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value / 100 AS c FROM events WHERE event_type = 'click'),
        g AS (SELECT user_id, count(*) AS verify_count, min(CASE WHEN c >= 0.9 THEN n END) AS s FROM e GROUP BY user_id)
        SELECT user_id, CASE WHEN s IS NULL THEN 'unverified' WHEN verify_count > s THEN 'verified' ELSE 'partial' END AS status, verify_count FROM g""")
@@ -350,7 +358,7 @@ def verify_state(spark, d):
 
 @query("gate_reasons", """SELECT event_id, CASE WHEN coalesce(value / 100, 0) < 0.7 THEN 'low_confidence' WHEN k > 95 THEN 'sanity_failed' WHEN k > 90 THEN 'mass_balance' WHEN event_type = 'signup' THEN 'public_source'
        WHEN rep THEN 'duplicate' END AS reject_reason FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-       coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), ts) <= 86400000000, false) AS rep FROM events)""")
+       coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), ts) < 86400000000, false) AS rep FROM events)""")
 def gate_reasons(spark, d):
     e = admission.follows_within(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("long")

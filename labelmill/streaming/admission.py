@@ -1,13 +1,17 @@
 """Admission of submitted facts: gates, duplicate suppression, verification states, reports.
 
 Each rule has a batch form over an event table and, where state is needed, a Structured
-Streaming form with the same result for events that come in order.
+Streaming form with the same result for events that come in order. Spans of time are open: what is
+exactly a day or 30 days old is past.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from labelmill.streaming import processors
 
 DAY, MONTH = 24 * 3600, 30 * 24 * 3600
 LEAST_CONFIDENCE, SURE = 0.7, 0.9
@@ -28,7 +32,7 @@ def gate(confidence: Column, warnings: Column, protected: Column, duplicate: Col
 
 
 def follows_within(events: DataFrame, keys: list[str], at: str, order: str, seconds: int = DAY) -> DataFrame:
-    """events with is_repeat: an earlier event of the same key is at most ``seconds`` old; ties go by ``order``.
+    """events with is_repeat: an earlier event of the same key is less than ``seconds`` old; ties go by ``order``.
 
     An event that old is in the same stretch of so many seconds or the one before, so a key's
     events are told apart by stretches and of the one before only its last time is carried over.
@@ -43,7 +47,7 @@ def follows_within(events: DataFrame, keys: list[str], at: str, order: str, seco
     for x in same:
         match = match & x
     joined = rows.withColumn("repeat_before", before).alias("e").join(last.alias("l"), match, "left")
-    near = F.col("e.repeat_t") - F.coalesce("e.repeat_before", "l.repeat_last") <= span
+    near = F.col("e.repeat_t") - F.coalesce("e.repeat_before", "l.repeat_last") < span
     return joined.select(*(F.col(f"e.`{c}`") for c in events.columns), F.coalesce(near, F.lit(False)).alias("is_repeat"))
 
 
@@ -79,16 +83,16 @@ def accepted_first(events: DataFrame, keys: list[str], at: str, order: str, seco
 
 
 def reports_in(events: DataFrame, key: str, at: str, seconds: int = MONTH, least: int = REPORTS) -> DataFrame:
-    """events with n_reports (of the key in the time before, itself included) and disputed (at least ``least``).
+    """events with n_reports (of the key in less than the time before, itself included) and disputed (at least ``least``).
 
     Each event also counts in the stretch of so many seconds after its own, so that a hot key is
     many groups, each with all that its events look back on.
     """
-    time = F.unix_seconds(F.col(at).cast("timestamp"))
-    span = F.floor(time / seconds)
+    time, micros = F.unix_micros(F.col(at).cast("timestamp")), seconds * 1_000_000
+    span = F.floor(time / micros)
     rows = events.withColumns({"report_t": time, "report_span": F.explode(F.when(time.isNull(), F.array(span)).otherwise(F.array(span, span + 1)))})
-    w = Window.partitionBy(key, "report_span").orderBy("report_t").rangeBetween(-seconds, 0)
-    counted = rows.withColumn("n_reports", F.count("*").over(w)).where(F.col("report_span").eqNullSafe(F.floor(F.col("report_t") / seconds)))
+    w = Window.partitionBy(key, "report_span").orderBy("report_t").rangeBetween(1 - micros, 0)
+    counted = rows.withColumn("n_reports", F.count("*").over(w)).where(F.col("report_span").eqNullSafe(F.floor(F.col("report_t") / micros)))
     return counted.drop("report_t", "report_span").withColumn("disputed", F.col("n_reports") >= least)
 
 
@@ -112,15 +116,66 @@ def stale(at: Column, as_of: Column, years: int = 2) -> Column:
     return F.coalesce(at < F.add_months(as_of, -12 * years), F.lit(False))
 
 
-def suppress_stream(stream: DataFrame, keys: list[str], at: str, late: str = "24 hours") -> DataFrame:
-    """A stream without repeats of a key inside the watermark delay."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+def _stateful(spark) -> None:
+    """Arbitrary state needs the state store that keeps it on disk; set for the session's later queries."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def accepted_stream(stream: DataFrame, keys: list[str], at: str, order: str, seconds: int = DAY, late: str = "1 hour") -> DataFrame:
+    """A stream with accepted, as ``accepted_first`` gives it for events that come in order, however they are cut into triggers.
+
+    Each key has one number of state, its last accepted time, which a timer clears ``seconds`` and ``late``
+    afterwards. An event that comes after a later one is judged by the last accepted time too; one
+    later than the watermark is lost. An event without a time is never accepted and leaves no state.
+    """
+    _stateful(stream.sparkSession)
+    n, parts = len(stream.columns), [f"p{i}" for i in range(len(keys))]
+    # By place: a column of the stream may have any name.
+    columns = [f"c{i}" for i in range(n)]
+    time = F.col(at).cast("timestamp")
+    rows = stream.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(stream.columns, columns)), *(F.col(k).alias(x) for k, x in zip(keys, parts)), time.alias("event_at"), F.unix_micros(time).alias("event_t"), F.col(order).alias("event_o")).withWatermark("event_at", late)
+    schema = T.StructType([T.StructField(x, f.dataType) for x, f in zip(columns, stream.schema)] + [T.StructField("accepted", T.BooleanType())])
+    known = rows.where("event_t IS NOT NULL").groupBy(*parts).transformWithState(processors.AcceptFirst(seconds * 1_000_000, columns), schema, "Append", "EventTime")
+    return known.select(*(F.col(x).alias(c) for c, x in zip(stream.columns, columns)), "accepted")
+
+
+def suppress_stream(stream: DataFrame, keys: list[str], at: str, order: str, seconds: int = DAY, late: str = "1 hour") -> DataFrame:
+    """Only the accepted events of a stream."""
+    return accepted_stream(stream, keys, at, order, seconds, late).where("accepted").drop("accepted")
+
 
+def disputes(events: DataFrame, key: str, at: str, order: str, protected: Column | None = None, seconds: int = MONTH, least: int = REPORTS) -> DataFrame:
+    """(key, disputed_at, first_report_at, n_reports): a row for each time that a key's reports reach ``least``.
 
-def report_stream(stream: DataFrame, key: str, at: str, window: str = "30 days", slide: str = "1 day", late: str = "1 day", least: int = REPORTS) -> DataFrame:
-    """Keys with at least ``least`` reports in a sliding window of a stream."""
-    counts = stream.withWatermark(at, late).groupBy(F.window(at, window, slide), key).agg(F.count("*").alias("n_reports"))
-    return counts.where(F.col("n_reports") >= least).select(key, F.col("window.start").alias("window_start"), "n_reports")
+    It comes with the report that does so; another one only after the number of recent reports fell below.
+    While ``protected`` holds (set by an administrator, say) there is none; the first report
+    after that may give it.
+    """
+    time, shown = F.unix_micros(F.col(at).cast("timestamp")), F.coalesce(protected if protected is not None else F.lit(False), F.lit(False))
+    rows = events.select(F.col(key).alias("k"), time.alias("t"), F.col(order).alias("o"), shown.alias("protected")).where("t IS NOT NULL")
+    w = Window.partitionBy("k").orderBy("t", "o")
+    # The report that makes up the number is so many rows back; whether it is recent says if there are enough.
+    rows = rows.withColumn("first_t", F.lag("t", least - 1).over(w))
+    rows = rows.withColumn("enough", F.coalesce(F.col("t") - F.col("first_t") < seconds * 1_000_000, F.lit(False)))
+    # A run of enough reports begins anew after each report that isn't; its first unprotected one gives the row.
+    rows = rows.withColumn("run", F.sum((~F.col("enough")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    open_ones = rows.where("enough AND NOT protected").groupBy("k", "run").agg(F.min(F.struct("t", "o", "first_t")).alias("x"))
+    return open_ones.select(F.col("k").alias(key), F.timestamp_micros("x.t").alias("disputed_at"), F.timestamp_micros("x.first_t").alias("first_report_at"), F.lit(least).cast("long").alias("n_reports"))
+
+
+def dispute_stream(stream: DataFrame, key: str, at: str, order: str, protected: Column | None = None, seconds: int = MONTH, least: int = REPORTS, late: str = "1 hour") -> DataFrame:
+    """What ``disputes`` gives, on a stream: a row as soon as a key's reports reach ``least``.
+
+    State is the last ``least`` times of a key, however many it has; a timer clears it when the last is too old.
+    """
+    _stateful(stream.sparkSession)
+    kind = stream.schema[key].dataType
+    shown = F.coalesce(protected if protected is not None else F.lit(False), F.lit(False))
+    time = F.col(at).cast("timestamp")
+    rows = stream.select(F.col(key).alias("k"), time.alias("event_at"), F.unix_micros(time).alias("event_t"), F.col(order).alias("event_o"), shown.alias("protected")).withWatermark("event_at", late)
+    schema = T.StructType([T.StructField("k", kind), T.StructField("t", T.LongType()), T.StructField("first_t", T.LongType()), T.StructField("n_reports", T.LongType())])
+    raised = rows.where("event_t IS NOT NULL").groupBy("k").transformWithState(processors.Dispute(seconds * 1_000_000, least), schema, "Append", "EventTime")
+    return raised.select(F.col("k").alias(key), F.timestamp_micros("t").alias("disputed_at"), F.timestamp_micros("first_t").alias("first_report_at"), "n_reports")
 
 
 def verification_stream(stream: DataFrame, key: str, confidence: str) -> DataFrame:

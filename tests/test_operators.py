@@ -203,13 +203,6 @@ def test_verification_stream_equals_batch(spark, tmp_path):
     assert last == {r.k: (r.status, r.verify_count) for r in batch.collect()} == {1: ("verified", 3), 2: ("partial", 1)}
 
 
-def test_suppressing_stream_drops_repeats(spark, tmp_path):
-    rows = [[(1, "a", 0), (1, "a", 10)], [(2, "a", 20)]]
-    s = _stream(spark, tmp_path, rows, "u long, t string, s int").select("u", "t", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
-    admission.suppress_stream(s, ["u", "t"], "ts").writeStream.format("memory").queryName("suppressed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(r.u for r in spark.table("suppressed").collect()) == [1, 2]
-
-
 def test_threshold_table(spark):
     assert rules.threshold_table(spark).count() == 5 + 4 + 4 + 2
 
