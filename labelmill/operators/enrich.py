@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions import extract, normalize
 from labelmill.functions import similarity as S
-from labelmill.operators import dedup, link
+from labelmill.operators import dedup, link, matching
 
 LOOSE, MAKER_PASS = 0.85, 0.5
 
@@ -110,11 +110,20 @@ def match_ingredients(products: DataFrame, staged: DataFrame, loose: bool = Fals
 
 
 def substring_facts(products: DataFrame, facts: DataFrame) -> DataFrame:
-    """(fact_id, product_id): the first product (product_id, product_name) without facts whose name holds
-    the food's name (fact_id, food_name), each product once, in order of fact_id."""
-    pairs = link.substring_join(facts, products, "food_name", "product_name")
-    edges = facts.join(pairs, "food_name").join(products, "product_name").select("fact_id", "product_id", F.lit(1.0).alias("score"))
-    return link.exclusive_match(edges, "fact_id", "product_id", "score").select("fact_id", "product_id")
+    """(fact_id, product_id): for each food name (fact_id, food_name), in order of fact_id, the first product
+    (product_id, product_name) without facts whose name holds it; each product once. Upper and lower case are alike.
+
+    Facts of one name look for it once and are dealt the products that hold it by their place in the order.
+    Blank and null names match nothing.
+    """
+    food, name = F.lower(F.trim("food_name")), F.lower("product_name")
+    named = facts.select(F.col("fact_id").cast("long").alias("fact_id"), food.alias("food")).where("food != '' AND fact_id IS NOT NULL")
+    blocks = named.groupBy("food").agg(F.min("fact_id").alias("block"))
+    held = products.select(F.col("product_id").cast("long").alias("right"), name.alias("held")).where("held IS NOT NULL AND right IS NOT NULL")
+    pairs = link.substring_join(blocks, held, "food", "held")
+    lists = pairs.join(blocks, "food").join(held, "held").select("block", "right", F.lit(1.0).alias("score"))
+    found = matching.match_blocks(named.join(blocks, "food").select("block", F.col("fact_id").alias("left")), lists.distinct())
+    return found.select(F.col("left").cast(facts.schema["fact_id"].dataType).alias("fact_id"), F.col("right").cast(products.schema["product_id"].dataType).alias("product_id"))
 
 
 def match_rates(decisions: DataFrame) -> DataFrame:

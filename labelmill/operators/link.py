@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions import similarity as S
 from labelmill.operators.dedup import first_per_group
+from labelmill.operators.matching import exclusive_match, match_blocks  # noqa: F401
 from labelmill.session import materialize
 
 #: A dictionary's automaton of up to so many bytes goes to every task; a larger one is looked up by shuffles.
@@ -123,21 +124,15 @@ def top_then_filter(candidates: DataFrame, entity: str, order: list[Column], kee
     return first_per_group(some.where(keep), [entity], [F.col("candidate_rank")], 1, "rank").drop("rank", "candidate_rank")
 
 
-def exclusive_match(edges: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """Sequential greedy matching: each left row in order takes its best free right row (ties: smallest).
-
-    Deferred acceptance gives the same pairs in parallel: every left without a partner proposes
-    to its best right that hasn't refused it, each right keeps its smallest left, and refused
-    edges go. A round is one join and two aggregations; edges only get fewer, so it ends.
-    """
-    alive = materialize(edges.select(left, right, score).where(F.col(score).isNotNull()), "edges")
-    while True:
-        best = alive.groupBy(left).agg(F.max_by(right, F.struct(score, -F.col(right))).alias(right), F.max(score).alias(score))
-        taken = best.groupBy(right).agg(F.min(left).alias("winner"))
-        refused = best.join(taken, right).where(F.col(left) != F.col("winner")).select(left, right)
-        if refused.isEmpty():
-            return best.select(left, right, score)
-        alive = materialize(alive.join(refused, [left, right], "left_anti"), "edges")
+def equal_rows(df: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(members, firsts): rows by block, the smallest id of those with equal columns (null equals null), and the columns of each block."""
+    ids = F.col(key).cast("long")
+    firsts = df.where(ids.isNotNull()).groupBy(*columns).agg(F.min(ids).alias("block"))
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"r.`{c}`").eqNullSafe(F.col(f"f.`{c}`"))
+    members = df.where(ids.isNotNull()).alias("r").join(firsts.alias("f"), same).select(F.col("f.block"), F.col(f"r.{key}").cast("long").alias("left"))
+    return members, firsts
 
 
 def outer_parts(left: DataFrame, right: DataFrame, matches: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -161,13 +156,16 @@ def merge_datasets(left: DataFrame, right: DataFrame, least: float = 0.6) -> Dat
     from labelmill.functions import normalize
 
     floor = max((least - S.MAKER_SHARE) / S.NAME_SHARE, 0.05)
-    named = [df.withColumn("match_name", normalize.name(F.col("product_name"))) for df in (left, right)]
+    # Products of one name and maker have the same candidates, so those are found once for all of them.
+    members, firsts = equal_rows(left, ["product_name", "manufacturer"], "left_id")
+    named = [df.withColumn("match_name", normalize.name(F.col("product_name"))) for df in (firsts, right)]
     names = [df.select("match_name").distinct().withColumn(k, F.col("match_name")) for df, k in zip(named, ("name_l", "name_r"))]
     pairs = trigram_join(names[0], names[1], "name_l", "name_r", "match_name", floor)
-    a = named[0].select("left_id", F.col("product_name").alias("pl"), F.col("manufacturer").alias("ml"), F.col("match_name").alias("name_l"))
-    b = named[1].select("right_id", F.col("product_name").alias("pr"), F.col("manufacturer").alias("mr"), F.col("match_name").alias("name_r"))
-    scored = a.join(pairs.drop("sim"), "name_l").join(b, "name_r").select("left_id", "right_id", S.composite(F.col("pl"), F.col("ml"), F.col("pr"), F.col("mr")).alias("score"))
-    return exclusive_match(scored.where(F.col("score") >= least), "left_id", "right_id", "score")
+    a = named[0].select("block", F.col("product_name").alias("pl"), F.col("manufacturer").alias("ml"), F.col("match_name").alias("name_l"))
+    b = named[1].select(F.col("right_id").cast("long").alias("right"), F.col("product_name").alias("pr"), F.col("manufacturer").alias("mr"), F.col("match_name").alias("name_r"))
+    scored = a.join(pairs.drop("sim"), "name_l").join(b, "name_r").select("block", "right", S.composite(F.col("pl"), F.col("ml"), F.col("pr"), F.col("mr")).alias("score"))
+    found = match_blocks(members, scored.where(F.col("score") >= least))
+    return found.select(F.col("left").cast(left.schema["left_id"].dataType).alias("left_id"), F.col("right").cast(right.schema["right_id"].dataType).alias("right_id"), "score")
 
 
 def fuzzy_facts(products: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,20 +175,25 @@ def fuzzy_facts(products: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataF
     from labelmill.functions import extract
 
     t = 0.7
-    left = facts.select("fact_id", F.col("normalized_name").alias("txt"), F.when(F.length("normalized_maker") > 1, F.col("normalized_maker")).alias("maker"))
+    # Facts of equal names and maker have the same candidates.
+    members, firsts = equal_rows(facts, ["normalized_name", "normalized_maker", "product_name"], "fact_id")
+    firsts = materialize(firsts, "blocks")
+    left = firsts.select("block", F.col("normalized_name").alias("txt"), F.when(F.length("normalized_maker") > 1, F.col("normalized_maker")).alias("maker"))
     right = products.select("product_id", F.col("normalized_name").alias("txt"), F.col("normalized_maker").alias("maker"))
-    with_maker = trigram_join(left.where("maker IS NOT NULL"), right, "fact_id", "product_id", "txt", t, block="maker")
-    without = trigram_join(left.where("maker IS NULL"), right, "fact_id", "product_id", "txt", t)
-    cand = with_maker.unionByName(without).join(facts.select("fact_id", F.col("normalized_name").alias("fn"), F.col("product_name").alias("fp")), "fact_id").join(products.select("product_id", F.col("product_name").alias("pp")), "product_id")
+    with_maker = trigram_join(left.where("maker IS NOT NULL"), right, "block", "product_id", "txt", t, block="maker")
+    without = trigram_join(left.where("maker IS NULL"), right, "block", "product_id", "txt", t)
+    cand = with_maker.unionByName(without).join(firsts.select("block", F.col("normalized_name").alias("fn"), F.col("product_name").alias("fp")), "block").join(products.select("product_id", F.col("product_name").alias("pp")), "product_id")
     cand = cand.where(F.col("sim") >= S.length_threshold(F.col("fn")))
-    ranked = first_per_group(cand, ["fact_id"], [F.col("sim").desc(), F.col("product_id")], 3, "candidate_rank")
+    ranked = materialize(first_per_group(cand, ["block"], [F.col("sim").desc(), F.col("product_id")], 3, "candidate_rank"), "ranked")
     fu, pu = extract.unit_family(F.col("fp")), extract.unit_family(F.col("pp"))
     clash = F.coalesce(fu != pu, F.lit(False))
-    good = ranked.where(~clash).select("fact_id", "product_id", "sim")
-    matches = exclusive_match(good, "fact_id", "product_id", "sim")
+    good = ranked.where(~clash).select("block", F.col("product_id").cast("long").alias("right"), F.col("sim").alias("score"))
+    fact, product = (df.schema[k].dataType for df, k in ((facts, "fact_id"), (products, "product_id")))
+    matches = match_blocks(members, good).select(F.col("left").cast(fact).alias("fact_id"), F.col("right").cast(product).alias("product_id"), F.col("score").alias("sim"))
+    refused = ranked.where(clash).join(members, "block").select(F.col("left").cast(fact).alias("fact_id"), "product_id", "sim")
     decisions = (
         matches.select("fact_id", "product_id", "sim", F.lit("matched").alias("status"), F.lit(None).cast("string").alias("reason"))
-        .unionByName(ranked.where(clash).select("fact_id", "product_id", "sim", F.lit("rejected").alias("status"), F.lit("unit_mismatch").alias("reason")))
+        .unionByName(refused.select("fact_id", "product_id", "sim", F.lit("rejected").alias("status"), F.lit("unit_mismatch").alias("reason")))
         .unionByName(facts.select("fact_id").join(matches, "fact_id", "left_anti").select("fact_id", F.lit(None).cast("long").alias("product_id"), F.lit(None).cast("double").alias("sim"), F.lit("pooled").alias("status"), F.lit(None).cast("string").alias("reason")))
     )
     return matches, decisions

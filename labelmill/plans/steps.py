@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelmill.operators import admin, enrich, labels, search
 from labelmill.plans.registry import query
 from labelmill.plans.scoring import _both_sides
-from labelmill.plans.texts import DICTIONARY, LABELS
+from labelmill.plans.texts import _PART_NAMES, DICTIONARY, LABELS, part_names
 from labelmill.session import table
 
 
@@ -90,6 +90,18 @@ def substring_facts(spark, d):
     return enrich.substring_facts(products, facts)
 
 
+@query("substring_facts_all", f"""WITH RECURSIVE p AS (SELECT id AS product_id, lower(name) AS held FROM {_PART_NAMES}), f AS (SELECT p_partkey + 1000000 AS fact_id, CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[2] ELSE p_name END AS food, row_number() OVER (ORDER BY p_partkey) AS i FROM part WHERE p_partkey % 5 <> 0),
+  c AS (SELECT food, list(product_id ORDER BY product_id) AS ids FROM (SELECT DISTINCT food FROM f) JOIN p ON contains(held, food) GROUP BY food),
+  g AS (SELECT CAST(0 AS BIGINT) AS i, bitstring('0', (SELECT CAST(max(p_partkey) + 1 AS INTEGER) FROM part)) AS used, CAST(NULL AS BIGINT) AS fact_id, CAST(NULL AS BIGINT) AS product_id
+        UNION ALL SELECT i, CASE WHEN x IS NULL THEN used ELSE set_bit(used, CAST(x AS INTEGER), 1) END, fact_id, x FROM (SELECT f.i, g.used, f.fact_id, list_filter(c.ids, lambda y: get_bit(g.used, CAST(y AS INTEGER)) = 0)[1] AS x FROM g JOIN f ON f.i = g.i + 1 LEFT JOIN c USING (food)))
+  SELECT fact_id, product_id FROM g WHERE product_id IS NOT NULL""")
+def substring_facts_all(spark, d):
+    """Names of parts, and bare nouns for every third, as foods; all parts, named as products are, to hold them."""
+    part = table(spark, d, "part").where("p_partkey % 5 <> 0")
+    facts = part.select((F.col("p_partkey") + 1_000_000).alias("fact_id"), F.when(F.col("p_partkey") % 3 == 0, F.split("p_name", " ")[1]).otherwise(F.col("p_name")).alias("food_name"))
+    return enrich.substring_facts(part_names(spark, d).select(F.col("id").alias("product_id"), F.col("name").alias("product_name")), facts)
+
+
 @query("additive_groups", """SELECT l_partkey, greatest(max(CASE s_nationkey % 4 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 1 END), 1) AS dominant_rank, count(*) AS n, min(s_name) AS first_name FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey""")
 def additive_groups(spark, d):
     rank = F.when(F.col("s_nationkey") % 4 == 1, 2).when(F.col("s_nationkey") % 4 == 2, 4).otherwise(1)
