@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm import textscan as ts
+from labelmill.session import materialize
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
@@ -67,9 +68,11 @@ def failure_masks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "part", "mask", "digest"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string"))
-    checked = rows.mapInArrow(work, "doc_id long, part string, mask int, digest binary")
-    # Only texts that some larger doc_id repeats; AQE can split the rows of a text with very many copies.
+    # Texts are read once, and both sides of the join are tables, so that AQE can split the rows of a text with very many copies.
+    checked = materialize(rows.mapInArrow(work, "doc_id long, part string, mask int, digest binary"), "checked")
+    # Only texts that some larger doc_id repeats.
     firsts = checked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
+    firsts = materialize(firsts, "firsts")
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).cast("int")
     return checked.join(firsts, "digest", "left").select("doc_id", "part", (F.col("mask") + copy * 16).alias("mask"))
 
