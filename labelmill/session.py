@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,28 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.sparkContext.getCheckpointDir() or made).rstrip("/")
 
 
+#: Folders of the tables that ``materialize`` gave out and that are still there.
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    The table stays until ``release`` takes it; what is left when a session has ended can be deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/labelmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` whose last reader is written; others are left alone."""
+    for t in tables:
+        path = _FOLDERS.pop(t, None)
+        if path is not None:
+            jvm = t.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
