@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.session import materialize
+from labelmill.session import materialize, release
 
 MOST_ROUNDS = 40
 
@@ -15,18 +15,22 @@ def _around(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour to the smallest node around."""
+    """Link every larger neighbour to the smallest node around, as a table."""
     both = _around(edges)
     # A table of its own, so that AQE can split the edges of a hot node in the join.
     least = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least")), "least")
-    return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src != dst").distinct()
+    star = materialize(both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src != dst").distinct(), "star")
+    release(least)
+    return star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Link every smaller neighbour, and the node itself, to the smallest one. Edges point down."""
+    """Link every smaller neighbour, and the node itself, to the smallest one, as a table. Edges point down."""
     least = materialize(edges.groupBy("src").agg(F.min("dst").alias("least")), "least")
     moved = edges.join(least, "src").where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-    return moved.unionByName(least.select("src", F.col("least").alias("dst"))).distinct()
+    star = materialize(moved.unionByName(least.select("src", F.col("least").alias("dst"))).distinct(), "star")
+    release(least)
+    return star
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -47,7 +51,9 @@ def connected_components(edges: DataFrame, first: str = "a", second: str = "b")
     a, b = F.col(first).cast("long"), F.col(second).cast("long")
     edges = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct()
     for _ in range(MOST_ROUNDS):
-        edges = materialize(_small_star(materialize(_large_star(edges), "star")), "star")
+        large, before = _large_star(edges), edges
+        edges = _small_star(large)
+        release(large, before)
         if _settled(edges):
             break
     else:

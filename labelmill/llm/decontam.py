@@ -179,7 +179,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
     Document words inside any occurrence of a window are hit. Columns: doc_id, n_words, n_hit,
     n_items, items_sha256 (the item ids sorted as strings, comma-joined), contaminated. Null
     and empty texts have no words; rows that repeat are reported each; an item_id null still
-    hits words but is no item; empty tables give no rows or no hits.
+    hits words but is no item; empty tables give no rows or no hits. Texts of any length are read
+    whole; other columns play no part, whatever their names.
     """
 
     def finish(batch, first, scan, mask, items):
@@ -199,7 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     With remove="spans" each run of hit words, from its first to its last byte, is taken out
     of the text, and nothing else changes. Nulls, repeats and empty tables as in
-    ``contamination``; null texts stay null.
+    ``contamination``; null texts stay null; columns may have any names.
     """
     names = docs.columns
     at = names.index("text")

@@ -185,7 +185,8 @@ def fit(languages: list[str], counts: np.ndarray, k: int = CENTROIDS) -> Languag
 def fit_on(labelled: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
     """A model from rows (doc_id, text, lang), on about ``rows`` of them and at most twice as many:
     those whose hash is in the share of all hashes that gives so many. Rows without text or lang
-    don't count."""
+    don't count; repeated rows count each; an empty table gives a model without languages. Long texts are
+    counted whole; other columns play no part."""
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     share = rows / max(1, labelled.count())
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) < int(share * (1 << 40))
@@ -211,7 +212,7 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
     score is the cosine with the nearest centroid, from 0 to 1. A null text, or one without a
     letter, is ``und`` with score 0 and rejected; else lang_pred is a learned language even if
     rejected by its distance. Repeated rows are given each; an empty table gives no rows; a
-    model without languages says ``und``.
+    model without languages says ``und``. Whole texts count, however long; other columns play no part.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else held_out).alias("held_out"), text, F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("lettered"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelmill.llm import textscan as ts
-from labelmill.session import materialize
+from labelmill.session import materialize, release
 
 SEED_WORDS = 5
 #: So many bytes of non-ASCII characters make a line long too.
@@ -237,7 +237,9 @@ def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
     found = materialize(seeds(docs, seed_words), "seeds")
     held = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("h1", "h2", "owner")
     # A table of its own, so that AQE can split the rows of a hot seed in the join.
-    shared = materialize(found.join(materialize(held, "held"), ["h1", "h2"]), "shared")
+    held = materialize(held, "held")
+    shared = materialize(found.join(held, ["h1", "h2"]), "shared")
+    release(found, held)
     entry = F.struct("place", "size", "h1", "h2", "before", "after").alias("entry")
     lost = shared.where("doc_id > owner")
     late = lost.select("doc_id", "row", "owner", F.lit(False).alias("early"), entry)
@@ -247,8 +249,8 @@ def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
     first = own.groupBy("owner", "h1", "h2").agg(F.min("row").alias("row"))
     own = own.join(first, ["owner", "h1", "h2", "row"]).dropDuplicates(["owner", "h1", "h2", "place"])
     own = own.withColumn("k", F.row_number().over(Window.partitionBy("owner", "h1", "h2").orderBy("place")))
-    early = materialize(own.select(F.col("owner").alias("early_id"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), "k", entry), "early")
-    early = asked.join(early, (F.col("owner") == F.col("early_id")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).where("k <= times").select("doc_id", "row", "owner", F.lit(True).alias("early"), "entry")
+    owned = materialize(own.select(F.col("owner").alias("early_id"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), "k", entry), "early")
+    early = asked.join(owned, (F.col("owner") == F.col("early_id")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).where("k <= times").select("doc_id", "row", "owner", F.lit(True).alias("early"), "entry")
     sides = [F.array_sort(F.collect_set(F.when(of, F.col("entry")))).alias(name) for of, name in ((F.col("early"), "theirs"), (~F.col("early"), "mine"))]
     # As sets: a repeated row (same doc_id and text) has each of its seeds once.
     pairs = late.unionByName(early).groupBy("doc_id", "row", "owner").agg(*sides).select("doc_id", "row", "theirs", "mine")
@@ -261,7 +263,9 @@ def common_lines(docs: DataFrame, seed_words: int = SEED_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "row", "gone"])
 
     aligned = pairs.mapInArrow(work, "doc_id long, row long, gone array<int>").select("doc_id", "row", F.explode("gone").alias("line"))
-    return aligned.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+    gone = materialize(aligned.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")), "gone")
+    release(shared, owned)
+    return gone
 
 
 def _entries(column: pa.ListArray) -> list[list[tuple]]:

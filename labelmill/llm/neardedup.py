@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from labelmill.llm import textscan as ts
 from labelmill.llm.components import connected_components
 from labelmill.operators.dedup import first_per_group
-from labelmill.session import materialize
+from labelmill.session import materialize, release
 
 SHINGLE_WORDS = 5
 SAMPLES = 128
@@ -182,7 +182,9 @@ def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> Da
                     fresh = partner[k]
             yield batch.select([0, 2]).filter(pa.array(keep))
 
-    return materialize(rows.mapInArrow(work, "a long, b long"), "links")
+    links = materialize(rows.mapInArrow(work, "a long, b long"), "links")
+    release(near, many, pairs)
+    return links
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,35 +197,27 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(new), "labels")
 
 
-def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows (key, rep) with the component of each rep."""
-    return rows.join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+def with_hubs(rows: DataFrame, rank: Column, ranked: DataFrame | None = None) -> DataFrame:
+    """(key, rep, component, size, hub, hub_component) of the rows (key, rep, component) of buckets that hold
+    more than one component, as a table.
 
-
-def apart(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    return rows.join(materialize(mixed, "mixed"), "key")
+    A bucket's hub is of its largest component, its member of the least rank (a column of ``ranked``, if given). One
+    aggregate by bucket says which are left, how large they are and what their hub is.
+    """
+    parts = (rows if ranked is None else ranked).groupBy("key", "component").agg(F.count("*").alias("members"), F.min(F.struct(rank.alias("rank"), "rep")).alias("first"))
+    largest = F.struct("members", -F.col("first.rank"), "component", F.col("first.rep").alias("hub"))
+    tops = parts.groupBy("key").agg(F.max(largest).alias("top"), F.sum("members").alias("size"), F.count("*").alias("components")).where("components > 1")
+    # A table of its own, so that AQE can split the rows of a hot bucket in the join.
+    tops = materialize(tops.select("key", "size", F.col("top.hub").alias("hub"), F.col("top.component").alias("hub_component")), "hubs")
+    found = materialize(rows.select("key", "rep", "component").join(tops, "key"), "buckets")
+    release(tops)
+    return found
 
 
-def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+def hub_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents with hubs of other components: for each document the hubs that it
-    shares most buckets with, HUBS at most.
-
-    A bucket's hub is of its largest component; in the first turn the member that meets most
-    others in all its buckets, later another one each time.
-    """
-    if turn:
-        rank = F.xxhash64("rep", F.lit(turn))
-    else:
-        # Aggregates become tables of their own, so that AQE can split the rows of a hot bucket in a join.
-        sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("members")), "sizes")
-        meets = rows.join(sizes, "key").groupBy("rep").agg(F.sum("members").alias("meets"))
-        rows, rank = rows.join(meets, "rep"), -F.col("meets")
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("members"), F.min(F.struct(rank.alias("rank"), "rep")).alias("first"))
-    largest = F.struct("members", -F.col("first.rank"), "component", F.col("first.rep").alias("hub"))
-    hubs = parts.groupBy("key").agg(F.max(largest).alias("top")).select("key", F.col("top.hub").alias("hub"), F.col("top.component").alias("hub_component"))
-    shared = rows.join(materialize(hubs, "hubs"), "key").where(F.col("component") != F.col("hub_component")).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
+    shares most buckets with, HUBS at most."""
+    shared = rows.where(F.col("component") != F.col("hub_component")).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
     best = first_per_group(shared, ["rep"], [F.col("shared").desc(), F.col("hub")], HUBS)
     return best.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
@@ -236,19 +230,25 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     named = classes.select("h1", "h2", "rep")
     sketches = classes.select("rep", "sketch", "n")
     member = classes.select(F.explode("bands").alias("key"), "rep")
-    shared = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    rows = materialize(member.join(materialize(shared, "shared"), "key").select("key", "rep", F.col("rep").alias("component")), "buckets")
+    sizes = materialize(member.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "members"), "sizes")
+    bands = materialize(member.join(sizes, "key").select("key", "rep", F.col("rep").alias("component"), "members"), "bands")
+    # In the first turn the hub is the member that meets most others in all its buckets, later another one each time.
+    meets = bands.groupBy("rep").agg(F.sum("members").alias("meets"))
+    rows = with_hubs(bands, -F.col("meets"), bands.join(meets, "rep"))
+    release(sizes, bands)
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts = materialize(texts.join(rows.select("rep").distinct(), "rep", "left_semi"), "texts")
-    labels = rows.select("rep", "component").limit(0)
+    labels = classes.select("rep", F.col("rep").alias("component")).limit(0)
     for turn in range(STAR_ROUNDS):
-        found = verified(sketched(_hub_pairs(rows, turn), sketches, threshold), texts, threshold, size)
+        found, before = verified(sketched(hub_pairs(rows), sketches, threshold), texts, threshold, size), (rows, labels)
         if not found.isEmpty():
             labels = merged(labels, found)
-            rows = materialize(apart(labelled(rows.select("key", "rep"), labels)), "apart")
-        elif not turn:
-            rows = materialize(apart(rows), "apart")
+            release(before[1])
+        named_rows = rows.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        rows = with_hubs(named_rows, F.xxhash64("rep", F.lit(turn + 1)))
+        release(found, before[0])
         if rows.isEmpty():
+            release(rows, texts)
             return named, labels
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.join(classes.select("rep", "sketch", "n", "bands"), "rep").select("key", "rep", "component", "sketch", "n", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
@@ -258,6 +258,7 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     differ = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
     pairs = rows.join(other, ["key", "block"]).where(differ & alike("sketch", "sketch_b", "n", "n_b", threshold) & first_shared)
     found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), texts, threshold, size)
+    release(texts)
     return named, labels if found.isEmpty() else merged(labels, found)
 
 

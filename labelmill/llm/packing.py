@@ -11,6 +11,7 @@ together, and so on, so that shards cost next to nothing. Only numbers are shuff
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -43,8 +44,28 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
 
 
+#: What a tokenizer does that lower-cases, drops white space and never joins characters across it.
+LOWER_CASED = ["NFC", "Replace", "Lowercase"]
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def reads_by_words(tokenizer) -> bool:
+    """Whether a tokenizer's settings are those under which a text's ids are those of its words, lower-cased, one after another."""
+    try:
+        normal, apart = (json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+        steps, (split, letters) = normal["normalizers"], apart["pretokenizers"]
+        return (
+            [x["type"] for x in steps] == LOWER_CASED
+            and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+            and (split["type"], split["pattern"], split["behavior"], split["invert"]) == ("Split", {"Regex": APART}, "Removed", True)
+            and (letters["type"], letters["add_prefix_space"], letters["use_regex"]) == ("ByteLevel", False, False)
+        )
+    except (AttributeError, KeyError, TypeError, ValueError):
+        return False
+
+
 class WordEncoder(dict):
-    """Ids of texts by a tokenizer that never joins characters across white space.
+    """Ids of texts by a tokenizer; by the words of a text, if the tokenizer's settings allow it, else of whole texts.
 
     A text is split at ASCII white space, and each distinct part is encoded once, when it is
     first looked up. ASCII capitals are lower-cased before, as the tokenizer does. A part of
@@ -63,6 +84,7 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.by_words = reads_by_words(self.tokenizer)
         self.tokenize = self.tokenizer.model.tokenize
 
     def whole(self, text: bytes) -> bytes:
@@ -82,7 +104,9 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a text, which is read in slices that end at white space."""
+        """Little-endian 32-bit ids of a text, which is read in slices that end at white space where that changes nothing."""
+        if not self.by_words:
+            return self.whole(text)
         out, at = [], 0
         while at < len(text):
             cut = self.space.search(text, at + SLICE_BYTES)

@@ -165,7 +165,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, with_text: bool =
     windows are judged on the input. kept_text joins the words that stay by one space, and is
     left out if with_text is false. Null
     and empty texts have no words; repeated rows of one doc_id do not count as earlier; a null
-    doc_id is never earlier and keeps its text; an empty table gives no rows.
+    doc_id is never earlier and keeps its text; an empty table gives no rows. Texts of any length are read
+    whole; other columns play no part, whatever their names.
     """
     keyed = _keyed(docs)
     spans = repeated_spans(docs, size).select(F.col("doc_id").alias("span_id"), F.col("row").alias("span_row"), "spans")

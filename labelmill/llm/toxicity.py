@@ -173,7 +173,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ord
 
     At most so many labels of each class are used, those of least hash of doc_id, and of them
     those whose texts together have at most so many bytes; the full counts of both classes are
-    weighed in. Null labels and ids don't count; no labels give a model that scores all alike.
+    weighed in. Of rows that repeat a doc_id one is learnt from, that of the smallest hash. Null labels and
+    ids don't count; no labels, and an empty table, give a model that scores all alike. A long text is
+    learnt from whole or not at all; other columns play no part.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
@@ -182,11 +184,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ord
     # At most toxic_rows + ordinary_rows pairs of numbers: small enough to broadcast at any scale.
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
-    sizes = rows.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("doc_id", F.lit("toxicity"))).collect()
-    small = _within([tuple(r)[:3] for r in sorted(sizes, key=lambda r: (r[3], r[0], r[1], r[2]))], training_bytes)
-    if len(small) < len(sizes):
-        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in set(small)], "small_id long")), F.col("doc_id") == F.col("small_id"), "left_semi")
+    rows = texts.join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic", F.xxhash64("text").alias("hash"))
+    # Of rows that repeat an id that of the smallest hash is learnt from, so that there are no more than labels.
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))).alias("x"))
+    sizes = one.select("doc_id", "toxic", "x.bytes", F.xxhash64("doc_id", F.lit("toxicity")), "x.hash").collect()
+    small = set(_within([tuple(r)[:3] for r in sorted(sizes, key=lambda r: (r[3], r[0], r[1], r[2]))], training_bytes))
+    learnt = docs.sparkSession.createDataFrame([(r[0], r[1], r[4]) for r in sizes if r[0] in small], "learnt_id long, learnt_toxic int, learnt_hash long")
+    same = (F.col("doc_id") == F.col("learnt_id")) & (F.col("toxic") == F.col("learnt_toxic")) & (F.col("hash") == F.col("learnt_hash"))
+    rows = rows.join(F.broadcast(learnt), same, "left_semi").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
     def work(batches):
         for batch in batches:
@@ -203,8 +208,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ord
 def toxicity(docs: DataFrame, model: ToxicityModel, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) for each row of docs (doc_id, text).
 
-    Null and empty texts have no windows and get the score of no evidence; whole texts count;
-    repeated rows are scored each; an empty table gives no rows. held_out is passed through.
+    Null and empty texts have no windows and get the score of no evidence; whole texts count, however
+    long; repeated rows are scored each; an empty table gives no rows. held_out is passed through;
+    other columns play no part, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col("text").cast("string"))
 

@@ -37,6 +37,7 @@ TRAIN_BYTES = 1 << 20
 SAMPLE_BYTES = 4096
 #: A record is not larger than Arrow can hold.
 MOST_BYTES = (1 << 31) - 1
+PIECE_BYTES = 1 << 20
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 
@@ -108,6 +109,18 @@ def frame_end(data: bytes, start: int) -> int:
     return at
 
 
+def _decoded(reader: zstandard.ZstdDecompressor, frame: bytes) -> bytes:
+    """A frame's content, in pieces: it may be longer than a record can be, whatever the frame says of it."""
+    parts, size = [], 0
+    with reader.stream_reader(frame) as stream:
+        while piece := stream.read(PIECE_BYTES):
+            size += len(piece)
+            if size > MOST_BYTES:
+                raise WarcError("record too large")
+            parts.append(piece)
+    return b"".join(parts)
+
+
 def frames(data: bytes):
     """The records of an archive, each from its own frame."""
     at, dictionary = 0, None
@@ -123,7 +136,7 @@ def frames(data: bytes):
                 body = data[8 : 8 + size]
                 try:
                     if body[:4] == struct.pack("<I", ZSTD_FRAME):
-                        body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                        body = _decoded(zstandard.ZstdDecompressor(), body)
                     dictionary = zstandard.ZstdCompressionDict(body)
                     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
                 except zstandard.ZstdError as e:
@@ -134,9 +147,10 @@ def frames(data: bytes):
             raise WarcError("no Zstandard frame")
         end = frame_end(data, at)
         try:
-            yield reader.decompressobj().decompress(data[at:end])
+            record = _decoded(reader, data[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"frame: {e}") from e
+        yield record
         at = end
 
 
@@ -284,8 +298,16 @@ def write_archives(pages: DataFrame, archive_size: int = ARCHIVE_BYTES) -> DataF
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """Archives from files (.warc.zst) for ``read_archives``, a row for each; a folder without files gives none."""
-    return spark.read.format("binaryFile").load(path).select("content")
+    """Archives from files (.warc.zst) for ``read_archives``, a row for each; a folder without files gives none.
+
+    A file is one value, which takes its size of a task's memory. Spark's values end at 2 GB, so larger
+    files are named in a WarcError before any is read; they must be cut between frames.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > MOST_BYTES - (1 << 20)).select("path").limit(10).collect()
+    if large:
+        raise WarcError("archives of over 2 GB: " + ", ".join(r[0] for r in large))
+    return files.select("content")
 
 
 RECORD = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("date", pa.string()), ("stated_digest", pa.string()), ("error", pa.string()))

@@ -51,6 +51,18 @@ def test_encoder_equals_tokenizer():
         assert encoder.encode(text.encode()) == plain(tokenizer, text)[:-4], text
 
 
+def test_other_tokenizers_read_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    assert not encoder.by_words and packing.WordEncoder(PATH).by_words
+    for text in ["It's  two\n\n  spaces", "UPPER lower", "a\tb \u2009c", "", " x", "<|endoftext|> y"]:
+        assert encoder.encode(text.encode()) == plain(tokenizer, text)[:-4], text
+    docs = documents(spark)
+    rows = packing.pack(docs, path).collect()
+    want = sorted((str(d.doc_id), k // 4 // 4096, zlib.crc32(ids[k : k + 4 * 4096])) for d in docs.collect() for ids in [plain(tokenizer, d.text)] for k in range(0, len(ids), 4 * 4096))
+    assert sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in rows) == want
+
+
 def test_local_search_empties_a_sequence():
     lengths = np.array([6, 5, 5, 4])
     bins = packing.improve([[0], [1], [2, 3]], lengths, 10)

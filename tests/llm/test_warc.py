@@ -124,3 +124,23 @@ def test_damage_is_reported(spark):
 @pytest.mark.parametrize("n", [0])
 def test_empty_table(spark, n):
     assert warc.read_archives(warc.write_archives(pages(spark).limit(n))).count() == 0
+
+
+def test_a_frame_that_hides_its_size_is_read_up_to_the_limit(spark, monkeypatch, tmp_path):
+    writer = zstandard.ZstdCompressor(level=3, write_content_size=False).compressobj()
+    bomb = writer.compress(bytes(50 << 20)) + writer.flush()
+    monkeypatch.setattr(warc, "MOST_BYTES", 4 << 20)
+    peak = []
+    monkeypatch.setattr(warc, "PIECE_BYTES", 1 << 20)
+    with pytest.raises(warc.WarcError, match="too large"):
+        for record in warc.frames(bomb):
+            peak.append(len(record))
+    assert not peak
+    honest = warc.record_bytes(1, "u", b"body" * 100, 400, "d" * 64, None)
+    assert list(warc.frames(warc.archive_bytes([honest]))) == [honest]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.zst").write_bytes(bytes(3 << 20))
+    assert warc.archive_files(spark, f"{tmp_path}/a").count() == 1
+    monkeypatch.setattr(warc, "MOST_BYTES", 3 << 20)
+    with pytest.raises(warc.WarcError, match="x.warc.zst"):
+        warc.archive_files(spark, f"{tmp_path}/a")
