@@ -47,9 +47,14 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: list[str], or
     return target.unionByName(new.select(*target.columns))
 
 
-def patch(target: DataFrame, changes: DataFrame, key: str, columns: list[str], overwrite: bool = False) -> DataFrame:
-    """target with columns filled from changes where null (or wherever changes has a value, with overwrite)."""
-    new = changes.select(F.col(key).alias("patch_key"), *(F.col(c).alias(f"patch_{c}") for c in columns))
+def patch(target: DataFrame, changes: DataFrame, key: str, columns: list[str], overwrite: bool = False, order: list[Column] | None = None) -> DataFrame:
+    """target with columns filled from changes where null (or wherever changes has a value, with overwrite).
+
+    Of several changes of one key the first in ``order`` is taken, whole; without an order, the one of the
+    smallest values, nulls last. A null key changes nothing. Rows stay as many as they were.
+    """
+    known = keep_one(changes.where(F.col(key).isNotNull()), [key], order or [F.col(c).asc_nulls_last() for c in columns])
+    new = known.select(F.col(key).alias("patch_key"), *(F.col(c).alias(f"patch_{c}") for c in columns))
     joined = target.join(new, F.col(key) == F.col("patch_key"), "left")
     pick = lambda c: F.coalesce(f"patch_{c}", c) if overwrite else F.coalesce(c, f"patch_{c}")
     return joined.select(*(pick(c).alias(c) if c in columns else F.col(c) for c in target.columns))

@@ -100,7 +100,8 @@ def match_ingredients(products: DataFrame, staged: DataFrame, loose: bool = Fals
     one = p.join(inside, "pn").join(s, "sn").withColumn("sim", F.lit(1.0))
     passes = [link.top_then_filter(one, "product_id", [F.length("sn"), F.col("sn"), F.col("report_no")], same, 10)]
     distinct = [df.select(F.col(c).alias("txt")).distinct().withColumn(c, F.col("txt")) for df, c in ((p.where(F.length("pn") >= 3), "pn"), (s, "sn"))]
-    near = p.join(link.trigram_join(distinct[0], distinct[1], "pn", "sn", "txt", MAKER_PASS, gram=S.word_trigrams), "pn").join(s, "sn")
+    # Each staged name has a row at least, so the best five rows are those of the best five names at most.
+    near = p.join(link.top_k_join(distinct[0], distinct[1], "pn", "sn", "txt", 5, MAKER_PASS, gram=S.word_trigrams), "pn").join(s, "sn")
     order = [F.col("sim").desc(), F.col("sn"), F.col("report_no")]
     passes.append(link.top_then_filter(near, "product_id", order, same, 5))
     if loose:
@@ -126,6 +127,22 @@ def substring_facts(products: DataFrame, facts: DataFrame) -> DataFrame:
     return found.select(F.col("left").cast(facts.schema["fact_id"].dataType).alias("fact_id"), F.col("right").cast(products.schema["product_id"].dataType).alias("product_id"))
 
 
+def maker_synonyms(products: DataFrame, registered: DataFrame, staged: DataFrame, top: int = 50, each: int = 10) -> DataFrame:
+    """(maker, n_lacking, candidate, sim): other names that makers may go by whose products lack ingredients.
+
+    Of products (product_id, maker) without a registered list (product_id), the ``top`` makers with most of
+    them; for each the ``each`` most alike makers of staged lists (maker), if similar by 0.3, without those that its
+    normal form already meets by being equal, inside or around. Blank makers, and normal forms of one character, don't count.
+    """
+    lacking = products.where("maker != ''").join(registered.select("product_id"), "product_id", "left_anti")
+    makers = lacking.groupBy("maker").agg(F.count("*").alias("n_lacking")).orderBy(F.col("n_lacking").desc(), "maker").limit(top)
+    makers = makers.where(F.length(normalize.maker(F.col("maker"))) >= 2)
+    names = staged.where("maker != ''").select(F.col("maker").alias("candidate")).distinct()
+    pairs = link.top_k_join(makers.withColumn("txt", F.col("maker")), names.withColumn("txt", F.col("candidate")), "maker", "candidate", "txt", each, 0.3, gram=S.word_trigrams)
+    met = S.same_maker(normalize.maker(F.col("maker")), normalize.maker(F.col("candidate")))
+    return pairs.where(~met).join(makers, "maker").select("maker", "n_lacking", "candidate", "sim")
+
+
 def match_rates(decisions: DataFrame) -> DataFrame:
     """(status, n, rate) of a decision log, rate in percent of all decisions."""
     counts = decisions.groupBy("status").agg(F.count("*").alias("n"))

@@ -16,36 +16,90 @@ AUTOMATON_BYTES = 64 << 20
 NODE_BYTES = 100
 
 
-def trigram_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float, gram=S.trigrams, block: str | None = None) -> DataFrame:
-    """(left_key, right_key, sim) of all pairs whose trigram sets reach the threshold, exactly.
-
-    No cross join: trigrams are ordered from rare to common, and a pair can only reach the
-    threshold if it shares one of the first n - ceil(t * n) + 1 of either side. Pairs found by
-    those are kept if their sizes allow it, and then compared on their whole sets. With
-    ``block`` only rows of equal value in that column are compared. Run it on distinct texts.
-    """
+def _ranked_grams(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, gram, block: str | None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of both sides (k, b, grams), and (k, b, size, g, r): each gram with its rank from rare to common."""
     sides = []
     for df, key in ((left, left_key), (right, right_key)):
         cols = [F.col(key).alias("k"), gram(F.col(text)).alias("grams")] + ([F.col(block).alias("b")] if block else [F.lit(0).alias("b")])
         sides.append(df.select(*cols).where((F.size("grams") > 0) & F.col("b").isNotNull()))
     # A table of its own, so that AQE can split the rows of a hot trigram in the join.
     count = materialize(sides[0].unionByName(sides[1]).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")), "grams")
-    prefixes = []
+    ranked = []
     for side in sides:
         each = side.select("k", "b", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(count, "g")
-        ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("n", "g")))
-        prefixes.append(ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("k", "b", "size", "g", "r"))
+        ranked.append(each.withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("n", "g"))).drop("n"))
+    return sides, ranked
+
+
+def _candidate_pairs(ranked: list[DataFrame], threshold: float) -> DataFrame:
+    """(kl, kr, b) of pairs that may reach the threshold by the grams they share first and by their sizes."""
+    prefixes = [r.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("k", "b", "size", "g", "r") for r in ranked]
     a, b = (p.select(F.col("k").alias(f"k{x}"), F.col("size").alias(f"size{x}"), "b", "g", F.col("r").alias(f"r{x}")) for x, p in zip("lr", prefixes))
     fits = (F.least("sizel", "sizer") >= F.greatest("sizel", "sizer") * threshold - 1e-9)
     # From the first shared trigram on, so many can be shared at most; the threshold asks for this many.
     left_over = 1 + F.least(F.col("sizel") - F.col("rl"), F.col("sizer") - F.col("rr"))
     reaches = left_over * (1 + threshold) >= (F.col("sizel") + F.col("sizer")) * threshold - 1e-6
-    pairs = a.join(b, ["b", "g"]).where(fits & reaches).select("kl", "kr", "b").distinct()
+    return a.join(b, ["b", "g"]).where(fits & reaches).select("kl", "kr", "b").distinct()
+
+
+def _verified(pairs: DataFrame, sides: list[DataFrame], left_key: str, right_key: str, threshold: float) -> DataFrame:
     whole = pairs.join(sides[0].select(F.col("k").alias("kl"), "b", F.col("grams").alias("gl")), ["kl", "b"]).join(sides[1].select(F.col("k").alias("kr"), "b", F.col("grams").alias("gr")), ["kr", "b"])
     scored = whole.select(F.col("kl").alias(left_key), F.col("kr").alias(right_key), S.jaccard(F.col("gl"), F.col("gr")).alias("sim"))
     return scored.where(F.col("sim") >= threshold)
 
 
+def trigram_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float, gram=S.trigrams, block: str | None = None) -> DataFrame:
+    """(left_key, right_key, sim) of all pairs whose trigram sets reach the threshold, exactly.
+
+    No cross join: trigrams are ordered from rare to common, and a pair can only reach the
+    threshold if it shares one of the first n - ceil(t * n) + 1 of either side. Pairs found by
+    those are kept if their sizes allow it, and then compared on their whole sets. With
+    ``block`` only rows of equal value in that column are compared. Run it on distinct texts.
+    """
+    sides, ranked = _ranked_grams(left, right, left_key, right_key, text, gram, block)
+    return _verified(_candidate_pairs(ranked, threshold), sides, left_key, right_key, threshold)
+
+
+#: Thresholds that a top-k join tries from above, where the lowest one would make more than so many rows.
+TIERS = (0.8, 0.6, 0.45)
+PAIRS_AT_ONCE = 5_000_000
+
+
+def _shared_rows(ranked: list[DataFrame], threshold: float) -> int:
+    """How many rows the join of both sides' first trigrams makes at a threshold."""
+    first = F.col("r") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    a, b = (r.where(first).groupBy("b", "g").agg(F.count("*").alias(n)) for r, n in zip(ranked, ("n", "m")))
+    return a.join(b, ["b", "g"]).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+
+
+def top_k_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, k: int, floor: float, gram=S.trigrams, block: str | None = None, at_once: int = PAIRS_AT_ONCE, counted: list | None = None) -> DataFrame:
+    """(left_key, right_key, sim) of the k most similar rows of each left row, of those that reach ``floor``; ties by right_key.
+
+    At a low threshold a similarity join pairs nearly everything, mostly for rows that have k better
+    partners. So thresholds come from above: a left row that has its k at one of them is done, as whatever
+    a lower one finds is less similar, and only the others go on. Where the lowest would make ``at_once`` rows
+    at most, it is the only one. Left keys are distinct. ``counted`` gets the number of candidate pairs of each threshold.
+    """
+    sides, ranked = _ranked_grams(left, right, left_key, right_key, text, gram, block)
+    ranked = [materialize(r, "ranked") for r in ranked]
+    tiers = [t for t in TIERS if t > floor] if _shared_rows(ranked, floor) > at_once else []
+    out, open_rows = None, None
+    for threshold in [*tiers, floor]:
+        of_left = ranked[0] if open_rows is None else ranked[0].join(open_rows, "k", "left_semi")
+        pairs = _candidate_pairs([of_left, ranked[1]], threshold)
+        if counted is not None:
+            counted.append(pairs.count())
+        found = first_per_group(_verified(pairs, sides, left_key, right_key, threshold), [left_key], [F.col("sim").desc(), F.col(right_key)], k, "rank")
+        found = materialize(found, "top")
+        if threshold > floor:
+            full = materialize(found.where(F.col("rank") == k).select(F.col(left_key).alias("k")), "full")
+            found = found.join(full.withColumnRenamed("k", left_key), left_key, "left_semi")
+            left_over = (ranked[0].select("k").distinct() if open_rows is None else open_rows).join(full, "k", "left_anti")
+            open_rows = materialize(left_over, "open")
+        out = found if out is None else out.unionByName(found)
+    return out.drop("rank")
+
+
 def _grams(c: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size))))
 

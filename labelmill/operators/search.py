@@ -20,10 +20,14 @@ def valid_barcode(c: Column) -> Column:
     return F.coalesce(c.rlike("^\\d{8,14}$"), F.lit(False))
 
 
-def search(df: DataFrame, name: str, q: str, limit: int = 20, offset: int = 0, key: str | None = None) -> DataFrame:
-    """Rows whose name holds q (any case; % and _ are live) or is similar to it, most similar first."""
+def check_page(q: str, limit: int, offset: int) -> None:
     if not q.strip() or not 1 <= limit <= 50 or offset < 0:
         raise ValueError("q must not be blank, limit from 1 to 50, offset from 0")
+
+
+def search(df: DataFrame, name: str, q: str, limit: int = 20, offset: int = 0, key: str | None = None) -> DataFrame:
+    """Rows whose name holds q (any case; % and _ are live) or is similar to it, most similar first."""
+    check_page(q, limit, offset)
     sim = S.word_similarity(F.col(name), F.lit(q))
     order = [F.col("sim").desc(), F.col(name), *([F.col(key)] if key else [])]
     return df.withColumn("sim", sim).where(F.ilike(F.col(name), F.lit(f"%{q}%")) | (F.col("sim") >= SIMILAR)).orderBy(*order).offset(offset).limit(limit)
