@@ -7,6 +7,7 @@ handles one label, and Spark does the rest.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -113,21 +114,42 @@ def ingredient_tree(text: str | None) -> list[dict]:
     return out
 
 
-def additives_of(items: list[dict], dictionary: list[tuple[str, str]]) -> list[dict]:
+class Dictionary:
+    """Words with their categories, in order of priority, and an automaton that finds all of them in one pass over a text.
+
+    Of a word that repeats the first place and the last category count; blank words are left out.
+    """
+
+    def __init__(self, words: list[tuple[str, str]]) -> None:
+        import ahocorasick
+
+        self.category = {w: c for w, c in words if w}
+        self._words, self._automaton = list(self.category), ahocorasick.Automaton()
+        for place, word in enumerate(self._words):
+            self._automaton.add_word(word, place)
+        if self._words:
+            self._automaton.make_automaton()
+
+    def inside(self, text: str) -> list[str]:
+        """The words that stand in a text, in order of priority."""
+        return [self._words[k] for k in sorted({k for _, k in self._automaton.iter(text)})] if self._words and text else []
+
+
+def additives_of(items: list[dict], words: Dictionary) -> list[dict]:
     """Additives that items name, each once, where it comes first.
 
     Every name of an item claims one entry: itself, or else the first entry inside it that is not
     found yet; then the item's detail claims all entries inside it. Names of one character claim none.
     """
-    category, found = dict(dictionary), {}
+    category, found = words.category, {}
     claims = [
         (item["raw"], how, options, many)
         for item in items
         for how, options, many in [
-            *((f"{kind}({place})", [name] if kind == "exact" else [w for w in category if w in name], False)
+            *((f"{kind}({place})", [name] if kind == "exact" else words.inside(name), False)
               for place, name in [("main", item["name"].strip()), *(("sub", x.strip()) for x in item["sub_ingredients"])] if len(name) > 1
               for kind in ["exact" if name in category else "partial"]),
-            ("detail_scan", [w for w in category if w in (item["detail"] or "")], True),
+            ("detail_scan", words.inside(item["detail"] or ""), True),
         ]
     ]
     for raw, how, options, many in claims:
@@ -146,14 +168,22 @@ def parse_ingredient_tree(text: pd.Series) -> pd.Series:
     return text.map(ingredient_tree)
 
 
-def identify_additives(dictionary: list[tuple[str, str]]):
-    """A pandas function from label text to the additives of ``dictionary``, (word, category) in order of priority."""
+def read_labels(dictionary: list[tuple[str, str]]):
+    """A pandas function from label text to its items and additives, with one parse; the dictionary is made ready once a task."""
+
+    @F.pandas_udf(T.StructType([T.StructField("items", LABEL_ITEM), T.StructField("additives", ADDITIVE)]))
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = Dictionary(dictionary)
+        for texts in batches:
+            items = [label_items(x) for x in texts]
+            yield pd.DataFrame({"items": items, "additives": [additives_of(x, words) for x in items]})
 
-    @F.pandas_udf(ADDITIVE)
-    def identify(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: additives_of(label_items(x), dictionary))
+    return read
 
-    return identify
+
+def identify_additives(dictionary: list[tuple[str, str]]):
+    """A function from label text to the additives of ``dictionary``, (word, category) in order of priority."""
+    return lambda text: read_labels(dictionary)(text)["additives"]
 
 
 def ingredient_names(tree):

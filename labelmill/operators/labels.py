@@ -31,7 +31,8 @@ def analyze_labels(labels: DataFrame, dictionary: list[tuple[str, str]], correct
     facts = extract.nutrients(F.col("label_text"))
     names = {"total_sugars": "sugars", "saturated_fat": "sat_fat", "dietary_fiber": "fiber"}
     read = read.withColumns({names.get(n, n): c for n, c in facts.items()} | {"serving_size": size, "serving_unit": unit, "allergens": extract.allergens(F.col("label_text"))})
-    read = read.withColumns({"items": parse.parse_label_items(F.col("section")), "found_additives": parse.identify_additives(dictionary)(F.col("section"))})
+    read = read.withColumn("parsed", parse.read_labels(dictionary)(F.col("section")))
+    read = read.withColumns({"items": F.col("parsed.items"), "found_additives": F.col("parsed.additives")}).drop("parsed")
     scored = score.evaluate(read)
     nutrients = {n: F.col(n) for n in ("calories", "sodium", "sugars", "total_fat", "sat_fat", "protein", "cholesterol", "trans_fat", "fiber")}
     scored = scored.withColumn("warnings", score.sanity_warnings(F.col("serving_size"), nutrients, carbs=F.col("total_carbs"), total_content=F.col("total_content")))

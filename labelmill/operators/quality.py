@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from labelmill.operators.dedup import first_per_group
 
 
+def coverage_measures(checks: dict[str, Column]) -> dict[str, Column]:
+    """total, and count and rate (in percent, one digit) of rows that pass each check, for one aggregation or ``landing.write_observed``."""
+    total = F.count("*")
+    rate = lambda n: F.round(n * 100.0 / F.nullif(total, F.lit(0)), 1)
+    return {"total": total} | {k: v for name, check in checks.items() for k, v in ((name, F.count_if(check)), (f"{name}_rate", rate(F.count_if(check))))}
+
+
+def status_measures(status: str, known: tuple[str, ...]) -> dict[str, Column]:
+    """Count and rate of each known status of a decision log, and of those that are none of them."""
+    return coverage_measures({s: F.col(status) == s for s in known} | {"other": F.coalesce(~F.col(status).isin(*known), F.lit(True))})
+
+
+def null_measures(columns: list[str]) -> dict[str, Column]:
+    """Share of nulls of each column, in percent."""
+    return {c: F.round(F.avg(F.col(c).isNull().cast("int")) * 100, 1) for c in columns}
+
+
 def coverage(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """One row: total, and count and rate (in percent, one digit) of rows that pass each check."""
-    total = F.count("*")
-    cols = [total.alias("total")]
-    for name, check in checks.items():
-        n = F.count_if(check)
-        cols += [n.alias(name), F.round(n * 100.0 / F.nullif(total, F.lit(0)), 1).alias(f"{name}_rate")]
-    return df.agg(*cols)
+    return df.agg(*(c.alias(name) for name, c in coverage_measures(checks).items()))
 
 
 def frequency(df: DataFrame, *keys: str) -> DataFrame:
@@ -25,7 +37,7 @@ def frequency(df: DataFrame, *keys: str) -> DataFrame:
 
 def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, null_rate) in percent of each column, in one pass."""
-    one = df.agg(*(F.round(F.avg(F.col(c).isNull().cast("int")) * 100, 1).alias(c) for c in columns))
+    one = df.agg(*(m.alias(c) for c, m in null_measures(columns).items()))
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_rate")) for c in columns))).alias("r")).select("r.*")
 
 

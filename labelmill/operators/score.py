@@ -11,6 +11,8 @@ from labelmill.operators import rules as R
 
 NEGATIVE = list(R.NEGATIVE_PCT)
 POSITIVE = list(R.POSITIVE_PCT)
+#: Begins the names of columns that only stand between projections.
+_OWN = "scored_from_"
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -110,39 +112,48 @@ def evaluate(df: DataFrame, category: Column | None = None, default_serving: flo
     size = F.nullif(F.col("serving_size").cast("double"), F.lit(0.0))
     if default_serving is not None:
         size = F.coalesce(size, F.lit(default_serving))
-    new: dict[str, Column] = {}
+    # What several columns are made of stands in projections of its own, so that it is worked out, and compiled, once.
+    limits = lambda x, low, high: F.when(x <= low, F.lit(1)).when(x <= high, F.lit(2)).when(x.isNotNull(), F.lit(4))
+    servings = rounded(F.col("total_content") / F.nullif(F.col("serving_size").cast("double"), F.lit(0.0)), 1)
+    amounts = {f"{_OWN}servings": F.when(counts & (F.col("total_content") > F.col("serving_size")) & (servings > 1), servings)}
+    for n in NEGATIVE:
+        amounts[f"{_OWN}{n}_share"] = F.when(counts, pct_dv(F.col(n), n))
+        if n in R.PER_100G:
+            amounts[f"{_OWN}{n}_per"] = F.when(counts & ~dried, per_100(F.col(n), size))
+    amounts |= {f"{_OWN}{n}_share": F.when(counts, pct_dv(F.col(n), n)) for n in POSITIVE}
+    ranks: dict[str, Column] = {}
     for n in NEGATIVE:
-        amount = F.when(counts, F.col(n))
-        share = pct_dv(amount, n)
-        by_share = judge_limit(share, *R.NEGATIVE_PCT[n])
+        ranks[f"{_OWN}{n}_by_share"] = limits(F.col(f"{_OWN}{n}_share"), *R.NEGATIVE_PCT[n])
         if n in R.PER_100G:
-            absolute = F.when(~dried, per_100(amount, size))
-            by_weight = F.when(drink, judge_limit(absolute, *R.PER_100ML[n])).otherwise(judge_limit(absolute, *R.PER_100G[n]))
-        else:
-            absolute, by_weight = F.lit(None).cast("double"), F.lit(None).cast("string")
-        weighs = F.coalesce(color_rank(by_weight) > color_rank(by_share), F.lit(False))
+            per = F.col(f"{_OWN}{n}_per")
+            ranks[f"{_OWN}{n}_by_weight"] = F.when(drink, limits(per, *R.PER_100ML[n])).otherwise(limits(per, *R.PER_100G[n]))
+    new: dict[str, Column] = {}
+    for n in NEGATIVE:
+        share, by_share = F.col(f"{_OWN}{n}_share"), F.col(f"{_OWN}{n}_by_share")
+        per, by_weight = (F.col(f"{_OWN}{n}_per"), F.col(f"{_OWN}{n}_by_weight")) if n in R.PER_100G else (F.lit(None).cast("double"), None)
+        weighs = F.lit(False) if by_weight is None else F.coalesce(by_weight > by_share, F.lit(False))
         new |= {
-            f"{n}_color": worse(by_share, by_weight),
+            f"{n}_color": rank_color(by_share if by_weight is None else F.greatest(by_share, by_weight)),
             f"{n}_pct_dv": rounded(share, 1),
-            f"{n}_per_100": rounded(absolute, 2),
-            f"{n}_basis": F.when(amount.isNull(), F.lit(None)).when(weighs & drink, F.lit("per_100ml")).when(weighs, F.lit("per_100g")).otherwise(F.lit("pct_dv")),
+            f"{n}_per_100": rounded(per, 2),
+            f"{n}_basis": F.when(share.isNull(), F.lit(None)).when(weighs & drink, F.lit("per_100ml")).when(weighs, F.lit("per_100g")).otherwise(F.lit("pct_dv")),
         }
     for n in POSITIVE:
-        share = pct_dv(F.when(counts, F.col(n)), n)
+        share = F.col(f"{_OWN}{n}_share")
         new |= {f"{n}_color": judge_positive(share, *R.POSITIVE_PCT[n]), f"{n}_pct_dv": rounded(share, 1)}
     new["trans_fat_color"] = judge_limit(F.when(counts, F.col("trans_fat")), *R.TRANS_FAT)
     new["calories_pct_dv"] = rounded(pct_dv(F.when(counts, F.col("calories")), "calories"), 1)
-    servings = rounded(F.col("total_content") / F.nullif(F.col("serving_size").cast("double"), F.lit(0.0)), 1)
-    new["servings_per_container"] = F.when(counts & (F.col("total_content") > F.col("serving_size")) & (servings > 1), servings)
+    servings = F.col(f"{_OWN}servings")
     count = F.when(servings == F.floor(servings), F.floor(servings).cast("string")).otherwise(servings.cast("string"))
     said = F.create_map(*(F.lit(x) for kv in R.SCORE_MESSAGES.items() for x in kv))
     new |= {
+        "servings_per_container": servings,
         "exclude_reason": F.when(~counts, F.col("food_category")),
         "context_messages": F.when(counts, F.array_compact(F.array(said[F.col("food_category")]))),
         "trans_fat_note": F.when(counts & (F.col("trans_fat") == 0), F.lit(R.ZERO_TRANS_FAT)),
-        "servings_message": F.when(new["servings_per_container"].isNotNull(), F.replace(F.lit(R.SERVINGS_MESSAGE), F.lit("{0}"), count)),
+        "servings_message": F.when(servings.isNotNull(), F.replace(F.lit(R.SERVINGS_MESSAGE), F.lit("{0}"), count)),
     }
-    return base.withColumns(new)
+    return base.withColumns(amounts).withColumns(ranks).withColumns(new).drop(*amounts, *ranks)
 
 
 def _shown(c: Column) -> Column:
@@ -191,21 +202,23 @@ def text_card(warnings: Column | None = None) -> Column:
 
 def sanity_warnings(serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> Column:
     """Array of (nutrient, value, bound, kind) of what can't be right in one row's facts."""
-    return F.array_compact(F.array(*_checks(serving, nutrients, carbs, total_content)))
+    return F.array_compact(F.array(*(F.when(c, w) for c, w in _checks(serving, nutrients, carbs, total_content))))
 
 
 def warning_rows(df: DataFrame, keep: list[str], serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> DataFrame:
     """A row (keep, w) for each warning: the same as exploding ``sanity_warnings``, without building arrays to keep."""
-    rows = df.select(*keep, F.explode(F.array(*_checks(serving, nutrients, carbs, total_content))).alias("w"))
-    return rows.where("w IS NOT NULL")
+    checks = _checks(serving, nutrients, carbs, total_content)
+    # Rows without any warning go before arrays are built, and only what was found is exploded.
+    some = df.where(reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c, _ in checks)))
+    return some.select(*keep, F.explode(F.array_compact(F.array(*(F.when(c, w) for c, w in checks)))).alias("w"))
 
 
-def _checks(serving: Column, nutrients: dict[str, Column], carbs: Column | None, total_content: Column | None) -> list[Column]:
-    """A struct for each check that fails, else null."""
+def _checks(serving: Column, nutrients: dict[str, Column], carbs: Column | None, total_content: Column | None) -> list[tuple[Column, Column]]:
+    """Each check: whether it fails, and the struct that says so."""
     nothing = F.lit(None).cast("double")
 
-    def warn(cond: Column, nutrient: str, value: Column, bound: Column, kind: str) -> Column:
-        return F.when(cond, F.struct(F.lit(nutrient).alias("nutrient"), value.cast("double").alias("value"), bound.cast("double").alias("bound"), F.lit(kind).alias("kind")))
+    def warn(cond: Column, nutrient: str, value: Column, bound: Column, kind: str) -> tuple[Column, Column]:
+        return cond, F.struct(F.lit(nutrient).alias("nutrient"), value.cast("double").alias("value"), bound.cast("double").alias("bound"), F.lit(kind).alias("kind"))
 
     found = []
     for n, (most, most_100) in R.SANITY_LIMITS.items():

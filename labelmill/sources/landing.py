@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.functions.normalize import blank_to_null
@@ -75,6 +75,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_observed(df: DataFrame, path: str, measures: dict[str, Column]) -> dict[str, object]:
+    """Writes df as Parquet under a new path and gives aggregates of what was written, from the same scan.
+
+    The measures are taken where rows are written, in the job's last stage, so a task that runs again
+    doesn't count twice.
+    """
+    seen = Observation()
+    df.observe(seen, *(c.alias(name) for name, c in measures.items())).write.mode("errorifexists").parquet(path)
+    return seen.get
+
+
 def snapshot(df: DataFrame, path: str) -> None:
     """A Parquet copy under a new path; an old one is never overwritten."""
     df.write.mode("errorifexists").parquet(path)

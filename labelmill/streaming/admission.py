@@ -112,6 +112,29 @@ def verification(events: DataFrame, key: str, at: str, order: str, confidence: C
     return total.select(key, status.alias("status"), "verify_count")
 
 
+def advance(products: DataFrame, submissions: DataFrame, key: str, at: str, order: str, confidence: Column) -> DataFrame:
+    """products (key, verification, verify_count) after accepted submissions, taken in order.
+
+    Each submission counts one up. It makes an unverified product partial if sure enough; a partial one
+    whose count was at least 1 before it becomes verified; any other state stays. A null count stays null and
+    verifies nothing. That needs no fold: what counts is how many submissions come, and at which place
+    the first sure one does.
+    """
+    w = Window.partitionBy("k").orderBy("at", "o")
+    placed = submissions.select(F.col(key).alias("k"), F.col(at).alias("at"), F.col(order).alias("o"), F.coalesce(confidence >= SURE, F.lit(False)).alias("sure")).withColumn("n", F.row_number().over(w))
+    came = placed.groupBy(F.col("k").alias("came_to")).agg(F.count("*").alias("came"), F.min(F.when(F.col("sure"), F.col("n"))).alias("first_sure"))
+    status, count = F.col("verification"), F.col("verify_count")
+    new = (
+        F.when((status == "unverified") & (F.col("first_sure") < F.col("came")) & count.isNotNull(), F.lit("verified"))
+        .when((status == "unverified") & F.col("first_sure").isNotNull(), F.lit("partial"))
+        .when((status == "partial") & ((F.col("came") > 1) & count.isNotNull() | (count >= 1)), F.lit("verified"))
+        .otherwise(status)
+    )
+    joined = products.join(came, F.col(key) == F.col("came_to"), "left")
+    changed = {"verification": F.when(F.col("came").isNotNull(), new).otherwise(status), "verify_count": (count + F.coalesce("came", F.lit(0))).cast(products.schema["verify_count"].dataType)}
+    return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in products.columns))
+
+
 def stale(at: Column, as_of: Column, years: int = 2) -> Column:
     return F.coalesce(at < F.add_months(as_of, -12 * years), F.lit(False))
 

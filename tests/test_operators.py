@@ -1,13 +1,16 @@
 """Properties and hand-worked cases of operators."""
 
+import os
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from labelmill import session
 from labelmill.functions import normalize, parse, similarity
-from labelmill.operators import dedup, link, rules, score
+from labelmill.operators import dedup, link, quality, rules, score
 from labelmill.sources import landing
 from labelmill.streaming import admission
 
@@ -233,12 +236,12 @@ def test_windows_by_stretches_equal_windows_by_key(spark):
     rows = [(rng.choice(["a", "b", None]), f"2024-01-0{rng.randint(1, 6)} {rng.randint(0, 23):02}:00:00" if rng.random() < 0.9 else None, k) for k in range(200)]
     df = spark.createDataFrame(rows, "k string, at string, o int")
     day = 24 * 3600
-    t = F.unix_seconds(F.col("at").cast("timestamp"))
+    t, micros = F.unix_micros(F.col("at").cast("timestamp")), day * 1_000_000
     before = F.lag(t).over(Window.partitionBy("k").orderBy("at", "o"))
-    want = df.withColumn("is_repeat", F.coalesce(t - before <= day, F.lit(False)))
+    want = df.withColumn("is_repeat", F.coalesce(t - before < micros, F.lit(False)))
     got = admission.follows_within(df, ["k"], "at", "o")
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    w = Window.partitionBy("k").orderBy(t).rangeBetween(-day, 0)
+    w = Window.partitionBy("k").orderBy(t).rangeBetween(1 - micros, 0)
     counts = df.withColumn("n_reports", F.count("*").over(w)).withColumn("disputed", F.col("n_reports") >= 3)
     got = admission.reports_in(df, "k", "at", day)
     assert got.columns == counts.columns and sorted(map(str, got.collect())) == sorted(map(str, counts.collect()))
@@ -249,3 +252,70 @@ def test_verification_follows_the_order(spark):
     df = spark.createDataFrame([(k, f"2024-01-0{d} 00:00:00", d, c) for k, some in cases.items() for d, c in some], "k string, at string, o int, c double")
     got = {r.k: (r.status, r.verify_count) for r in admission.verification(df, "k", "at", "o", F.col("c")).collect()}
     assert got == {"none": ("unverified", 2), "last": ("partial", 2), "first": ("verified", 2), "one": ("partial", 1), "twice": ("verified", 2)}
+
+
+def test_measures_come_with_the_write(spark, tmp_path):
+    rows = [("matched", 1), ("matched", None), ("pooled", 3), (None, 4), ("odd", None)]
+    df = spark.createDataFrame(rows, "status string, v int").repartition(3)
+    measures = quality.status_measures("status", ("matched", "rejected", "pooled")) | quality.null_measures(["v"])
+    told = landing.write_observed(df, f"{tmp_path}/log", measures)
+    assert told == {"total": 5, "matched": 2, "matched_rate": 40.0, "rejected": 0, "rejected_rate": 0.0, "pooled": 1, "pooled_rate": 20.0, "other": 2, "other_rate": 40.0, "v": 40.0}
+    assert told == df.agg(*(c.alias(k) for k, c in measures.items())).first().asDict()
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 5
+
+
+def test_a_large_dictionary_costs_what_a_small_one_does(spark):
+    words = [("", "blank"), ("소금", "salt"), ("금", "metal"), ("소금", "mineral"), ("산", "acid")]
+    label = "정제소금(구연산, 소금물), 소금, 금산"
+    names = lambda d: [(x["name"], x["category"], x["match_type"]) for x in parse.additives_of(parse.label_items(label), parse.Dictionary(d))]
+    assert names(words) == [("소금", "mineral", "partial(main)"), ("금", "metal", "partial(sub)"), ("산", "acid", "detail_scan")]
+    large = words + [(f"없는말{k}", "x") for k in range(10_000)]
+    assert names(large) == names(words)
+    items, seconds = parse.label_items(label), []
+    for d in (words, large):
+        made = parse.Dictionary(d)
+        began = time.perf_counter()
+        for _ in range(300):
+            parse.additives_of(items, made)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 3 * seconds[0] + 0.05
+    rows = spark.createDataFrame([(1, label), (2, None), (3, "")], "id int, t string")
+    got = rows.select("id", parse.read_labels(large)(F.col("t")).alias("r")).orderBy("id").collect()
+    assert [len(r.r["items"]) for r in got] == [3, 0, 0] and [a.name for a in got[0].r.additives] == [x[0] for x in names(words)]
+
+
+def test_tables_go_when_they_are_released(spark):
+    made, kept = (session.materialize(spark.range(5), name) for name in ("made", "kept"))
+    folder = made.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(folder) and made.count() == 5
+    session.release(made, spark.range(3), made)
+    assert not os.path.exists(folder) and kept.count() == 5
+
+
+def test_status_and_counter_after_submissions_in_order(spark):
+    """Against the update that is made for each submission in turn."""
+    rng = random.Random(11)
+    products = [(k, rng.choice(["unverified", "partial", "verified", "disputed", "admin_verified", None]), rng.choice([0, 1, 2, None])) for k in range(60)]
+    submissions = [(rng.randint(0, 70), rng.randint(0, 5), k, rng.choice([0.5, 0.9, 0.95, None])) for k in range(120)]
+    want = []
+    for k, status, count in products:
+        for _, _, _, sure in sorted((s for s in submissions if s[0] == k), key=lambda s: s[1:3]):
+            if status == "unverified":
+                status = "partial" if sure is not None and sure >= 0.9 else "unverified"
+            elif status == "partial" and count is not None and count >= 1:
+                status = "verified"
+            count = None if count is None else count + 1
+        want.append((k, status, count))
+    df = spark.createDataFrame(products, "k int, verification string, verify_count int")
+    got = admission.advance(df, spark.createDataFrame(submissions, "k int, at int, o int, c double"), "k", "at", "o", F.col("c"))
+    assert got.dtypes == df.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_seaweed_is_dried_for_the_scorer_and_not_for_reports(spark):
+    """The reports' own copy of the category rules knows no seaweed; all else is the same."""
+    rows = [("기타", "g", "구운 김", "dried", "general"), ("기타", "g", "김밥", "general", "general"), ("기타", "g", "배추김치", "fermented", "fermented"), ("기타", "ml", "김", "beverage", "beverage"), (None, None, None, "general", "general"), ("맥주", "ml", "김", "alcohol", "alcohol")]
+    df = spark.createDataFrame(rows, "t string, u string, n string, own string, report string")
+    of = [F.col(c) for c in "tun"]
+    for r in df.select("*", score.food_category(*of).alias("a"), score.food_category(*of, seaweed=False).alias("b")).collect():
+        assert (r.a, r.b) == (r.own, r.report)
