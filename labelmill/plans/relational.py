@@ -259,7 +259,8 @@ def upsert_latest(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     old = s.where("s_suppkey % 5 = 0").select("s_suppkey", F.upper("s_name").alias("s_name"), (F.col("s_acctbal") + 1).alias("s_acctbal"))
     new = s.where("s_suppkey % 10 = 0").select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), F.lit("new").alias("s_name"), F.lit(0.0).alias("s_acctbal"))
-    return dedup.upsert(s, old.unionByName(old).unionByName(new), ["s_suppkey"], [F.col("s_name")])
+    later = old.withColumns({"s_name": F.concat(F.col("s_name"), F.lit(" again")), "s_acctbal": F.lit(-1.0)})
+    return dedup.upsert(s, later.unionByName(old).unionByName(new), ["s_suppkey"], [F.col("s_name")])
 
 
 @query("insert_if_absent", """SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, 'in:' || c_name FROM customer WHERE c_custkey % 8 = 0""")
@@ -272,7 +273,7 @@ def insert_if_absent(spark, d):
 @query("coalesce_fill", "SELECT p_partkey, coalesce(CASE WHEN p_size > 20 THEN p_type END, CASE WHEN p_partkey % 2 = 0 THEN 'filled' END) AS p_type FROM part")
 def coalesce_fill(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 20, F.col("p_type")).alias("p_type"))
-    fill = table(spark, d, "part").where("p_partkey % 2 = 0").select("p_partkey", F.lit("filled").alias("p_type"))
+    fill = table(spark, d, "part").where("p_partkey % 2 = 0").select("p_partkey", F.explode(F.array(F.lit("other"), F.lit("filled"))).alias("p_type"))
     return dedup.patch(p, fill, "p_partkey", ["p_type"])
 
 
@@ -282,6 +283,18 @@ def case_update(spark, d):
     return table(spark, d, "orders").select("o_orderkey", status.alias("status"))
 
 
+@query("status_update", """WITH RECURSIVE p AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'unverified' WHEN 'P' THEN 'partial' ELSE 'admin_verified' END AS s, o_orderkey % 2 AS c FROM orders),
+       e AS (SELECT user_id AS k, value / 100 AS sure, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click'),
+       f AS (SELECT o_orderkey, s, c, CAST(0 AS BIGINT) AS n FROM p
+             UNION ALL SELECT f.o_orderkey, CASE WHEN f.s = 'unverified' THEN CASE WHEN e.sure >= 0.9 THEN 'partial' ELSE 'unverified' END WHEN f.s = 'partial' AND f.c >= 1 THEN 'verified' ELSE f.s END, f.c + 1, e.n FROM f JOIN e ON e.k = f.o_orderkey AND e.n = f.n + 1)
+       SELECT o_orderkey, s AS verification, c AS verify_count FROM f QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY n DESC) = 1""")
+def status_update(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "unverified").when(F.col("o_orderstatus") == "P", "partial").otherwise("admin_verified")
+    products = table(spark, d, "orders").select("o_orderkey", status.alias("verification"), (F.col("o_orderkey") % 2).alias("verify_count"))
+    clicks = table(spark, d, "events").where("event_type = 'click'").withColumnRenamed("user_id", "o_orderkey")
+    return admission.advance(products, clicks, "o_orderkey", "ts", "event_id", F.col("value") / 100)
+
+
 @query("missing_page_keys", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)")
 def missing_page_keys(spark, d):
     staged = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -291,7 +304,8 @@ def missing_page_keys(spark, d):
 @query("page_repair", "SELECT n_nationkey, n_name FROM nation")
 def page_repair(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return landing.repaired(n.where("n_nationkey % 2 = 0"), n.unionByName(n), ["n_nationkey"], "n_name")
+    twice = n.unionByName(n.withColumn("n_name", F.concat(F.col("n_name"), F.lit(" again"))))
+    return landing.repaired(n.where("n_nationkey % 2 = 0"), twice, ["n_nationkey"], "n_name")
 
 
 @query("page_rescan", "SELECT o_orderkey, max(v) AS version FROM (SELECT o_orderkey, 1 AS v FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 2 FROM orders) GROUP BY o_orderkey")

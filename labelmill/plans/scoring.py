@@ -185,7 +185,7 @@ _J = "len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect(
 def match_topk_then_filter(spark, d):
     n = table(spark, d, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("k"))
     left, right = n.where("k % 3 = 0").select(F.col("k").alias("src"), "p_name", "p_brand"), n.where("k % 3 <> 0").select(F.col("k").alias("dst"), "p_name", "p_brand")
-    pairs = link.trigram_join(left, right, "src", "dst", "p_name", 0.3, block="p_brand")
+    pairs = link.top_k_join(left, right, "src", "dst", "p_name", 3, 0.3, block="p_brand")
     return link.top_then_filter(pairs, "src", [F.col("sim").desc(), F.col("dst")], F.col("dst") % 2 == 0)
 
 
@@ -266,8 +266,7 @@ def synonym_candidates(spark, d):
     part = table(spark, d, "part")
     top = quality.frequency(part.select(F.concat_ws(" ", "p_name", "p_type").alias("m")), "m").orderBy(F.col("n").desc(), "m").limit(50).select("m", F.col("m").alias("name"))
     every = part.select(F.concat_ws(" ", "p_name", "p_brand").alias("m")).union(part.select("p_name")).distinct().select("m", F.col("m").alias("candidate"))
-    pairs = link.trigram_join(top, every, "name", "candidate", "m", 0.3, gram=S.word_trigrams)
-    best = dedup.first_per_group(pairs, ["name"], [F.col("sim").desc(), F.col("candidate")], 10)
+    best = link.top_k_join(top, every, "name", "candidate", "m", 10, 0.3, gram=S.word_trigrams)
     return best.where(~F.contains("name", F.col("candidate")) & ~F.contains("candidate", F.col("name"))).select("name", "candidate")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from labelmill.operators import admin, enrich, labels, search
 from labelmill.plans.registry import query
-from labelmill.plans.scoring import _both_sides
-from labelmill.plans.texts import _PART_NAMES, DICTIONARY, LABELS, part_names
+from labelmill.plans.scoring import _J, _WORD_GRAMS, _both_sides
+from labelmill.plans.texts import _MAKER_FORM, _PART_NAMES, DICTIONARY, LABELS, part_names
 from labelmill.session import table
 
 
@@ -90,6 +90,17 @@ def substring_facts(spark, d):
     return enrich.substring_facts(products, facts)
 
 
+@query("maker_synonyms", f"""WITH m AS (SELECT maker, count(*) AS n_lacking FROM {_PART_NAMES} WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) GROUP BY maker ORDER BY n_lacking DESC, maker LIMIT 50), s AS (SELECT DISTINCT p_brand || ' ' || p_type AS candidate FROM part),
+  g AS (SELECT *, {_WORD_GRAMS.format('maker')} AS x, {_MAKER_FORM.format('maker')} AS f FROM m), h AS (SELECT *, {_WORD_GRAMS.format('candidate')} AS y, {_MAKER_FORM.format('candidate')} AS c FROM s),
+  r AS (SELECT maker, n_lacking, candidate, f, c, {_J.format('x', 'y')} AS sim FROM g, h WHERE length(f) >= 2 AND {_J.format('x', 'y')} >= 0.3 QUALIFY row_number() OVER (PARTITION BY maker ORDER BY sim DESC, candidate) <= 10)
+  SELECT maker, n_lacking, candidate, sim FROM r WHERE NOT (c <> '' AND (contains(f, c) OR contains(c, f)))""")
+def maker_synonyms(spark, d):
+    """Makers of all parts without a large order line, against brands with their types."""
+    registered = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("product_id"))
+    staged = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("maker"))
+    return enrich.maker_synonyms(part_names(spark, d).select(F.col("id").alias("product_id"), "maker"), registered, staged)
+
+
 @query("substring_facts_all", f"""WITH RECURSIVE p AS (SELECT id AS product_id, lower(name) AS held FROM {_PART_NAMES}), f AS (SELECT p_partkey + 1000000 AS fact_id, CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[2] ELSE p_name END AS food, row_number() OVER (ORDER BY p_partkey) AS i FROM part WHERE p_partkey % 5 <> 0),
   c AS (SELECT food, list(product_id ORDER BY product_id) AS ids FROM (SELECT DISTINCT food FROM f) JOIN p ON contains(held, food) GROUP BY food),
   g AS (SELECT CAST(0 AS BIGINT) AS i, bitstring('0', (SELECT CAST(max(p_partkey) + 1 AS INTEGER) FROM part)) AS used, CAST(NULL AS BIGINT) AS fact_id, CAST(NULL AS BIGINT) AS product_id

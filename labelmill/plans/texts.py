@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from labelmill.functions import parse as P
 from labelmill.functions import similarity as S
 from labelmill.operators import link, quality
 from labelmill.plans.registry import query
-from labelmill.session import table
+from labelmill.session import shared_dir, table
+from labelmill.sources import trigram_index
 
 # Invented label texts and names for the parsers and normalisers.
 NAMES = [
@@ -97,7 +100,10 @@ def norm_names_all(spark, d):
     return _forms(part_names(spark, d))
 
 
-@query("maker_norm_all", f"""SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(maker, '\\s*(유한책임회사|주식회사|유한회사|합자회사|합명회사|\\(주\\)|㈜)\\s*', '', 'g'), '사회적협동조합|농업회사법인|영농조합법인|협동조합', '', 'g'), '제?[0-9]+공장', '', 'g'), '[가-힣]+공장', '', 'g'), '[가-힣]+지점', '', 'g'), '[가-힣]+센터', '', 'g'), '\\s+', '', 'g')) AS maker_form,
+_MAKER_FORM = """lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\s*(유한책임회사|주식회사|유한회사|합자회사|합명회사|\\(주\\)|㈜)\\s*', '', 'g'), '사회적협동조합|농업회사법인|영농조합법인|협동조합', '', 'g'), '제?[0-9]+공장', '', 'g'), '[가-힣]+공장', '', 'g'), '[가-힣]+지점', '', 'g'), '[가-힣]+센터', '', 'g'), '\\s+', '', 'g'))"""
+
+
+@query("maker_norm_all", f"""SELECT id, {_MAKER_FORM.format('maker')} AS maker_form,
   lower(regexp_replace(regexp_replace(maker, '\\(주\\)|주식회사|㈜', '', 'g'), '\\s+', '', 'g')) AS simple_form FROM {_PART_NAMES}""")
 def maker_norm_all(spark, d):
     return part_names(spark, d).select("id", N.maker(F.col("maker")).alias("maker_form"), N.manufacturer(F.col("maker")).alias("simple_form"))
@@ -164,16 +170,29 @@ def trigram_pairs_blocked(spark, d):
     return link.trigram_join(left, right, "left_name", "right_name", "t", 0.7, block="b")
 
 
-@query("search_trigram", f"""SELECT p_partkey, p_name, sim FROM (SELECT p_partkey, p_name, {_JACCARD.format('x', 'y')} AS sim FROM (SELECT p_partkey, p_name,
+_SEARCH = f"""SELECT p_partkey, p_name, sim FROM (SELECT p_partkey, p_name, {_JACCARD.format('x', 'y')} AS sim FROM (SELECT p_partkey, p_name,
   list_distinct(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS x,
   list_distinct(flatten(list_transform(['cold', 'ring'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS y FROM part))
-  WHERE p_name ILIKE '%cold ring%' OR sim >= 0.3 ORDER BY sim DESC, p_name, p_partkey LIMIT 20 OFFSET 5""")
+  WHERE p_name ILIKE '%cold ring%' OR sim >= 0.3 ORDER BY sim DESC, p_name, p_partkey LIMIT 20 OFFSET 5"""
+
+
+@query("search_trigram", _SEARCH)
 def search_trigram(spark, d):
     from labelmill.operators import search
 
     return search.search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "cold ring", 20, 5, "p_partkey")
 
 
+@query("search_stored_index", _SEARCH)
+def search_stored_index(spark, d):
+    """The same search by a stored index that all parts came to in two appends."""
+    part = table(spark, d, "part")
+    index = trigram_index.TrigramIndex(spark, f"{shared_dir(spark)}/labelmill/trigrams-{uuid.uuid4().hex}", slots=16)
+    for k in range(2):
+        index.append(part.where(f"p_partkey % 2 = {k}"), "p_partkey", "p_name", str(k))
+    return index.search("cold ring", 20, 5).select(F.col("key").alias("p_partkey"), F.col("name").alias("p_name"), "sim")
+
+
 @query("composite_pairs", "SELECT * FROM (VALUES ('콜라 355ml', '(주)한드링크', '콜라 500ml', '한드링크', 0.0), ('콜라 355ml', '(주)한드링크', '콜라 0.355L', '한드링크', 1.0), ('콜라 355ml', '가나', '콜라 355ml', '다라마', 0.0), ('콜라', '', '콜라', '가나', 0.7)) t(n1, m1, n2, m2, score)")
 def composite_pairs(spark, d):
     rows = spark.createDataFrame([("콜라 355ml", "(주)한드링크", "콜라 500ml", "한드링크"), ("콜라 355ml", "(주)한드링크", "콜라 0.355L", "한드링크"), ("콜라 355ml", "가나", "콜라 355ml", "다라마"), ("콜라", "", "콜라", "가나")], "n1 string, m1 string, n2 string, m2 string")
