@@ -45,9 +45,11 @@ def additive_summary(links: DataFrame, additives: DataFrame, product: str, addit
     return rows.groupBy(product).agg(F.count("*").alias("total"), *counts, score.dominant_color(F.col(color)).alias("dominant"))
 
 
-def product_card(products: DataFrame, facts: DataFrame, summary: DataFrame, key: str) -> DataFrame:
-    """Products with facts and additive summary (both optional per product), scored."""
-    return score.evaluate(products.join(facts, key, "left").join(summary, key, "left"))
+def product_card(products: DataFrame, key: str, *details: DataFrame, category: Column | None = None) -> DataFrame:
+    """Products with what is known of them (facts, additives; optional for each product), scored."""
+    for known in details:
+        products = products.join(known, key, "left")
+    return score.evaluate(products, category)
 
 
 def pending(contributions: DataFrame, kind: str = "all") -> DataFrame:

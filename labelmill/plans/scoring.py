@@ -171,7 +171,7 @@ def product_card(spark, d):
     lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(*fact_columns(), F.countDistinct("l_suppkey").alias("total"))
     known = F.col("p_partkey") % 7 != 0
     lines = lines.select("p_partkey", "total", *(F.when(known, F.col(c)).alias(c) for c in lines.columns if c not in ("p_partkey", "total")))
-    out = score.evaluate(products(spark, d).join(lines, "p_partkey", "left"), _category())
+    out = search.product_card(products(spark, d), "p_partkey", lines, category=_category())
     return out.select("p_partkey", "food_category", score.color_rank(F.col("sodium_color")).alias("sodium_rank"), F.coalesce("total", F.lit(0)).alias("n_additives"))
 
 
