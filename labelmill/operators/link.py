@@ -63,6 +63,8 @@ def trigram_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 #: Thresholds that a top-k join tries from above, where the lowest one would make more than so many rows.
 TIERS = (0.8, 0.6, 0.45)
 PAIRS_AT_ONCE = 5_000_000
+#: Where a threshold finds k partners for less than this share of the rows that it is tried for, the lowest one comes next.
+WORTHWHILE = 0.1
 
 
 def _shared_rows(ranked: list[DataFrame], threshold: float) -> int:
@@ -77,25 +79,27 @@ def top_k_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 
     At a low threshold a similarity join pairs nearly everything, mostly for rows that have k better
     partners. So thresholds come from above: a left row that has its k at one of them is done, as whatever
-    a lower one finds is less similar, and only the others go on. Where the lowest would make ``at_once`` rows
-    at most, it is the only one. Left keys are distinct. ``counted`` gets the number of candidate pairs of each threshold.
+    a lower one finds is less similar, and only the others go on. A threshold that hardly any row is done at
+    is followed by the lowest. Where the lowest would make ``at_once`` rows at most, it is the only one. Left keys are distinct. ``counted`` gets the number of candidate pairs of each threshold.
     """
     sides, ranked = _ranked_grams(left, right, left_key, right_key, text, gram, block)
     ranked = [materialize(r, "ranked") for r in ranked]
     tiers = [t for t in TIERS if t > floor] if _shared_rows(ranked, floor) > at_once else []
-    out, open_rows = None, None
-    for threshold in [*tiers, floor]:
-        of_left = ranked[0] if open_rows is None else ranked[0].join(open_rows, "k", "left_semi")
-        pairs = _candidate_pairs([of_left, ranked[1]], threshold)
+    todo, out = [*tiers, floor], None
+    open_rows = materialize(ranked[0].select("k").distinct(), "open")
+    while todo:
+        threshold = todo.pop(0)
+        pairs = _candidate_pairs([ranked[0].join(open_rows, "k", "left_semi") if out is not None else ranked[0], ranked[1]], threshold)
         if counted is not None:
             counted.append(pairs.count())
         found = first_per_group(_verified(pairs, sides, left_key, right_key, threshold), [left_key], [F.col("sim").desc(), F.col(right_key)], k, "rank")
         found = materialize(found, "top")
-        if threshold > floor:
+        if todo:
             full = materialize(found.where(F.col("rank") == k).select(F.col(left_key).alias("k")), "full")
             found = found.join(full.withColumnRenamed("k", left_key), left_key, "left_semi")
-            left_over = (ranked[0].select("k").distinct() if open_rows is None else open_rows).join(full, "k", "left_anti")
-            open_rows = materialize(left_over, "open")
+            if full.count() < WORTHWHILE * open_rows.count():
+                todo = [floor]
+            open_rows = materialize(open_rows.join(full, "k", "left_anti"), "open")
         out = found if out is None else out.unionByName(found)
     return out.drop("rank")
 
