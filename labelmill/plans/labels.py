@@ -162,3 +162,20 @@ def food_categories_all(spark, d):
     pick = lambda words, n: F.array(*map(F.lit, words))[(F.col(n) % len(words)).cast("int")]
     of = [pick(_FOOD, "o_orderkey"), pick(("g", "ml", "L", "kg"), "o_custkey"), pick(_TITLES, "o_custkey")]
     return table(spark, d, "orders").select("o_orderkey", score.food_category(*of).alias("category"), score.food_category(*of, seaweed=False).alias("report_category"))
+
+
+_WORDS = "regexp_replace(regexp_replace(regexp_replace(trim(name), '\\s+', ' ', 'g'), '[()（）\\[\\]【】]', '', 'g'), '[,，·•]', ' ', 'g')"
+for _size in ("[gG][rR]?", "[mM][lL]", "[kK][gG]", "[lL]"):
+    _WORDS = f"regexp_replace({_WORDS}, '[0-9]+\\s*{_size}', '', 'g')"
+
+
+@query("name_words_all", f"SELECT id, lower(trim(regexp_replace({_WORDS}, '\\s+', ' ', 'g'))) AS words FROM {_PART_NAMES}")
+def name_words_all(spark, d):
+    return part_names(spark, d).select("id", N.name(F.col("name")).alias("words"))
+
+
+@query("volumes_all", f"""WITH r AS (SELECT id, regexp_extract(name, '([0-9]+[.,]?[0-9]*)\\s*(ml|kg|l|g)', 1, 'i') AS v, lower(regexp_extract(name, '([0-9]+[.,]?[0-9]*)\\s*(ml|kg|l|g)', 2, 'i')) AS u FROM {_PART_NAMES}),
+  s AS (SELECT id, u, CAST(replace(nullif(v, ''), ',', '.') AS DOUBLE) * CASE WHEN u IN ('l', 'kg') THEN 1000 ELSE 1 END AS x FROM r)
+  SELECT id, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END || CASE WHEN u IN ('l', 'ml') THEN 'ml' ELSE 'g' END AS volume, CASE WHEN u IN ('l', 'ml') THEN 'ml' WHEN u IN ('g', 'kg') THEN 'g' END AS family FROM s""")
+def volumes_all(spark, d):
+    return part_names(spark, d).select("id", E.volume(F.col("name")).alias("volume"), E.unit_family(F.col("name")).alias("family"))
