@@ -22,7 +22,9 @@ A link of exactly the threshold 0.75 shares no band with a probability of 5e-6.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,8 @@ DEVIATIONS = 4.5
 STAR_ROUNDS = 2
 HUBS = 6
 BLOCK = 256
+#: 8 MB.
+FILTER_BITS = 1 << 26
 
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = (_rng.integers(0, 2**31, SAMPLES, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -153,7 +157,34 @@ def sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame
     return pairs.join(sides[0], "a").join(sides[1], "b").where(alike("sketch_a", "sketch_b", "n_a", "n_b", threshold)).select("a", "b")
 
 
-def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
+def _places(c: Column) -> tuple[Column, Column]:
+    """Which number of the bitmap an id's bit stands in, and the bit."""
+    place = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    return F.shiftright(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(rep, text) of the docs whose doc_id is among ids (rep), and of few others; and what its tasks look ids up in.
+
+    Ids make a bitmap by hash, of FILTER_BITS whatever their number: it reaches the driver as at most a 64th of
+    that in numbers, and each executor as one broadcast. With very many ids it lets more through. So texts that
+    are compared with none never leave the scan.
+    """
+    word, bit = _places(F.col("rep"))
+    found = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def among(word: pd.Series, bit: pd.Series) -> pd.Series:
+        return pd.Series((sent.value[word.to_numpy()] & bit.to_numpy()) != 0)
+
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    return texts.where(among(*_places(F.col("rep")))), sent
+
+
+def verified(near: DataFrame, docs: DataFrame, threshold: int, size: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold, a percentage.
 
     Partners b of one a are dealt out in blocks; in each block the text of a comes first and
@@ -165,7 +196,8 @@ def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> Da
     # The hub's row has no b and so comes first; one join brings the texts of both kinds of row.
     hubs = pairs.select(F.col("a").alias("rep"), "a", "block", F.lit(None).cast("long").alias("b")).distinct()
     wanted = hubs.unionByName(pairs.select(F.col("b").alias("rep"), "a", "block", "b"))
-    rows = wanted.join(texts.select("rep", "text"), "rep").select("a", "block", "b", "text").repartition("a", "block").sortWithinPartitions("a", "block", "b")
+    texts, sent = texts_of(wanted, docs)
+    rows = wanted.join(texts, "rep").select("a", "block", "b", "text").repartition("a", "block").sortWithinPartitions("a", "block", "b")
 
     def work(batches):
         # The sets of a; repeated rows of one doc_id may have several texts.
@@ -183,6 +215,7 @@ def verified(near: DataFrame, texts: DataFrame, threshold: int, size: int) -> Da
             yield batch.select([0, 2]).filter(pa.array(keep))
 
     links = materialize(rows.mapInArrow(work, "a long, b long"), "links")
+    sent.destroy()
     release(near, many, pairs)
     return links
 
@@ -236,11 +269,9 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     meets = bands.groupBy("rep").agg(F.sum("members").alias("meets"))
     rows = with_hubs(bands, -F.col("meets"), bands.join(meets, "rep"))
     release(sizes, bands)
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = materialize(texts.join(rows.select("rep").distinct(), "rep", "left_semi"), "texts")
     labels = classes.select("rep", F.col("rep").alias("component")).limit(0)
     for turn in range(STAR_ROUNDS):
-        found, before = verified(sketched(hub_pairs(rows), sketches, threshold), texts, threshold, size), (rows, labels)
+        found, before = verified(sketched(hub_pairs(rows), sketches, threshold), docs, threshold, size), (rows, labels)
         if not found.isEmpty():
             labels = merged(labels, found)
             release(before[1])
@@ -248,17 +279,17 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
         rows = with_hubs(named_rows, F.xxhash64("rep", F.lit(turn + 1)))
         release(found, before[0])
         if rows.isEmpty():
-            release(rows, texts)
+            release(rows)
             return named, labels
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows_left, blocks = rows, F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.join(classes.select("rep", "sketch", "n", "bands"), "rep").select("key", "rep", "component", "sketch", "n", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
     other = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch", "n", "bands")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # A pair that shares several buckets counts in the first of them only.
     first_shared = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.array_position("bands", F.col("key"))
     differ = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
     pairs = rows.join(other, ["key", "block"]).where(differ & alike("sketch", "sketch_b", "n", "n_b", threshold) & first_shared)
-    found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), texts, threshold, size)
-    release(texts)
+    found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), docs, threshold, size)
+    release(rows_left)
     return named, labels if found.isEmpty() else merged(labels, found)
 
 
