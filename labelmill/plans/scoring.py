@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelmill.functions import normalize as N
 from labelmill.functions import similarity as S
 from labelmill.operators import dedup, enrich, link, quality, rules, score, search
-from labelmill.plans.registry import query
+from labelmill.plans.registry import golden, query
 from labelmill.plans.texts import part_names
 from labelmill.session import table
 
@@ -88,21 +88,21 @@ def category_counts(spark, d):
     return quality.frequency(products(spark, d).select(_category().alias("category")), "category")
 
 
-@query("category_goldens", "SELECT * FROM (VALUES (1, 'general'), (2, 'beverage'), (3, 'dried'), (4, 'alcohol'), (5, 'fermented'), (6, 'general'), (7, 'dried'), (8, 'general'), (9, 'supplement'), (10, 'general')) t(id, category)")
+@golden("category_goldens", "SELECT * FROM (VALUES (1, 'general'), (2, 'beverage'), (3, 'dried'), (4, 'alcohol'), (5, 'fermented'), (6, 'general'), (7, 'dried'), (8, 'general'), (9, 'supplement'), (10, 'general')) t(id, category)")
 def category_goldens(spark, d):
     rows = [(1, "과자", "g", "감자칩"), (2, None, "mL", "제로 탄산"), (3, "건과류", "g", "사과"), (4, "맥주", "ml", "라거"), (5, None, "g", "총각김치"), (6, "식용유지", "ml", "콩기름"), (7, None, None, "구운김"), (8, None, None, "참치김밥"), (9, "건강기능식품", "g", "비타"), (10, None, None, None)]
     df = spark.createDataFrame(rows, "id int, food_type string, content_unit string, product_name string")
     return df.select("id", score.food_category(F.col("food_type"), F.col("content_unit"), F.col("product_name")).alias("category"))
 
 
-@query("context_categories", "SELECT * FROM (VALUES (1, 'fermented', '발효식품', false, 'c005_food_type'), (2, 'beverage', '음료', false, 'c005_food_type'), (3, 'health_functional', '건강기능식품', true, 'c005_food_type'), (4, 'general', '일반 가공식품', false, 'silent_fallback'), (5, 'general', '일반 가공식품', false, 'c005_food_type'), (6, 'soup', '국·찌개', false, 'c005_food_type')) t(id, category, category_label, is_excluded, detection_method)")
+@golden("context_categories", "SELECT * FROM (VALUES (1, 'fermented', '발효식품', false, 'c005_food_type'), (2, 'beverage', '음료', false, 'c005_food_type'), (3, 'health_functional', '건강기능식품', true, 'c005_food_type'), (4, 'general', '일반 가공식품', false, 'silent_fallback'), (5, 'general', '일반 가공식품', false, 'c005_food_type'), (6, 'soup', '국·찌개', false, 'c005_food_type')) t(id, category, category_label, is_excluded, detection_method)")
 def context_categories(spark, d):
     df = spark.createDataFrame([(1, "김치류"), (2, "과·채주스"), (3, "건강기능식품"), (4, "  "), (5, "스낵과자"), (6, "수프류")], "id int, food_type string")
     c = score.context(F.col("food_type"))
     return df.select("id", *(c[k].alias(k) for k in ("category", "category_label", "is_excluded", "detection_method")))
 
 
-@query("score_goldens", "SELECT * FROM (VALUES (1, 'red', 'per_100g'), (2, 'red', 'pct_dv'), (3, 'yellow', 'pct_dv'), (4, 'red', 'per_100g'), (5, 'yellow', 'per_100g'), (6, NULL, NULL)) t(id, sodium_color, sodium_basis)")
+@golden("score_goldens", "SELECT * FROM (VALUES (1, 'red', 'per_100g'), (2, 'red', 'pct_dv'), (3, 'yellow', 'pct_dv'), (4, 'red', 'per_100g'), (5, 'yellow', 'per_100g'), (6, NULL, NULL)) t(id, sodium_color, sodium_basis)")
 def score_goldens(spark, d):
     rows = [(1, "과자", "칩", 30.0, 200.0), (2, "유탕면", "컵", 65.0, 1600.0), (3, "건과류", "말랭이", 25.0, 350.0), (4, "과자", "젤리", 15.0, 150.0), (5, "과자", "바", 30.0, 80.0), (6, "맥주", "라거", 355.0, 10.0)]
     df = spark.createDataFrame(rows, "id int, food_type string, product_name string, serving_size double, sodium double")
@@ -111,7 +111,7 @@ def score_goldens(spark, d):
     return score.evaluate(df).select("id", "sodium_color", "sodium_basis")
 
 
-@query("config_as_of", "SELECT * FROM (VALUES ('sodium', 'green_max', 'pct_dv', 10.0), ('sodium', 'yellow_max', 'pct_dv', 20.0), ('sugars', 'green_max', 'per_100g', 4.0)) t(nutrient, threshold, basis, value)")
+@golden("config_as_of", "SELECT * FROM (VALUES ('sodium', 'green_max', 'pct_dv', 10.0), ('sodium', 'yellow_max', 'pct_dv', 20.0), ('sugars', 'green_max', 'per_100g', 4.0)) t(nutrient, threshold, basis, value)")
 def config_as_of(spark, d):
     rows = [("sodium", "green_max", "pct_dv", 12.0, "adult", "2020-01-01", "2023-12-31"), ("sodium", "green_max", "pct_dv", 10.0, "adult", "2024-01-01", None), ("sodium", "yellow_max", "pct_dv", 25.0, "adult", "2020-01-01", None), ("sodium", "yellow_max", "pct_dv", 20.0, "child", "2022-01-01", None), ("sugars", "green_max", "per_100g", 4.0, "child", "2020-01-01", "2024-06-01"), ("sugars", "yellow_max", "per_100g", 9.0, "child", "2025-01-01", None)]
     config = spark.createDataFrame(rows, "nutrient string, threshold string, basis string, value double, profile string, f string, t string").select("nutrient", "threshold", "basis", "value", "profile", F.to_date("f").alias("effective_from"), F.to_date("t").alias("effective_to"))
@@ -146,13 +146,13 @@ def additive_summary(spark, d):
     return search.additive_summary(table(spark, d, "lineitem"), additives, "l_partkey", "l_suppkey", "color")
 
 
-@query("risk_colors", "SELECT * FROM (VALUES ('RED', 'red'), (' orange', 'yellow'), ('purple', 'gray'), ('green', 'green')) t(raw, color)")
+@golden("risk_colors", "SELECT * FROM (VALUES ('RED', 'red'), (' orange', 'yellow'), ('purple', 'gray'), ('green', 'green')) t(raw, color)")
 def risk_colors(spark, d):
     df = spark.createDataFrame([("RED",), (" orange",), ("purple",), ("green",)], "raw string")
     return df.select("raw", score.seed_color(F.col("raw")).alias("color"))
 
 
-@query("dictionary_texts", "SELECT * FROM (VALUES (1, '5 mg/kg', 'use: acid | source: fruit'), (2, 'not specified', 'use: colour'), (3, 'group ADI-3', ''), (4, NULL, 'source: salt')) t(id, intake, description)")
+@golden("dictionary_texts", "SELECT * FROM (VALUES (1, '5 mg/kg', 'use: acid | source: fruit'), (2, 'not specified', 'use: colour'), (3, 'group ADI-3', ''), (4, NULL, 'source: salt')) t(id, intake, description)")
 def dictionary_texts(spark, d):
     df = spark.createDataFrame([(1, "numeric", 5, "mg/kg", None, "acid", "fruit"), (2, "not_specified", None, None, None, "colour", None), (3, "group", None, None, "ADI-3", None, None), (4, None, None, None, None, None, "salt")], "id int, kind string, v int, unit string, g string, used string, origin string")
     return df.select("id", score.intake_text(F.col("kind"), F.col("v"), F.col("unit"), F.col("g")).alias("intake"), score.description(use=F.col("used"), source=F.col("origin")).alias("description"))
@@ -222,14 +222,14 @@ def match_exclusive_greedy(spark, d):
     return link.exclusive_match(edges, "left_id", "right_id", "score").select("left_id", "right_id")
 
 
-@query("merge_parts", "SELECT * FROM (VALUES ('matched', 1, 11), ('matched', 2, 12), ('left_only', 3, NULL), ('right_only', NULL, 13)) t(part, left_id, right_id)")
+@golden("merge_parts", "SELECT * FROM (VALUES ('matched', 1, 11), ('matched', 2, 12), ('left_only', 3, NULL), ('right_only', NULL, 13)) t(part, left_id, right_id)")
 def merge_parts(spark, d):
     left = spark.createDataFrame([(1, "달콤 사과칩 120g", "(주)푸른들"), (2, "제로 콜라 355ml", "한드링크"), (3, "두유 1L", "두레")], "left_id int, product_name string, manufacturer string")
     right = spark.createDataFrame([(11, "달콤 사과칩", "푸른들"), (12, "제로콜라 355ml", "한드링크 주식회사"), (13, "두유 500ml", "두레")], "right_id int, product_name string, manufacturer string")
     return link.outer_parts(left, right, link.merge_datasets(left, right, 0.55), "left_id", "right_id")
 
 
-@query("fuzzy_decisions", "SELECT * FROM (VALUES (21, 'matched', 1), (22, 'rejected', 2), (22, 'pooled', NULL), (23, 'pooled', NULL)) t(fact_id, status, product_id)")
+@golden("fuzzy_decisions", "SELECT * FROM (VALUES (21, 'matched', 1), (22, 'rejected', 2), (22, 'pooled', NULL), (23, 'pooled', NULL)) t(fact_id, status, product_id)")
 def fuzzy_decisions(spark, d):
     def rows(data, key):
         df = spark.createDataFrame(data, f"{key} long, product_name string, maker string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelmill.operators import admin, enrich, labels, search
-from labelmill.plans.registry import query
+from labelmill.plans.registry import golden, query
 from labelmill.plans.scoring import _J, _WORD_GRAMS, _both_sides
 from labelmill.plans.texts import _MAKER_FORM, _PART_NAMES, DICTIONARY, LABELS, part_names
 from labelmill.session import table
@@ -50,7 +50,7 @@ def official_names(spark, d):
     return enrich.official_names(products, table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("report_no"), F.col("o_orderpriority").alias("name")))
 
 
-@query("match_facts_passes", "SELECT * FROM (VALUES (1, 11, 1), (2, 12, 2), (3, 13, 3)) t(product_id, fact_id, pass_no)")
+@golden("match_facts_passes", "SELECT * FROM (VALUES (1, 11, 1), (2, 12, 2), (3, 13, 3)) t(product_id, fact_id, pass_no)")
 def match_facts_passes(spark, d):
     products = spark.createDataFrame([(1, None, "달콤한 사과칩 매운맛 120g", "(주)푸른들"), (2, "R2", "이름없는 음료", "한드링크"), (3, None, "현미 누룽지 과자 고소한맛 오리지널", "두레"), (4, None, "탄산 음료 오렌지 스페셜 500ml", "한드링크")], "product_id int, report_no string, product_name string, maker string")
     facts = spark.createDataFrame([(11, "달콤한사과칩 매운맛", "푸른들 주식회사"), (12, "오렌지 과즙 음료", "한드링크"), (13, "현미누룽지과자 고소한맛오리지널", "다른곳"), (14, "탄산음료 오렌지 스페셜 500g", "한드링크")], "fact_id int, product_name string, maker string")
@@ -58,7 +58,7 @@ def match_facts_passes(spark, d):
     return enrich.match_facts(products, facts, reports)[0].select("product_id", "fact_id", "pass_no")
 
 
-@query("match_ingredients_passes", "SELECT * FROM (VALUES (1, 'A', 1), (2, 'C', 2), (3, 'D', 3)) t(product_id, report_no, pass_no)")
+@golden("match_ingredients_passes", "SELECT * FROM (VALUES (1, 'A', 1), (2, 'C', 2), (3, 'D', 3)) t(product_id, report_no, pass_no)")
 def match_ingredients_passes(spark, d):
     products = spark.createDataFrame([(1, "사과칩", "(주)푸른들"), (2, "현미 과자 고소한맛", "두레"), (3, "오렌지 과즙 음료", "한드링크"), (4, "없는 이름", "없음")], "product_id int, product_name string, maker string")
     staged = spark.createDataFrame([("A", "달콤 사과칩", "푸른들"), ("B", "사과칩", "다른곳"), ("C", "현미 과자 고소한 맛", "두레"), ("D", "오렌지 과즙 음료 스페셜", "다른곳")], "report_no string, name string, maker string")
@@ -83,7 +83,7 @@ def match_ingredients_all(spark, d):
     return enrich.match_ingredients(products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "maker"), staged, loose=True).select("product_id", "report_no", "pass_no")
 
 
-@query("substring_facts", "SELECT * FROM (VALUES (11, 1), (12, 2)) t(fact_id, product_id)")
+@golden("substring_facts", "SELECT * FROM (VALUES (11, 1), (12, 2)) t(fact_id, product_id)")
 def substring_facts(spark, d):
     products = spark.createDataFrame([(1, "red apple chips"), (2, "green apple chips"), (3, "cola")], "product_id int, product_name string")
     facts = spark.createDataFrame([(11, "apple"), (12, "apple chips"), (13, "chips"), (14, "tea")], "fact_id int, food_name string")
@@ -167,13 +167,13 @@ def pending_allergens(spark, d):
     return search.pending(rows, "allergen").select("event_id", "status")
 
 
-@query("label_blocks", "SELECT * FROM (VALUES (1, 'a' || chr(10) || 'b', 0.75), (2, '', 0.0)) t(id, txt, confidence)")
+@golden("label_blocks", "SELECT * FROM (VALUES (1, 'a' || chr(10) || 'b', 0.75), (2, '', 0.0)) t(id, txt, confidence)")
 def label_blocks(spark, d):
     rows = spark.createDataFrame([(1, [("a", 1.0), ("b", 0.5)]), (2, [])], "id int, blocks array<struct<text:string,confidence:double>>")
     return labels.flatten_blocks(rows, "id", "blocks").withColumnRenamed("text", "txt")
 
 
-@query("analyze_labels", "SELECT * FROM (VALUES (1, 5, 3, 'red', NULL), (2, 3, 1, NULL, 'low_confidence'), (3, 3, 1, 'green', NULL), (4, 0, 0, NULL, NULL), (5, 0, 0, NULL, 'low_confidence')) t(id, n_items, n_additives, sodium_color, reject_reason)")
+@golden("analyze_labels", "SELECT * FROM (VALUES (1, 5, 3, 'red', NULL), (2, 3, 1, NULL, 'low_confidence'), (3, 3, 1, 'green', NULL), (4, 0, 0, NULL, NULL), (5, 0, 0, NULL, 'low_confidence')) t(id, n_items, n_additives, sodium_color, reject_reason)")
 def analyze_labels(spark, d):
     confidence = {1: 0.95, 2: 0.5, 3: 0.8, 4: 0.9, 5: None}
     rows = spark.createDataFrame([(i, t, confidence[i], "이름", "과자", "g", None) for i, t in LABELS], "id int, text string, confidence double, product_name string, food_type string, content_unit string, total_content double")

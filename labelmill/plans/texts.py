@@ -12,7 +12,7 @@ from labelmill.functions import normalize as N
 from labelmill.functions import parse as P
 from labelmill.functions import similarity as S
 from labelmill.operators import link, quality
-from labelmill.plans.registry import query
+from labelmill.plans.registry import golden, query
 from labelmill.session import shared_dir, table
 from labelmill.sources import trigram_index
 
@@ -90,7 +90,7 @@ def _forms(rows: DataFrame) -> DataFrame:
     return rows.select("id", N.product_name(F.col("name")).alias("basic"), N.strip_corporate(F.col("maker")).alias("stripped"), N.deep(F.col("name")).alias("deep_form"), N.deep_words(F.col("name")).alias("deep_apart"), N.key(F.col("name")).alias("key_form"))
 
 
-@query("norm_names", _forms_sql(_NAMES))
+@golden("norm_names", _forms_sql(_NAMES))
 def norm_names(spark, d):
     return _forms(names(spark))
 
@@ -109,24 +109,24 @@ def maker_norm_all(spark, d):
     return part_names(spark, d).select("id", N.maker(F.col("maker")).alias("maker_form"), N.manufacturer(F.col("maker")).alias("simple_form"))
 
 
-@query("maker_norm", "SELECT * FROM (VALUES (1, '푸른들식품', '푸른들식품'), (2, '푸른들식품', '푸른들식품'), (3, 'handrink', '유한회사handrink'), (4, '두레', '농업회사법인두레제2공장'), (5, '', ''), (6, '한끼', '한끼부산공장')) t(id, maker_form, simple_form)")
+@golden("maker_norm", "SELECT * FROM (VALUES (1, '푸른들식품', '푸른들식품'), (2, '푸른들식품', '푸른들식품'), (3, 'handrink', '유한회사handrink'), (4, '두레', '농업회사법인두레제2공장'), (5, '', ''), (6, '한끼', '한끼부산공장')) t(id, maker_form, simple_form)")
 def maker_norm(spark, d):
     return names(spark).select(F.col("id").cast("int").alias("id"), N.maker(F.col("maker")).alias("maker_form"), N.manufacturer(F.col("maker")).alias("simple_form"))
 
 
-@query("canonical_synonym", "SELECT * FROM (VALUES (1, '푸른들'), (2, '푸른들'), (3, '한드링크'), (4, '두레'), (5, ''), (6, '한끼')) t(id, canonical)")
+@golden("canonical_synonym", "SELECT * FROM (VALUES (1, '푸른들'), (2, '푸른들'), (3, '한드링크'), (4, '두레'), (5, ''), (6, '한끼')) t(id, canonical)")
 def canonical_synonym(spark, d):
     known = spark.createDataFrame(SYNONYMS, "form string, canonical string")
     rows = names(spark).select(F.col("id").cast("int").alias("id"), N.maker(F.col("maker")).alias("form"))
     return rows.join(known, "form", "left").select("id", F.coalesce("canonical", "form").alias("canonical"))
 
 
-@query("norm_names_words", "SELECT * FROM (VALUES (1, '달콤 사과칩 매운맛'), (2, '달콤 사과칩 봉지 1.'), (3, 'cola_zero x 24캔'), (4, '특가 두유 팩 3'), (5, ''), (6, '현미밥')) t(id, words)")
+@golden("norm_names_words", "SELECT * FROM (VALUES (1, '달콤 사과칩 매운맛'), (2, '달콤 사과칩 봉지 1.'), (3, 'cola_zero x 24캔'), (4, '특가 두유 팩 3'), (5, ''), (6, '현미밥')) t(id, words)")
 def norm_names_words(spark, d):
     return names(spark).select(F.col("id").cast("int").alias("id"), N.name(F.col("name")).alias("words"))
 
 
-@query("deep_words", "SELECT * FROM (VALUES (1, '달콤사과칩'), (2, '달콤사과칩봉지'), (3, 'colazero24캔'), (4, '두유팩'), (5, ''), (6, '현미밥')) t(id, deep_form)")
+@golden("deep_words", "SELECT * FROM (VALUES (1, '달콤사과칩'), (2, '달콤사과칩봉지'), (3, 'colazero24캔'), (4, '두유팩'), (5, ''), (6, '현미밥')) t(id, deep_form)")
 def deep_words(spark, d):
     return names(spark).select(F.col("id").cast("int").alias("id"), N.deep_words(F.col("name")).alias("deep_form"))
 
@@ -144,7 +144,7 @@ def correct_dictionary(spark, d):
     return table(spark, d, "part").select("p_partkey", fixed.alias("fixed"), F.size(applied).alias("n_applied"))
 
 
-@query("humanise", "SELECT * FROM (VALUES ('saturated fat is high, sodium_x stays'), ('total fat')) t(label)")
+@golden("humanise", "SELECT * FROM (VALUES ('saturated fat is high, sodium_x stays'), ('total fat')) t(label)")
 def humanise(spark, d):
     rows = spark.createDataFrame([("sat_fat is high, sodium_x stays",), ("total_fat",)], "c string")
     return rows.select(N.humanised(F.col("c"), {"sat_fat": "saturated fat", "total_fat": "total fat", "sodium": "salt"}).alias("label"))
@@ -193,7 +193,7 @@ def search_stored_index(spark, d):
     return index.search("cold ring", 20, 5).select(F.col("key").alias("p_partkey"), F.col("name").alias("p_name"), "sim")
 
 
-@query("composite_pairs", "SELECT * FROM (VALUES ('콜라 355ml', '(주)한드링크', '콜라 500ml', '한드링크', 0.0), ('콜라 355ml', '(주)한드링크', '콜라 0.355L', '한드링크', 1.0), ('콜라 355ml', '가나', '콜라 355ml', '다라마', 0.0), ('콜라', '', '콜라', '가나', 0.7)) t(n1, m1, n2, m2, score)")
+@golden("composite_pairs", "SELECT * FROM (VALUES ('콜라 355ml', '(주)한드링크', '콜라 500ml', '한드링크', 0.0), ('콜라 355ml', '(주)한드링크', '콜라 0.355L', '한드링크', 1.0), ('콜라 355ml', '가나', '콜라 355ml', '다라마', 0.0), ('콜라', '', '콜라', '가나', 0.7)) t(n1, m1, n2, m2, score)")
 def composite_pairs(spark, d):
     rows = spark.createDataFrame([("콜라 355ml", "(주)한드링크", "콜라 500ml", "한드링크"), ("콜라 355ml", "(주)한드링크", "콜라 0.355L", "한드링크"), ("콜라 355ml", "가나", "콜라 355ml", "다라마"), ("콜라", "", "콜라", "가나")], "n1 string, m1 string, n2 string, m2 string")
     # 0.355L leaves '0.' in the name's normal form; the volumes agree.
@@ -214,40 +214,40 @@ def length_threshold(spark, d):
     return table(spark, d, "part").select("p_name", S.length_threshold(F.col("p_name"), length=8).alias("threshold")).distinct()
 
 
-@query("volume_extract", "SELECT * FROM (VALUES (1, '120g', 'g'), (2, '1500g', 'g'), (3, '355ml', 'ml'), (4, '1000ml', 'ml'), (5, NULL, NULL), (6, '210g', 'g')) t(id, volume, family)")
+@golden("volume_extract", "SELECT * FROM (VALUES (1, '120g', 'g'), (2, '1500g', 'g'), (3, '355ml', 'ml'), (4, '1000ml', 'ml'), (5, NULL, NULL), (6, '210g', 'g')) t(id, volume, family)")
 def volume_extract(spark, d):
     return names(spark).select(F.col("id").cast("int").alias("id"), E.volume(F.col("name")).alias("volume"), E.unit_family(F.col("name")).alias("family"))
 
 
-@query("number_variants", "SELECT * FROM (VALUES ('12.5g', 12.5, 12.5), ('0', 0.0, NULL), ('', NULL, NULL), ('N/A', NULL, NULL), ('-3', -3.0, -3.0), ('.5%', 0.5, 0.5), (' 7,2', 7.0, 7.0)) t(txt, parsed, parsed_or_null)")
+@golden("number_variants", "SELECT * FROM (VALUES ('12.5g', 12.5, 12.5), ('0', 0.0, NULL), ('', NULL, NULL), ('N/A', NULL, NULL), ('-3', -3.0, -3.0), ('.5%', 0.5, 0.5), (' 7,2', 7.0, 7.0)) t(txt, parsed, parsed_or_null)")
 def number_variants(spark, d):
     rows = spark.createDataFrame([(x,) for x in ("12.5g", "0", "", "N/A", "-3", ".5%", " 7,2")], "txt string")
     return rows.select("txt", E.number(F.col("txt")).alias("parsed"), E.number_or_null(F.col("txt")).alias("parsed_or_null"))
 
 
-@query("nutrient_regex", "SELECT * FROM (VALUES (1, 155.0, 20.0, 5.5, 2.0, 7.1, 3.0, 0.0, 5.0, 200.0, NULL, 30.0, 'g'), (2, NULL, NULL, NULL, 9.0, 5.0, NULL, NULL, NULL, NULL, NULL, 300.0, 'g'), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1.79, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) t(id, calories, total_carbs, total_sugars, protein, total_fat, saturated_fat, trans_fat, cholesterol, sodium, dietary_fiber, serving_size, serving_unit)")
+@golden("nutrient_regex", "SELECT * FROM (VALUES (1, 155.0, 20.0, 5.5, 2.0, 7.1, 3.0, 0.0, 5.0, 200.0, NULL, 30.0, 'g'), (2, NULL, NULL, NULL, 9.0, 5.0, NULL, NULL, NULL, NULL, NULL, 300.0, 'g'), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1.79, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) t(id, calories, total_carbs, total_sugars, protein, total_fat, saturated_fat, trans_fat, cholesterol, sodium, dietary_fiber, serving_size, serving_unit)")
 def nutrient_regex(spark, d):
     size, unit = E.serving(F.col("label"))
     return labels(spark).select(F.col("id").cast("int").alias("id"), *(c.alias(n) for n, c in E.nutrients(F.col("label")).items()), size.alias("serving_size"), unit.alias("serving_unit"))
 
 
-@query("section_extract", "SELECT * FROM (VALUES (1, '밀가루(밀:미국산, 호주산), 설탕 12.5%, 팜유{말레이시아산}, 혼합제제(구연산, 비타민C, 탄산칼슘), 정제소금 함유'), (2, '대두(국산) 98%, 천일염, 응고제(염화마그네슘)'), (3, '소맥분(밀:미국산), 변성전분, 면류첨가알칼리제(산도조절제)'), (4, NULL), (5, NULL)) t(id, section)")
+@golden("section_extract", "SELECT * FROM (VALUES (1, '밀가루(밀:미국산, 호주산), 설탕 12.5%, 팜유{말레이시아산}, 혼합제제(구연산, 비타민C, 탄산칼슘), 정제소금 함유'), (2, '대두(국산) 98%, 천일염, 응고제(염화마그네슘)'), (3, '소맥분(밀:미국산), 변성전분, 면류첨가알칼리제(산도조절제)'), (4, NULL), (5, NULL)) t(id, section)")
 def section_extract(spark, d):
     return labels(spark).select(F.col("id").cast("int").alias("id"), E.ingredient_section(F.col("label")).alias("section"))
 
 
-@query("percent_origin", "SELECT * FROM (VALUES (1, 12.5, '밀:미국산, 호주산'), (2, 98.0, '국산'), (3, NULL, '밀:미국산'), (4, NULL, NULL), (5, NULL, NULL)) t(id, percentage, origin)")
+@golden("percent_origin", "SELECT * FROM (VALUES (1, 12.5, '밀:미국산, 호주산'), (2, 98.0, '국산'), (3, NULL, '밀:미국산'), (4, NULL, NULL), (5, NULL, NULL)) t(id, percentage, origin)")
 def percent_origin(spark, d):
     return labels(spark).select(F.col("id").cast("int").alias("id"), E.percentage(F.col("label")).alias("percentage"), E.origin(F.col("label")).alias("origin"))
 
 
-@query("label_items", "SELECT * FROM (VALUES (1, 0, '밀가루', NULL, '밀:미국산, 호주산', ''), (1, 1, '설탕', 12.5, NULL, ''), (1, 2, '팜유', NULL, '말레이시아산', ''), (1, 3, '혼합제제', NULL, NULL, '비타민C|탄산칼슘'), (1, 4, '정제소금', NULL, NULL, ''), (2, 0, '대두', 98.0, '국산', ''), (2, 1, '천일염', NULL, NULL, ''), (2, 2, '응고제', NULL, NULL, ''), (3, 0, '소맥분', NULL, '밀:미국산', ''), (3, 1, '변성전분', NULL, NULL, ''), (3, 2, '면류첨가알칼리제', NULL, NULL, '')) t(id, place, name, percentage, origin, subs)")
+@golden("label_items", "SELECT * FROM (VALUES (1, 0, '밀가루', NULL, '밀:미국산, 호주산', ''), (1, 1, '설탕', 12.5, NULL, ''), (1, 2, '팜유', NULL, '말레이시아산', ''), (1, 3, '혼합제제', NULL, NULL, '비타민C|탄산칼슘'), (1, 4, '정제소금', NULL, NULL, ''), (2, 0, '대두', 98.0, '국산', ''), (2, 1, '천일염', NULL, NULL, ''), (2, 2, '응고제', NULL, NULL, ''), (3, 0, '소맥분', NULL, '밀:미국산', ''), (3, 1, '변성전분', NULL, NULL, ''), (3, 2, '면류첨가알칼리제', NULL, NULL, '')) t(id, place, name, percentage, origin, subs)")
 def label_items(spark, d):
     items = labels(spark).select(F.col("id").cast("int").alias("id"), F.posexplode(P.parse_label_items(E.ingredient_section(F.col("label")))).alias("place", "item"))
     return items.select("id", "place", "item.name", "item.percentage", "item.origin", F.array_join("item.sub_ingredients", "|").alias("subs"))
 
 
-@query("ingredient_tree", "SELECT * FROM (VALUES (1, 0, '밀가루', '밀:미국산|호주산'), (1, 1, '설탕 12.5%', ''), (1, 2, '팜유', '말레이시아산'), (1, 3, '혼합제제', '구연산|비타민C|탄산칼슘'), (1, 4, '정제소금 함유', ''), (2, 0, '대두', '국산'), (2, 1, '98%', ''), (2, 2, '천일염', ''), (2, 3, '응고제', '염화마그네슘'), (3, 0, '소맥분', '밀:미국산'), (3, 1, '변성전분', ''), (3, 2, '면류첨가알칼리제', '산도조절제')) t(id, place, name, subs)")
+@golden("ingredient_tree", "SELECT * FROM (VALUES (1, 0, '밀가루', '밀:미국산|호주산'), (1, 1, '설탕 12.5%', ''), (1, 2, '팜유', '말레이시아산'), (1, 3, '혼합제제', '구연산|비타민C|탄산칼슘'), (1, 4, '정제소금 함유', ''), (2, 0, '대두', '국산'), (2, 1, '98%', ''), (2, 2, '천일염', ''), (2, 3, '응고제', '염화마그네슘'), (3, 0, '소맥분', '밀:미국산'), (3, 1, '변성전분', ''), (3, 2, '면류첨가알칼리제', '산도조절제')) t(id, place, name, subs)")
 def ingredient_tree(spark, d):
     tree = labels(spark).select(F.col("id").cast("int").alias("id"), F.posexplode(P.parse_ingredient_tree(E.ingredient_section(F.col("label")))).alias("place", "item"))
     return tree.select("id", "place", "item.name", F.array_join(F.transform("item.sub_ingredients", lambda s: s["name"]), "|").alias("subs"))
@@ -287,19 +287,19 @@ def additives_all(spark, d):
     return rows.select("id", "a.name", "a.category", "a.match_type")
 
 
-@query("ingredient_explode", "SELECT * FROM (VALUES (2, '대두'), (2, '국산'), (2, '98%'), (2, '천일염'), (2, '응고제'), (2, '염화마그네슘'), (3, '소맥분'), (3, '밀:미국산'), (3, '변성전분'), (3, '면류첨가알칼리제'), (3, '산도조절제')) t(id, name)")
+@golden("ingredient_explode", "SELECT * FROM (VALUES (2, '대두'), (2, '국산'), (2, '98%'), (2, '천일염'), (2, '응고제'), (2, '염화마그네슘'), (3, '소맥분'), (3, '밀:미국산'), (3, '변성전분'), (3, '면류첨가알칼리제'), (3, '산도조절제')) t(id, name)")
 def ingredient_explode(spark, d):
     rows = labels(spark).where("id IN (2, 3)").select(F.col("id").cast("int").alias("id"), P.parse_ingredient_tree(E.ingredient_section(F.col("label"))).alias("tree"))
     return rows.select("id", F.explode(P.ingredient_names(F.col("tree"))).alias("name"))
 
 
-@query("additive_identify", "SELECT * FROM (VALUES (1, '비타민', 'vitamin', 'partial(sub)'), (1, '탄산칼슘', 'mineral', 'exact(sub)'), (1, '구연산', 'acid', 'detail_scan'), (2, '염화마그네슘', 'coagulant', 'detail_scan'), (3, '산도조절제', 'acid', 'detail_scan')) t(id, name, category, match_type)")
+@golden("additive_identify", "SELECT * FROM (VALUES (1, '비타민', 'vitamin', 'partial(sub)'), (1, '탄산칼슘', 'mineral', 'exact(sub)'), (1, '구연산', 'acid', 'detail_scan'), (2, '염화마그네슘', 'coagulant', 'detail_scan'), (3, '산도조절제', 'acid', 'detail_scan')) t(id, name, category, match_type)")
 def additive_identify(spark, d):
     found = labels(spark).select(F.col("id").cast("int").alias("id"), F.explode(P.identify_additives(DICTIONARY)(E.ingredient_section(F.col("label")))).alias("a"))
     return found.select("id", "a.name", "a.category", "a.match_type")
 
 
-@query("allergen_groups", "SELECT * FROM (VALUES (1, '밀'), (2, '대두'), (3, '밀'), (4, ''), (5, '')) t(id, allergens)")
+@golden("allergen_groups", "SELECT * FROM (VALUES (1, '밀'), (2, '대두'), (3, '밀'), (4, ''), (5, '')) t(id, allergens)")
 def allergen_groups(spark, d):
     return labels(spark).select(F.col("id").cast("int").alias("id"), F.array_join(E.allergens(F.col("label")), ",").alias("allergens"))
 
