@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelmill.functions import extract, normalize
 from labelmill.functions import similarity as S
 from labelmill.operators import dedup, link, matching
+from labelmill.session import materialize
 
 LOOSE, MAKER_PASS = 0.85, 0.5
 
@@ -47,16 +48,22 @@ def official_names(products: DataFrame, reports: DataFrame) -> DataFrame:
     return products.select("product_id", "report_no").join(last, "report_no").select("product_id", "official_name")
 
 
-def _candidates(left: DataFrame, facts: DataFrame, threshold: float, block: bool) -> DataFrame:
-    a = left.select("product_id", F.col("deep_name").alias("txt"), F.col("maker_key"))
-    b = facts.select("fact_id", F.col("deep_name").alias("txt"), F.col("maker_key"))
-    names = [df.select("txt", *(["maker_key"] if block else [])).where("txt != ''").distinct() for df in (a, b)]
-    keys = [df.withColumn(k, F.struct(*df.columns)) for df, k in zip(names, ("left_name", "right_name"))]
-    pairs = link.trigram_join(keys[0], keys[1], "left_name", "right_name", "txt", threshold, block="maker_key" if block else None)
-    cols = ["txt", "maker_key"] if block else ["txt"]
-    left_of = a.withColumn("left_name", F.struct(*cols)).select("product_id", "left_name")
-    right_of = b.withColumn("right_name", F.struct(*cols)).select("fact_id", "right_name")
-    return pairs.join(left_of, "left_name").join(right_of, "right_name").select("product_id", "fact_id", "sim", F.length(F.col("left_name.txt")).alias("name_length"))
+def _nearest(wanted: DataFrame, facts: DataFrame, cols: list[str], threshold: float, n: int, short: Column | None = None) -> DataFrame:
+    """(cols, fact_id, fu, sim, rank): for each text of ``wanted`` the n most similar facts, inside a maker if cols name one.
+
+    Facts of one text are equally similar to all others, so only the n smallest ids of each can be among the n best.
+    """
+    names = [df.select(*cols).where("txt != ''").distinct() for df in (wanted, facts)]
+    if len(cols) > 1:
+        # A text is compared once, however many makers have it.
+        names = [df.where(F.col(cols[1]).isNotNull()) for df in names]
+    texts = [df.select("txt").distinct().withColumn(k, F.col("txt")) for df, k in zip(names, ("txt_l", "txt_r"))]
+    pairs = link.trigram_join(texts[0], texts[1], "txt_l", "txt_r", "txt", threshold)
+    if short is not None:
+        pairs = pairs.where(F.col("sim") >= short)
+    some = dedup.first_per_group(facts.where("txt != ''"), cols, [F.col("fact_id")], n).select(F.col("txt").alias("txt_r"), *cols[1:], "fact_id", "fu")
+    near = names[0].join(materialize(pairs, "pairs"), F.col("txt") == F.col("txt_l")).join(some, ["txt_r", *cols[1:]])
+    return dedup.first_per_group(near.select(*cols, "fact_id", "fu", "sim"), cols, [F.col("sim").desc(), F.col("fact_id")], n)
 
 
 def match_facts(products: DataFrame, facts: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,21 +73,32 @@ def match_facts(products: DataFrame, facts: DataFrame, reports: DataFrame) -> tu
     Pass 1 compares deep names inside a maker, by a threshold for their length; pass 2 does the same
     with the official name where it differs; pass 3 takes any maker at 0.85. In each pass the best
     three are tried and pairs of different unit families are rejected; the first pass that yields
-    a match wins.
+    a match wins. Products of the same normal forms are looked up once for all of them.
     """
-    deep = lambda df, c: df.withColumns({"deep_name": normalize.deep(F.col(c)), "maker_key": F.nullif(normalize.maker(F.col("maker")), F.lit(""))})
-    p, f = deep(products, "product_name"), deep(facts, "product_name")
-    official = products.join(official_names(products, reports), "product_id").where(normalize.deep(F.col("official_name")) != normalize.deep(F.col("product_name")))
-    o = deep(official, "official_name")
-    units = [df.select(k, extract.unit_family(F.col("product_name")).alias(u)) for df, k, u in ((products, "product_id", "pu"), (facts, "fact_id", "fu"))]
-    keep = ~F.coalesce(F.col("pu") != F.col("fu"), F.lit(False))
-    short = F.when(F.col("name_length") <= 5, F.lit(0.8)).otherwise(F.lit(0.7))
+    forms = {"txt": normalize.deep(F.col("product_name")), "maker_key": F.nullif(normalize.maker(F.col("maker")), F.lit(""))}
+    f = materialize(facts.select("fact_id", *(c.alias(k) for k, c in forms.items()), extract.unit_family(F.col("product_name")).alias("fu")), "facts")
+    named = products.join(official_names(products, reports).withColumnRenamed("product_id", "named_id"), F.col("product_id") == F.col("named_id"), "left")
+    p = named.select("product_id", *(c.alias(k) for k, c in forms.items()), normalize.deep(F.col("official_name")).alias("official"), extract.unit_family(F.col("product_name")).alias("pu"))
+    p = p.withColumn("official", F.when(F.col("official") != F.col("txt"), F.col("official")).otherwise(""))
+    # All that a product's matches depend on; '' stands for what it lacks and matches nothing.
+    keys = ["txt", "maker_key", "official", "pu"]
+    p = materialize(p.select("product_id", *(F.coalesce(k, F.lit("")).alias(k) for k in keys)), "products")
+    kinds = materialize(p.select(*keys).distinct(), "kinds")
+    w = kinds.withColumn("maker_key", F.nullif("maker_key", F.lit("")))
+    short = F.when(F.length("txt_l") <= 5, F.lit(0.8)).otherwise(F.lit(0.7))
     order = [F.col("sim").desc(), F.col("fact_id")]
-    passes = [_candidates(p, f, 0.7, True).where(F.col("sim") >= short), _candidates(o, f, 0.7, True).where(F.col("sim") >= short), _candidates(p, f, LOOSE, False)]
-    passes = [c.drop("name_length").join(units[0], "product_id").join(units[1], "fact_id") for c in passes]
-    tops = [dedup.first_per_group(c, ["product_id"], order, n, "rank") for c, n in zip(passes, (3, 3, 1))]
-    best = link.cascade([t.where(keep).select("product_id", "fact_id", "sim") for t in tops], "product_id", order)
-    rejected = tops[0].unionByName(tops[1]).unionByName(tops[2]).where(~keep).select("product_id", "fact_id", "sim").distinct()
+    inside = ["txt", "maker_key"]
+    near = [_nearest(w, f, inside, 0.7, 3, short), _nearest(w.select(F.col("official").alias("txt"), "maker_key"), f, inside, 0.7, 3, short), _nearest(w, f, ["txt"], LOOSE, 1)]
+    near[1] = near[1].withColumnRenamed("txt", "official")
+    tops = [kinds.join(x, on).withColumn("fu", F.coalesce("fu", F.lit(""))) for x, on in zip(near, (inside, ["official", "maker_key"], ["txt"]))]
+    tops = [materialize(t.select(*keys, "fact_id", "sim", "fu"), "tops") for t in tops]
+    clash = (F.col("pu") != "") & (F.col("fu") != "") & (F.col("pu") != F.col("fu"))
+    kind = F.struct(*keys)
+    best = link.cascade([t.where(~clash).select(kind.alias("kind"), "fact_id", "sim") for t in tops], "kind", order)
+    one = p.select("product_id", kind.alias("kind"))
+    best = materialize(dedup.first_per_group(one.join(best, "kind"), ["product_id"], [F.col("pass_no"), *order]).select("product_id", "fact_id", "sim", "pass_no"), "best")
+    refused = tops[0].unionByName(tops[1]).unionByName(tops[2]).where(clash).select(kind.alias("kind"), "fact_id", "sim").distinct()
+    rejected = one.join(refused, "kind").select("product_id", "fact_id", "sim").distinct()
     decisions = best.select("product_id", "fact_id", F.lit("matched").alias("status"), F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("product_id", "fact_id", F.lit("rejected").alias("status"), F.lit("unit_mismatch").alias("reason")))
     return best, decisions
 

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from labelmill.functions import extract, normalize
+from labelmill.operators import dedup, enrich, link
 from labelmill.plans import QUERIES
 from labelmill.plans.scoring import _both_sides
 from tests.test_operators import greedy
@@ -115,3 +116,27 @@ def test_ingredient_passes(spark):
                 break
     got = QUERIES["match_ingredients_all"](spark, DATA).collect()
     assert sorted((r.product_id, r.report_no, r.pass_no) for r in got) == sorted(want) and len(want) > 100
+
+
+def most_ranked(monkeypatch):
+    """The numbers of rows that are ranked from here on."""
+    counts = []
+
+    def counted(df, *a, f=dedup.first_per_group, **b):
+        counts.append(df.count())
+        return f(df, *a, **b)
+
+    monkeypatch.setattr(dedup, "first_per_group", counted)
+    monkeypatch.setattr(link, "first_per_group", counted)
+    return counts
+
+
+def test_many_products_and_facts_of_one_name(spark, monkeypatch):
+    counts = most_ranked(monkeypatch)
+    products = spark.range(400).select(F.col("id").alias("product_id"), F.lit("R").alias("report_no"), F.lit("현미 누룽지 과자").alias("product_name"), F.lit("두레").alias("maker"))
+    facts = spark.range(400).select((F.col("id") + 1000).alias("fact_id"), F.lit("현미누룽지과자").alias("product_name"), F.lit("두레").alias("maker"))
+    reports = spark.createDataFrame([(1, "R", "다른 이름")], "id int, report_no string, name string")
+    best, decisions = enrich.match_facts(products, facts, reports)
+    assert {(r.product_id, r.fact_id, r.pass_no) for r in best.collect()} == {(k, 1000, 1) for k in range(400)}
+    assert decisions.count() == 400
+    assert max(counts) <= 400
