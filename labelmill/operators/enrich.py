@@ -111,21 +111,34 @@ def match_ingredients(products: DataFrame, staged: DataFrame, loose: bool = Fals
     the same, shortest staged name first among ten; pass 2: similar by 0.5 and the same maker,
     best of five; pass 3, if asked for, similar by 0.6 whatever the maker (5 characters or more).
     """
-    p = products.select("product_id", F.trim("product_name").alias("pn"), normalize.maker(F.col("maker")).alias("pm"))
-    s = staged.select("report_no", F.trim("name").alias("sn"), normalize.maker(F.col("maker")).alias("sm"))
+    p = materialize(products.select("product_id", F.trim("product_name").alias("pn"), normalize.maker(F.col("maker")).alias("pm")), "products")
+    s = materialize(staged.select("report_no", F.trim("name").alias("sn"), normalize.maker(F.col("maker")).alias("sm")), "staged")
+    # What is tried depends on a product's name alone, what is kept on its maker too; each is found once.
+    names, kinds = p.select("pn").where("pn IS NOT NULL").distinct(), p.select("pn", "pm").distinct()
     same = S.same_maker(F.col("pm"), F.col("sm"))
-    inside = link.substring_join(p, s, "pn", "sn", shortest=3)
-    one = p.join(inside, "pn").join(s, "sn").withColumn("sim", F.lit(1.0))
-    passes = [link.top_then_filter(one, "product_id", [F.length("sn"), F.col("sn"), F.col("report_no")], same, 10)]
-    distinct = [df.select(F.col(c).alias("txt")).distinct().withColumn(c, F.col("txt")) for df, c in ((p.where(F.length("pn") >= 3), "pn"), (s, "sn"))]
-    # Each staged name has a row at least, so the best five rows are those of the best five names at most.
-    near = p.join(link.top_k_join(distinct[0], distinct[1], "pn", "sn", "txt", 5, MAKER_PASS, gram=S.word_trigrams), "pn").join(s, "sn")
     order = [F.col("sim").desc(), F.col("sn"), F.col("report_no")]
-    passes.append(link.top_then_filter(near, "product_id", order, same, 5))
+
+    def tried(pairs: DataFrame, order: list[Column], n: int) -> DataFrame:
+        """The first n staged rows of each pn by its pairs (pn, sn, sim); of rows of one name only the first n can be among them."""
+        rows = dedup.first_per_group(s.where("sn IS NOT NULL"), ["sn"], [F.col("report_no")], n).drop("rank")
+        return materialize(dedup.first_per_group(pairs.join(rows, "sn"), ["pn"], order, n, "candidate_rank"), "tried")
+
+    def kept(rows: DataFrame, keep: Column) -> DataFrame:
+        """The first of the tried rows that passes, for each name and maker."""
+        some = kinds.join(rows, "pn").where(keep).withColumn("kind", F.struct("pn", "pm"))
+        return dedup.first_per_group(some, ["kind"], [F.col("candidate_rank")]).select("kind", "report_no", "sim")
+
+    inside = link.substring_join(names, s, "pn", "sn", shortest=3).withColumn("sim", F.lit(1.0))
+    passes = [kept(tried(inside, [F.length("sn"), F.col("sn"), F.col("report_no")], 10), same)]
+    distinct = [df.select(F.col(c).alias("txt")).distinct().withColumn(c, F.col("txt")) for df, c in ((names.where(F.length("pn") >= 3), "pn"), (s, "sn"))]
+    # Each staged name has a row at least, so the best five rows are those of the best five names at most.
+    near = tried(link.top_k_join(distinct[0], distinct[1], "pn", "sn", "txt", 5, MAKER_PASS, gram=S.word_trigrams), order, 5)
+    passes.append(kept(near, same))
     if loose:
-        passes.append(link.top_then_filter(near.where((F.col("sim") >= 0.6) & (F.length("pn") >= 5)), "product_id", order, F.lit(True), 1))
-    columns = ["product_id", "report_no", "sim", "sn"]
-    return link.cascade([x.select(*columns) for x in passes[:max_pass]], "product_id", [F.col("report_no")]).drop("sn")
+        passes.append(kept(near, (F.col("candidate_rank") == 1) & (F.col("sim") >= 0.6) & (F.length("pn") >= 5)))
+    best = link.cascade(passes[:max_pass], "kind", [F.col("report_no")])
+    found = p.where("pn IS NOT NULL").select("product_id", F.struct("pn", "pm").alias("kind")).join(best, "kind").drop("kind")
+    return dedup.first_per_group(found, ["product_id"], [F.col("pass_no"), F.col("report_no")]).select("product_id", "report_no", "sim", "pass_no")
 
 
 def substring_facts(products: DataFrame, facts: DataFrame) -> DataFrame:

@@ -140,3 +140,12 @@ def test_many_products_and_facts_of_one_name(spark, monkeypatch):
     assert {(r.product_id, r.fact_id, r.pass_no) for r in best.collect()} == {(k, 1000, 1) for k in range(400)}
     assert decisions.count() == 400
     assert max(counts) <= 400
+
+
+def test_many_products_and_lists_of_one_name(spark, monkeypatch):
+    counts = most_ranked(monkeypatch)
+    products = spark.range(400).select(F.col("id").alias("product_id"), F.when(F.col("id") > 0, "현미 누룽지 과자").alias("product_name"), F.lit("두레").alias("maker"))
+    staged = spark.range(400).select(F.format_string("%03d", "id").alias("report_no"), F.lit("현미 누룽지 과자 둘").alias("name"), F.when(F.col("id") % 8 == 7, "두레").otherwise("다른곳").alias("maker"))
+    got = enrich.match_ingredients(products, staged, loose=True).collect()
+    assert {(r.product_id, r.report_no, r.sim, r.pass_no) for r in got} == {(k, "007", 1.0, 1) for k in range(1, 400)}
+    assert max(counts) <= 400
