@@ -41,3 +41,7 @@ def test_exact_sum_of_odd_values(spark):
     rows = [("a", 0.1)] * 10 + [("b", 1e300), ("b", 1.0), ("c", float("nan")), ("c", 1.0), ("d", float("inf")), ("d", None), ("e", None), ("f", -0.3), ("f", None)]
     got = spark.createDataFrame(rows, "k string, v double").groupBy("k").agg(exact_sum(F.col("v")).alias("s"))
     assert {r.k: str(r.s) for r in got.collect()} == {"a": "1.0", "b": "1e+300", "c": "nan", "d": "inf", "e": "None", "f": "-0.3"}
+
+
+def test_share_of_calories_at_a_rounding_edge(spark, data):
+    assert QUERIES["traffic_light_positive"](spark, data).first().calories_pct_dv == 0.1
