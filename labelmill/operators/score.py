@@ -202,23 +202,41 @@ def text_card(warnings: Column | None = None) -> Column:
 
 def sanity_warnings(serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> Column:
     """Array of (nutrient, value, bound, kind) of what can't be right in one row's facts."""
-    return F.array_compact(F.array(*(F.when(c, w) for c, w in _checks(serving, nutrients, carbs, total_content))))
+    return F.array_compact(F.array(*(F.when(c, w) for c, w, _ in _checks(serving, nutrients, carbs, total_content))))
 
 
 def warning_rows(df: DataFrame, keep: list[str], serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> DataFrame:
     """A row (keep, w) for each warning: the same as exploding ``sanity_warnings``, without building arrays to keep."""
     checks = _checks(serving, nutrients, carbs, total_content)
     # Rows without any warning go before arrays are built, and only what was found is exploded.
-    some = df.where(reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c, _ in checks)))
-    return some.select(*keep, F.explode(F.array_compact(F.array(*(F.when(c, w) for c, w in checks)))).alias("w"))
+    some = df.where(reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c, _, _ in checks)))
+    return some.select(*keep, F.explode(F.array_compact(F.array(*(F.when(c, w) for c, w, _ in checks)))).alias("w"))
 
 
-def _checks(serving: Column, nutrients: dict[str, Column], carbs: Column | None, total_content: Column | None) -> list[tuple[Column, Column]]:
-    """Each check: whether it fails, and the struct that says so."""
+def warning_counts(df: DataFrame, key: str, serving: Column, nutrients: dict[str, Column], carbs: Column | None = None, total_content: Column | None = None) -> DataFrame:
+    """(nutrient, kind, n, n_keys) of all warnings: how many there are, and under how many values of ``key``; null is none.
+
+    What a row fails is a bit mask, so that rows and keys are counted by mask and only few masks are exploded.
+    """
+    # Columns of their own, so that what several checks use is worked out, and compiled, once.
+    given = {"k": F.col(key), "serving": serving, "carbs": carbs, "total": total_content, **{f"of_{n}": c for n, c in nutrients.items()}}
+    given = df.select(*(c.alias(n) for n, c in given.items() if c is not None))
+    checks = _checks(F.col("serving"), {n: F.col(f"of_{n}") for n in nutrients}, None if carbs is None else F.col("carbs"), None if total_content is None else F.col("total"))
+    mask = reduce(lambda a, b: a + b, (F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, (c, _, _) in enumerate(checks)))
+    masks = given.select("k", mask.cast("long").alias("mask"))
+    rows = masks.groupBy("mask").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("n_keys"))
+    keys = masks.groupBy("k").agg(F.bit_or("mask").alias("mask")).where("k IS NOT NULL").groupBy("mask").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("n_keys"))
+    said = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("bit"), F.lit(n).alias("nutrient"), F.lit(kind).alias("kind")) for k, (_, _, (n, kind)) in enumerate(checks)))
+    each = rows.unionByName(keys).select("n", "n_keys", F.explode(F.filter(said, lambda x: F.col("mask").bitwiseAND(x["bit"]) != 0)).alias("w"))
+    return each.groupBy("w.nutrient", "w.kind").agg(F.sum("n").alias("n"), F.sum("n_keys").alias("n_keys"))
+
+
+def _checks(serving: Column, nutrients: dict[str, Column], carbs: Column | None, total_content: Column | None) -> list[tuple[Column, Column, tuple[str, str]]]:
+    """Each check: whether it fails, the struct that says so, and the nutrient and kind in it."""
     nothing = F.lit(None).cast("double")
 
-    def warn(cond: Column, nutrient: str, value: Column, bound: Column, kind: str) -> tuple[Column, Column]:
-        return cond, F.struct(F.lit(nutrient).alias("nutrient"), value.cast("double").alias("value"), bound.cast("double").alias("bound"), F.lit(kind).alias("kind"))
+    def warn(cond: Column, nutrient: str, value: Column, bound: Column, kind: str) -> tuple[Column, Column, tuple[str, str]]:
+        return cond, F.struct(F.lit(nutrient).alias("nutrient"), value.cast("double").alias("value"), bound.cast("double").alias("bound"), F.lit(kind).alias("kind")), (nutrient, kind)
 
     found = []
     for n, (most, most_100) in R.SANITY_LIMITS.items():

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from labelmill.operators import score
 from labelmill.plans import QUERIES
 from labelmill.plans.scoring import exact_sum
 
@@ -45,3 +46,15 @@ def test_exact_sum_of_odd_values(spark):
 
 def test_share_of_calories_at_a_rounding_edge(spark, data):
     assert QUERIES["traffic_light_positive"](spark, data).first().calories_pct_dv == 0.1
+
+
+def test_warnings_are_counted_without_being_exploded(spark):
+    rows = [(1, 10.0, -5.0, 20.0, 3.0), (1, 10.0, 3000.0, 1.0, 3.0), (2, 0.0, 950.0, 40.0, 50.0), (None, 5.0, -1.0, 1.0, 2.0), (3, None, None, None, None), (4, 100.0, 40.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, s double, calories double, sat_fat double, total_fat double")
+    nutrients = {n: F.col(n) for n in ("calories", "sat_fat", "total_fat")}
+    got = score.warning_counts(df, "k", F.col("s"), nutrients, carbs=F.col("s") * 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    want = score.warning_rows(df, ["k"], F.col("s"), nutrients, carbs=F.col("s") * 2).groupBy("w.nutrient", "w.kind").agg(F.count("*").alias("n"), F.countDistinct("k").alias("n_keys"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 4
+    # Each is exploded after rows and keys are counted by what they fail.
+    assert plan.count("Generate") == plan[: plan.index("Aggregate", plan.index("Union"))].count("Generate")
