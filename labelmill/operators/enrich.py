@@ -152,9 +152,13 @@ def substring_facts(products: DataFrame, facts: DataFrame) -> DataFrame:
     named = facts.select(F.col("fact_id").cast("long").alias("fact_id"), food.alias("food")).where("food != '' AND fact_id IS NOT NULL")
     blocks = named.groupBy("food").agg(F.min("fact_id").alias("block"))
     held = products.select(F.col("product_id").cast("long").alias("right"), name.alias("held")).where("held IS NOT NULL AND right IS NOT NULL")
-    pairs = link.substring_join(blocks, held, "food", "held")
-    lists = pairs.join(blocks, "food").join(held, "held").select("block", "right", F.lit(1.0).alias("score"))
-    found = matching.match_blocks(named.join(blocks, "food").select("block", F.col("fact_id").alias("left")), lists.distinct())
+    blocks = materialize(blocks, "blocks")
+    # Products of one name (or set of names, if an id repeats) are a class: which of them a food takes first is a matter of their ids alone.
+    rights = held.groupBy("right").agg(F.array_sort(F.collect_set("held")).alias("names"))
+    groups = materialize(rights.groupBy("names").agg(F.min("right").alias("group")), "groups")
+    known = groups.select("group", F.explode("names").alias("held"))
+    lists = link.substring_join(blocks, known, "food", "held").join(blocks, "food").join(known, "held").select("block", "group", F.lit(1.0).alias("score")).distinct()
+    found = matching.match_classes(named.join(blocks, "food").select("block", F.col("fact_id").alias("left")), rights.join(groups, "names").select("group", "right"), lists)
     return found.select(F.col("left").cast(facts.schema["fact_id"].dataType).alias("fact_id"), F.col("right").cast(products.schema["product_id"].dataType).alias("product_id"))
 
 

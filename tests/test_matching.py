@@ -86,3 +86,25 @@ def test_facts_of_equal_and_nested_names(spark):
 def test_null_ids_and_empty_tables(spark):
     edges = spark.createDataFrame([(1, 1, None), (None, 1, 1.0), (2, None, 1.0)], "l int, r long, s double")
     assert link.exclusive_match(edges, "l", "r", "s").collect() == [] == link.exclusive_match(edges.limit(0), "l", "r", "s", 0).collect()
+
+
+@pytest.mark.parametrize("settled", [0, 10**6])
+def test_classes_of_right_rows(spark, settled):
+    rng = random.Random(5)
+    members = [(rng.randrange(8) * 10, left) for left in range(60)]
+    rights = [(rng.randrange(100, 112), right) for right in range(500, 550)]
+    lists = [(b * 10, g, rng.randint(1, 3) / 4) for b in range(8) for g in range(100, 112) if rng.random() < 0.3]
+    dfs = [spark.createDataFrame(rows, schema) for rows, schema in ((members, "block long, left long"), (rights, "`group` long, right long"), (lists, "block long, `group` long, score double"))]
+    got = matching.match_classes(*dfs, settled).collect()
+    edges = [(left, right, s) for b, g, s in lists for x, left in members if x == b for y, right in rights if y == g]
+    assert sorted((r.left, r.right) for r in got) == greedy(edges) and len(got) > 20
+    scores = {(a, b): s for a, b, s in edges}
+    assert all(scores[r.left, r.right] == r.score for r in got)
+
+
+def test_facts_of_one_name_make_no_row_for_each_product(spark, monkeypatch):
+    monkeypatch.setattr(matching, "match_blocks", None)
+    products = [(k, f"apple {k % 3}") for k in range(60)] + [(0, "Apple tea"), (60, "tea")]
+    facts = [(100 + k, ("apple", "tea", "apple 1", "le 2")[k % 4]) for k in range(90)]
+    got = enrich.substring_facts(spark.createDataFrame(products, "product_id int, product_name string"), spark.createDataFrame(facts, "fact_id int, food_name string"))
+    assert sorted((r.fact_id, r.product_id) for r in got.collect()) == plain_substrings(products, facts)
