@@ -149,3 +149,12 @@ def test_many_products_and_lists_of_one_name(spark, monkeypatch):
     got = enrich.match_ingredients(products, staged, loose=True).collect()
     assert {(r.product_id, r.report_no, r.sim, r.pass_no) for r in got} == {(k, "007", 1.0, 1) for k in range(1, 400)}
     assert max(counts) <= 400
+
+
+def test_many_facts_of_one_normal_name(spark, monkeypatch):
+    counts = most_ranked(monkeypatch)
+    rows = lambda key, start: spark.range(start, start + 200).select(F.col("id").alias(key), F.lit("현미누룽지과자").alias("normalized_name"), F.lit("두레").alias("normalized_maker"), F.concat(F.lit("현미 누룽지 과자 "), F.col("id").cast("string")).alias("product_name"))
+    matches, decisions = link.fuzzy_facts(rows("product_id", 0), rows("fact_id", 1000))
+    assert sorted((r.fact_id, r.product_id) for r in matches.collect()) == [(1000, 0), (1001, 1), (1002, 2)]
+    assert decisions.count() == 200
+    assert max(counts) <= 200
