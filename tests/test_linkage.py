@@ -1,11 +1,14 @@
 """Linkage over all parts, which has no SQL, against plain loops over all pairs."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelmill.functions import extract, normalize
-from labelmill.operators import dedup, enrich, link
+from labelmill.functions import similarity as S
+from labelmill.operators import dedup, enrich, link, matching
 from labelmill.plans import QUERIES
 from labelmill.plans.scoring import _both_sides
 from tests.test_operators import greedy
@@ -158,3 +161,34 @@ def test_many_facts_of_one_normal_name(spark, monkeypatch):
     assert sorted((r.fact_id, r.product_id) for r in matches.collect()) == [(1000, 0), (1001, 1), (1002, 2)]
     assert decisions.count() == 200
     assert max(counts) <= 200
+
+
+def test_merge_lists_no_pairs_of_rows(spark, monkeypatch):
+    """Every product's maker is alike to every fact's, so all pairs of rows reach the score."""
+    for place in (link, matching):
+        monkeypatch.setattr(place, "match_blocks", None)
+    rows = lambda key, start: spark.range(start, start + 300).select(F.col("id").alias(key), F.lit("현미 누룽지 과자").alias("product_name"), F.concat(F.lit("두레식품 제조"), F.col("id") % 3).alias("manufacturer"))
+    got = link.merge_datasets(rows("left_id", 0), rows("right_id", 300), 0.8).collect()
+    assert {(r.left_id, r.right_id, r.score) for r in got} == {(k, k + 300, 1.0) for k in range(300)}
+
+
+@pytest.mark.parametrize("least, settled", [(0.8, None), (0.5, None), (0.5, 0)])
+def test_merge_against_a_loop_over_all_pairs(spark, monkeypatch, least, settled):
+    rng = random.Random(5)
+    name = lambda: rng.choice([None, "", *(f"{a}{b}{c}" for a in ("", "[특가] ") for b in ("쌀 과자", "쌀 과자 둘", "현미 누룽지 과자") for c in ("", " 120g", " 500ml"))])
+    maker = lambda: rng.choice([None, "", "가", "나", "가나", "(주)가나식품", "가나식품 둘", "다라", "㈜다라상회", "Brand#1", "Brand#12"])
+    left = spark.createDataFrame([(k, name(), maker()) for k in rng.sample(range(-40, 400), 90)] + [(None, "쌀 과자", "가")], "left_id int, product_name string, manufacturer string")
+    # Some facts have two names or makers.
+    right = spark.createDataFrame([(rng.randrange(70), name(), maker()) for _ in range(90)] + [(None, "쌀 과자", "가")], "right_id long, product_name string, manufacturer string")
+    sides = [df.selectExpr(f"{k} AS {x}", f"product_name AS n{x}", f"manufacturer AS m{x}") for df, k, x in ((left, "left_id", "a"), (right, "right_id", "b"))]
+    edges = sides[0].crossJoin(sides[1]).where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", S.composite(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb")).alias("s")).where(F.col("s") >= least)
+    best = {}
+    for r in edges.collect():
+        best[r.a, r.b] = max(r.s, best.get((r.a, r.b), 0))
+    want = greedy([(a, b, s) for (a, b), s in best.items()])
+    if settled is not None:
+        monkeypatch.setattr(link, "match_composite", lambda *a, f=matching.match_composite: f(*a, settled=settled))
+    got = link.merge_datasets(left, right, least)
+    assert got.dtypes == [("left_id", "int"), ("right_id", "bigint"), ("score", "double")]
+    assert sorted((r.left_id, r.right_id) for r in got.collect()) == sorted(want) and len(want) > 30
+    assert all(r.score == best[r.left_id, r.right_id] for r in got.collect())
