@@ -21,6 +21,8 @@ A link of exactly the threshold 0.75 shares no band with a probability of 5e-6.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -151,46 +153,57 @@ def alike(a: str, b: str, n_a: str, n_b: str, threshold: int) -> Column:
     return sizes & (sketch_distance(a, b) <= sketch_limit(F.col(n_a).cast("double"), F.col(n_b).cast("double"), threshold))
 
 
-def sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that may reach the threshold by their sketches."""
-    sides = [sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(alike("sketch_a", "sketch_b", "n_a", "n_b", threshold)).select("a", "b")
-
-
 def _places(c: Column) -> tuple[Column, Column]:
     """Which number of the bitmap an id's bit stands in, and the bit."""
     place = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     return F.shiftright(place, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
 
 
-def texts_of(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """(rep, text) of the docs whose doc_id is among ids (rep), and of few others; and what its tasks look ids up in.
+def among(ids: DataFrame) -> tuple[Callable[[str], Column], Broadcast]:
+    """What tells of a column of longs whether it is among ids (one column, id) or few others, and what its tasks look ids up in.
 
     Ids make a bitmap by hash, of FILTER_BITS whatever their number: it reaches the driver as at most a 64th of
-    that in numbers, and each executor as one broadcast. With very many ids it lets more through. So texts that
-    are compared with none never leave the scan.
+    that in numbers, and each executor as one broadcast. With very many ids it lets more through. So rows that
+    a join would drop don't leave the scan, however large both of its sides are.
     """
-    word, bit = _places(F.col("rep"))
+    word, bit = _places(F.col("id"))
     found = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = ids.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
-    def among(word: pd.Series, bit: pd.Series) -> pd.Series:
+    def held(word: pd.Series, bit: pd.Series) -> pd.Series:
         return pd.Series((sent.value[word.to_numpy()] & bit.to_numpy()) != 0)
 
+    return lambda c: held(*_places(F.col(c))), sent
+
+
+def sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold by their sketches, as a table; other sketches stay where they are."""
+    pairs = materialize(pairs, "compared")
+    held, sent = among(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    wanted = sketches.where(held("rep"))
+    sides = [wanted.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"]
+    near = materialize(pairs.join(sides[0], "a").join(sides[1], "b").where(alike("sketch_a", "sketch_b", "n_a", "n_b", threshold)).select("a", "b"), "near")
+    sent.destroy()
+    release(pairs)
+    return near
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(rep, text) of the docs whose doc_id is among ids (rep), and of few others; and what its tasks look ids up in."""
+    held, sent = among(ids.select(F.col("rep").alias("id")))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return texts.where(among(*_places(F.col("rep")))), sent
+    return texts.where(held("rep")), sent
 
 
 def verified(near: DataFrame, docs: DataFrame, threshold: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold, a percentage.
+    """The pairs (a, b) of a table, which is released, whose shingle sets reach the threshold, a percentage.
 
     Partners b of one a are dealt out in blocks; in each block the text of a comes first and
     then those of its partners, so a text that many are compared with moves once for a block.
     """
-    near = materialize(near, "near")
     many = materialize(near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "partners")
     pairs = materialize(near.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "pairs")
     # The hub's row has no b and so comes first; one join brings the texts of both kinds of row.
@@ -264,7 +277,10 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     sketches = classes.select("rep", "sketch", "n")
     member = classes.select(F.explode("bands").alias("key"), "rep")
     sizes = materialize(member.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "members"), "sizes")
-    bands = materialize(member.join(sizes, "key").select("key", "rep", F.col("rep").alias("component"), "members"), "bands")
+    # Most keys are one document's own; they are left in the scan.
+    held, sent = among(sizes.select(F.col("key").alias("id")))
+    bands = materialize(member.where(held("key")).join(sizes, "key").select("key", "rep", F.col("rep").alias("component"), "members"), "bands")
+    sent.destroy()
     # In the first turn the hub is the member that meets most others in all its buckets, later another one each time.
     meets = bands.groupBy("rep").agg(F.sum("members").alias("meets"))
     rows = with_hubs(bands, -F.col("meets"), bands.join(meets, "rep"))
@@ -288,7 +304,7 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
     first_shared = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.array_position("bands", F.col("key"))
     differ = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
     pairs = rows.join(other, ["key", "block"]).where(differ & alike("sketch", "sketch_b", "n", "n_b", threshold) & first_shared)
-    found = verified(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), docs, threshold, size)
+    found = verified(materialize(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), "near"), docs, threshold, size)
     release(rows_left)
     return named, labels if found.isEmpty() else merged(labels, found)
 

@@ -87,3 +87,27 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 60), (60, 70), (5, 5), (None, 3), (1, 0), (200, 300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(51)} | {60: 60, 70: 60, 100: 60, 200: 200, 300: 200}
+
+
+def shuffled_records(spark):
+    """Records that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+
+def test_what_no_join_needs_is_not_shuffled(spark):
+    """Of documents without copies each band key moves once, to be counted, also where Spark broadcasts nothing."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (300, rows[0][1] + " more")], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_records(spark)
+        got = {r.doc_id: r.component_id for r in neardedup.near_duplicates(docs).collect()}
+        moved = sum(n for k, n in shuffled_records(spark).items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {k: k % 300 for k in range(301)}
+    assert 32 * 301 <= moved <= 1.5 * 32 * 301
