@@ -13,7 +13,7 @@ seen through its smallest id. In each bucket of equal band keys one member is th
 document is compared with the hubs that it shares most buckets with, and links join components.
 A bucket whose members are in one component needs nothing more. Where some remain apart, other
 hubs are taken, and at last all pairs of members of different components, with each large
-bucket dealt out in blocks. So each pair of different components that share a bucket is
+bucket dealt out in blocks of which each two meet once. So each pair of different components that share a bucket is
 compared on sketches and, if alike, on sets.
 
 A link of exactly the threshold 0.75 shares no band with a probability of 5e-6.
@@ -22,6 +22,7 @@ A link of exactly the threshold 0.75 shares no band with a probability of 5e-6.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -131,20 +132,20 @@ def sketch_distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def sketch_limit(n_a: Column, n_b: Column, threshold: int) -> Column:
-    """Most bits in which the sketches of two sets at the threshold differ, by DEVIATIONS.
+def sketch_limit(n_a, n_b, threshold: int, exp=F.exp, sqrt=F.sqrt, greatest=F.greatest, least=lambda x, y: F.least(x, F.lit(y))):
+    """Most bits in which the sketches of two sets at the threshold differ, by DEVIATIONS; sizes are columns, or arrays with numpy's functions.
 
     Of the bins that the union fills, the share 1 - J has its least item in one set only. Such
     a bin flips one bit, and one more if the other set has a later item in it.
     """
     j = threshold / 100
     union = (n_a + n_b) / (1 + j)
-    bins = BINS * (1 - F.exp(-union / BINS))
-    second = 1 - F.exp(-F.greatest(n_a, n_b) / BINS)
+    bins = BINS * (1 - exp(-union / BINS))
+    second = 1 - exp(-greatest(n_a, n_b) / BINS)
     flips = (1 - j) * bins * (1 + second)
     spread = bins * j * (1 - j) * (1 - bins / (union + 1)) * (1 + second) ** 2 + (1 - j) * bins * second * (1 - second)
-    slope = F.exp(-2 * flips / SKETCH_BITS)
-    return SKETCH_BITS / 2 * (1 - slope) + DEVIATIONS * F.sqrt(slope**2 * spread + F.least(2 * flips**2 / SKETCH_BITS, F.lit(SKETCH_BITS / 4))) + 3
+    slope = exp(-2 * flips / SKETCH_BITS)
+    return SKETCH_BITS / 2 * (1 - slope) + DEVIATIONS * sqrt(slope**2 * spread + least(2 * flips**2 / SKETCH_BITS, SKETCH_BITS / 4)) + 3
 
 
 def alike(a: str, b: str, n_a: str, n_b: str, threshold: int) -> Column:
@@ -153,6 +154,15 @@ def alike(a: str, b: str, n_a: str, n_b: str, threshold: int) -> Column:
     return sizes & (sketch_distance(a, b) <= sketch_limit(F.col(n_a).cast("double"), F.col(n_b).cast("double"), threshold))
 
 
+def alike_places(p: np.ndarray, q: np.ndarray, sketches: np.ndarray, n: np.ndarray, threshold: int) -> np.ndarray:
+    """Which of the places p and q in arrays of sketches and set sizes are ``alike``."""
+    few, many = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+    found = np.flatnonzero(100 * few >= threshold * many)
+    distance = np.bitwise_count(sketches[p[found]] ^ sketches[q[found]]).sum(axis=1, dtype=np.int64)
+    limit = sketch_limit(few[found].astype(float), many[found].astype(float), threshold, np.exp, np.sqrt, np.maximum, np.minimum)
+    return found[distance <= limit]
+
+
 def _places(c: Column) -> tuple[Column, Column]:
     """Which number of the bitmap an id's bit stands in, and the bit."""
     place = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
@@ -268,23 +278,87 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
     return best.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
 
+def left_pairs(rows: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of different components in one bucket (rows of ``with_hubs``) that may reach the
+    threshold by their sketches, as a table.
+
+    Members are dealt out to their bucket's blocks. Each two blocks, and each block alone, are one group of sorted rows,
+    so a sketch moves once for each block of a bucket; other sketches stay where they are.
+    """
+    keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    held, sent = among(rows.select(F.col("rep").alias("id")))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block, other = F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    dealt = rows.join(sketches.where(held("rep")).join(keys, "rep"), "rep").select("key", "rep", "component", "n", "sketch", "keys", block, other)
+    ends = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("late")
+    groups = dealt.select("key", *ends, "rep", "component", "n", "sketch", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        """Of rows of whole groups: each row is compared with those that stand 1, 2, ... places later in its group."""
+        i, j, late, rep, component, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+        bits = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        p, far, found = np.arange(len(n)), 0, [np.zeros((2, 0), np.int64)]
+        while len(p):
+            far += 1
+            p = p[p + far < len(n)]
+            p = p[group[p] == group[p + far]]
+            q = p + far
+            meet = np.flatnonzero((component[p] != component[q]) & ((i[p] == j[p]) | (late[p] != late[q])))
+            meet = meet[alike_places(p[meet], q[meet], bits, n, threshold)]
+            found.append(np.stack([p[meet], q[meet]]))
+        p, q = np.concatenate(found, axis=1)
+        # A pair that shares several buckets counts in one of them only.
+        own = {k: set(batch.column(8)[k].as_py()) for k in np.unique([p, q]).tolist()}
+        once = np.array([min(own[x] & own[y]) == key for x, y, key in zip(p.tolist(), q.tolist(), batch.column(0).take(pa.array(p)).to_pylist())], bool)
+        p, q = p[once], q[once]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[p], rep[q])), pa.array(np.maximum(rep[p], rep[q]))], names=["a", "b"])
+
+    def work(batches):
+        rest = []
+        for batch in chain(batches, (None,)):
+            rest += [] if batch is None else [batch]
+            if not any(x.num_rows for x in rest):
+                continue
+            rows = pa.concat_batches(rest)
+            places = np.stack([rows.column(k).to_numpy() for k in range(3)])
+            group = np.append(0, np.cumsum((places[:, 1:] != places[:, :-1]).any(axis=0)))
+            # The last group may go on in the next batch.
+            ended = rows.num_rows if batch is None else int(np.searchsorted(group, group[-1]))
+            rest = [rows.slice(ended)]
+            if ended:
+                yield pairs(rows.slice(0, ended), group[:ended])
+
+    near = materialize(groups.mapInArrow(work, "a long, b long"), "near")
+    sent.destroy()
+    return near
+
+
 def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(classes h1, h2, rep), and the components (rep, component) of the representatives that have links."""
+    """The classes (with h1, h2, rep), and the components (rep, component) of the representatives that have links, both as
+    tables. Signatures are released."""
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("first"))
-    classes = materialize(first.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("n"), "first.bands", "first.sketch"), "classes")
-    named = classes.select("h1", "h2", "rep")
+    # A set that no other document has is a class as it stands; only copies, and few others, are brought together.
+    copied = full.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where("rows > 1")
+    held, sent = among(copied.select(F.col("h1").alias("id")))
+    first = full.where(held("h1")).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("first"))
+    single = full.where(~held("h1")).select("h1", "h2", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch")
+    classes = materialize(single.unionByName(first.select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("n"), "first.bands", "first.sketch")), "classes")
+    sent.destroy()
+    release(sigs)
     sketches = classes.select("rep", "sketch", "n")
     member = classes.select(F.explode("bands").alias("key"), "rep")
-    sizes = materialize(member.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "members"), "sizes")
-    # Most keys are one document's own; they are left in the scan.
-    held, sent = among(sizes.select(F.col("key").alias("id")))
-    bands = materialize(member.where(held("key")).join(sizes, "key").select("key", "rep", F.col("rep").alias("component"), "members"), "bands")
+    # Most keys are one document's own. They are told by 48 bits, which is all that moves of a key to be counted, and left in the scan.
+    part = F.shiftrightunsigned("key", 16)
+    held, sent = among(member.groupBy(part.alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    shared = materialize(member.withColumn("part", part).where(held("part")).select("key", "rep"), "shared")
     sent.destroy()
+    sizes = materialize(shared.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "members"), "sizes")
+    bands = materialize(shared.join(sizes, "key").select("key", "rep", F.col("rep").alias("component"), "members"), "bands")
+    release(shared, sizes)
     # In the first turn the hub is the member that meets most others in all its buckets, later another one each time.
     meets = bands.groupBy("rep").agg(F.sum("members").alias("meets"))
     rows = with_hubs(bands, -F.col("meets"), bands.join(meets, "rep"))
-    release(sizes, bands)
+    release(bands)
     labels = classes.select("rep", F.col("rep").alias("component")).limit(0)
     for turn in range(STAR_ROUNDS):
         found, before = verified(sketched(hub_pairs(rows), sketches, threshold), docs, threshold, size), (rows, labels)
@@ -296,17 +370,10 @@ def near_links(sigs: DataFrame, docs: DataFrame, threshold: int, size: int) -> t
         release(found, before[0])
         if rows.isEmpty():
             release(rows)
-            return named, labels
-    rows_left, blocks = rows, F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(classes.select("rep", "sketch", "n", "bands"), "rep").select("key", "rep", "component", "sketch", "n", "bands", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-    other = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch", "n", "bands")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    # A pair that shares several buckets counts in the first of them only.
-    first_shared = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.array_position("bands", F.col("key"))
-    differ = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b"))
-    pairs = rows.join(other, ["key", "block"]).where(differ & alike("sketch", "sketch_b", "n", "n_b", threshold) & first_shared)
-    found = verified(materialize(pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")), "near"), docs, threshold, size)
-    release(rows_left)
-    return named, labels if found.isEmpty() else merged(labels, found)
+            return classes, labels
+    found = verified(left_pairs(rows, sketches, threshold), docs, threshold, size)
+    release(rows)
+    return classes, labels if found.isEmpty() else merged(labels, found)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -320,9 +387,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, size: int = SHINGLE_WO
     table gives no rows.
     """
     sigs = materialize(signatures(docs, size), "signatures")
+    # Samples and sketches don't stay for the last join.
+    rows = materialize(sigs.select("doc_id", "n_shingles", "h1", "h2"), "rows")
     classes, labels = near_links(sigs, docs, threshold, size)
-    by_class = classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    rows = sigs.select("doc_id", "n_shingles", "h1", "h2")
+    by_class = materialize(classes.join(labels, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")), "components")
+    release(classes, labels)
     joined = rows.join(by_class, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

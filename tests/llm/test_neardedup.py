@@ -2,6 +2,7 @@ import itertools
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from labelmill.llm import neardedup
 from labelmill.llm.components import connected_components
@@ -111,3 +112,52 @@ def test_what_no_join_needs_is_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == {k: k % 300 for k in range(301)}
     assert 32 * 301 <= moved <= 1.5 * 32 * 301
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_signatures_of_single_documents_stay_in_the_scan(spark):
+    """Of documents without copies no samples or sketches move, and of each band key only what tells it from others."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))) for k in range(600)]
+    docs = spark.createDataFrame([*rows, (600, rows[0][1]), (601, rows[1][1] + " more")], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {r.doc_id: r.component_id for r in neardedup.near_duplicates(docs).collect()}
+        moved = sum(n for k, n in shuffled_bytes(spark).items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {k: k % 600 for k in range(602)}
+    # A key takes 10 to 12 bytes with its frame; a document's samples and sketch take some 500 more.
+    assert moved <= 16 * 32 * 602
+
+
+def test_left_pairs_against_all_pairs(spark):
+    """Large buckets in several blocks, buckets that share pairs, and groups that go over Arrow batches."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(np.append(base[rng.integers(0, 60 if k % 3 else 30) :], rng.integers(0, 2**63, int(rng.integers(1, 60)), dtype=np.int64).astype(np.uint64))) for k in range(700)]
+    sketches = neardedup.odd_sketches(sets).view(np.int64)
+    frame = spark.createDataFrame([(k, sketches[k].tolist(), len(sets[k])) for k in range(700)], "rep long, sketch array<long>, n long")
+    buckets = {5: range(600), -3: range(590, 640), 9: range(0, 700, 7), 2: (650, 651), 1: (660, 661)}
+    rows = [(key, k, k % 40 if key != 1 else 660, len(members)) for key, members in buckets.items() for k in members]
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = [tuple(r) for r in neardedup.left_pairs(spark.createDataFrame(rows, "key long, rep long, component long, size long"), frame, 75).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
+    own = defaultdict(dict)
+    for key, k, component, _ in rows:
+        own[key][k] = component
+    meet = {(a, b) for members in own.values() for a, b in itertools.combinations(sorted(members), 2) if members[a] != members[b]}
+    a, b = frame.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), frame.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    near = {tuple(r) for r in a.join(b, F.col("a") < F.col("b")).where(neardedup.alike("sa", "sb", "na", "nb", 75)).select("a", "b").collect()}
+    assert len(meet) > len(meet & near) > 1000
+    assert sorted(got) == sorted(meet & near)
