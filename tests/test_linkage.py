@@ -192,3 +192,11 @@ def test_merge_against_a_loop_over_all_pairs(spark, monkeypatch, least, settled)
     assert got.dtypes == [("left_id", "int"), ("right_id", "bigint"), ("score", "double")]
     assert sorted((r.left_id, r.right_id) for r in got.collect()) == sorted(want) and len(want) > 30
     assert all(r.score == best[r.left_id, r.right_id] for r in got.collect())
+
+
+def test_parts_of_one_name_and_maker_are_products_and_facts_each(spark, tmp_path):
+    # Keys of this distance have the same words before and behind their name and maker.
+    keys = [5, 2315, 4625]
+    spark.createDataFrame([(k, "hot nut", "Brand#7", "LARGE", 33, 900.0) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["fuzzy_decisions_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.fact_id, r.product_id, r.status) for r in got) == [(1_000_000 + k, k, "matched") for k in keys]
