@@ -48,22 +48,18 @@ def official_names(products: DataFrame, reports: DataFrame) -> DataFrame:
     return products.select("product_id", "report_no").join(last, "report_no").select("product_id", "official_name")
 
 
-def _nearest(wanted: DataFrame, facts: DataFrame, cols: list[str], threshold: float, n: int, short: Column | None = None) -> DataFrame:
-    """(cols, fact_id, fu, sim, rank): for each text of ``wanted`` the n most similar facts, inside a maker if cols name one.
+def _nearest(wanted: DataFrame, facts: DataFrame, pairs: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(best, every) of (cols, fact_id, fu, sim): the facts near each text of ``wanted`` by pairs (txt_l, txt_r, sim), inside a maker if cols name one.
 
-    Facts of one text are equally similar to all others, so only the n smallest ids of each can be among the n best.
+    Which of them a product may take is a matter of their unit family alone, so ``best`` is the first of each family,
+    however many are near. Facts of one text and family are equally near to all others; the smallest id stands for them.
     """
-    names = [df.select(*cols).where("txt != ''").distinct() for df in (wanted, facts)]
+    names = wanted.select(*cols).where("txt != ''").distinct()
     if len(cols) > 1:
-        # A text is compared once, however many makers have it.
-        names = [df.where(F.col(cols[1]).isNotNull()) for df in names]
-    texts = [df.select("txt").distinct().withColumn(k, F.col("txt")) for df, k in zip(names, ("txt_l", "txt_r"))]
-    pairs = link.trigram_join(texts[0], texts[1], "txt_l", "txt_r", "txt", threshold)
-    if short is not None:
-        pairs = pairs.where(F.col("sim") >= short)
-    some = dedup.first_per_group(facts.where("txt != ''"), cols, [F.col("fact_id")], n).select(F.col("txt").alias("txt_r"), *cols[1:], "fact_id", "fu")
-    near = names[0].join(materialize(pairs, "pairs"), F.col("txt") == F.col("txt_l")).join(some, ["txt_r", *cols[1:]])
-    return dedup.first_per_group(near.select(*cols, "fact_id", "fu", "sim"), cols, [F.col("sim").desc(), F.col("fact_id")], n)
+        names = names.where(F.col(cols[1]).isNotNull())
+    some = dedup.first_per_group(facts.where("txt != ''"), [*cols, "fu"], [F.col("fact_id")]).select(F.col("txt").alias("txt_r"), *cols[1:], "fact_id", "fu")
+    every = names.join(pairs, F.col("txt") == F.col("txt_l")).join(some, ["txt_r", *cols[1:]]).select(*cols, "fact_id", "fu", "sim")
+    return dedup.first_per_group(every, [*cols, "fu"], [F.col("sim").desc(), F.col("fact_id")]).drop("rank"), every
 
 
 def match_facts(products: DataFrame, facts: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,12 +67,15 @@ def match_facts(products: DataFrame, facts: DataFrame, reports: DataFrame) -> tu
     (fact_id, product_name, maker). Facts may be used again, so the order of products doesn't matter.
 
     Pass 1 compares deep names inside a maker, by a threshold for their length; pass 2 does the same
-    with the official name where it differs; pass 3 takes any maker at 0.85. In each pass the best
-    three are tried and pairs of different unit families are rejected; the first pass that yields
-    a match wins. Products of the same normal forms are looked up once for all of them.
+    with the official name where it differs; pass 3 takes any maker at 0.85. In each pass all facts that reach
+    the threshold are tried, the most similar first, and pairs of different unit families are rejected; the first
+    pass that yields a match wins. Products of the same normal forms are looked up once for all of them; of facts of the same
+    forms and family a match, and a rejection, names the smallest id.
     """
     forms = {"txt": normalize.deep(F.col("product_name")), "maker_key": F.nullif(normalize.maker(F.col("maker")), F.lit(""))}
-    f = materialize(facts.select("fact_id", *(c.alias(k) for k, c in forms.items()), extract.unit_family(F.col("product_name")).alias("fu")), "facts")
+    # Of facts of one name and maker the smallest id is the one that is named.
+    known = facts.groupBy("product_name", "maker").agg(F.min("fact_id").alias("fact_id"))
+    f = materialize(known.select("fact_id", *(c.alias(k) for k, c in forms.items()), F.coalesce(extract.unit_family(F.col("product_name")), F.lit("")).alias("fu")), "facts")
     named = products.join(official_names(products, reports).withColumnRenamed("product_id", "named_id"), F.col("product_id") == F.col("named_id"), "left")
     p = named.select("product_id", *(c.alias(k) for k, c in forms.items()), normalize.deep(F.col("official_name")).alias("official"), extract.unit_family(F.col("product_name")).alias("pu"))
     p = p.withColumn("official", F.when(F.col("official") != F.col("txt"), F.col("official")).otherwise(""))
@@ -85,19 +84,27 @@ def match_facts(products: DataFrame, facts: DataFrame, reports: DataFrame) -> tu
     p = materialize(p.select("product_id", *(F.coalesce(k, F.lit("")).alias(k) for k in keys)), "products")
     kinds = materialize(p.select(*keys).distinct(), "kinds")
     w = kinds.withColumn("maker_key", F.nullif("maker_key", F.lit("")))
-    short = F.when(F.length("txt_l") <= 5, F.lit(0.8)).otherwise(F.lit(0.7))
+    official = w.select(F.col("official").alias("txt"), "maker_key")
+    # A text is compared once, whatever its makers, passes and rows. Tables of their own, so that trigrams are made of distinct texts only.
+    texts = [materialize(df.select("txt").where("txt != ''").distinct(), "texts").withColumn(k, F.col("txt")) for df, k in ((w.select("txt").unionByName(official.select("txt")), "txt_l"), (f, "txt_r"))]
+    pairs = materialize(link.trigram_join(texts[0], texts[1], "txt_l", "txt_r", "txt", 0.7), "pairs")
+    alike = pairs.where(F.col("sim") >= S.length_threshold(F.col("txt_l")))
     order = [F.col("sim").desc(), F.col("fact_id")]
-    inside = ["txt", "maker_key"]
-    near = [_nearest(w, f, inside, 0.7, 3, short), _nearest(w.select(F.col("official").alias("txt"), "maker_key"), f, inside, 0.7, 3, short), _nearest(w, f, ["txt"], LOOSE, 1)]
-    near[1] = near[1].withColumnRenamed("txt", "official")
-    tops = [kinds.join(x, on).withColumn("fu", F.coalesce("fu", F.lit(""))) for x, on in zip(near, (inside, ["official", "maker_key"], ["txt"]))]
-    tops = [materialize(t.select(*keys, "fact_id", "sim", "fu"), "tops") for t in tops]
+    near = [_nearest(w, f, alike, ["txt", "maker_key"]), _nearest(official, f, alike, ["txt", "maker_key"]), _nearest(w, f, pairs.where(F.col("sim") >= LOOSE), ["txt"])]
+
+    def of_kinds(rows: list[DataFrame]) -> list[DataFrame]:
+        """Each pass's rows for every kind of product."""
+        rows = [rows[0], rows[1].withColumnRenamed("txt", "official"), rows[2]]
+        return [kinds.join(x, on).select(*keys, "fact_id", "sim", "fu") for x, on in zip(rows, (["txt", "maker_key"], ["official", "maker_key"], ["txt"]))]
+
     clash = (F.col("pu") != "") & (F.col("fu") != "") & (F.col("pu") != F.col("fu"))
     kind = F.struct(*keys)
+    tops = [materialize(t, "tops") for t in of_kinds([best for best, _ in near])]
     best = link.cascade([t.where(~clash).select(kind.alias("kind"), "fact_id", "sim") for t in tops], "kind", order)
     one = p.select("product_id", kind.alias("kind"))
     best = materialize(dedup.first_per_group(one.join(best, "kind"), ["product_id"], [F.col("pass_no"), *order]).select("product_id", "fact_id", "sim", "pass_no"), "best")
-    refused = tops[0].unionByName(tops[1]).unionByName(tops[2]).where(clash).select(kind.alias("kind"), "fact_id", "sim").distinct()
+    tried = of_kinds([every for _, every in near])
+    refused = tried[0].unionByName(tried[1]).unionByName(tried[2]).where(clash).select(kind.alias("kind"), "fact_id", "sim").distinct()
     rejected = one.join(refused, "kind").select("product_id", "fact_id", "sim").distinct()
     decisions = best.select("product_id", "fact_id", F.lit("matched").alias("status"), F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("product_id", "fact_id", F.lit("rejected").alias("status"), F.lit("unit_mismatch").alias("reason")))
     return best, decisions

@@ -71,7 +71,7 @@ def match_facts_all(spark, d):
     products, facts = _both_sides(spark, d)
     official = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("report_no"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
     products = products.select(F.col("id").alias("product_id"), F.col("id").cast("string").alias("report_no"), F.col("name").alias("product_name"), "maker")
-    facts = facts.groupBy("name", "maker").agg(F.min("id").alias("fact_id")).select("fact_id", F.col("name").alias("product_name"), "maker")
+    facts = facts.select(F.col("id").alias("fact_id"), F.col("name").alias("product_name"), "maker")
     return enrich.match_facts(products, facts, official)[0].select("product_id", "fact_id", "pass_no")
 
 

@@ -200,3 +200,13 @@ def test_parts_of_one_name_and_maker_are_products_and_facts_each(spark, tmp_path
     spark.createDataFrame([(k, "hot nut", "Brand#7", "LARGE", 33, 900.0) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     got = QUERIES["fuzzy_decisions_all"](spark, str(tmp_path)).collect()
     assert sorted((r.fact_id, r.product_id, r.status) for r in got) == [(1_000_000 + k, k, "matched") for k in keys]
+
+
+def test_a_fact_behind_three_of_another_unit_is_tried(spark):
+    products = spark.createDataFrame([(1, "R", "현미 누룽지 과자 2L", "두레"), (2, "R", "현미 누룽지 과자 2L", "다른곳"), (3, "R", "현미 누룽지 과자 2oz", "두레")], "product_id int, report_no string, product_name string, maker string")
+    facts = [(10 + k, f"현미 누룽지 과자 {k}0g", "두레") for k in range(1, 5)] + [(15, "현미 누룽지 과자맛 30g", "두레"), (16, "현미 누룽지 과자 500ml", "두레"), (17, "현미 누룽지 과자 500ml", "두레")]
+    reports = spark.createDataFrame([(1, "R", "다른 이름")], "id int, report_no string, name string")
+    best, decisions = enrich.match_facts(products, spark.createDataFrame(facts, "fact_id int, product_name string, maker string"), reports)
+    assert sorted((r.product_id, r.fact_id, r.pass_no) for r in best.collect()) == [(1, 16, 1), (2, 16, 3), (3, 11, 1)]
+    # Of facts of one text and unit family the smallest id is named.
+    assert sorted((r.product_id, r.fact_id) for r in decisions.where("status = 'rejected'").collect()) == [(1, 11), (1, 15), (2, 11)]
